@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import secrets
+from tidemark.llm import ngram_join, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op5_secret_scan": op5_secret_scan}
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+QUERIES = {"op5_secret_scan": op5_secret_scan, "op6_ngram_join": op6_ngram_join}
 ORACLE_SQL: dict[str, str] = {}
