@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import ngram_join, secrets
+from tidemark.llm import language, ngram_join, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = quality.train(documents, _table(spark, sf_dir, "labels"))
+    scored = quality.score(documents, model)
+    held_out = F.coalesce(quality.bucket("doc_id", 4) == 2, F.lit(False))
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -19,5 +29,17 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {"op5_secret_scan": op5_secret_scan, "op6_ngram_join": op6_ngram_join}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    found = language.predict(documents, language.train(documents))
+    held_out = F.coalesce(quality.bucket("doc_id", 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_ngram_join": op6_ngram_join,
+    "op10_language_id": op10_language_id,
+}
 ORACLE_SQL: dict[str, str] = {}
