@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, ngram_join, quality, secrets
+from tidemark.llm import decontaminate, language, ngram_join, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.match(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     found = language.predict(documents, language.train(documents))
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op5_secret_scan": op5_secret_scan,
     "op6_ngram_join": op6_ngram_join,
+    "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
