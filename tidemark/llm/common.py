@@ -184,10 +184,11 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if not n:
         return words
     with np.errstate(over="ignore"):
+        # unrelated odd factors: equal steps would let words trade places
+        factors = mix(np.arange(1, min(n, k) + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
         if n < k:
-            w = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n)
-            return mix(np.array([(words * (w | np.uint64(1))).sum()], np.uint64) + np.uint64(0x5851F42D4C957F2D))
+            return mix(np.array([(words * factors).sum() + np.uint64(n) * _BASE], np.uint64))
         total = np.zeros(n - k + 1, np.uint64)
         for j in range(k):
-            total += words[j : n - k + 1 + j] * np.uint64(0x2545F4914F6CDD1D * (2 * j + 1) & 0xFFFFFFFFFFFFFFFF | 1)
+            total += words[j : n - k + 1 + j] * factors[j]
         return mix(total)

@@ -7,14 +7,14 @@ frequent tokens last (a count sketch of fixed size knows them), the others are p
 share a prefix token under the first order (an equi-join), survive a parity-bitmap bound on their overlap, share a
 prefix token under every other order, and are then verified on their whole sets.
 
-A token list that holds thousands of near copies is never expanded into all pairs. Two rounds link members
-with one pivot per list; lists whose members then lie in one component are done. For the rest, blocks of
-bounded size are compared inside a task, which returns only pairs that pass the filters and lie in different
-components, so every link between components is still found.
-
-Null texts and empty texts have an empty set and link with nothing; null ids take part and get the component's
-smallest id, their own component is null when they are alone; repeated rows are each returned; extra columns
-are not looked at.
+A token list of more than SHORT members, as thousands of near copies make, is never expanded into all pairs. Two
+rounds link members with one pivot per list; lists whose members then lie in one component are done. For the
+rest, blocks of bounded size are compared inside a task, which returns only pairs that pass the filters and lie
+in different components, so every link between components is still found.
+
+Null texts and empty texts have an empty set and link with nothing; a row with a null id joins the component of an
+equal set that has an id, else its component is null; repeated rows are each returned; extra columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -42,11 +42,13 @@ from tidemark.llm.common import (
 
 SKETCH_BITS = 17
 SKETCH_ROW = 1 << 12
-BITMAP_WORDS = 8
+BITMAP_WORDS = 4
 ORDERS = 3
 BLOCK = 1024
-SHORT = 64
+SHORT = 32
 SALT_ROWS = 512
+#: Most ids that are broadcast to fetch texts; beyond it both sides are shuffled.
+SMALL = 200_000
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -153,21 +155,24 @@ def _meet(a: str, b: str) -> str:
 
 
 class _Verifier:
-    """Verifies pairs (a, b) of nodes on their whole sets; sets(node, s) holds every listed node's set once."""
+    """Verifies pairs (a, b) of nodes on their whole sets, read from the texts of the nodes that still count."""
 
-    def __init__(self, sets: DataFrame, sigs: DataFrame, percent: int):
-        self.sets, self.sigs, self.percent = sets, sigs, percent
+    def __init__(self, documents: DataFrame, classes: DataFrame, sigs: DataFrame, k: int, percent: int):
+        self.documents, self.classes, self.sigs, self.k, self.percent = documents, classes, sigs, k, percent
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
-        sig = lambda x: self.sigs.select(F.col("node").alias(x), F.struct("n", "bits", "others").alias(f"{x}_"))
-        pairs = skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b").where(_near("a_", "b_", percent)).where(_meet("a_", "b_")).select("a", "b")
+        sig = lambda x: self.sigs.select(F.col("node").alias(x), F.struct("others").alias(f"{x}_"))
+        pairs = skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b").where(_meet("a_", "b_")).select("a", "b")
         pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT_ROWS)).cast("int")), "pairs")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = materialize(skew_join(nodes, self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
+        sets = _sets_of(self.documents, wanted, self.k)
         # each pivot's set goes once to each salt that has partners of it; partners' sets go once per pair
         asked = pairs.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("role")).unionByName(
             pairs.select(F.col("a").alias("node"), "a", "salt", F.lit(0).alias("role")).distinct()
         )
-        rows = skew_join(asked, self.sets, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+        rows = skew_join(asked, sets, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, pivot = None, None
@@ -217,28 +222,23 @@ def join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = materialize(profiles(documents, k, percent), "profiles")
     filled = docs.where("n > 0")
     classes = filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    tokens = filled.groupBy("node").agg(F.first("first").alias("first")).select("node", F.explode("first").alias("token"))
-    held = F.count("*").over(_by_token())
-    lists = materialize(tokens.withColumn("held", held).where("held > 1").select("token", "node"), "lists")
-    listed = lists.select("node").distinct()
-    sigs = skew_join(filled.select("node", "n", "others", "bits"), listed, "node")
-    sigs = materialize(sigs.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "others", "bits")]), "sigs")
-    sets = materialize(_listed_sets(documents, docs, listed, k), "sets")
-    verify = _Verifier(sets, sigs, percent)
-
-    # first round: each node with the smallest node of all its lists
-    pivot = lists.withColumn("pivot", F.min("node").over(_by_token())).groupBy("node").agg(F.min("pivot").alias("a"))
-    comps = _components(None, verify(pivot.where("a <> node").select("a", F.col("node").alias("b"))))
-    # second round: in lists that still span components, each node with a pivot of the list's own
-    rows = _open(lists, comps)
-    rows = rows.withColumn("p", F.min(F.struct(F.xxhash64("token", "node").alias("h"), "node", "comp")).over(_by_token()))
-    pairs = rows.where("p.comp <> comp").select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"))
-    comps = _components(comps, verify(pairs.distinct()))
-    # last round: all pairs across components of the lists that still span some
-    rows = materialize(skew_join(_open(lists, comps), sigs.select("node", "n", "bits"), "node"), "open")
-    rows = rows.withColumn("size", F.count("*").over(_by_token()))
-    pairs = _short_pairs(rows.where(F.col("size") <= SHORT), percent).unionByName(_blocks(rows.where(F.col("size") > SHORT), percent))
-    comps = _components(comps, verify(pairs.distinct()))
+    classes = materialize(classes, "classes")
+    sigs = materialize(filled.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "first", "others", "bits")]), "sigs")
+    verify = _Verifier(documents, classes, sigs, k, percent)
+
+    tokens = sigs.select("node", F.explode("first").alias("token"))
+    lists = tokens.withColumn("held", F.count("*").over(_by_token())).where("held > 1")
+    lists = materialize(skew_join(lists, sigs.select("node", "n", "bits"), "node"), "lists")
+    short, long = lists.where(F.col("held") <= SHORT), lists.where(F.col("held") > SHORT)
+
+    # short lists: all pairs; long lists: each node with a pivot of the list
+    first = _pairs_with_pivot(long.withColumn("comp", F.col("node")), percent).unionByName(_short_pairs(short, percent))
+    comps = _components(None, verify(first.distinct()))
+    if not long.isEmpty():
+        # lists that still span components: once more with another pivot, then all blocks
+        pairs = _pairs_with_pivot(_open(long, comps), percent, 1)
+        comps = _components(comps, verify(pairs.distinct()))
+        comps = _components(comps, verify(_blocks(_open(long, comps), percent).distinct()))
 
     named = skew_join(classes, comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"))
     named = materialize(named, "named")
@@ -259,12 +259,11 @@ def _components(known: DataFrame | None, edges: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
-def _listed_sets(documents: DataFrame, docs: DataFrame, listed: DataFrame, k: int) -> DataFrame:
-    """(node, s): the whole set of each listed node, from the text of one document of its class."""
+def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, s): the whole set of each wanted(node, doc_id); a repeated row gives its set again."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = skew_join(docs.select("doc_id", "node"), listed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = wanted.where("doc_id is not null")
-    rows = skew_join(texts, wanted, "doc_id")
+    small = wanted.count() <= SMALL
+    rows = texts.join(F.broadcast(wanted), "doc_id") if small else skew_join(texts, wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +277,7 @@ def _listed_sets(documents: DataFrame, docs: DataFrame, listed: DataFrame, k: in
                 part = held[i : i + 500]
                 yield pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in part], pa.int64()), "s": pa.array([x for _, x in part], pa.list_(pa.int64()))})
 
-    return rows.select("node", "text").mapInArrow(run, "node bigint, s array<bigint>").dropDuplicates(["node"])
+    return rows.select("node", "text").mapInArrow(run, "node bigint, s array<bigint>")
 
 
 def _open(lists: DataFrame, comps: DataFrame) -> DataFrame:
@@ -289,16 +288,25 @@ def _open(lists: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of the lists of at most SHORT members."""
-    on = f"x.token = y.token and x.node < y.node and x.comp <> y.comp and {_near('x', 'y', percent)}"
+    """Pairs that may link of the lists of at most SHORT members."""
+    on = f"x.token = y.token and x.node < y.node and {_near('x', 'y', percent)}"
     return rows.alias("x").join(rows.alias("y"), F.expr(on)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
+def _pairs_with_pivot(rows: DataFrame, percent: int, number: int = 0) -> DataFrame:
+    """Pairs that may link of each row of the lists (token, node, comp, n, bits) with its list's pivot, a member
+    chosen by a hash."""
+    rank = F.xxhash64("token", "node", F.lit(number)).alias("h")
+    rows = rows.withColumn("x", F.min(F.struct(rank, "node", "comp", "n", "bits")).over(_by_token()))
+    rows = rows.withColumn("y", F.struct("n", "bits")).where("x.comp <> comp").where(_near("x", "y", percent))
+    return rows.select(F.least("x.node", "node").alias("a"), F.greatest("x.node", "node").alias("b"))
+
+
 def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the long lists, block by block. Blocks follow components, so that two blocks of one
     component are not compared."""
     order = Window.partitionBy("token").orderBy("comp", "node")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")).drop("size")
+    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")).drop("held")
     rows = materialize(rows, "blocks")
     spans = rows.groupBy("token", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     one = spans.toDF("token", "i", "lo1", "hi1")
