@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, ngram_join, quality, secrets
+from tidemark.llm import decontaminate, language, ngram_join, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,19 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op2_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(_table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN strlen(h) >= 100 AND page_id <> lo THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(h) >= 100 AND page_id <> lo THEN lo END AS refers_to
+FROM (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS lo
+      FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
+"""
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -42,9 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_warc_roundtrip": op2_warc_roundtrip,
     "op5_secret_scan": op5_secret_scan,
     "op6_ngram_join": op6_ngram_join,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_warc_roundtrip": OP2_SQL}
