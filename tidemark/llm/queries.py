@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, ngram_join, quality, secrets, warc
+from tidemark.llm import decontaminate, embedding_dedup, language, ngram_join, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.deduplicate(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.match(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_warc_roundtrip": op2_warc_roundtrip,
     "op5_secret_scan": op5_secret_scan,
     "op6_ngram_join": op6_ngram_join,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
