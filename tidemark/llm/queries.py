@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embedding_dedup, language, ngram_join, quality, secrets, warc
+from tidemark.llm import decontaminate, embedding_dedup, language, licences, ngram_join, packing, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ FROM (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS lo
 """
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -42,6 +46,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(licences.scan(_table(spark, sf_dir, "documents")))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.deduplicate(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -60,10 +68,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc_roundtrip": op2_warc_roundtrip,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_ngram_join": op6_ngram_join,
+    "op7_licence_scan": op7_licence_scan,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL = {"op2_warc_roundtrip": OP2_SQL}
+ORACLE_SQL = {"op2_warc_roundtrip": OP2_SQL, "op7_licence_scan": licences.oracle_sql()}
