@@ -46,19 +46,26 @@ BITMAP_WORDS = 4
 ORDERS = 3
 BLOCK = 1024
 SHORT = 32
-SALT_ROWS = 512
+#: Partners of one pivot that are verified in one place.
+SALT_ROWS = 1024
 #: Most ids that are broadcast to fetch texts; beyond it both sides are shuffled.
 SMALL = 200_000
 
 
-def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
-    for at, to, data, bounds in text_slices(texts):
+def _shingles(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of rows as (word hashes, first word of each row, hashes of the k words from each word on)."""
+    for _, _, data, bounds in text_slices(texts):
         data = LOWER[data]
         starts, ends, first = find_words(data, bounds)
         words = span_hashes(data, starts, ends)
-        for i in range(to - at):
-            yield np.unique(shingle_hashes(words[first[i] : first[i + 1]], k))
+        yield words, first, shingle_hashes(words, k) if len(words) >= k else words[:0]
+
+
+def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each row."""
+    for words, first, shingles in _shingles(texts, k):
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield np.unique(shingles[a : b - k + 1] if b - a >= k else shingle_hashes(words[a:b], k))
 
 
 def token_sketch(documents: DataFrame, k: int) -> np.ndarray:
@@ -67,8 +74,12 @@ def token_sketch(documents: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for s in _sets(batch.column(0), k):
-                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            for _, first, s in _shingles(batch.column(0), k):
+                inside = np.ones(len(s), bool)
+                for j in range(1, k):  # shingles that reach into the next row
+                    ends = first[1:-1] - j
+                    inside[ends[(ends >= 0) & (ends < len(s))]] = False
+                total += np.bincount((s[inside] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         rows = total.reshape(-1, SKETCH_ROW)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(rows)), pa.int32()), "n": pa.array(list(rows), pa.list_(pa.int64()))})
 
@@ -88,6 +99,12 @@ def _order(s: np.ndarray, number: int) -> np.ndarray:
     return mix(s ^ np.uint64(0xA0761D6478BD642F * number & 0xFFFFFFFFFFFFFFFF))
 
 
+def _heads(hashes: np.ndarray, p: int) -> np.ndarray:
+    """The p smallest hashes, by their upper 32 bits as ordered ints."""
+    low = np.partition(hashes, p - 1)[:p] if p < len(hashes) else hashes
+    return (np.sort(low >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32)
+
+
 def parity_bitmap(s: np.ndarray) -> np.ndarray:
     """A token flips one of the bits: two sets' bitmaps differ in at most as many bits as the sets in tokens."""
     bits = np.bincount((mix(s) >> np.uint64(7)).astype(np.int64) & (64 * BITMAP_WORDS - 1), minlength=64 * BITMAP_WORDS) & 1
@@ -132,7 +149,7 @@ def profiles(documents: DataFrame, k: int, percent: int) -> DataFrame:
                     rows["node"].append(int(node.view(np.int64)[0]))
                     held = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     rows["first"].append(s[np.lexsort((s, held))[:p]].view(np.int64))
-                    rows["others"].append([np.sort(_order(s, j))[:p].astype(np.uint32).view(np.int32) for j in range(1, ORDERS)])
+                    rows["others"].append([_heads(_order(s, j), p) for j in range(1, ORDERS)])
                     rows["bits"].append(parity_bitmap(s))
                 if len(rows["n"]) >= 1000:
                     yield out(rows)
@@ -149,9 +166,19 @@ def _near(a: str, b: str, percent: int) -> str:
     return f"{(100 + percent)} * ({total} - ({apart})) >= {2 * percent} * {total}"
 
 
-def _meet(a: str, b: str) -> str:
-    """SQL: the prefixes meet under every further order."""
-    return " and ".join(f"arrays_overlap({a}.others[{i}], {b}.others[{i}])" for i in range(ORDERS - 1))
+def _meet(a: str, b: str, percent: int) -> str:
+    """SQL: under every further order the prefixes meet, and what lies below both prefixes' ends, where each
+    set's tokens are all known, leaves room for enough shared tokens."""
+    rules = []
+    for i in range(ORDERS - 1):
+        x, y = f"{a}.others[{i}]", f"{b}.others[{i}]"
+        end = f"least(array_max({x}), array_max({y}))"
+        known = f"filter({x}, t -> t < {end})", f"filter({y}, t -> t < {end})"
+        repeats = f"size({known[0]}) - size(array_distinct({known[0]}))"  # equal upper bits
+        shared = f"(size(array_intersect({known[0]}, {known[1]})) + {repeats})"
+        rest = f"least({a}.n - size({known[0]}), {b}.n - size({known[1]}))"
+        rules.append(f"arrays_overlap({x}, {y}) and {100 + percent} * ({shared} + {rest}) >= {percent} * ({a}.n + {b}.n)")
+    return " and ".join(rules)
 
 
 class _Verifier:
@@ -162,9 +189,10 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
-        sig = lambda x: self.sigs.select(F.col("node").alias(x), F.struct("others").alias(f"{x}_"))
-        pairs = skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b").where(_meet("a_", "b_")).select("a", "b")
-        pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT_ROWS)).cast("int")), "pairs")
+        sig = lambda x: self.sigs.select(F.col("node").alias(x), F.struct("n", "others").alias(f"{x}_"))
+        pairs = skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b").where(_meet("a_", "b_", percent)).select("a", "b")
+        salts = F.ceil(F.count("*").over(Window.partitionBy("a")) / SALT_ROWS)
+        pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")), "pairs")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = materialize(skew_join(nodes, self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
         sets = _sets_of(self.documents, wanted, self.k)
