@@ -34,6 +34,8 @@ CRLF = "\r\n"
 
 DEDUP_BYTES = 100
 BLOCK_BYTES = 4 << 20
+#: Most repeated digests that are broadcast.
+SMALL = 200_000
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -47,7 +49,9 @@ def records(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     first = rows.where(F.col("bytes") >= DEDUP_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     first = first.where("n > 1 and first is not null").select("digest", "first")
-    rows = skew_join(rows, first, "digest", "left")
+    first = materialize(first, "first")
+    # without the broadcast every payload is shuffled
+    rows = rows.join(F.broadcast(first), "digest", "left") if first.count() <= SMALL else skew_join(rows, first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     lines = [
