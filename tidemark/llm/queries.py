@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embedding_dedup, language, licences, ngram_join, packing, quality, secrets, warc
+from tidemark.llm import decontaminate, embedding_dedup, html_extract, language, licences, ngram_join, packing, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ FROM (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS lo
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc_roundtrip": op2_warc_roundtrip,
+    "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_ngram_join": op6_ngram_join,
