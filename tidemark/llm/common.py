@@ -58,6 +58,15 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     return left.select("*", tag).join(right.select("*", tag), [key, "__tag"], how).drop("__tag")
 
 
+def without(rows: DataFrame, dropped: DataFrame, key: str, most: int = 200_000) -> DataFrame:
+    """rows whose key is not in dropped(key). Up to `most` keys are broadcast, so that rows stay where they are;
+    beyond it both sides are shuffled. A null key stays."""
+    dropped = materialize(dropped, "dropped")
+    if dropped.count() <= most:
+        dropped = F.broadcast(dropped)
+    return rows.join(dropped, key, "left_anti").select(*rows.columns)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 

@@ -1,11 +1,11 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 Texts are compared as lower-cased runs of letters and digits. A window of a document has as many words as the item
-it may hold; windows lie where a shingle (GRAM words, fewer for items of fewer words) of the document is one of some item, shifted by that shingle's
-place in the item, so a window that shares no shingle with any item (and whose similarity is 0) gets no
-fingerprint. A window's 64-bit SimHash over its words is compared with the items' by multi-index blocks: 64 bits
-are cut into RADIUS + 1 blocks, and two fingerprints within RADIUS bits agree in at least one. Candidates are verified by the
-weighted similarity of their shingle sets, sum of weights shared / sum of weights in either, where a shingle that
+it may hold; windows lie where a shingle (GRAM words, fewer for items of fewer words) of the document is one of some
+item, shifted by that shingle's place in the item, so a window that shares no shingle with any item (and whose
+similarity is 0) gets no fingerprint. A window's 64-bit SimHash over its words is compared with the items' by
+multi-index blocks: 64 bits are cut into RADIUS + 1 blocks, and two fingerprints within RADIUS bits agree in at
+least one. Candidates are verified by the weighted similarity of their shingle sets, sum of weights shared / sum of weights in either, where a shingle that
 many items share weighs less (1 / items that have it).
 
 DataFrame functions only. The item side is broadcast only if it has at most SMALL shingles or fingerprint blocks,
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, skew_join
+from tidemark.llm.common import materialize, skew_join, without
 
 GRAM = 5
 RADIUS = 11
@@ -122,4 +122,4 @@ def match(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 def decontaminate(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """documents without those that hold an item; rows with a null id or text stay."""
     hit = match(documents, benchmark, similarity, radius).select("doc_id").distinct()
-    return documents.join(hit, "doc_id", "left_anti").select(*documents.columns)
+    return without(documents, hit, "doc_id")

@@ -38,6 +38,7 @@ from tidemark.llm.common import (
     skew_join,
     span_hashes,
     text_slices,
+    without,
 )
 
 SKETCH_BITS = 17
@@ -349,9 +350,9 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
 def deduplicate(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """documents with one row of each component: that with the smallest doc_id. Rows with an empty set or a null
     doc_id stay; of rows that repeat the kept id with a linked text one stays."""
-    found = join(documents, k, percent)
+    found = materialize(join(documents, k, percent), "components")
     drop = found.where("n_shingles > 0 and doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    kept = documents.join(drop, "doc_id", "left_anti").select(*documents.columns)
+    kept = without(documents, drop, "doc_id")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
