@@ -167,19 +167,36 @@ def _near(a: str, b: str, percent: int) -> str:
     return f"{(100 + percent)} * ({total} - ({apart})) >= {2 * percent} * {total}"
 
 
-def _meet(a: str, b: str, percent: int) -> str:
-    """SQL: under every further order the prefixes meet, and what lies below both prefixes' ends, where each
-    set's tokens are all known, leaves room for enough shared tokens."""
-    rules = []
-    for i in range(ORDERS - 1):
-        x, y = f"{a}.others[{i}]", f"{b}.others[{i}]"
-        end = f"least(array_max({x}), array_max({y}))"
-        known = f"filter({x}, t -> t < {end})", f"filter({y}, t -> t < {end})"
-        repeats = f"size({known[0]}) - size(array_distinct({known[0]}))"  # equal upper bits
-        shared = f"(size(array_intersect({known[0]}, {known[1]})) + {repeats})"
-        rest = f"least({a}.n - size({known[0]}), {b}.n - size({known[1]}))"
-        rules.append(f"arrays_overlap({x}, {y}) and {100 + percent} * ({shared} + {rest}) >= {percent} * ({a}.n + {b}.n)")
-    return " and ".join(rules)
+def _room(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
+    """Most tokens that sets of nx and ny tokens with the prefixes x and y under one order can share, 0 if the
+    prefixes don't meet: below both prefixes' ends each set's tokens are all known."""
+    if not len(np.intersect1d(x, y)):
+        return 0
+    end = min(x[-1], y[-1])
+    x, y = x[x < end], y[y < end]
+    repeats = len(x) - len(np.unique(x))  # equal upper bits
+    return len(np.intersect1d(x, y)) + repeats + min(nx - len(x), ny - len(y))
+
+
+def _meet(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b with a_, b_: n, others) that every further order leaves room for enough shared tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb"))
+            xs, ys = batch.column("xs"), batch.column("ys")
+            kept = []
+            for i in range(batch.num_rows):
+                x, y = xs[i].values, ys[i].values
+                if all(
+                    (100 + percent) * _room(x[j].values.to_numpy(), y[j].values.to_numpy(), na[i], nb[i]) >= percent * (na[i] + nb[i])
+                    for j in range(ORDERS - 1)
+                ):
+                    kept.append(i)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in kept], pa.int64()), "b": pa.array([b[i] for i in kept], pa.int64())})
+
+    rows = pairs.select("a", "b", F.col("a_.n").alias("na"), F.col("b_.n").alias("nb"), F.col("a_.others").alias("xs"), F.col("b_.others").alias("ys"))
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 class _Verifier:
@@ -191,7 +208,7 @@ class _Verifier:
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
         sig = lambda x: self.sigs.select(F.col("node").alias(x), F.struct("n", "others").alias(f"{x}_"))
-        pairs = skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b").where(_meet("a_", "b_", percent)).select("a", "b")
+        pairs = _meet(skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b"), percent)
         salts = F.ceil(F.count("*").over(Window.partitionBy("a")) / SALT_ROWS)
         pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")), "pairs")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
