@@ -67,7 +67,7 @@ def month_spine(rows: DataFrame, keys: list[str], month: str, values: list[str])
     day = lambda c: F.to_date(F.concat(c, F.lit("-01")))
     span = rows.groupBy(*keys).agg(F.min(month).alias("__a"), F.max(month).alias("__b"))
     months = F.explode(F.sequence(day(F.col("__a")), day(F.col("__b")), F.expr("interval 1 month")))
-    spine = span.select(*keys, F.date_format(months, "yyyy-MM").alias(month))
+    spine = span.select(*keys, months.alias("__m")).select(*keys, F.date_format("__m", "yyyy-MM").alias(month))
     out = spine.join(rows, [*keys, month], "left")
     return out.select(*keys, month, *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
 

@@ -202,7 +202,7 @@ def feature_by_outcome(rows: DataFrame, keys: list[str], features: list[str], pn
 
 
 def crosstab(rows: DataFrame, a: str, b: str, values: list) -> DataFrame:
-    return rows.groupBy(a).pivot(b, values).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(a).pivot(b, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def top_rows(rows: DataFrame, keys: list[str], by: str, tie: str, k: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from tidemark.plans.oracles import ORACLE_SQL
+from tidemark.plans.queries import QUERIES
+
+FLAGSHIP = "flagship"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
