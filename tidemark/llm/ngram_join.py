@@ -273,8 +273,11 @@ def join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     verify = _Verifier(documents, classes, sigs, k, percent)
 
     tokens = sigs.select("node", F.explode("first").alias("token"))
-    lists = tokens.withColumn("held", F.count("*").over(_by_token())).where("held > 1")
-    lists = materialize(skew_join(lists, sigs.select("node", "n", "bits"), "node"), "lists")
+    lists = materialize(tokens.withColumn("held", F.count("*").over(_by_token())).where("held > 1"), "held")
+    # in_long: how many of a node's prefix tokens have long lists
+    in_long = lists.where(F.col("held") > SHORT).groupBy("node").agg(F.count("*").alias("in_long"))
+    lists = skew_join(lists, sigs.select("node", "n", "bits"), "node").join(in_long, "node", "left")
+    lists = materialize(lists.withColumn("in_long", F.coalesce("in_long", F.lit(0))), "lists")
     short, long = lists.where(F.col("held") <= SHORT), lists.where(F.col("held") > SHORT)
 
     # short lists: all pairs; long lists: each node with a pivot of the list
@@ -334,9 +337,15 @@ def _open(lists: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may link of the lists of at most SHORT members."""
+    """Pairs that may link of the lists of at most SHORT members. A pair shares at most the prefix tokens counted here,
+    those of long lists that both may have, and what lies behind the prefix that ends first."""
     on = f"x.token = y.token and x.node < y.node and {_near('x', 'y', percent)}"
-    return rows.alias("x").join(rows.alias("y"), F.expr(on)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = rows.alias("x").join(rows.alias("y"), F.expr(on)).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.least("x.in_long", "y.in_long").alias("more")
+    )
+    pairs = pairs.groupBy("a", "b", "na", "nb", "more").agg(F.count("*").alias("shared"))
+    behind = f"(ceil({percent} * greatest(na, nb) / 100) - 1)"
+    return pairs.where(f"{100 + percent} * (shared + more + {behind}) >= {percent} * (na + nb)").select("a", "b")
 
 
 def _pairs_with_pivot(rows: DataFrame, percent: int, number: int = 0) -> DataFrame:
@@ -352,7 +361,7 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the long lists, block by block. Blocks follow components, so that two blocks of one
     component are not compared."""
     order = Window.partitionBy("token").orderBy("comp", "node")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")).drop("held")
+    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")).drop("held", "in_long")
     rows = materialize(rows, "blocks")
     spans = rows.groupBy("token", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     one = spans.toDF("token", "i", "lo1", "hi1")
