@@ -63,5 +63,5 @@ TRADES = """lines AS (
 trades AS (
   SELECT o_orderkey AS trade_id, o_orderpriority AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side,
          o_orderdate AS entry_time, o_orderdate + to_days(n_lines::INT) AS exit_time, o_orderstatus AS exit_reason,
-         gross_pnl, total_fee, notional, gross_pnl - total_fee AS net_pnl, (gross_pnl - total_fee) / notional AS ret
+         n_lines, gross_pnl, total_fee, notional, gross_pnl - total_fee AS net_pnl, (gross_pnl - total_fee) / notional AS ret
   FROM orders JOIN lines ON o_orderkey = trade_id)"""
