@@ -207,12 +207,13 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
-        sig = lambda x: self.sigs.select(F.col("node").alias(x), F.struct("n", "others").alias(f"{x}_"))
+        pairs = materialize(pairs, "candidates")
+        named = _keep(self.sigs.select("node", F.struct("n", "others").alias("sig")), _nodes(pairs))
+        sig = lambda x: named.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_"))
         pairs = _meet(skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b"), percent)
         salts = F.ceil(F.count("*").over(Window.partitionBy("a")) / SALT_ROWS)
         pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")), "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = materialize(skew_join(nodes, self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
+        wanted = materialize(skew_join(_nodes(pairs), self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
         sets = _sets_of(self.documents, wanted, self.k)
         # each pivot's set goes once to each salt that has partners of it; partners' sets go once per pair
         asked = pairs.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("role")).unionByName(
@@ -269,16 +270,20 @@ def join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     filled = docs.where("n > 0")
     classes = filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "classes")
-    sigs = materialize(filled.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "first", "others", "bits")]), "sigs")
-    verify = _Verifier(documents, classes, sigs, k, percent)
-
-    tokens = sigs.select("node", F.explode("first").alias("token"))
-    lists = materialize(tokens.withColumn("held", F.count("*").over(_by_token())).where("held > 1"), "held")
+    # one row of each class; only the rows of classes with copies move
+    heavy = filled.select("node", "n", "first", "others", "bits")
+    copied = classes.where("copies > 1")
+    once = heavy.dropDuplicates(["node"]) if copied.count() > SMALL else _keep(heavy, copied, "left_anti").unionByName(_keep(heavy, copied).dropDuplicates(["node"]))
+    verify = _Verifier(documents, classes, once, k, percent)
+
+    tokens = once.select("node", F.col("n").cast("int").alias("n"), F.explode("first").alias("token"))
+    lists = materialize(tokens.withColumn("held", F.count("*").over(_by_token()).cast("int")).where("held > 1"), "lists")
     # in_long: how many of a node's prefix tokens have long lists
-    in_long = lists.where(F.col("held") > SHORT).groupBy("node").agg(F.count("*").alias("in_long"))
-    lists = skew_join(lists, sigs.select("node", "n", "bits"), "node").join(in_long, "node", "left")
-    lists = materialize(lists.withColumn("in_long", F.coalesce("in_long", F.lit(0))), "lists")
-    short, long = lists.where(F.col("held") <= SHORT), lists.where(F.col("held") > SHORT)
+    in_long = materialize(lists.where(F.col("held") > SHORT).groupBy("node").agg(F.count("*").cast("int").alias("in_long")), "long")
+    short = lists.where(F.col("held") <= SHORT)
+    short = skew_join(short, in_long, "node", "left").withColumn("in_long", F.coalesce("in_long", F.lit(0)))
+    long = lists.where(F.col("held") > SHORT).drop("n")
+    long = materialize(skew_join(long, _keep(once.select("node", "n", "bits"), in_long), "node"), "longs")
 
     # short lists: all pairs; long lists: each node with a pivot of the list
     first = _pairs_with_pivot(long.withColumn("comp", F.col("node")), percent).unionByName(_short_pairs(short, percent))
@@ -308,6 +313,17 @@ def _components(known: DataFrame | None, edges: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+
+
+def _keep(rows: DataFrame, nodes: DataFrame, how: str = "left_semi") -> DataFrame:
+    """rows whose node is (left_anti: is not) in nodes; up to SMALL nodes are broadcast and rows stay where they are."""
+    if nodes.count() <= SMALL:
+        return rows.join(F.broadcast(nodes.select("node")), "node", how)
+    return rows.join(nodes.select("node"), "node", how)
+
+
 def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, s): the whole set of each wanted(node, doc_id); a repeated row gives its set again."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -339,8 +355,8 @@ def _open(lists: DataFrame, comps: DataFrame) -> DataFrame:
 def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs that may link of the lists of at most SHORT members. A pair shares at most the prefix tokens counted here,
     those of long lists that both may have, and what lies behind the prefix that ends first."""
-    on = f"x.token = y.token and x.node < y.node and {_near('x', 'y', percent)}"
-    pairs = rows.alias("x").join(rows.alias("y"), F.expr(on)).select(
+    sizes = f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
+    pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and x.node < y.node and {sizes}")).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.least("x.in_long", "y.in_long").alias("more")
     )
     pairs = pairs.groupBy("a", "b", "na", "nb", "more").agg(F.count("*").alias("shared"))
@@ -361,7 +377,7 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the long lists, block by block. Blocks follow components, so that two blocks of one
     component are not compared."""
     order = Window.partitionBy("token").orderBy("comp", "node")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")).drop("held", "in_long")
+    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")).drop("held")
     rows = materialize(rows, "blocks")
     spans = rows.groupBy("token", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     one = spans.toDF("token", "i", "lo1", "hi1")
