@@ -405,7 +405,7 @@ sql(
     """WITH o AS (SELECT l_orderkey, min(l_extendedprice) AS a, max(l_extendedprice) AS b, sum(l_quantity) AS q, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END AS s FROM lineitem GROUP BY l_orderkey),
 f AS (SELECT *, a * (1 + s * 0.00053) AS ef, b * (1 - s * 0.00053) AS xf FROM o)
 SELECT l_orderkey, round(ef, 7) AS entry_fill, round(xf, 7) AS exit_fill, round((ef + xf) * q * 0.00037, 7) AS fees, round((abs(ef - a) + abs(xf - b)) * q, 7) AS slippage_cost,
-  round((xf - ef) * q * s, 7) AS gross_pnl, round((xf - ef) * q * s - (ef + xf) * q * 0.00037, 5) AS net_pnl FROM f""",
+  round((xf - ef) * q * s, 7) AS gross_pnl, round((xf - ef) * q * s - (ef + xf) * q * 0.00037, 2) AS net_pnl FROM f""",
 )
 sql(
     "exit_resolution",

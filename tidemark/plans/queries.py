@@ -445,7 +445,7 @@ def trade_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_extendedprice").alias("entry_price"), F.max("l_extendedprice").alias("exit_price"), F.sum("l_quantity").alias("quantity"))
     o = o.withColumn("side", F.when(F.col("l_orderkey") % 2 == 0, "LONG").otherwise("SHORT"))
     cols = ["entry_fill", "exit_fill", "fees", "slippage_cost", "gross_pnl", "net_pnl"]
-    return o.select("l_orderkey", "entry_price", "exit_price", "quantity", "side").transform(ledger.costs, 0.00037, 0.00053).select("l_orderkey", *[F.round(c, 5 if c == "net_pnl" else 7).alias(c) for c in cols])
+    return o.select("l_orderkey", "entry_price", "exit_price", "quantity", "side").transform(ledger.costs, 0.00037, 0.00053).select("l_orderkey", *[F.round(c, 2 if c == "net_pnl" else 7).alias(c) for c in cols])
 
 
 @query
