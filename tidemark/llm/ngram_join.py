@@ -43,7 +43,7 @@ from tidemark.llm.common import (
 
 SKETCH_BITS = 17
 SKETCH_ROW = 1 << 12
-BITMAP_WORDS = 4
+BITMAP_WORDS = 32
 ORDERS = 3
 BLOCK = 1024
 SHORT = 32
