@@ -42,12 +42,12 @@ def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_
         F.expr(f"aggregate(rs, named_struct('m', 1D, 'c', 0D), (y, t) -> if(t.r.{x} is null, y, named_struct('m', y.m * {1 - a}D, 'c', y.c * {1 - a}D + {a}D * t.r.{x})))").alias(f"m{i}")
         for i, (x, a) in enumerate(items.values())
     ]
-    heads = [F.expr(f"element_at(filter(transform(rs, t -> t.r.__f{i}), v -> v is not null), 1)").alias(f"h{i}") for i in range(len(names))]
+    heads = [F.expr(f"get(filter(transform(rs, t -> t.r.__f{i}), v -> v is not null), 0)").alias(f"h{i}") for i in range(len(names))]
     blocks = packed.select("symbol", "__b", *maps, *heads)
     chain = blocks.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("__b", *[f"m{i}" for i in range(len(names))], *[f"h{i}" for i in range(len(names))]))).alias("bs"))
     starts = []
     for i in range(len(names)):
-        seed = f"element_at(filter(transform(bs, z -> z.h{i}), v -> v is not null), 1)"
+        seed = f"get(filter(transform(bs, z -> z.h{i}), v -> v is not null), 0)"
         starts.append(F.expr(f"aggregate(bs, named_struct('y', cast({seed} as double), 'o', cast(array() as array<double>)), (s, z) -> named_struct('y', s.y * z.m{i}.m + z.m{i}.c, 'o', concat(s.o, array(s.y))), s -> s.o)").alias(f"s{i}"))
     chained = chain.select("symbol", F.expr("transform(bs, z -> z.__b)").alias("k"), *starts)
     zipped = F.arrays_zip("k", *[f"s{i}" for i in range(len(names))])

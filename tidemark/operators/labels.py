@@ -58,7 +58,7 @@ def first_touch(up: str, down: str, h: int, tie: str = "ambiguous", ts: str = "b
     w = forward(ts, h)
     pairs = F.collect_list(F.struct("high", "low")).over(w)
     hits = F.transform(pairs, lambda x: F.when((x["high"] >= F.col(up)) & (x["low"] <= F.col(down)), tie).when(x["high"] >= F.col(up), "plus").when(x["low"] <= F.col(down), "minus"))
-    first = F.element_at(F.array_compact(hits), 1)
+    first = F.get(F.array_compact(hits), 0)
     return F.when(F.col(up).isNotNull() & F.col(down).isNotNull(), F.coalesce(first, F.lit("none")))
 
 
