@@ -685,3 +685,125 @@ sql(
 h1 AS ({quintile_table('fq', 1)}), h4 AS ({quintile_table('fq', 4)}), h8 AS ({quintile_table('fq', 8)})""",
     f"SELECT symbol, quintile, n, {r(TABLE)}, horizon FROM (SELECT *, 1 AS horizon FROM h1 UNION ALL SELECT *, 4 FROM h4 UNION ALL SELECT *, 8 FROM h8)",
 )
+
+# ------------------------------------------------------------------ masks, leverage, further tables
+
+SCORED = f"{ROWS}, {rank_sql('fr', 'momentum', 'sc1', 'm')}, {rank_sql('sc1', 'spread', 'sc', 's')}"
+sql(
+    "prototype_masks",
+    SCORED,
+    """, u AS (SELECT symbol, 'P0' AS prototype, fwd_ret_4 FROM sc UNION ALL SELECT symbol, 'P1', fwd_ret_4 FROM sc WHERE m >= 0.8 UNION ALL SELECT symbol, 'P2', fwd_ret_4 FROM sc WHERE s <= 0.2 UNION ALL SELECT symbol, 'P4', fwd_ret_4 FROM sc WHERE m >= 0.6 AND s <= 0.4)
+SELECT symbol, prototype, count(*) AS n, round(avg(fwd_ret_4), 6) AS mean_ret FROM u GROUP BY ALL""",
+)
+sql(
+    "path_gates",
+    SCORED,
+    """, p AS (SELECT fwd_mae_4, coalesce(-s >= -0.7, false)::INT AS a, coalesce(m >= 0.4, false)::INT AS b, coalesce(activity >= 2, false)::INT AS c FROM sc),
+u AS (SELECT 'G0' AS gate, true AS accepted, fwd_mae_4 FROM p UNION ALL SELECT 'G1', a >= 1, fwd_mae_4 FROM p UNION ALL SELECT 'G2', a + b >= 2, fwd_mae_4 FROM p UNION ALL SELECT 'G3', a + b + c >= 2, fwd_mae_4 FROM p)
+SELECT gate, accepted, count(*) AS n, round(avg(fwd_mae_4), 6) AS mean_mae FROM u GROUP BY ALL""",
+)
+sql(
+    "ablation_ladder",
+    ROWS,
+    """, x AS (SELECT * FROM fr WHERE fwd_ret_4 IS NOT NULL), c AS (SELECT quantile_cont(spread, 0.4) AS a, quantile_cont(activity, 0.4) AS b, quantile_cont(momentum, 0.4) AS d FROM x),
+u AS (SELECT 'all' AS rule, fwd_ret_4 FROM x UNION ALL SELECT 'spread', fwd_ret_4 FROM x, c WHERE spread >= a UNION ALL SELECT 'activity', fwd_ret_4 FROM x, c WHERE spread >= a AND activity >= b UNION ALL SELECT 'momentum', fwd_ret_4 FROM x, c WHERE spread >= a AND activity >= b AND momentum >= d)
+SELECT rule, count(*) AS n, round(avg(fwd_ret_4), 6) AS mean_ret FROM u GROUP BY rule""",
+)
+sql(
+    "location_reasons",
+    SIG,
+    ", l AS (SELECT concat_ws(';', "
+    + ", ".join(f"CASE WHEN abs(close - {c}) / nullif(atr, 0) <= 0.35 THEN '{c}' END" for c in ("ema_fast", "ema_slow", "upper", "exit_low"))
+    + ") AS location FROM sig) SELECT location, count(*) AS n FROM l GROUP BY location",
+)
+sql(
+    "quality_filter",
+    SIG,
+    """, q AS (SELECT *, sum(close * volume) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS qv FROM sig)
+SELECT symbol, CASE WHEN symbol = 'error' THEN 'blacklist' WHEN NOT coalesce(qv >= 2500, false) THEN 'volume' WHEN NOT coalesce(atr / close <= 1.5, false) THEN 'volatility' ELSE 'pass' END AS reason, count(*) AS n FROM q GROUP BY ALL""",
+)
+sql(
+    "signal_scores",
+    f"{SIG}, {CANDLES}",
+    "SELECT least(100, greatest(0, 60 + CASE WHEN breakout THEN 25 ELSE 0 END + CASE WHEN close_location >= 0.7 THEN 10 ELSE 0 END + CASE WHEN volume > volume_mean THEN 10 ELSE 0 END - CASE WHEN exit_signal THEN 70 ELSE 0 END))::DOUBLE AS score, count(*) AS n FROM candles GROUP BY ALL",
+)
+sql(
+    "longest_loss_values",
+    TRADES,
+    f""", f AS (SELECT *, net_pnl <= 0 AS l, row_number() OVER {T} AS rn FROM trades), i AS (SELECT *, rn - row_number() OVER (PARTITION BY symbol, l ORDER BY exit_time, trade_id) AS isl FROM f),
+s AS (SELECT symbol, isl, min(rn) AS first, count(*) AS n, sum(net_pnl) AS total FROM i WHERE l GROUP BY symbol, isl)
+SELECT symbol, max(n) AS run_length, round(arg_max(total, (n, -first)), 3) AS total FROM s GROUP BY symbol""",
+)
+sql("recent_losses", TRADES, ", x AS (SELECT symbol, coalesce(sum((net_pnl <= 0)::INT) OVER (PARTITION BY symbol ORDER BY exit_time, trade_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS recent_losses FROM trades) SELECT symbol, recent_losses, count(*) AS n FROM x GROUP BY ALL")
+sql(
+    "trailing_stops",
+    EVENTS,
+    """, p AS (SELECT ev.event_id, ev.close AS entry, b.bar_ts, b.high, b.low, max(b.high) OVER (PARTITION BY ev.event_id ORDER BY b.bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+  FROM ev JOIN bars b ON b.symbol = ev.symbol AND b.bar_ts BETWEEN signal_time AND signal_time + INTERVAL 24 HOUR),
+l AS (SELECT *, CASE WHEN top >= entry * 1.15 THEN greatest(entry, top * 0.8) END AS lvl FROM p)
+SELECT event_id, min(bar_ts) FILTER (low <= lvl) AS stop_time, round(arg_min(lvl, bar_ts) FILTER (low <= lvl), 6) AS stop_level FROM l GROUP BY event_id""",
+)
+_EXITS = ORACLE_SQL["exit_resolution"].removeprefix("WITH RECURSIVE ")
+sql(
+    "partial_take_profit",
+    f"{_EXITS.rpartition(chr(10) + 'SELECT v.symbol')[0]}, ex AS (SELECT v.symbol{_EXITS.rpartition(chr(10) + 'SELECT v.symbol')[2]})",
+    """, g(t, f) AS (VALUES (0.05::DOUBLE, 0.5::DOUBLE), (0.2, 0.5), (0.5, 0.25)), h AS (SELECT t, f, coalesce(path_high >= entry_price * (1 + t), false) AS hit, exit_price / entry_price - 1 AS plain FROM ex CROSS JOIN g)
+SELECT t AS target_pct, f AS fraction, count(*) FILTER (hit) AS n_touched, round(avg(CASE WHEN hit THEN f * t + (1 - f) * plain ELSE plain END), 6) AS mean_ret FROM h GROUP BY ALL""",
+)
+sql("liquidation_levels", TRADES, ", x(leverage) AS (VALUES (5.0::DOUBLE), (10.0), (20.0)), e AS (SELECT o_orderkey AS trade_id, CASE WHEN o_orderkey % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side, o_totalprice AS entry FROM orders) SELECT trade_id, side, entry, leverage, round(entry * (1 - CASE WHEN side = 'LONG' THEN 1 ELSE -1 END * (1 / leverage - 0.005::DOUBLE)), 6) AS liquidation FROM e CROSS JOIN x")
+sql(
+    "leverage_by_volatility",
+    SIG,
+    ", v AS (SELECT atr / close AS a FROM sig WHERE atr IS NOT NULL) SELECT CASE WHEN a <= 0.5 THEN 20.0 WHEN a <= 1 THEN 10.0 WHEN a <= 2 THEN 5.0 ELSE 1.0 END::DOUBLE AS steps, greatest(1, least(30, floor(5.0::DOUBLE / nullif(a, 0))))::DOUBLE AS parity, count(*) AS n FROM v GROUP BY ALL",
+)
+sql(
+    "marked_equity",
+    BARS,
+    """, t AS (SELECT symbol, bar_ts AS entry_time, bar_ts + INTERVAL 5 HOUR AS exit_time, close AS entry_price FROM bars WHERE hour(bar_ts) = 6),
+j AS (SELECT b.symbol, b.bar_ts, b.close, t.entry_price, coalesce(b.bar_ts <= t.exit_time, false) AS in_trade FROM bars b ASOF LEFT JOIN t ON b.symbol = t.symbol AND b.bar_ts >= t.entry_time)
+SELECT symbol, bar_ts, in_trade, round(1000 + CASE WHEN in_trade THEN (close - entry_price) * 2 ELSE 0 END, 6) AS marked FROM j""",
+)
+sql(
+    "metric_table",
+    TRADES,
+    f""", s AS (SELECT side, count(*)::DOUBLE AS n, count(*) FILTER (net_pnl > 0) / count(*) AS w, {pf('net_pnl', '0')} AS p FROM trades GROUP BY side), l AS (SELECT side, unnest(['n_trades', 'win_rate', 'profit_factor']) AS metric, unnest([n, w, p]) AS v FROM s)
+SELECT metric, round(max(v) FILTER (side = 'LONG'), 6) AS "LONG", round(max(v) FILTER (side = 'SHORT'), 6) AS "SHORT" FROM l GROUP BY metric""",
+)
+EDGES = f"{ROWS}, {rank_sql('fr', 'spread', 'ed', 'p')}"
+
+
+def edge_sql(columns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT symbol, '{c}' AS metric, count({c}) FILTER (p >= 0.8) AS n_top, count({c}) FILTER (p <= 0.2) AS n_bottom, avg({c}) FILTER (p >= 0.8) - avg({c}) FILTER (p <= 0.2) AS edge FROM ed GROUP BY symbol" for c in columns)
+
+
+sql("safety_edges", EDGES, f", e AS ({edge_sql(['fwd_ret_4', 'fwd_mfe_4', 'fwd_mae_4'])}) SELECT symbol, metric, n_top, n_bottom, round(edge, 6) AS edge FROM e")
+sql(
+    "horizon_consistency",
+    EDGES,
+    f""", e AS (SELECT symbol, split_part(metric, '_', 3)::INT AS h, edge FROM ({edge_sql(['fwd_ret_1', 'fwd_ret_4', 'fwd_ret_8'])})),
+g AS (SELECT symbol, arg_max(edge, h) AS l, arg_min(edge, h) AS f, arg_max(h, (abs(edge), h)) AS best_horizon FROM e GROUP BY symbol)
+SELECT symbol, round(l, 6) AS last_edge, round(f, 6) AS first_edge, best_horizon, round((SELECT avg((sign(e.edge) = sign(l))::INT) FROM e WHERE e.symbol = g.symbol), 6) AS consistency,
+  CASE WHEN sign(f) <> sign(l) THEN 'reverses' WHEN abs(l) > abs(f) THEN 'grows' ELSE 'decays' END AS pattern FROM g""",
+)
+sql(
+    "eligible_symbols",
+    TRADES,
+    f"""SELECT symbol FROM trades GROUP BY symbol HAVING {pf('net_pnl', '0')} > 1 AND max(net_pnl) / CASE WHEN sum(net_pnl) > 0 THEN sum(net_pnl) END < 0.5 AND bool_or(n_lines >= 8)""",
+)
+sql(
+    "state_terciles",
+    ROWS,
+    """, c AS (SELECT symbol, quantile_cont(spread, 1.0::DOUBLE / 3) AS a, quantile_cont(spread, 2.0::DOUBLE / 3) AS b FROM fr GROUP BY symbol)
+SELECT symbol, CASE WHEN spread IS NULL THEN 'unknown' WHEN spread <= a THEN 'low' WHEN spread <= b THEN 'mid' ELSE 'high' END AS spread_state, count(*) AS n FROM fr JOIN c USING (symbol) GROUP BY ALL""",
+)
+sql(
+    "event_cost_outcomes",
+    SIG,
+    f", x AS (SELECT *, {fwd(4)} FROM sig), y AS (SELECT *, fwd_ret_4 - 2 * (0.0004::DOUBLE + 0.0005) AS net FROM x WHERE breakout AND fwd_ret_4 IS NOT NULL AND atr IS NOT NULL) SELECT symbol, bar_ts, round(fwd_ret_4, 6) AS gross, round(net, 6) AS net, round(net * close / nullif(atr, 0), 6) AS r_multiple FROM y",
+)
+sql(
+    "buy_sell_set_operations",
+    TRADES,
+    """, a AS (SELECT DISTINCT symbol, side, exit_reason, n_lines FROM trades WHERE net_pnl > 0), b AS (SELECT DISTINCT symbol, side, exit_reason, n_lines FROM trades WHERE net_pnl <= 0)
+SELECT *, 'first_only' AS part FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'both' FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'second_only' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
+)

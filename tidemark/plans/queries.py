@@ -755,3 +755,154 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return r6(out, "mean_ret", "median_ret", "mean_mfe", "mean_mae", "positive_rate", "mfe_mae")
 
+
+
+# ------------------------------------------------------------------ masks, leverage, further tables
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranking.ranks(_factor_rows(spark, sf_dir), ["symbol"], "momentum", "event_id").withColumnRenamed("rank_pct", "m").drop("rank_first", "rank_average")
+    return ranking.ranks(rows, ["symbol"], "spread", "event_id").withColumnRenamed("rank_pct", "s").drop("rank_first", "rank_average")
+
+
+@query
+def prototype_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = {"P0": F.lit(True), "P1": F.col("m") >= 0.8, "P2": F.col("s") <= 0.2, "P4": (F.col("m") >= 0.6) & (F.col("s") <= 0.4)}
+    rows = patterns.masks(_scored(spark, sf_dir), named)
+    return r6(rows.groupBy("symbol", "prototype").agg(F.count("*").alias("n"), F.avg("fwd_ret_4").alias("mean_ret")), "mean_ret")
+
+
+@query
+def path_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    factors = [("s", 0.7, -1), ("m", 0.4, 1), ("activity", 2.0, 1)]
+    rows = patterns.gates(_scored(spark, sf_dir), factors, {"G0": (0, 0), "G1": (1, 1), "G2": (2, 2), "G3": (3, 2)})
+    return r6(rows.groupBy("gate", "accepted").agg(F.count("*").alias("n"), F.avg("fwd_mae_4").alias("mean_mae")), "mean_mae")
+
+
+@query
+def ablation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = patterns.ablation(_factor_rows(spark, sf_dir).where("fwd_ret_4 is not null"), [("spread", "spread", 0.4), ("activity", "activity", 0.4), ("momentum", "momentum", 0.4)])
+    return r6(rows.groupBy("rule").agg(F.count("*").alias("n"), F.avg("fwd_ret_4").alias("mean_ret")), "mean_ret")
+
+
+@query
+def location_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.location_reasons(signal_frame(spark, sf_dir)).groupBy("location").agg(F.count("*").alias("n"))
+
+
+@query
+def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = indicators.day_change(signal_frame(spark, sf_dir), 24).withColumn("atr_pct", F.col("atr") / F.col("close"))
+    rows = patterns.quality_filter(rows, ["error"], 2500.0, 1.5)
+    return rows.groupBy("symbol", F.coalesce("reason", F.lit("pass")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def signal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = indicators.candle_metrics(signal_frame(spark, sf_dir))
+    score = patterns.score_signal(60.0, [(F.col("breakout"), 25.0), (F.col("close_location") >= 0.7, 10.0), (F.col("volume") > F.col("volume_mean"), 10.0), (F.col("exit_signal"), -70.0)])
+    return rows.groupBy(score.alias("score")).agg(F.count("*").alias("n"))
+
+
+@query
+def longest_loss_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = state.longest_loss_values(trades(spark, sf_dir), ["symbol"], ["exit_time", "trade_id"], "net_pnl")
+    return out.select("symbol", "run_length", F.round(F.aggregate("losses", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+@query
+def recent_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = state.recent_losses(trades(spark, sf_dir), ["symbol"], ["exit_time", "trade_id"], "net_pnl")
+    return rows.groupBy("symbol", "recent_losses").agg(F.count("*").alias("n"))
+
+
+@query
+def trailing_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).withColumn("until", F.expr("signal_time + interval 24 hours")).withColumn("entry", F.col("close"))
+    path = asof.interval_join(e.select("symbol", "event_id", "signal_time", "until", "entry"), bars_of(spark, sf_dir), "signal_time", "until", "bar_ts", 4 * 3600, ["high", "low"])
+    return r6(state.trailing_stop(path, ["event_id"], "path_ts", "entry", 0.15, 0.2), "stop_level")
+
+
+@query
+def partial_take_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = QUERIES["exit_resolution"](spark, sf_dir)
+    out = ledger.partial_take_profit(resolved, [(0.05, 0.5), (0.2, 0.5), (0.5, 0.25)])
+    return r6(out.groupBy("target_pct", "fraction").agg(F.count_if("touched").alias("n_touched"), F.avg("blended_ret").alias("mean_ret")), "mean_ret")
+
+
+@query
+def liquidation_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("o_orderkey") % 2 == 0, "LONG").otherwise("SHORT").alias("side")
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trade_id"), side, F.col("o_totalprice").alias("entry"))
+    rows = t.withColumn("leverage", F.explode(F.array(*map(F.lit, [5.0, 10.0, 20.0]))))
+    return r6(rows.withColumn("liquidation", ledger.liquidation_price(F.col("entry"), F.col("leverage"), F.col("side"))), "liquidation")
+
+
+@query
+def leverage_by_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = signal_frame(spark, sf_dir).withColumn("atr_pct", F.col("atr") / F.col("close"))
+    rows = rows.withColumn("steps", ledger.volatility_leverage(F.col("atr_pct"), [(0.5, 20.0), (1.0, 10.0), (2.0, 5.0)], 1.0))
+    rows = rows.withColumn("parity", ledger.risk_parity_leverage(10.0, 0.5, F.col("atr_pct"), 1.0, 30.0))
+    return rows.where("atr is not null").groupBy("steps", "parity").agg(F.count("*").alias("n"))
+
+
+@query
+def marked_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars_of(spark, sf_dir)
+    t = b.where(F.hour("bar_ts") == 6).select("symbol", F.col("bar_ts").alias("entry_time"), F.expr("bar_ts + interval 5 hours").alias("exit_time"), F.col("close").alias("entry_price"), F.lit(2.0).alias("quantity"))
+    out = ledger.mark_to_market(b, t, 1000.0)
+    return r6(out.select("symbol", "bar_ts", "in_trade", "marked"), "marked")
+
+
+@query
+def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = metrics.trade_summary(trades(spark, sf_dir), ["side"], 1e6)
+    return r6(metrics.metric_table(s, "side", ["LONG", "SHORT"], ["n_trades", "win_rate", "profit_factor"]), "LONG", "SHORT")
+
+
+@query
+def safety_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranking.extreme_masks(_factor_rows(spark, sf_dir), ["symbol"], "spread", "event_id")
+    return r6(stats.edge_metrics(rows, ["symbol"], ["fwd_ret_4", "fwd_mfe_4", "fwd_mae_4"]), "edge")
+
+
+@query
+def horizon_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranking.extreme_masks(_factor_rows(spark, sf_dir), ["symbol"], "spread", "event_id")
+    edges = stats.edge_metrics(rows, ["symbol"], ["fwd_ret_1", "fwd_ret_4", "fwd_ret_8"]).withColumn("horizon", F.substring_index("metric", "_", -1).cast("int"))
+    return r6(validate.horizon_consistency(edges.select("symbol", "horizon", "edge"), ["symbol"]), "last_edge", "first_edge", "consistency")
+
+
+@query
+def eligible_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trades(spark, sf_dir)
+    evidence = [metrics.trade_summary(t, ["symbol"], 1e6).where("profit_factor > 1"), metrics.concentration(t, ["symbol"], "net_pnl", "trade_id", [1]).where("top_1_share < 0.5"), t.where("n_lines >= 8")]
+    return validate.eligible(evidence, ["symbol"])
+
+
+@query
+def state_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = indicators.state_terciles(_factor_rows(spark, sf_dir), "spread", "spread_state")
+    return rows.groupBy("symbol", "spread_state").agg(F.count("*").alias("n"))
+
+
+@query
+def event_cost_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised outcome of each event: the 4-bar return net of costs, and in units of risk."""
+    rows = labels.forward_labels(signal_frame(spark, sf_dir), [4]).where("breakout and fwd_ret_4 is not null and atr is not null")
+    net = F.col("fwd_ret_4") - 2 * (0.0004 + 0.0005)
+    out = rows.select("symbol", "bar_ts", F.col("fwd_ret_4").alias("gross"), net.alias("net"), (net * F.col("close") / F.nullif(F.col("atr"), F.lit(0.0))).alias("r_multiple"))
+    return r6(out, "gross", "net", "r_multiple")
+
+
+@query
+def buy_sell_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in the first table only, in both, and in the second only."""
+    t = trades(spark, sf_dir)
+    a, b = t.where("net_pnl > 0").select("symbol", "side", "exit_reason", "n_lines"), t.where("net_pnl <= 0").select("symbol", "side", "exit_reason", "n_lines")
+    parts = [(a.distinct().exceptAll(b.distinct()), "first_only"), (a.intersect(b), "both"), (b.distinct().exceptAll(a.distinct()), "second_only")]
+    out = None
+    for df, name in parts:
+        df = df.withColumn("part", F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out

@@ -63,3 +63,40 @@ def breakout_stream(signals: DataFrame, max_age: int = 8) -> DataFrame:
 def write_ledger(stream: DataFrame, path: str, checkpoint: str):
     """Exactly-once append of a stream to a ledger folder."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def sliding_day(ticks: DataFrame, late: str, length: str = "24 hours", slide: str = "15 minutes") -> DataFrame:
+    """Volume, quote volume and change of each symbol over sliding windows."""
+    rows = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", length, slide).alias("w"))
+    rows = rows.agg(F.sum("volume").alias("volume"), F.sum(F.col("price") * F.col("volume")).alias("quote_volume"), F.min_by("price", "ts").alias("a"), F.max_by("price", "ts").alias("b"))
+    return rows.select("symbol", F.col("w.end").alias("ts"), "volume", "quote_volume", (F.col("b") / F.nullif(F.col("a"), F.lit(0.0)) - 1).alias("change"))
+
+
+def daily_ranking(ticks: DataFrame, late: str, sink):
+    """Each closed day's quote volumes, handed to sink(batch, id), which may rank and store them (foreachBatch)."""
+    rows = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(F.sum(F.col("price") * F.col("volume")).alias("quote_volume"))
+    rows = rows.select("symbol", F.col("w.end").alias("day"), "quote_volume")
+    return rows.writeStream.outputMode("append").foreachBatch(sink).trigger(availableNow=True)
+
+
+def pause_stream(trades: DataFrame) -> DataFrame:
+    """Paused or not after each closed trade(symbol, exit_time, trade_id, net_pnl), by the batch operator's rules: the state of a
+    symbol is its last ten results and the flag."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, paused = (list(state.get[0]), state.get[1]) if state.exists else ([], False)
+        rows = pd.concat(list(batches)).sort_values(["exit_time", "trade_id"])
+        flags = []
+        for pnl in rows["net_pnl"]:
+            last = [*last, float(pnl)][-10:]
+            losses, wins = (lambda n: sum(v <= 0 for v in last[-n:])), (lambda n: sum(v > 0 for v in last[-n:]))
+            if len(last) >= 3 and wins(3) >= 2:
+                paused = False
+            elif len(last) >= 5 and losses(5) >= 4 or len(last) >= 10 and (wins(10) < 2.5 or sum(last) < 0):
+                paused = True
+            flags.append(paused)
+        state.update((last, paused))
+        yield pd.DataFrame({"symbol": key[0], "trade_id": rows["trade_id"].to_numpy(), "paused": flags})
+
+    schema = trades.select("symbol", "trade_id", F.lit(True).alias("paused")).schema
+    return trades.groupBy("symbol").applyInPandasWithState(run, schema, "last array<double>, paused boolean", "append", GroupStateTimeout.NoTimeout)
