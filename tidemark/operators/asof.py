@@ -50,10 +50,10 @@ def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str,
     path_ts, and values of the points."""
     keys = keys or ["symbol"]
     number = lambda c: F.expr(f"cast(floor(timestampdiff(SECOND, timestamp_ntz'1970-01-01', {c}) / {bucket_seconds}) as bigint)")
-    left = intervals.where(F.col(start) <= F.col(end)).withColumn("__b", F.explode(F.sequence(number(start), number(end))))
-    right = points.select(*keys, F.col(point).alias("path_ts"), *values).withColumn("__b", number("path_ts"))
-    rows = left.join(right, [*keys, "__b"]).where(F.col("path_ts").between(F.col(start), F.col(end)))
-    return rows.drop("__b")
+    left = intervals.where(F.col(start) <= F.col(end)).withColumn("__bucket", F.explode(F.sequence(number(start), number(end))))
+    right = points.select(*keys, F.col(point).alias("path_ts"), *values).withColumn("__bucket", number("path_ts"))
+    rows = left.join(right, [*keys, "__bucket"]).where(F.col("path_ts").between(F.col(start), F.col(end)))
+    return rows.drop("__bucket")
 
 
 def containment(points: DataFrame, segments: DataFrame, point: str, start: str, end: str, values: list[str]) -> DataFrame:

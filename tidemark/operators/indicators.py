@@ -53,7 +53,7 @@ def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_
     zipped = F.arrays_zip("k", *[f"s{i}" for i in range(len(names))])
     chained = chained.select("symbol", F.explode(zipped).alias("z")).select("symbol", F.col("z.k").alias("__b"), *[F.col(f"z.s{i}").alias(f"s{i}") for i in range(len(names))])
     joined = packed.join(chained, ["symbol", "__b"])
-    step = ", ".join(f"if(t.r.{x} is null, s.y[{i}], {a}D * t.r.{x} + {1 - a}D * s.y[{i}])" for i, (x, a) in enumerate(items.values()))
+    step = ", ".join(f"if(t.r.{x} is null, s.y[{i}], s.y[{i}] + {a}D * (t.r.{x} - s.y[{i}]))" for i, (x, a) in enumerate(items.values()))
     start = ", ".join(f"s{i}" for i in range(len(names)))
     replay = F.expr(
         f"aggregate(rs, named_struct('y', array({start}), 'o', cast(array() as array<array<double>>)), (s, t) -> transform(array(array({step})), y -> named_struct('y', y, 'o', concat(s.o, array(y))))[0], s -> s.o)"

@@ -807,3 +807,88 @@ sql(
     """, a AS (SELECT DISTINCT symbol, side, exit_reason, n_lines FROM trades WHERE net_pnl > 0), b AS (SELECT DISTINCT symbol, side, exit_reason, n_lines FROM trades WHERE net_pnl <= 0)
 SELECT *, 'first_only' AS part FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'both' FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'second_only' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
 )
+
+# ------------------------------------------------------------------ studies
+
+sql(
+    "confirmation_cost",
+    SIG,
+    """, e AS (SELECT symbol || '_' || strftime(bar_ts, '%Y%m%d%H') AS event_id, symbol, bar_ts AS s, high, close, atr FROM sig WHERE breakout AND atr IS NOT NULL),
+c AS (SELECT e.event_id, min(ts) AS ct, arg_min(price, ts) AS cp FROM e JOIN ticks t ON t.symbol = e.symbol AND t.ts > e.s AND t.ts <= e.s + INTERVAL 4 HOUR AND t.price > e.high GROUP BY e.event_id)
+SELECT symbol, count(*) AS n, count(ct) AS n_confirmed, round(avg(floor(epoch(ct - s))), 6) AS mean_wait_s, round(avg((cp - close) / nullif(atr, 0)), 6) AS mean_cost_r FROM e LEFT JOIN c USING (event_id) GROUP BY symbol""",
+)
+sql(
+    "timing_modes",
+    ACTIVE,
+    f""", l AS (SELECT *, {fwd(4)}, sum(active_first::INT) OVER {RUN} AS segment FROM act), i AS (SELECT * FROM l WHERE active = 1),
+u AS (SELECT 'delay_' || active_age AS timing, fwd_ret_4 FROM i WHERE active_age IN (0, 2, 4)
+  UNION ALL SELECT 'drawn', fwd_ret_4 FROM (SELECT *, row_number() OVER (PARTITION BY symbol, segment ORDER BY (epoch(bar_ts)::BIGINT * 48271) % 2147483629, bar_ts) AS rr FROM i) WHERE rr = 1)
+SELECT timing, count(*) AS n, round(avg(fwd_ret_4), 6) AS mean_ret FROM u GROUP BY timing""",
+)
+_PAIR = f"""{BARS}, p0 AS (SELECT 'click/view' AS symbol, a.bar_ts, a.close / nullif(b.close, 0) AS ratio FROM bars a JOIN bars b ON a.bar_ts = b.bar_ts AND a.symbol = 'click' AND b.symbol = 'view'),
+{recursive_mean('p1', 'p0', {'m': ('ratio', 2 / 21)})}, p AS (SELECT p0.symbol, p0.bar_ts, ratio, m FROM p0 JOIN p1 USING (bar_ts)),
+pz AS (SELECT symbol, bar_ts, ratio, ratio AS high, ratio AS low, ratio AS close, (ratio - lag(m) OVER {W}) / nullif({roll('stddev_samp', 'ratio', 48, 1, 32)}, 0) AS z FROM p),
+pl AS (SELECT *, {fwd(8)}, row_number() OVER {W} AS rn FROM pz)"""
+sql(
+    "pair_events",
+    _PAIR,
+    """, h AS (SELECT e.symbol, e.bar_ts, e.ratio, e.z, e.fwd_ret_8, e.fwd_mfe_8, e.fwd_mae_8, min(CASE WHEN x.ratio >= e.ratio * 1.005::DOUBLE THEN x.rn END) AS u, min(CASE WHEN x.ratio <= e.ratio * 0.995::DOUBLE THEN x.rn END) AS d
+  FROM pl e LEFT JOIN pl x ON x.rn BETWEEN e.rn + 1 AND e.rn + 8 WHERE abs(e.z) >= 1.5 GROUP BY ALL)
+SELECT symbol, bar_ts, round(ratio, 6) AS ratio, round(z, 6) AS z, round(fwd_ret_8, 6) AS fwd_ret_8, round(fwd_mfe_8, 6) AS fwd_mfe_8, round(fwd_mae_8, 6) AS fwd_mae_8,
+  CASE WHEN u IS NULL AND d IS NULL THEN 'none' WHEN u = d THEN 'ambiguous' WHEN d IS NULL OR u < d THEN 'plus' ELSE 'minus' END AS touch, CASE WHEN z > 0 THEN 'SHORT' ELSE 'LONG' END AS side FROM h""",
+)
+sql(
+    "warm_up_sweep",
+    f"""{BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) AS back FROM bars),
+wu AS (SELECT k.symbol || '|' || l AS symbol, bar_ts, close FROM k CROSS JOIN (SELECT unnest([60, 120, 240]) AS l) WHERE back <= l), {recursive_mean('we', 'wu', {'m': ('close', 2 / 49)})}""",
+    """, z AS (SELECT split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2)::INT AS lookback, arg_max(m, bar_ts) AS m FROM we GROUP BY ALL)
+SELECT symbol, lookback, round(m, 6) AS mean, round(m - arg_max(m, lookback) OVER (PARTITION BY symbol), 6) AS delta FROM z""",
+)
+sql(
+    "monthly_proxy",
+    ACTIVE,
+    f""", a AS (SELECT *, coalesce(lag(active) OVER {W}, 0) AS prv, lead(open) OVER {W} AS no, lead(bar_ts) OVER {W} AS nt FROM act),
+b AS (SELECT *, last_value(CASE WHEN active = 1 AND prv = 0 THEN no END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS en FROM a),
+m AS (SELECT symbol, strftime(nt, '%Y-%m') AS month, sum(no / en - 1) AS ret, count(*) AS n FROM b WHERE active = 0 AND prv = 1 AND no IS NOT NULL AND en IS NOT NULL GROUP BY ALL)
+SELECT symbol, month, round(ret, 6) AS ret, n, ret < 0 AS negative, ret <= quantile_cont(ret, 0.25) OVER (PARTITION BY symbol) AS weak FROM m""",
+)
+sql(
+    "portfolio_comparison",
+    TRADES,
+    """, m AS (SELECT strftime(exit_time, '%Y-%m') AS month, coalesce(avg(ret) FILTER (side = 'LONG'), 0) AS a, coalesce(avg(ret) FILTER (side = 'SHORT'), 0) AS b FROM trades GROUP BY ALL), x AS (SELECT *, 0.5 * a + 0.5 * b AS mix FROM m)
+SELECT """
+    + ", ".join(f"round({f}({c}), 6) AS {n}_{c}" for c in ("a", "b", "mix") for n, f in (("total", "sum"), ("mean", "avg"), ("worst", "min")))
+    + ", round(corr(a, b), 6) AS corr, round(avg((b > 0)::INT) FILTER (a < 0), 6) AS b_gains_when_a_loses, count(*) FILTER (a < 0 AND b < 0) AS both_negative FROM x",
+)
+sql(
+    "best_and_worst_removed",
+    TRADES,
+    f""", k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY net_pnl DESC, trade_id) AS hi, row_number() OVER (PARTITION BY symbol ORDER BY net_pnl, trade_id) AS lo FROM trades),
+u AS (SELECT symbol, 'all' AS scenario, net_pnl FROM k UNION ALL SELECT symbol, 'without_best', net_pnl FROM k WHERE hi > 10 UNION ALL SELECT symbol, 'worst_twice', net_pnl FROM k UNION ALL SELECT symbol, 'worst_twice', net_pnl FROM k WHERE lo <= 10)
+SELECT symbol, scenario, count(*) AS n, round(sum(net_pnl), 2) AS net, round({pf('net_pnl')}, 6) AS profit_factor FROM u GROUP BY ALL""",
+)
+sql(
+    "cost_sensitivity",
+    TRADES,
+    f""", x(scenario, m) AS (VALUES ('none', 0), ('base', 1), ('double', 2), ('triple', 3)), u AS (SELECT symbol, scenario, gross_pnl - m * total_fee AS v, gross_pnl, notional FROM trades CROSS JOIN x)
+SELECT symbol, scenario, round(sum(v), 2) AS net, round({pf('v')}, 6) AS profit_factor, round(sum(gross_pnl) / sum(notional), 6) AS break_even FROM u GROUP BY ALL""",
+)
+sql(
+    "risk_sweep",
+    TRADES,
+    """, x AS (SELECT symbol, exit_time, trade_id, risk, exp(sum(ln(1 + risk * ret)) OVER (PARTITION BY symbol, risk ORDER BY exit_time, trade_id ROWS UNBOUNDED PRECEDING)) AS eq FROM trades CROSS JOIN (SELECT unnest([0.5::DOUBLE, 1.0, 2.0]) AS risk) WHERE n_lines >= 7),
+d AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol, risk ORDER BY exit_time, trade_id ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM x)
+SELECT symbol, risk, round(arg_max(eq, (exit_time, trade_id)), 6) AS final, round(min(dd), 6) AS max_drawdown FROM d GROUP BY symbol, risk""",
+)
+sql(
+    "weak_month_overlap",
+    TRADES,
+    """, m AS (SELECT symbol, strftime(exit_time, '%Y-%m') AS month, sum(net_pnl) FILTER (side = 'LONG') AS a, sum(net_pnl) FILTER (side = 'SHORT') AS b FROM trades GROUP BY ALL)
+SELECT symbol, count(*) AS n_months, round(avg((b > 0)::INT) FILTER (a < 0), 6) AS positive_in_negative, count(*) FILTER (a < 0 AND b < 0) AS both_negative, round(corr(a, b), 6) AS corr FROM m WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY symbol""",
+)
+sql(
+    "context_events",
+    SIG,
+    f", x AS (SELECT *, lead(bar_ts) OVER {W} AS et, lead(open) OVER {W} AS ep FROM sig) SELECT symbol, count(*) AS n, round(avg(ep), 6) AS mean_entry, max(et) AS last_entry FROM x WHERE ema_fast > ema_slow AND close > ema_slow AND et IS NOT NULL GROUP BY symbol",
+)
+sql("holdout_symbols", BARS, "SELECT symbol FROM bars GROUP BY symbol HAVING NOT bool_or(close > 400) ORDER BY symbol LIMIT 3")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars, indicators, labels, ledger, metrics, patterns, quality, ranking, state, stats, validate
+from tidemark.operators import asof, bars, indicators, labels, ledger, metrics, patterns, quality, ranking, state, stats, studies, validate
 from tidemark.plans.inputs import bars_of, table, ticks, trades
 
 QUERIES: dict = {}
@@ -906,3 +906,91 @@ def buy_sell_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = df.withColumn("part", F.lit(name))
         out = df if out is None else out.unionByName(df)
     return out
+
+
+# ------------------------------------------------------------------ studies
+
+
+def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.set_reset(signal_frame(spark, sf_dir), F.col("breakout"), F.col("exit_signal"), "active")
+
+
+@query
+def confirmation_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = signal_frame(spark, sf_dir).where("breakout and atr is not null")
+    e = e.select(F.concat_ws("_", "symbol", F.date_format("bar_ts", "yyyyMMddHH")).alias("event_id"), "symbol", F.col("bar_ts").alias("signal_time"), F.col("high").alias("signal_high"), F.col("close").alias("entry"), "atr")
+    found = studies.confirmed_entries(e, ticks(spark, sf_dir).withColumn("close", F.col("price")), 4 * 3600, 4 * 3600)
+    return r6(studies.confirmation_cost(found, "entry", "atr"), "mean_wait_s", "mean_cost_r")
+
+
+@query
+def timing_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = studies.timing_modes(labels.forward_labels(_active(spark, sf_dir), [4]), "active", [0, 2, 4])
+    return r6(rows.groupBy("timing").agg(F.count("*").alias("n"), F.avg("fwd_ret_4").alias("mean_ret")), "mean_ret")
+
+
+@query
+def pair_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = studies.pair_events(indicators.pair_ratio(bars_of(spark, sf_dir), "click", "view", n=48), 8)
+    return r6(out, "ratio", "z", "fwd_ret_8", "fwd_mfe_8", "fwd_mae_8")
+
+
+@query
+def warm_up_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(studies.warm_up(bars_of(spark, sf_dir), [60, 120, 240], 48), "mean", "delta")
+
+
+@query
+def monthly_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(studies.monthly_proxy(_active(spark, sf_dir), "active"), "ret")
+
+
+@query
+def portfolio_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = trades(spark, sf_dir).groupBy(F.col("side").alias("component"), F.date_format("exit_time", "yyyy-MM").alias("month")).agg(F.avg("ret").alias("ret"))
+    out = studies.portfolio_comparison(m, "LONG", "SHORT", 0.5)
+    return r6(out, *[c for c in out.columns if c != "both_negative"])
+
+
+@query
+def best_and_worst_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = studies.best_and_worst_removed(trades(spark, sf_dir), ["symbol"], "net_pnl", "trade_id", 10)
+    return r6(out.withColumn("net", F.round("net", 2)), "profit_factor")
+
+
+@query
+def cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = studies.cost_sensitivity(trades(spark, sf_dir), ["symbol"], {"none": 0, "base": 1, "double": 2, "triple": 3})
+    return r6(out.withColumn("net", F.round("net", 2)), "profit_factor", "break_even")
+
+
+@query
+def risk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trades(spark, sf_dir).where("n_lines >= 7")
+    return r6(studies.risk_sweep(t, ["symbol"], ["exit_time", "trade_id"], "ret", [0.5, 1.0, 2.0], 1.0), "final", "max_drawdown")
+
+
+@query
+def leverage_stress_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trades(spark, sf_dir).where("n_lines >= 7").withColumn("fee_rate", F.col("total_fee") / F.col("notional"))
+    out = studies.leverage_stress_grid(t, ["symbol"], ["exit_time", "trade_id"], {"fixed": [3, 3, 3], "adaptive": [5, 2, 1]}, 1000.0)
+    return out.withColumn("final", F.round(F.log("final"), 4))
+
+
+@query
+def weak_month_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trades(spark, sf_dir).withColumn("month", F.date_format("exit_time", "yyyy-MM"))
+    m = lambda side: t.where(F.col("side") == side).groupBy("symbol", "month").agg(F.sum("net_pnl").alias("net"))
+    return r6(studies.weak_month_overlap(m("LONG"), m("SHORT"), ["symbol"], "month", "net"), "positive_in_negative", "corr")
+
+
+@query
+def context_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = studies.context_events(signal_frame(spark, sf_dir), (F.col("ema_fast") > F.col("ema_slow")) & (F.col("close") > F.col("ema_slow")))
+    return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg("entry_price"), 6).alias("mean_entry"), F.max("entry_time").alias("last_entry"))
+
+
+@query
+def holdout_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars_of(spark, sf_dir)
+    return studies.holdout_symbols(b, b.where("close > 400"), 3)
