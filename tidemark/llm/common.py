@@ -126,7 +126,7 @@ LOWER[65:91] += 32
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW["p"]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 19)
         with np.errstate(over="ignore"):
             for key, base in (("p", _BASE), ("q", _INVERSE)):
                 x = np.full(m, base, np.uint64)
@@ -145,23 +145,22 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def text_slices(texts: pa.Array, max_bytes: int = 1 << 20):
+def text_slices(texts: pa.Array, max_bytes: int = 1 << 18, max_rows: int = 512):
     """Yields (first row, last row + 1, bytes, row bounds in them): the rows of an Arrow string column in
-    pieces of about max_bytes, so that the arrays derived from a piece stay small; a row is never cut."""
+    pieces of about max_bytes, so that what is derived from a piece stays small; a row is never cut."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
-    n = len(texts)
-    if not n:
-        return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    at = 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1)
-        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
+    for start in range(0, len(texts), max_rows):
+        part = texts.slice(start, max_rows).cast(pa.large_string()).fill_null("")
+        n = len(part)
+        offsets = np.frombuffer(part.buffers()[1], np.int64, n + 1, part.offset * 8)
+        raw = part.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1)
+            yield start + at, start + to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            at = to
 
 
 def find_words(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPACE):

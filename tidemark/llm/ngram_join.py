@@ -167,6 +167,17 @@ def _near(a: str, b: str, percent: int) -> str:
     return f"{(100 + percent)} * ({total} - ({apart})) >= {2 * percent} * {total}"
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y):
+        return int((both[1:] == both[:-1]).sum())
+    (a, n), (b, m) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
 def _room(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
     """Most tokens that sets of nx and ny tokens with the prefixes x and y under one order can share, 0 if the
     prefixes don't meet: below both prefixes' ends each set's tokens are all known."""
@@ -208,9 +219,10 @@ class _Verifier:
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
         pairs = materialize(pairs, "candidates")
-        named = _keep(self.sigs.select("node", F.struct("n", "others").alias("sig")), _nodes(pairs))
+        named = _keep(self.sigs.select("node", F.struct("n", "bits", "others").alias("sig")), _nodes(pairs))
         sig = lambda x: named.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_"))
-        pairs = _meet(skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b"), percent)
+        pairs = skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b").where(_near("a_", "b_", percent))
+        pairs = _meet(pairs, percent)
         salts = F.ceil(F.count("*").over(Window.partitionBy("a")) / SALT_ROWS)
         pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")), "pairs")
         wanted = materialize(skew_join(_nodes(pairs), self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
@@ -219,7 +231,10 @@ class _Verifier:
         asked = pairs.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("role")).unionByName(
             pairs.select(F.col("a").alias("node"), "a", "salt", F.lit(0).alias("role")).distinct()
         )
-        rows = skew_join(asked, sets, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+        asked = materialize(asked, "asked")
+        few = asked.count() <= SMALL
+        rows = sets.join(F.broadcast(asked), "node") if few else skew_join(asked, sets, "node")
+        rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, pivot = None, None
@@ -232,7 +247,7 @@ class _Verifier:
                     if role[i] == 0:
                         at, pivot = (a[i], salt[i]), s
                     elif at == (a[i], salt[i]):
-                        shared = len(s) + len(pivot) - len(np.union1d(s, pivot))
+                        shared = _shared(s, pivot)
                         if 100 * shared >= percent * (len(s) + len(pivot) - shared):
                             out.append((a[i], node[i]))
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
@@ -281,7 +296,9 @@ def join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # in_long: how many of a node's prefix tokens have long lists
     in_long = materialize(lists.where(F.col("held") > SHORT).groupBy("node").agg(F.count("*").cast("int").alias("in_long")), "long")
     short = lists.where(F.col("held") <= SHORT)
-    short = skew_join(short, in_long, "node", "left").withColumn("in_long", F.coalesce("in_long", F.lit(0)))
+    few = in_long.count() <= SMALL
+    short = short.join(F.broadcast(in_long), "node", "left") if few else skew_join(short, in_long, "node", "left")
+    short = short.withColumn("in_long", F.coalesce("in_long", F.lit(0)))
     long = lists.where(F.col("held") > SHORT).drop("n")
     long = materialize(skew_join(long, _keep(once.select("node", "n", "bits"), in_long), "node"), "longs")
 
@@ -337,12 +354,13 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     own = mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0] if len(s) else None
                 if own == node:  # a repeated id may bring another text
-                    held.append((node, s.view(np.int64)))
+                    # the hashes' upper halves; two that agree by chance within a set stay two
+                    held.append((node, (s >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             for i in range(0, len(held), 500):
                 part = held[i : i + 500]
-                yield pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in part], pa.int64()), "s": pa.array([x for _, x in part], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in part], pa.int64()), "s": pa.array([x for _, x in part], pa.list_(pa.int32()))})
 
-    return rows.select("node", "text").mapInArrow(run, "node bigint, s array<bigint>")
+    return rows.select("node", "text").mapInArrow(run, "node bigint, s array<int>")
 
 
 def _open(lists: DataFrame, comps: DataFrame) -> DataFrame:
