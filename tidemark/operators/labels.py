@@ -19,7 +19,7 @@ def forward_labels(bars: DataFrame, horizons: list[int], require_full: bool = Tr
     for h in horizons:
         w = forward(ts, h)
         full = F.count("*").over(w) == h if require_full else F.count("*").over(w) > 0
-        price = F.col(entry)
+        price = F.nullif(F.col(entry), F.lit(0.0))
         last = F.last("close").over(w)
         cols[f"fwd_ret_{h}"] = F.when(full, last / price - 1)
         cols[f"fwd_mfe_{h}"] = F.when(full, F.max("high").over(w) / price - 1)
@@ -78,7 +78,7 @@ def path_windows(events: DataFrame, points: DataFrame, seconds: list[int], entry
     rows = interval_join(ends, points, entry_time, "__end", point, bucket_seconds, ["high", "low"])
     rows = rows.withColumn("window_s", F.explode(F.array(*map(F.lit, sorted(seconds)))))
     rows = rows.where(F.expr(f"timestampdiff(MICROSECOND, {entry_time}, path_ts) <= window_s * 1000000L"))
-    p = F.first(entry_price)
+    p = F.nullif(F.first(entry_price), F.lit(0.0))
     return rows.groupBy(*keys, "window_s").agg(
         (F.max("high") / p - 1).alias("mfe"),
         (F.min("low") / p - 1).alias("mae"),

@@ -180,7 +180,7 @@ def partial_take_profit(trades: DataFrame, grid: list[tuple[float, float]]) -> D
     options = F.array(*[F.struct(F.lit(float(t)).alias("target_pct"), F.lit(float(f)).alias("fraction")) for t, f in grid])
     rows = trades.select("*", F.inline(options))
     touched = F.col("path_high") >= F.col("entry_price") * (1 + F.col("target_pct"))
-    plain = F.col("exit_price") / F.col("entry_price") - 1
+    plain = F.col("exit_price") / F.nullif(F.col("entry_price"), F.lit(0.0)) - 1
     blended = F.col("fraction") * F.col("target_pct") + (1 - F.col("fraction")) * plain
     return rows.withColumn("touched", F.coalesce(touched, F.lit(False))).withColumn("blended_ret", F.when(F.coalesce(touched, F.lit(False)), blended).otherwise(plain))
 

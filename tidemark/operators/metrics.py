@@ -61,7 +61,7 @@ def trade_summary(trades: DataFrame, keys: list[str], start: float, variant: str
 def drawdowns(curve: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Each row's fall below the running peak, from 0 down."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return curve.withColumn("drawdown", F.col(value) / F.max(value).over(w) - 1)
+    return curve.withColumn("drawdown", F.col(value) / F.nullif(F.max(value).over(w), F.lit(0.0)) - 1)
 
 
 def max_drawdown(curve: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -183,7 +183,7 @@ def positive_rate(rows: DataFrame, keys: list[str], period: str, value: str) ->
 
 def buy_and_hold(bars: DataFrame, ts: str = "bar_ts") -> DataFrame:
     rows = bars.groupBy("symbol").agg(F.min_by("open", ts).alias("first_open"), F.max_by("close", ts).alias("last_close"))
-    return rows.withColumn("buy_and_hold", F.col("last_close") / F.col("first_open") - 1)
+    return rows.withColumn("buy_and_hold", F.col("last_close") / F.nullif(F.col("first_open"), F.lit(0.0)) - 1)
 
 
 def peak_to_trough(curve: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -191,7 +191,7 @@ def peak_to_trough(curve: DataFrame, keys: list[str], order: list[str], value: s
     top = curve.groupBy(*keys).agg(F.max(F.struct(F.col(value).alias("v"), *order)).alias("t")).select(*keys, F.col("t.v").alias("peak"), F.col(f"t.{order[0]}").alias("peak_time"))
     rows = curve.join(top, keys).where(F.col(order[0]) >= F.col("peak_time"))
     low = rows.groupBy(*keys).agg(F.first("peak").alias("peak"), F.first("peak_time").alias("peak_time"), F.min(F.struct(F.col(value).alias("v"), *order)).alias("b"), F.count("*").alias("n_rows"))
-    return low.select(*keys, "peak", "peak_time", F.col("b.v").alias("trough"), F.col(f"b.{order[0]}").alias("trough_time"), "n_rows").withColumn("fall", F.col("trough") / F.col("peak") - 1)
+    return low.select(*keys, "peak", "peak_time", F.col("b.v").alias("trough"), F.col(f"b.{order[0]}").alias("trough_time"), "n_rows").withColumn("fall", F.col("trough") / F.nullif(F.col("peak"), F.lit(0.0)) - 1)
 
 
 def feature_by_outcome(rows: DataFrame, keys: list[str], features: list[str], pnl: str) -> DataFrame:

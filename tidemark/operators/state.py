@@ -30,7 +30,7 @@ def segments(rows: DataFrame, state: str, ts: str = "bar_ts") -> DataFrame:
     run = series(ts).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("segment_id", F.sum(F.col(f"{state}_first").cast("int")).over(run)).where(F.col(state) == 1)
     inside = Window.partitionBy("symbol", "segment_id").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__dd", F.col("close") / F.max("close").over(inside) - 1)
+    rows = rows.withColumn("__dd", F.col("close") / F.nullif(F.max("close").over(inside), F.lit(0.0)) - 1)
     out = rows.groupBy("symbol", "segment_id").agg(
         F.min(ts).alias("segment_start"),
         F.max(ts).alias("segment_end"),
@@ -40,8 +40,8 @@ def segments(rows: DataFrame, state: str, ts: str = "bar_ts") -> DataFrame:
         F.max("high").alias("top"),
         F.min("__dd").alias("drawdown"),
     )
-    out = out.withColumn("segment_return", F.col("end_price") / F.col("start_price") - 1)
-    return out.withColumn("run_up", F.col("top") / F.col("start_price") - 1).drop("top")
+    out = out.withColumn("segment_return", F.col("end_price") / F.nullif(F.col("start_price"), F.lit(0.0)) - 1)
+    return out.withColumn("run_up", F.col("top") / F.nullif(F.col("start_price"), F.lit(0.0)) - 1).drop("top")
 
 
 def post_exit_phase(rows: DataFrame, state: str, edges: tuple[int, int, int] = (4, 16, 64), ts: str = "bar_ts") -> DataFrame:

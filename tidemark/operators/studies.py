@@ -75,7 +75,7 @@ def monthly_proxy(rows: DataFrame, state: str, ts: str = "bar_ts") -> DataFrame:
     run = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__entry", F.last(F.when(F.col("__on"), F.col("__open")), ignorenulls=True).over(run))
     done = rows.where("__off and __open is not null and __entry is not null")
-    out = done.groupBy("symbol", F.date_format("__time", "yyyy-MM").alias("month")).agg(F.sum(F.col("__open") / F.col("__entry") - 1).alias("ret"), F.count("*").alias("n"))
+    out = done.groupBy("symbol", F.date_format("__time", "yyyy-MM").alias("month")).agg(F.sum(F.col("__open") / F.nullif(F.col("__entry"), F.lit(0.0)) - 1).alias("ret"), F.count("*").alias("n"))
     quartile = F.percentile("ret", F.lit(0.25)).over(Window.partitionBy("symbol"))
     return out.withColumn("negative", F.col("ret") < 0).withColumn("weak", F.col("ret") <= quartile)
 
@@ -107,7 +107,7 @@ def cost_sensitivity(trades: DataFrame, keys: list[str], scenarios: dict[str, fl
     """Per scenario (multiple of the fees): net result, profit factor, and the break-even cost per notional."""
     options = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(m)).alias("fee_x")) for n, m in scenarios.items()])
     rows = trades.select("*", F.inline(options)).withColumn("__p", F.col("gross_pnl") - F.col("fee_x") * F.col("total_fee"))
-    return rows.groupBy(*keys, "scenario").agg(F.sum("__p").alias("net"), metrics.profit_factor("__p", "b").alias("profit_factor"), (F.sum("gross_pnl") / F.sum("notional")).alias("break_even"))
+    return rows.groupBy(*keys, "scenario").agg(F.sum("__p").alias("net"), metrics.profit_factor("__p", "b").alias("profit_factor"), (F.sum("gross_pnl") / F.nullif(F.sum("notional"), F.lit(0.0))).alias("break_even"))
 
 
 def risk_sweep(trades: DataFrame, keys: list[str], order: list[str], ret: str, risks: list[float], start: float) -> DataFrame:

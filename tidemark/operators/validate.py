@@ -95,7 +95,7 @@ def horizon_consistency(edges: DataFrame, keys: list[str]) -> DataFrame:
         F.max_by("horizon", F.struct(F.abs("edge"), "horizon")).alias("best_horizon"),
         F.collect_list("edge").alias("all_edges"),
     )
-    same = F.aggregate("all_edges", F.lit(0), lambda a, x: a + F.when(F.signum(x) == F.signum("last_edge"), 1).otherwise(0)) / F.size("all_edges")
+    same = F.aggregate("all_edges", F.lit(0), lambda a, x: a + F.when(F.signum(x) == F.signum("last_edge"), 1).otherwise(0)) / F.nullif(F.size("all_edges"), F.lit(0))
     pattern = F.when(F.signum("first_edge") != F.signum("last_edge"), "reverses").when(F.abs("last_edge") > F.abs("first_edge"), "grows").otherwise("decays")
     return rows.withColumn("consistency", same).withColumn("pattern", pattern).drop("all_edges")
 

@@ -40,7 +40,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = orders.join(lines, "trade_id")
     rows = rows.withColumn("exit_time", F.expr("entry_time + make_dt_interval(cast(n_lines as int))"))
-    return rows.withColumn("net_pnl", F.col("gross_pnl") - F.col("total_fee")).withColumn("ret", F.col("net_pnl") / F.col("notional"))
+    return rows.withColumn("net_pnl", F.col("gross_pnl") - F.col("total_fee")).withColumn("ret", F.col("net_pnl") / F.nullif(F.col("notional"), F.lit(0.0)))
 
 
 #: DuckDB: the same inputs as common table expressions.

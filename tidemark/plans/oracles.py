@@ -183,7 +183,7 @@ mr AS (SELECT *, (range_upper + range_lower) / 2 AS range_mid, abs(ema_fast - em
 sql("mean_reversion_factors", MR, f"SELECT symbol, bar_ts, {r('range_upper, range_lower, range_mid, trend_strength, deviation')} FROM mr")
 WILDER = f"""{BARS}, w0 AS (SELECT *, close - lag(close) OVER {W} AS d, high - lag(high) OVER {W} AS up, lag(low) OVER {W} - low AS down,
   greatest(high - low, abs(high - lag(close) OVER {W}), abs(low - lag(close) OVER {W})) AS tr0 FROM bars),
-w1 AS (SELECT symbol, bar_ts, greatest(d, d * 0) AS gain, greatest(-d, d * 0) AS loss, CASE WHEN d IS NOT NULL THEN tr0 END AS tr,
+w1 AS (SELECT symbol, bar_ts, greatest(d, 0.0 + d * 0) AS gain, greatest(-d, d * 0) AS loss, CASE WHEN d IS NOT NULL THEN tr0 END AS tr,
   CASE WHEN up IS NOT NULL THEN CASE WHEN up > down AND up > 0 THEN up ELSE 0 END END AS plus, CASE WHEN down IS NOT NULL THEN CASE WHEN down > up AND down > 0 THEN down ELSE 0 END END AS minus FROM w0),
 {recursive_mean('w2', 'w1', {'ag': ('gain', 1 / 14), 'al': ('loss', 1 / 14), 'wilder_atr': ('tr', 1 / 14), 'pdm': ('plus', 1 / 14), 'mdm': ('minus', 1 / 14)})},
 w3 AS (SELECT *, 100 * ag / nullif(ag + al, 0) AS rsi, 100 * pdm / nullif(wilder_atr, 0) AS pdi, 100 * mdm / nullif(wilder_atr, 0) AS mdi FROM w2),
