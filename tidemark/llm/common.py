@@ -67,30 +67,33 @@ def without(rows: DataFrame, dropped: DataFrame, key: str, most: int = 200_000)
     return rows.join(dropped, key, "left_anti").select(*rows.columns)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 40, small: int = 200_000) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edge set is a forest of stars. Each step is a
-    min-aggregate and a join; nothing is gathered per node, and every round is cut by a written table.
+    min-aggregate and a join (by broadcast while there are few edges); nothing is gathered per node, and every
+    round is cut by a written table.
     """
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def attach(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
+        return rows.join(F.broadcast(low), "u") if n <= small else skew_join(rows, low, "u")
+
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = materialize(e, "edges")
     before = mark(e)
     for _ in range(max_rounds):
-        if not before[0]:
+        n = before[0]
+        if not n:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = skew_join(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        large = attach(both, low, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = skew_join(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = materialize(small, "edges")
+        moved = attach(large, low, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        new = materialize(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         discard(e)
         e, after = new, mark(new)
         if after == before:

@@ -326,6 +326,8 @@ def _by_token():
 def _components(known: DataFrame | None, edges: DataFrame) -> DataFrame:
     """(node, component) by the links known so far, given as their components, and further ones."""
     if known is not None:
+        if edges.isEmpty():
+            return known
         edges = edges.unionByName(known.select(F.col("component").alias("a"), F.col("node").alias("b")))
     return connected_components(edges)
 
