@@ -101,9 +101,9 @@ def _order(s: np.ndarray, number: int) -> np.ndarray:
 
 
 def _heads(hashes: np.ndarray, p: int) -> np.ndarray:
-    """The p smallest hashes, by their upper 32 bits as ordered ints."""
+    """The p smallest hashes, by their upper 16 bits as ordered ints: chance agreements only weaken the bound."""
     low = np.partition(hashes, p - 1)[:p] if p < len(hashes) else hashes
-    return (np.sort(low >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32)
+    return (np.sort(low >> np.uint64(48)).astype(np.int32) - (1 << 15)).astype(np.int16)
 
 
 def parity_bitmap(s: np.ndarray) -> np.ndarray:
@@ -116,14 +116,14 @@ def profiles(documents: DataFrame, k: int, percent: int) -> DataFrame:
     """Per row: doc_id, n (set size), node (id of the set's class, null if empty) and what the filters read:
     first (tokens), others (array of ORDERS - 1 token arrays), bits."""
     sketch = documents.sparkSession.sparkContext.broadcast(token_sketch(documents, k))
-    schema = "doc_id bigint, n bigint, node bigint, first array<bigint>, others array<array<int>>, bits array<bigint>"
+    schema = "doc_id bigint, n bigint, node bigint, first array<bigint>, others array<array<smallint>>, bits array<bigint>"
     kinds = pa.schema(
         [
             ("doc_id", pa.int64()),
             ("n", pa.int64()),
             ("node", pa.int64()),
             ("first", pa.list_(pa.int64())),
-            ("others", pa.list_(pa.list_(pa.int32()))),
+            ("others", pa.list_(pa.list_(pa.int16()))),
             ("bits", pa.list_(pa.int64())),
         ]
     )
@@ -218,7 +218,7 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
-        pairs = materialize(pairs, "candidates")
+        pairs = pairs if hasattr(pairs, "_scratch") else materialize(pairs, "candidates")
         named = _keep(self.sigs.select("node", F.struct("n", "bits", "others").alias("sig")), _nodes(pairs))
         sig = lambda x: named.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_"))
         pairs = skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b").where(_near("a_", "b_", percent))
@@ -304,7 +304,9 @@ def join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     # short lists: all pairs; long lists: each node with a pivot of the list
     first = _pairs_with_pivot(long.withColumn("comp", F.col("node")), percent).unionByName(_short_pairs(short, percent))
-    comps = _components(None, verify(first.distinct()))
+    first = materialize(first.distinct(), "candidates")
+    discard(lists)
+    comps = _components(None, verify(first))
     if not long.isEmpty():
         # lists that still span components: once more with another pivot, then all blocks
         pairs = _pairs_with_pivot(_open(long, comps), percent, 1)
