@@ -159,6 +159,58 @@ def test_decontamination_edges(spark):
     assert decontaminate.match(docs(spark, []), bench).count() == 0
 
 
+def brute_force_windows(rows, items, least=0.8):
+    """{(doc_id, item_id): (similarity, start, n_windows)} over every window of plain words."""
+
+    def grams(words, g):
+        return {tuple(words[i : i + g]) for i in range(len(words) - g + 1)}
+
+    out = {}
+    for d, text in rows:
+        own = text.split()
+        for i, item in items:
+            words = item.split()
+            n, g = len(words), min(5, len(words))
+            want, good = grams(words, g), []
+            for s in range(len(own)):
+                got = grams(own[s : s + n], g)
+                x = len(want & got) / len(want | got)
+                if x >= least:
+                    good.append((x, -s))
+            if good:
+                out[d, i] = (max(good)[0], -max(good)[1], len(good))
+    return out
+
+
+def assert_windows(spark, rows, items):
+    want = brute_force_windows(rows, items)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_windows) for r in decontaminate.match(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == want
+    return want
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(5)
+    rows, items = [], []
+    for k in range(24):
+        n = [14, 15, 25, 40, 60, 100, 3, 7][k % 8]
+        words = prose(n, 300 + k).split()
+        if k == 11:
+            words = (words[:9] * 5)[:40]  # repeated shingles
+        items.append((k, " ".join(words)))
+        for j in range(8):
+            own, cut = list(words), rng.randint(0, max(1, n // 8))
+            at = {0: range(0), 1: range(n - cut, n), 2: range(cut)}.get(j % 4, [rng.randrange(n)])
+            for i in at:
+                own[i] = prose(1, rng.random())
+            if j >= 6:
+                own[n // 2 : n // 2] = prose(rng.randint(1, 3), rng.random()).split()
+            before, after = rng.choice([0, 5, 40]), rng.choice([0, 5, 40])
+            rows.append((len(rows), " ".join(prose(before, rng.random()).split() + own + prose(after, rng.random()).split())))
+    want = assert_windows(spark, rows, items)
+    assert len(want) > 100
+
+
 def test_radius_blocks_guarantee(spark):
     rng = random.Random(1)
     rows = []

@@ -1,15 +1,14 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
+"""Benchmark decontamination: windows of documents that reach a Jaccard similarity with an item, without misses.
 
 Texts are compared as lower-cased runs of letters and digits. A window of a document has as many words as the item
-it may hold; windows lie where a shingle (GRAM words, fewer for items of fewer words) of the document is one of some
-item, shifted by that shingle's place in the item, so a window that shares no shingle with any item (and whose
-similarity is 0) gets no fingerprint. A window's 64-bit SimHash over its words is compared with the items' by
-multi-index blocks: 64 bits are cut into RADIUS + 1 blocks, and two fingerprints within RADIUS bits agree in at
-least one. Candidates are verified by the weighted similarity of their shingle sets, sum of weights shared / sum of weights in either, where a shingle that
-many items share weighs less (1 / items that have it).
-
-DataFrame functions only. The item side is broadcast only if it has at most SMALL shingles or fingerprint blocks,
-else both sides are shuffled. Null and empty texts match nothing, as do null or empty items; rows with a null doc_id
+it may hold (fewer at the document's end) and may start at any word. Its similarity is the Jaccard coefficient of the
+sets of shingles (GRAM words, fewer for items of fewer words). A window that reaches `similarity` holds at least
+ceil(similarity * a) of an item's a shingles, so it holds one of any a - ceil(similarity * a) + 1 of them; the ones that
+the fewest items have are looked up in the documents, and every window around a hit is verified. (No radius of a SimHash
+gives such a bound: a few changed words can turn every bit whose vote is close.)
+
+DataFrame functions only. The item side is broadcast only if it has at most SMALL shingles, else both
+sides are shuffled. Null and empty texts match nothing, as do null or empty items; rows with a null doc_id
 are not compared; repeated rows give one match per document id; extra columns are not looked at.
 """
 
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize, skew_join, without
 
 GRAM = 5
-RADIUS = 11
 SIMILARITY = 0.8
 SMALL = 200_000
 
@@ -38,14 +36,6 @@ def _grams(words: str, size: int) -> str:
     return f"case when size({words}) >= {size} then transform(sequence(0, size({words}) - {size}), i -> xxhash64({run})) else cast(array() as array<bigint>) end"
 
 
-def simhash(words: str) -> str:
-    """SQL: 64-bit SimHash of an array of word hashes, each occurrence weighing 1."""
-    votes = ", ".join(f"a[{b}] + (shiftright(y, {b}) & 1)" for b in range(64))
-    zeros = ", ".join(["0L"] * 64)
-    bits = " | ".join(f"if(2 * a[{b}] > size({words}), {1 << b if b < 63 else -(1 << 63)}L, 0L)".replace("-9223372036854775808L", "(-9223372036854775807L - 1)") for b in range(64))
-    return f"aggregate({words}, array({zeros}), (a, y) -> array({votes}), a -> {bits})"
-
-
 def blocks(bits: str, radius: int) -> str:
     """SQL: array of (block number, block value) whose equality in one place is implied by `radius` bits."""
     n = radius + 1
@@ -59,67 +49,60 @@ def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (words), g (shingle length), grams, bits and weights of each item that has words."""
+    """item_id, key, n (words), g (shingle length) and grams (distinct) of each item that has words."""
     items = benchmark.where("item_id is not null").select(F.col("item_id"), _words(F.col("text").cast("string")).alias("w"))
     items = items.withColumn("n", F.size("w")).where("n > 0").withColumn("g", F.least("n", F.lit(GRAM)))
     by_size = " ".join(f"when g = {g} then {_grams('w', g)}" for g in range(1, GRAM + 1))
-    items = items.withColumn("grams", F.expr(f"case {by_size} end")).withColumn("bits", F.expr(simhash("w")))
-    items = items.dropDuplicates(["item_id", "bits", "n"])
-    held = items.select("item_id", F.explode(F.array_distinct("grams")).alias("h"))
-    held = held.groupBy("h").agg(F.countDistinct("item_id").alias("items"))
-    weights = items.select("item_id", "bits", F.explode(F.array_distinct("grams")).alias("h")).join(held, "h")
-    weights = weights.groupBy("item_id", "bits").agg(F.collect_list(F.struct("h", (1.0 / F.col("items")).alias("wt"))).alias("weights"))
-    return materialize(items.drop("w").join(weights, ["item_id", "bits"]), "items")
+    items = items.select("item_id", F.xxhash64("item_id", "w").alias("key"), "n", "g", F.expr(f"array_distinct(case {by_size} end)").alias("grams"))
+    return materialize(items.dropDuplicates(["item_id", "key"]), "items")
+
 
+def rare_grams(texts: DataFrame, similarity: float) -> DataFrame:
+    """(g, h, key): of each text's a shingles the a - ceil(similarity * a) + 1 that the fewest texts have."""
+    each = texts.select("key", "g", F.explode("grams").alias("h"))
+    held = each.groupBy("g", "h").agg(F.count("*").alias("texts"))
+    listed = each.join(held, ["g", "h"]).groupBy("key", "g").agg(F.sort_array(F.collect_list(F.struct("texts", "h"))).alias("x"))
+    # rounding may only lengthen the list
+    count = f"size(x) - greatest(1, cast(ceil({similarity}D * size(x) - 1e-9D) as int)) + 1"
+    return materialize(listed.select("g", "key", F.explode(F.expr(f"slice(x, 1, {count})")).alias("y")).select("g", "y.h", "key"), "rare")
 
-def match(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+
+def match(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity (of the best window), start (its first word, from 0) and n_windows, for each
     document and item of which a window reaches `similarity`."""
     items = items_of(benchmark)
-    sizes = [r["g"] for r in items.select("g").distinct().collect()]  # at most GRAM numbers
+    contents = materialize(items.dropDuplicates(["key"]).drop("item_id"), "contents")
+    sizes = [r["g"] for r in contents.select("g").distinct().collect()]  # at most GRAM numbers
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     worded = texts.select("doc_id", _words(F.col("text")).alias("w"))
 
-    places = items.select("g", "n", F.posexplode("grams").alias("place", "h")).select("g", "h", "n", "place").distinct()
-    places = _small(places.groupBy("g", "h").agg(F.collect_set(F.struct("n", "place")).alias("at")))
     hits = None
     for g in sizes:
         found = worded.select("doc_id", F.posexplode(F.expr(_grams("w", g))).alias("pos", "h")).withColumn("g", F.lit(g))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, similarity double, start int, n_windows bigint")
-    windows = hits.join(places, ["g", "h"]).select("doc_id", "g", "pos", F.explode("at").alias("x"))
-    windows = windows.select("doc_id", "g", F.col("x.n").alias("n"), F.greatest(F.col("pos") - F.col("x.place"), F.lit(0)).alias("start"))
-    windows = windows.distinct().groupBy("doc_id").agg(F.collect_set(F.struct("g", "n", "start")).alias("at"))
-    windows = materialize(windows, "windows")
-
-    # fingerprints of the windows
-    rows = skew_join(texts, windows, "doc_id").select("doc_id", _words(F.col("text")).alias("w"), "at")
-    rows = rows.select("doc_id", F.expr("transform(at, x -> struct(x.g as g, x.n as n, x.start as start, slice(w, x.start + 1, x.n) as w))").alias("at"))
-    rows = rows.select("doc_id", F.inline("at")).where("size(w) > 0").withColumn("bits", F.expr(simhash("w")))
-    by_size = " ".join(f"when g = {g} then {_grams('w', g)}" for g in range(1, GRAM + 1))
-    prints = rows.select("doc_id", "g", "n", "start", "bits", F.expr(f"array_distinct(case {by_size} end)").alias("grams"))
-    prints = materialize(prints, "prints")
-
-    # fingerprints within the radius share a block
-    own = prints.select("n", "bits").distinct().select("n", "bits", F.inline(F.expr(blocks("bits", radius))))
-    theirs = items.select("item_id", F.col("n").alias("n"), F.col("bits").alias("ibits")).select("item_id", "n", "ibits", F.inline(F.expr(blocks("ibits", radius))))
-    near = own.join(_small(theirs), ["n", "k", "v"]).where(F.expr(f"bit_count(bits ^ ibits) <= {radius}"))
-    near = near.select("n", "bits", "item_id", "ibits").distinct()
-
-    # exact weighted similarity
-    found = prints.join(near, ["n", "bits"])
-    found = found.join(items.select("item_id", F.col("bits").alias("ibits"), "weights"), ["item_id", "ibits"])
-    shared = "aggregate(filter(weights, x -> array_contains(grams, x.h)), 0D, (a, x) -> a + x.wt)"
-    whole = "aggregate(weights, 0D, (a, x) -> a + x.wt)"
-    extra = "(size(grams) - size(filter(weights, x -> array_contains(grams, x.h))))"
-    found = found.withColumn("similarity", F.expr(f"{shared} / ({whole} + {extra})")).where(F.col("similarity") >= similarity)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best")
-    found = found.groupBy("doc_id", "item_id").agg(best, F.countDistinct("start").alias("n_windows"))
-    return found.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start"), "n_windows")
-
-
-def decontaminate(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    hits = hits.join(_small(rare_grams(contents, similarity)), ["g", "h"])
+    hits = hits.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("pos")).join(contents, "key")
+    near = hits.groupBy("doc_id", "g").agg(F.collect_list(F.struct("key", "n", "grams", "pos")).alias("at"))
+    near = materialize(near, "near")
+
+    # all windows around the hits; documents without a hit are left out before any exchange, if the ids are few
+    ids = near.select("doc_id").distinct()
+    rows = skew_join(texts.join(_small(ids), "doc_id", "left_semi"), near, "doc_id").select("doc_id", "g", _words(F.col("text")).alias("w"), "at")
+    by_size = " ".join(f"when g = {g} then {_grams('w', g)}" for g in sizes)
+    rows = rows.select("doc_id", "g", F.expr(f"case {by_size} end").alias("own"), "at").select("doc_id", "g", "own", F.inline("at"))
+    starts = "array_distinct(flatten(transform(pos, p -> sequence(greatest(p - (n - g), 0), p))))"
+    jaccard = "transform(array(size(array_intersect(v, grams))), c -> c / (size(grams) + size(array_distinct(v)) - c))[0]"
+    scored = f"transform({starts}, s -> transform(array(slice(own, s + 1, n - g + 1)), v -> struct({jaccard} as similarity, -s as s))[0])"
+    found = rows.select("doc_id", "key", F.expr(f"filter({scored}, x -> x.similarity >= {similarity}D)").alias("good")).where("size(good) > 0")
+    found = found.join(items.select("key", "item_id"), "key").groupBy("doc_id", "item_id")
+    found = found.agg(F.max(F.array_max("good")).alias("best"), F.flatten(F.collect_list("good.s")).alias("starts"))
+    n_windows = F.size(F.array_distinct("starts")).cast("long").alias("n_windows")
+    return found.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start"), n_windows)
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """documents without those that hold an item; rows with a null id or text stay."""
-    hit = match(documents, benchmark, similarity, radius).select("doc_id").distinct()
+    hit = match(documents, benchmark, similarity).select("doc_id").distinct()
     return without(documents, hit, "doc_id")
