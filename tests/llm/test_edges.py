@@ -211,6 +211,17 @@ def test_decontamination_against_brute_force(spark):
     assert len(want) > 100
 
 
+def test_decontamination_of_repeated_items(spark):
+    item = prose(100, 70).split()
+    near = list(item)
+    near[0] = "otherword"
+    changed = list(item)
+    changed[50] = "otherword"
+    items = [(i, " ".join(item)) for i in range(5)] + [(9, " ".join(near)), (10, prose(49, 71))]
+    rows = [(1, prose(20, 72) + " " + " ".join(changed) + " " + prose(20, 73)), (2, prose(30, 74))]
+    assert {i for _, i in assert_windows(spark, rows, items)} == {0, 1, 2, 3, 4, 9}
+
+
 def test_radius_blocks_guarantee(spark):
     rng = random.Random(1)
     rows = []

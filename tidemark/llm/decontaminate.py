@@ -5,7 +5,7 @@ it may hold (fewer at the document's end) and may start at any word. Its similar
 sets of shingles (GRAM words, fewer for items of fewer words). A window that reaches `similarity` holds at least
 ceil(similarity * a) of an item's a shingles, so it holds one of any a - ceil(similarity * a) + 1 of them; the ones that
 the fewest items have are looked up in the documents, and every window around a hit is verified. (No radius of a SimHash
-gives such a bound: a few changed words can turn every bit whose vote is close.)
+gives such a bound: a few changed words can turn every bit whose vote is close.) Items of equal words are compared once.
 
 DataFrame functions only. The item side is broadcast only if it has at most SMALL shingles, else both
 sides are shuffled. Null and empty texts match nothing, as do null or empty items; rows with a null doc_id
@@ -49,11 +49,11 @@ def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, key, n (words), g (shingle length) and grams (distinct) of each item that has words."""
+    """item_id, key (of its words), n (words), g (shingle length) and grams (distinct) of each item that has words."""
     items = benchmark.where("item_id is not null").select(F.col("item_id"), _words(F.col("text").cast("string")).alias("w"))
     items = items.withColumn("n", F.size("w")).where("n > 0").withColumn("g", F.least("n", F.lit(GRAM)))
     by_size = " ".join(f"when g = {g} then {_grams('w', g)}" for g in range(1, GRAM + 1))
-    items = items.select("item_id", F.xxhash64("item_id", "w").alias("key"), "n", "g", F.expr(f"array_distinct(case {by_size} end)").alias("grams"))
+    items = items.select("item_id", F.xxhash64("w").alias("key"), "n", "g", F.expr(f"array_distinct(case {by_size} end)").alias("grams"))
     return materialize(items.dropDuplicates(["item_id", "key"]), "items")
 
 
