@@ -334,6 +334,28 @@ def test_extraction(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<script>for(var i=0;i<n;i++){a[i]=0}</script>",
+        "<script>if (a<b) s = \"it's <p>no</p>\"</SCRIPT >",
+        "<script>var s = '<!-- open';</script>",
+        "<script>s = \"open</script>",
+        "<style>a::before{content:'<!--'} b<i{}</style>",
+        "<svg><script>i<n</script><title>x</title></svg>",
+        "<noscript><img src='x' alt=\"a</noscript>",
+        "<script>var t = '</scripted>'; i<n</script>",
+    ],
+)
+def test_text_behind_raw_content_stays(inner):
+    page = f"<body><p>before</p>{inner}<p>after</p></body>"
+    assert [b.text for b in html_extract.leaf_blocks(page)] == ["before", "after"]
+
+
+def test_raw_content_that_never_ends():
+    assert [b.text for b in html_extract.leaf_blocks("<p>before</p><script>i<n <p>x</p>")] == ["before"]
+
+
 def test_viterbi_and_marginals_against_enumeration():
     rng = np.random.default_rng(1)
     crf = html_extract.Crf()

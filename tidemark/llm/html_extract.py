@@ -33,11 +33,14 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED_TAGS = frozenset("script style noscript template svg math iframe object canvas audio video select button textarea title".split())
+#: Skipped tags whose content is no markup: it ends at the literal closing tag, whatever is before it.
+RAW_TAGS = frozenset("script style noscript iframe textarea title".split())
 SECTIONS = frozenset("article aside body details dialog div footer form header main nav section table".split())
 #: Tags that an opening tag of the same kind closes, with what they are closed up to.
 CLOSED_BY_SELF = {"p": (), "li": ("ul", "ol", "menu"), "td": ("tr",), "th": ("tr",), "tr": ("table",), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*>", re.I) for tag in RAW_TAGS}
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -85,7 +88,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     at = 0
     links = 0
-    for found in TOKEN.finditer(page):
+    while found := TOKEN.search(page, at):
         if skip_until is None and found.start() > at:
             piece = page[at : found.start()]
             parts.append(piece)
@@ -95,6 +98,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         closing = bool(found[1])
+        if tag in RAW_TAGS and not closing and not found[3].rstrip().endswith("/"):
+            if skip_until is None and tag in BLOCK_TAGS:
+                flush()
+            end = RAW_END[tag].search(page, at)
+            if end or skip_until is None:
+                at = end.end() if end else len(page)
+            continue
         if skip_until is not None:
             if closing and tag == skip_until:
                 skip_until = None
