@@ -159,6 +159,30 @@ def test_decontamination_edges(spark):
     assert decontaminate.match(docs(spark, []), bench).count() == 0
 
 
+def test_licences_of_long_and_exact_texts_equal_the_oracle(spark):
+    import duckdb
+
+    mit = next(t for n, t in licences.TEMPLATES if n == "mit" and len(t) > 100)
+    words = mit.split()
+    wrapped = "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+    rows = [(1, "\n".join([wrapped] * 7)), (2, "\n".join([wrapped] * 400)), (3, wrapped), (4, LONG[:9000] + "\n" + LONG[9000:]), (5, "a\nb"), (6, "\n\n"), (7, None)]
+    # 2 * shared / (A + B) = 0.8 at either bound: a notice with half as many bigrams added, one with a third left out
+    for k, (_, text) in enumerate(sorted(licences.TEMPLATES)):
+        w = text.split()
+        rows += [(100 + 50 * k + j, " ".join(w + [f"x{i}" for i in range(j)])) for j in range(40)]
+        rows += [(2000 + 50 * k + j, " ".join(w[: len(w) - j])) for j in range(min(40, len(w)))]
+    frame = docs(spark, rows)
+    got = [tuple(r) for r in licences.digest(licences.scan(frame)).collect()]
+    documents = frame.select("doc_id", "text").toPandas()  # read by DuckDB
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.sql(licences.oracle_sql()).fetchall()
+    assert sorted(got) == sorted(want)
+    by = {r[0]: r for r in got}
+    assert by[1][2] == by[2][2] == by[3][2] == "mit"
+    assert 0.8 in {r[3] for r in got}
+
+
 def brute_force_windows(rows, items, least=0.8):
     """{(doc_id, item_id): (similarity, start, n_windows)} over every window of plain words."""
 

@@ -2,8 +2,9 @@
 
 Texts are lower-cased and cut into runs of a-z and 0-9. A unit (each line, and the whole text if it has several) with
 A distinct bigrams and a template with B have 2 * shared / (A + B); at a least value t only templates with
-t / (2 - t) * A <= B <= (2 - t) / t * A are compared, and a unit beyond every template's bounds, or without a bigram of
-any template, is dropped first. The best template of a unit counts, ties by the template's name.
+2 * min(A, B) >= t * (A + B), in whole numbers, are compared, and a unit beyond every template's bounds, or without a
+bigram of any template, is dropped first. A whole text of any length is a unit; one whose first words already have more
+distinct bigrams than the bounds allow is dropped before the rest is cut. The best template of a unit counts, ties by the template's name.
 
 DataFrame functions only, in one pass without a shuffle; the templates are a constant. Null and empty texts match
 nothing, like units of fewer than two words; repeated rows are scanned one by one; extra columns are not looked at.
@@ -12,6 +13,7 @@ nothing, like units of fewer than two words; repeated rows are scanned one by on
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,21 +83,23 @@ def scan(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """Per row: doc_id and `found`: array<struct<line, id, dice>>, line from 0 or -1 for the whole text."""
     templates = template_bigrams()
     known = ", ".join(f"'{b}'" for b in sorted({b for _, bs in templates for b in bs}))
-    low, high = least / (2 - least), (2 - least) / least
-    most = max(len(bs) for _, bs in templates) * high
-    fewest = min(len(bs) for _, bs in templates) * low
+    p, q = Fraction(str(least)).as_integer_ratio()
+    most = max(len(bs) for _, bs in templates) * (2 * q - p) // p
+    fewest = -(-min(len(bs) for _, bs in templates) * p // (2 * q - p))
     literal = ", ".join(f"named_struct('id', '{name}', 'n', {len(bs)}, 'b', array({', '.join(repr(b) for b in bs)}))" for name, bs in templates)
     lines = F.split(text_of("text"), "\n", -1)
     rows = documents.select("doc_id", F.transform(lines, lambda x: F.split(F.lower(x), "[^a-z0-9]+")).alias("w"))
     # a separator at either end leaves an empty word there
     rows = rows.withColumn("w", F.expr("transform(w, (x, i) -> named_struct('line', i, 'w', filter(x, y -> y <> '')))"))
-    whole = "filter(array(named_struct('line', -1, 'w', flatten(w.w))), x -> size(w) > 1)"
-    rows = rows.withColumn("w", F.expr(f"concat(w, case when aggregate(w, 0, (a, x) -> a + size(x.w)) <= {int(most) * 4 + 8} then {whole} else cast(array() as array<struct<line:int,w:array<string>>>) end)"))
+    # distinct bigrams only grow with the text, so that a prefix with too many decides; the rest is compared whole
+    few = f"transform(array(slice(x.w, 1, {4 * most})), y -> size(y) < 2 or size({_bigrams('y')}) <= {most})[0]"
+    whole = f"filter(array(named_struct('line', -1, 'w', flatten(w.w))), x -> size(w) > 1 and {few})"
+    rows = rows.withColumn("w", F.expr(f"concat(w, {whole})"))
     rows = rows.withColumn("u", F.expr(f"transform(filter(w, x -> size(x.w) > 1), x -> named_struct('line', x.line, 'b', {_bigrams('x.w')}))"))
     bounded = f"size(x.b) between {fewest} and {most}"
     rows = rows.withColumn("u", F.expr(f"filter(u, x -> {bounded} and exists(x.b, y -> y in ({known})))"))
     dice = "round(2D * size(array_intersect(x.b, t.b)) / (size(x.b) + t.n), 6)"
-    bound = f"t.n between {low} * size(x.b) and {high} * size(x.b)"
+    bound = f"{2 * q}L * least(t.n, size(x.b)) >= {p}L * (t.n + size(x.b))"
     scored = f"transform(filter(array({literal}), t -> {bound}), t -> named_struct('d', -{dice}, 'id', t.id))"
     rows = rows.withColumn("s", F.expr(f"transform(u, x -> named_struct('line', x.line, 'best', array_min({scored})))"))
     found = f"transform(filter(s, x -> x.best.d <= -{least}), x -> named_struct('line', x.line, 'id', x.best.id, 'dice', -x.best.d))"
