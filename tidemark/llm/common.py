@@ -3,6 +3,8 @@ components and vectorised word hashing over Arrow batches."""
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 
@@ -14,12 +16,20 @@ from pyspark.sql import functions as F
 # --------------------------------------------------------------------------- scratch tables
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, as in tests, a local session gets a
+    temporary folder of its own; on a cluster that would not be shared, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        root = _LOCAL[context.applicationId]
     return root.rstrip("/")
 
 
@@ -58,21 +68,21 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     return left.select("*", tag).join(right.select("*", tag), [key, "__tag"], how).drop("__tag")
 
 
-def without(rows: DataFrame, dropped: DataFrame, key: str, most: int = 200_000) -> DataFrame:
+def without(rows: DataFrame, dropped: DataFrame, key: str | list[str], most: int = 200_000) -> DataFrame:
     """rows whose key is not in dropped(key). Up to `most` keys are broadcast, so that rows stay where they are;
     beyond it both sides are shuffled. A null key stays."""
     dropped = materialize(dropped, "dropped")
     if dropped.count() <= most:
         dropped = F.broadcast(dropped)
-    return rows.join(dropped, key, "left_anti").select(*rows.columns)
+    return rows.join(dropped, key, "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40, small: int = 200_000) -> DataFrame:
+def connected_components(edges: DataFrame, small: int = 200_000) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edge set is a forest of stars. Each step is a
     min-aggregate and a join (by broadcast while there are few edges); nothing is gathered per node, and every
-    round is cut by a written table.
+    round is cut by a written table. The steps go on until nothing changes.
     """
 
     def mark(df: DataFrame) -> tuple:
@@ -84,7 +94,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40, small: int = 20
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = materialize(e, "edges")
     before = mark(e)
-    for _ in range(max_rounds):
+    for _ in itertools.count():
         n = before[0]
         if not n:
             break

@@ -7,6 +7,8 @@ ends are exclusive.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,14 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "entropy"]
+#: Looked at before ASSIGN: the letters that its words begin with. It changes no match, but passes over other characters sooner.
+BEGINS = "(?=[PpSsTtAa])"
 
-#: Candidate strings of the entropy scan: a run of at least WINDOW such characters that holds a digit.
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Candidate strings of the entropy scan: a run of at least WINDOW such characters; those without a digit are left out.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+#: Sums of c * log2(c) are kept as whole numbers of this part of a bit, so that they don't depend on the way they were reached.
+SCALE = 1 << 32
 #: Least entropy in bits of a window, by the character class that the whole candidate stays in.
 CLASSES = [("^[0-9]+$", 3.2), ("^[0-9a-f]+$|^[0-9A-F]+$", 3.0), ("^[0-9a-z]+$|^[0-9A-Z]+$", 3.5), (".", 3.8)]
 #: Candidates that are left alone: identifiers and placeholders that look random but are public.
@@ -34,72 +40,83 @@ ALLOW = [
 def spans(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
     """array<struct<s, e, v>> of the leftmost non-overlapping matches of pattern; with a group, matches whose
     group is shorter than `least` are dropped afterwards. What lies between two matches comes from split(), so
-    a running sum of lengths gives the offsets."""
+    a running sum of lengths gives the offsets. Texts without a match are passed over once."""
     none = F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)")
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    length = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group or 0)), F.length)
-    rows = F.arrays_zip(between.alias("p"), found.alias("m"), length.alias("g"))
-    rows = F.slice(rows, 1, F.size(found))
+    rows = [between.alias("p"), found.alias("m")]
+    if group is not None:
+        rows.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["pos"] + F.length(x["p"])
         e = s + F.length(x["m"])
-        hit = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v")))
-        out = F.when(x["g"] >= least, F.concat(acc["out"], hit)).otherwise(acc["out"])
+        out = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v"))))
+        if group is not None:
+            out = F.when(F.length(x["g"]) >= least, out).otherwise(acc["out"])
         return F.struct(e.alias("pos"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-    folded = F.aggregate(rows, start, step, lambda acc: acc["out"])
+    # split() has one part more than there are matches
+    pieces = F.filter(F.arrays_zip(*rows), lambda x: x["m"].isNotNull())
+    folded = F.aggregate(pieces, start, step, lambda acc: acc["out"])
     return F.when(text.rlike(pattern), folded).otherwise(none)
 
 
-def _weight(c: str) -> str:
-    return f"(case when {c} <= 1 then 0D else {c} * log2({c}) end)"
+def weights(window: int) -> list[int]:
+    """c * log2(c) for c = 0..window in parts of SCALE."""
+    return [round(c * math.log2(c) * SCALE) if c else 0 for c in range(window + 1)]
+
+
+def largest_sum(bits: float, window: int) -> int:
+    """Most that the counts' c * log2(c) may sum to in a window of at least `bits` bits."""
+    return math.floor(window * (math.log2(window) - bits) * SCALE) + window
 
 
 def entropy_range(window: int = WINDOW) -> str:
-    """SQL for struct<first, last> of a candidate x(s, v, least): where its first and its last window of at
-    least x.least bits begin, from 0, or -1. The sum of c*log2(c) over the window's character counts follows
-    the window by the counts of the two characters that leave and enter."""
-    w = window
+    """SQL for struct<first, last> of a candidate x(s, v, most): where its first and its last window begin whose
+    counts' c * log2(c) sum to x.most or less, from 0, or -1. The counts of the window's characters are carried along
+    as a string, one character for each code from 32 to 127; a step rewrites those of the characters that leave and
+    enter, and changes the sum by what these two counts weigh before and after."""
+    if window > 80:
+        raise ValueError("a window has at most 80 characters")  # a count is one ASCII character
+    table = "array(" + ", ".join(f"{x}L" for x in weights(window)) + ")"
+    held = lambda state, c: f"(ascii(substr({state}, {c} - 31, 1)) - 40)"
+    put = lambda state, c, n: f"overlay({state} placing chr(40 + {n}) from {c} - 31 for 1)"
+    fill = f"""aggregate(slice(split(x.v, ''), 1, {window}), named_struct('n', repeat('(', 96), 'sum', 0L),
+        (a, y) -> transform(array({held('a.n', 'ascii(y)')}),
+          n -> named_struct('n', {put('a.n', 'ascii(y)', '(n + 1)')}, 'sum', a.sum + w[n + 1] - w[n]))[0])"""
+    leave = f"""transform(array({held('a.n', 'c.o')}),
+        n -> named_struct('n', {put('a.n', 'c.o', '(n - 1)')}, 'sum', a.sum + w[n - 1] - w[n]))[0]"""
+    enter = f"""transform(array({held('b.n', 'c.i')}),
+        n -> named_struct('n', {put('b.n', 'c.i', '(n + 1)')}, 'sum', b.sum + w[n + 1] - w[n]))[0]"""
+    hit = lambda state, i: f"named_struct('n', {state}.n, 'sum', {state}.sum, 'first', if(a.first < 0 and {state}.sum <= x.most, {i}, a.first), 'last', if({state}.sum <= x.most, {i}, a.last))"
     return f"""
-      aggregate(
-        sequence(0, length(x.v) - {w}),
-        named_struct('ch', split(x.v, ''), 'sum', 0D, 'first', -1, 'last', -1),
-        (a, i) -> transform(array(
-          case when i = 0 then
-            aggregate(array_distinct(slice(a.ch, 1, {w})), 0D,
-              (t, y) -> t + {_weight(f"size(filter(slice(a.ch, 1, {w}), z -> z = y))")})
-          when a.ch[i - 1] = a.ch[i + {w} - 1] then a.sum
-          else aggregate(
-            array(named_struct(
-              'o', size(filter(slice(a.ch, i + 1, {w} - 1), z -> z = a.ch[i - 1])),
-              'n', size(filter(slice(a.ch, i + 1, {w} - 1), z -> z = a.ch[i + {w} - 1])))),
-            a.sum,
-            (t, c) -> t - {_weight("(c.o + 1)")} + {_weight("c.o")} + {_weight("(c.n + 1)")} - {_weight("c.n")})
-          end), h -> named_struct('ch', a.ch, 'sum', h,
-            'first', if(a.first < 0 and log2({w}) - h / {w} >= x.least, i, a.first),
-            'last', if(log2({w}) - h / {w} >= x.least, i, a.last)))[0],
-        a -> named_struct('first', a.first, 'last', a.last))"""
-
-
-def candidates(text: Column, allow: list[str] | None = None) -> Column:
-    """array<struct<s, v, least>>: the strings to measure, without the allowed ones, with their class's bits."""
+      transform(array({table}), w -> transform(array({fill}), f -> aggregate(
+        transform(arrays_zip(slice(split(x.v, ''), 1, length(x.v) - {window}), slice(split(x.v, ''), {window} + 1, length(x.v))),
+          (z, k) -> named_struct('o', ascii(z['0']), 'i', ascii(z['1']), 'k', k + 1)),
+        named_struct('n', f.n, 'sum', f.sum, 'first', if(f.sum <= x.most, 0, -1), 'last', if(f.sum <= x.most, 0, -1)),
+        (a, c) -> if(c.o = c.i, {hit('a', 'c.k')}, transform(array({leave}), b -> transform(array({enter}), d -> {hit('d', 'c.k')})[0])[0]),
+        a -> named_struct('first', a.first, 'last', a.last)))[0])[0]"""
+
+
+def candidates(text: Column, allow: list[str] | None = None, window: int = WINDOW) -> Column:
+    """array<struct<s, v, most>>: the strings to measure, without the allowed ones and those without a digit, with
+    the largest_sum of their class."""
 
     def kept(x: Column) -> Column:
-        hit = F.lit(False)
+        hit = ~x["v"].rlike("[0-9]") | (F.length(x["v"]) < window)
         for rule in ALLOW if allow is None else allow:
             hit = hit | x["v"].rlike(rule)
         return ~hit
 
-    def bits(x: Column) -> Column:
+    def most(x: Column) -> Column:
         out = F
-        for rule, least in CLASSES:
-            out = out.when(x["v"].rlike(rule), F.lit(float(least)))
+        for rule, bits in CLASSES:
+            out = out.when(x["v"].rlike(rule), F.lit(largest_sum(bits, window)).cast("long"))
         return out
 
     found = F.filter(spans(text, CANDIDATE), kept)
-    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["v"].alias("v"), bits(x).alias("least")))
+    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["v"].alias("v"), most(x).alias("most")))
 
 
 def scan(
@@ -114,10 +131,10 @@ def scan(
     found = documents.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"))
     found = found.select(
         "doc_id",
-        spans(F.col("t"), ASSIGN, 2, 6).alias("k0"),
+        spans(F.col("t"), BEGINS + ASSIGN, 2, 6).alias("k0"),
         spans(F.col("t"), ACCESS).alias("k1"),
         spans(F.col("t"), HEX).alias("k2"),
-        candidates(F.col("t"), allow).alias("c"),
+        candidates(F.col("t"), allow, window).alias("c"),
     )
     found = found.withColumn("c", F.expr(f"transform(c, x -> named_struct('s', x.s, 'r', {entropy_range(window)}))"))
     wide = f"named_struct('s', x.s + x.r.first, 'e', x.s + x.r.last + {window})"
@@ -137,7 +154,7 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns stay; a null text stays null."""
     out = documents.withColumn("__t", text_of(text_col))
     t = F.col("__t")
-    pieces = {f"__k{k}": v for k, v in enumerate([spans(t, ASSIGN, 2, 6), spans(t, ACCESS), spans(t, HEX)])}
+    pieces = {f"__k{k}": v for k, v in enumerate([spans(t, BEGINS + ASSIGN, 2, 6), spans(t, ACCESS), spans(t, HEX)])}
     out = out.withColumns(pieces | {"__c": candidates(t)})
     out = out.withColumn("__c", F.expr(f"transform(__c, x -> named_struct('s', x.s, 'r', {entropy_range()}))"))
     out = out.withColumn(
@@ -173,3 +190,37 @@ def digest(scanned: DataFrame) -> DataFrame:
         F.sha2(written(F.filter(F.col("found"), lambda x: x["k"] < 3)), 256).alias("base_sha256"),
         written(F.col("found")).alias("spans"),
     )
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """The digest in DuckDB's SQL, which counts each window's characters anew."""
+
+    def found(k: int, pattern: str, group: int, least: int) -> str:
+        return f"""SELECT r, {k} AS k, p, m, g, {least} AS least FROM (
+          SELECT r, string_split_regex(text, p) AS p, regexp_extract_all(text, p) AS m, regexp_extract_all(text, p, {group}) AS g
+          FROM d, (SELECT $r${pattern}$r$ AS p) WHERE regexp_matches(text, p))"""
+
+    bits = " ".join(f"WHEN regexp_matches(v, $r${rule}$r$) THEN {largest_sum(least, window)}" for rule, least in CLASSES)
+    allowed = " OR ".join(f"regexp_matches(v, $r${rule}$r$)" for rule in ALLOW)
+    table = ", ".join(str(x) for x in weights(window))
+    one = "CASE k " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(KINDS)) + " END || ':' || s || ':' || e"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({found(0, ASSIGN, 2, 6)} UNION ALL {found(1, ACCESS, 0, 0)} UNION ALL {found(2, HEX, 0, 0)} UNION ALL {found(3, CANDIDATE, 0, window)}),
+m AS (SELECT r, k, least, m[i] AS v, length(g[i]) AS n,
+             (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f)),
+c AS (SELECT row_number() OVER () AS c, r, s, v, CASE {bits} END AS most FROM m
+      WHERE k = 3 AND n >= least AND regexp_matches(v, '[0-9]') AND NOT ({allowed})),
+w AS (SELECT c, i, unnest(string_split(substr(v, i + 1, {window}), '')) AS ch
+      FROM (SELECT c, v, unnest(range(0, length(v) - {window} + 1)) AS i FROM c)),
+h AS (SELECT c, i, sum(([{table}])[n + 1]) AS total FROM (SELECT c, i, ch, count(*) AS n FROM w GROUP BY ALL) GROUP BY ALL),
+x AS (SELECT r, 3 AS k, any_value(s) + min(i) AS s, any_value(s) + max(i) + {window} AS e FROM h JOIN c USING (c) WHERE total <= most GROUP BY c, r
+      UNION ALL SELECT r, k, s, s + length(v) FROM m WHERE k < 3 AND n >= least),
+g AS (SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS h,
+             coalesce(string_agg({one}, ',' ORDER BY s, k, e) FILTER (k < 3), '') AS base, string_agg({one}, ',' ORDER BY s, k, e) AS spans
+      FROM x GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
