@@ -325,6 +325,46 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert fit.place(3, "b", 4) == (1, 5)
 
 
+def test_packing_against_plain_best_fit(spark):
+    """Each run against a search of all its bins, whatever the session's partitions, with ids beyond 2 ** 53."""
+    rng = random.Random(12)
+    texts = [prose(rng.choice([1, 3, 8, 20, 33, 60, 130]), 500 + i % 70) for i in range(400)]
+    rows = [((1 << 60) + 2 * i + 1, t, rng.choice(["a", "a", "b", "c", None])) for i, t in enumerate(texts)] + [(None, "a b c", "a")] + [(5, texts[0], "a")] * 150
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    capacity, got, held = 60, {}, {}
+    for r in packing.pack(df, capacity, 64).collect():
+        got.setdefault(int(r.bin_id.split("-")[0]), []).append((r.doc_id, r.piece, int(r.bin_id.split("-")[1]), r.offset, r.n_words))
+    for r in packing.deal(df, 64).collect():
+        held.setdefault(r.run, []).extend([(r.doc_id, r.source, r.cluster, r.n_words)] * r.copies)
+    assert sum(map(len, held.values())) == len(rows) and set(got) == set(held)
+    assert max(sum(x[0] == 5 for x in run) for run in held.values()) < 150
+    for run, own in held.items():
+        bins, want, pieces = [], [], []
+        for i, source, cluster, n in sorted(own, key=lambda x: (-x[3], x[0] is None, x[0] or 0, x[1] is None, x[1] or "", x[2])):
+            for piece in range(n // capacity):
+                want.append((i, piece, len(bins), 0, capacity))
+                bins.append([capacity, set(), set()])
+            if n % capacity:
+                pieces.append((n % capacity, i, n // capacity, source, cluster))
+        for size, i, piece, source, cluster in sorted(pieces, key=lambda x: -x[0]):
+            able = [(capacity - b[0], k) for k, b in enumerate(bins) if b[0] + size <= capacity and (source is None or source not in b[1]) and cluster not in b[2]]
+            if not able:
+                bins.append([0, set(), set()])
+                able = [(capacity, len(bins) - 1)]
+            k = min(able)[1]
+            want.append((i, piece, k, bins[k][0], size))
+            bins[k][0] += size
+            bins[k][1].add(source)
+            bins[k][2].add(cluster)
+        assert sorted(got[run], key=str) == sorted(want, key=str)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    again = sorted((str(tuple(r)) for r in packing.pack(df, capacity, 64).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert again == sorted(str(tuple(r)) for r in packing.pack(df, capacity, 64).collect())
+    long = spark.createDataFrame([(1, LONG, "s")], "doc_id bigint, text string, source string")
+    assert sorted((r.piece, r.n_words) for r in packing.pack(long).collect()) == [(k, min(2048, 60_000 - 2048 * k)) for k in range(30)]
+
+
 def test_quality_edges(spark):
     rows = [(i, prose(60, i)) for i in range(60)] + [(100 + i, "JUNK!!! " * 40) for i in range(60)]
     labels = spark.createDataFrame([(i, int(i < 100), 0) for i, _ in rows], "doc_id bigint, quality int, toxic int")
