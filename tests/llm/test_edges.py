@@ -467,10 +467,87 @@ def test_viterbi_and_marginals_against_enumeration():
         return crf.s[y[0]] + sum(e[i, v] for i, v in enumerate(y)) + sum(crf.t[a, b] for a, b in zip(y, y[1:]))
 
     paths = [[n >> i & 1 for i in range(6)] for n in range(64)]
-    assert crf.decode(columns) == max(paths, key=score)
+    assert crf.decode(e.tolist()) == max(paths, key=score)
     total = np.logaddexp.reduce([score(y) for y in paths])
-    grads = np.zeros_like(crf.w), np.zeros_like(crf.t), np.zeros_like(crf.s)
-    assert np.isclose(crf.gradient(columns, paths[5], *grads), score(paths[5]) - total)
+    assert np.isclose(crf.gradient([(columns, paths[5])])[0], score(paths[5]) - total)
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(2)
+    crf = html_extract.Crf()
+    crf.w, crf.t, crf.s = rng.normal(size=(html_extract.SIZE, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    pages = [([[int(x) for x in rng.choice(50, 3, replace=False)] for _ in range(n)], rng.integers(0, 2, n).tolist()) for n in (1, 2, 5, 7)]
+    value, *grads = crf.gradient(pages)
+    for x, g in zip((crf.w, crf.t, crf.s), grads):
+        for at in [np.unravel_index(i, x.shape) for i in rng.choice(min(100, x.size), min(12, x.size), replace=False)]:
+            x[at] += 1e-5
+            assert abs((crf.gradient(pages)[0] - value) / 1e-5 - g[at]) < 1e-3
+            x[at] -= 1e-5
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return html_extract.train().whole()
+
+
+def test_running_sums_equal_columns(crf):
+    for page, _ in html_extract.training_pages(60, seed=5):
+        e = [tuple(map(sum, zip(*(crf.w[c] for c in columns)))) for columns in html_extract.features(html_extract.leaf_blocks(page))]
+        want = [b.text for b, y in zip(html_extract.leaf_blocks(page), crf.decode(e)) if y]
+        assert html_extract.main_text(crf, page) == "\n".join(want)
+
+
+SENTENCES = "The river rose again in spring. Nobody in the village had expected it, and the mill stood in water."
+HAND_WRITTEN = [
+    (f"<body><article><p>{SENTENCES} {SENTENCES}</p></article></body>", f"{SENTENCES} {SENTENCES}"),
+    (f"<body><article><p>{SENTENCES}</p><p>{SENTENCES}</p></article></body>", f"{SENTENCES}\n{SENTENCES}"),
+    (f"<main><p>{SENTENCES}</p></main>", SENTENCES),
+    (f"<p>{SENTENCES}</p>", SENTENCES),
+    (SENTENCES, SENTENCES),
+    ("<p>If a <b and it's fine</p>", "If a <b and it's fine"),
+    (f"<body><script>if(a<b){{s='it'}}</script><article><p>{SENTENCES}</p></article></body>", SENTENCES),
+    (f"<body><script>for(i=0;i<n;i++){{x('a')}}</script><article><p>{SENTENCES}</p></article></body>", SENTENCES),
+    (f"<body><script>var s='<!--';</script><article><p>{SENTENCES}</p></article></body>", SENTENCES),
+    (f"<body><iframe src='/ad'><article><h1>Flood</h1><p>{SENTENCES}</p></article></body>", f"Flood\n{SENTENCES}"),
+    (f"<body><svg><article><h1>Flood</h1><p>{SENTENCES}</p></article></body>", f"Flood\n{SENTENCES}"),
+    (f"<html><head><title>x</title></head><body><header><nav><a href=/>Home</a> <a href=/a>About</a></nav></header><main><p>{SENTENCES}</p></main><footer>Copyright 2020</footer></body></html>", SENTENCES),
+    (f"<body><nav><ul><li><a href='/'>Home</a><li><a href='/n'>News</a></ul></nav><div class='post-content'><h1>Flood</h1><p>{SENTENCES}<p>It fell in May.</div><div class='sidebar'><h3>Related</h3><ul><li><a href='/r'>Drought</a></li></ul></div><div id='comments'><p>So sad!</p></div></body>", f"Flood\n{SENTENCES}\nIt fell in May."),
+    (f"<body><div class='cookie-banner'><p>We use cookies.</p></div><article><h1>A &lt;b&gt; &amp; c</h1><p>{SENTENCES}</p><blockquote>It was&nbsp;cold.</blockquote></article><form><label>Your mail</label><input></form><footer><p>&copy; 2020 Mill</p></footer></body>", f"A <b> & c\n{SENTENCES}\nIt was cold."),
+]
+
+
+@pytest.mark.parametrize("page,text", HAND_WRITTEN)
+def test_hand_written_pages(crf, page, text):
+    assert html_extract.main_text(crf, page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<a href="x ' * 90_000,
+        "<p class='a\"b <i title=\"x' " * 40_000,
+        "".join(f'<div class="{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}">t ' for i in range(17_000)),
+        "<b>" * 200_000 + "<p>x</p>" * 50_000,
+        "<" * 1_000_000,
+        "<b " * 300_000,
+        "<script>" + "</script " * 100_000,
+        "<object>x" * 100_000,
+        '<p class="' + "ab cd " * 160_000 + '">x' + "<p>y" * 1000,
+        '<p a="' * 150_000,
+        "<table><tr><td>x" * 50_000,
+        "<!--" * 250_000,
+    ],
+)
+def test_hostile_pages_take_linear_time(crf, page):
+    import time
+
+    start = time.perf_counter()
+    html_extract.main_text(crf, page)
+    assert time.perf_counter() - start < 20  # seconds; each takes about two, where squares took minutes
+
+
+def test_attributes_are_read_whole():
+    assert "._x" not in html_extract._words("div", "") and html_extract._words("p", 'class="a b c d e f g h sideBar" hidden id=k data-class="z"') == ("<p>", ".a", ".b", ".c", ".d", ".e", ".f", ".g", ".h", ".side", ".bar", "hidden", ".k")
 
 
 def test_extraction_on_held_out_layouts():
@@ -478,7 +555,7 @@ def test_extraction_on_held_out_layouts():
     pages = html_extract.training_pages(150, seed=77)
     good = total = 0
     for page, want in pages:
-        got = model.decode(html_extract.features(html_extract.leaf_blocks(page)))
+        got = model.decode(model.emissions(html_extract.features(html_extract.leaf_blocks(page))).tolist())
         good, total = good + sum(a == b for a, b in zip(got, want)), total + len(want)
     assert good / total > 0.98
 

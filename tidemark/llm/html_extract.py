@@ -8,9 +8,10 @@ forward-backward marginals; Viterbi decodes. The labelled pages are written by t
 parts are labelled where they are made, filled with random words, so no row of the table is used for training.
 
 A null or empty html, or one without article blocks, gives an empty text; malformed markup is read as far as it
-goes: unclosed tags are closed by their parents, a tag that never ends is text; scripts, styles, comments,
-templates, forms' controls and the title are no blocks. Repeated rows are extracted one by one; extra columns are not
-looked at.
+goes, in time that grows with the page's length: unclosed tags are closed by their parents, a "<" before plain words is
+text, a tag or comment that never ends takes the rest of the page; scripts, styles, comments,
+templates, forms' controls and the title are no blocks (one that is never closed hides nothing, a script or style
+hides the rest). Repeated rows are extracted one by one; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,134 +35,260 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED_TAGS = frozenset("script style noscript template svg math iframe object canvas audio video select button textarea title".split())
-#: Skipped tags whose content is no markup: it ends at the literal closing tag, whatever is before it.
-RAW_TAGS = frozenset("script style noscript iframe textarea title".split())
+#: A skipped tag's content ends at its literal closing tag, whatever is before it.
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in SKIPPED_TAGS}
 SECTIONS = frozenset("article aside body details dialog div footer form header main nav section table".split())
-#: Tags that an opening tag of the same kind closes, with what they are closed up to.
-CLOSED_BY_SELF = {"p": (), "li": ("ul", "ol", "menu"), "td": ("tr",), "th": ("tr",), "tr": ("table",), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
+#: Open tags that an opening tag closes if they are the innermost block; an open p ends at any block.
+CLOSES = {
+    "li": ("li",),
+    "td": ("td", "th"),
+    "th": ("td", "th"),
+    "tr": ("td", "th", "tr"),
+    "dt": ("dt", "dd"),
+    "dd": ("dt", "dd"),
+    "option": ("option",),
+}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*>", re.I) for tag in RAW_TAGS}
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+#: What a tag may hold before its end: plain characters, and values in quotes after a "=".
+INSIDE = re.compile(r"[^<>=]+")
+VALUE = re.compile(r"=\s*")
+ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+READ = frozenset("class id role itemprop hidden aria-hidden".split())
+HUMP = re.compile("([a-z])([A-Z])")
 WORD = re.compile(r"[a-z]+")
 
+#: Columns: ancestors' words, words of the nearest section, the block's own tag, its statistics.
 WIDTH = 1 << 11
-STATS = 40
-SIZE = WIDTH + STATS
+TAGS = {tag: 2 * WIDTH + i for i, tag in enumerate(sorted(BLOCK_TAGS))}
+FIRST_STAT = 2 * WIDTH + len(TAGS)
+SIZE = FIRST_STAT + 40
+#: Decoding adds weights as whole numbers of this part of one, so that a sum that follows the open tags stays exact.
+SCALE = 1 << 24
 
 
 class Block:
-    __slots__ = ("text", "context", "tag", "linked")
+    """A run of text, its own tag, how much of it is linked, and what its open ancestors add: their columns, or with
+    the weights at hand only these columns' sums for both labels."""
 
-    def __init__(self, text: str, context: tuple, tag: str, linked: int):
-        self.text, self.context, self.tag, self.linked = text, context, tag, linked
+    __slots__ = ("text", "tag", "linked", "columns", "sums")
 
+    def __init__(self, text: str, tag: str, linked: int, columns: tuple[int, ...], sums: tuple[int, int]):
+        self.text, self.tag, self.linked, self.columns, self.sums = text, tag, linked, columns, sums
+
+
+_MEMO: dict[str, int] = {}
 
-def _context(tag: str, attributes: str) -> tuple[str, ...]:
-    words = [f"<{tag}>"]
-    if attributes:
-        for name, value in ATTRIBUTE.findall(attributes):
-            words += [f"{name.lower() if 'hidden' in name.lower() else ''}.{w}" for w in WORD.findall(re.sub("([a-z])([A-Z])", r"\1 \2", value).lower())[:8]]
-    return tuple(words)
 
+def _column(word: str) -> int:
+    got = _MEMO.get(word)
+    if got is None:
+        h = zlib.crc32(word.encode())
+        got = (h ^ h >> 15) % WIDTH
+        if len(_MEMO) < 50_000:
+            _MEMO[word] = got
+    return got
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order, with white space collapsed and character references decoded."""
+
+def _words(tag: str, attributes: str) -> tuple[str, ...]:
+    """What a tag says about its content: its name and the words of some attributes."""
+    found = {f"<{tag}>": None}
+    if attributes:
+        for name, value in ATTRIBUTE.findall(attributes):
+            name = name.lower()
+            if name in READ:
+                mark = name if "hidden" in name else ""
+                if mark and not value:
+                    found[mark] = None
+                for w in WORD.findall(HUMP.sub(r"\1 \2", value).lower()):
+                    found[f"{mark}.{w}"] = None
+    return tuple(found)
+
+
+class _Open:
+    """The open tags of a page. What its blocks take from them (columns or their sums, nearest section, own tag, links)
+    is kept up to date by each tag that opens or closes, so that no block looks through the stack."""
+
+    def __init__(self, weights: list[tuple[int, int]] | None):
+        self.weights = weights
+        self.stack: list[tuple] = []  # tag, columns, nearest section's columns, their sums, place of the innermost block tag
+        self.places: dict[str, list[int]] = {}
+        self.active: dict[int, int] = {}
+        self.sums = (0, 0)
+
+    def _weigh(self, columns: list[int], sign: int, sums: tuple[int, int]) -> tuple[int, int]:
+        if self.weights is None:
+            return sums
+        x, y = sums
+        for c in columns:
+            p, q = self.weights[c]
+            x, y = x + sign * p, y + sign * q
+        return x, y
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        above = self.stack[-1] if self.stack else ("", (), (), (0, 0), -1)
+        columns = [_column(w) for w in words]
+        near, near_sums = above[2:4]
+        if tag in SECTIONS:
+            if above[0]:
+                columns.append(_column(f"{above[0]}>{tag}"))
+            if tag != "div" or len(words) > 1:
+                near = tuple({WIDTH + _column(f"near {w}") for w in words})
+                near_sums = self._weigh(near, 1, (0, 0))
+        place = len(self.stack) if tag in BLOCK_TAGS else above[4]
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, columns, near, near_sums, place))
+        fresh = []
+        for c in columns:
+            held = self.active.get(c, 0)
+            self.active[c] = held + 1
+            if not held:
+                fresh.append(c)
+        self.sums = self._weigh(fresh, 1, self.sums)
+
+    def pop(self) -> str:
+        tag, columns = self.stack.pop()[:2]
+        self.places[tag].pop()
+        gone = []
+        for c in columns:
+            self.active[c] -= 1
+            if not self.active[c]:
+                del self.active[c]
+                gone.append(c)
+        self.sums = self._weigh(gone, -1, self.sums)
+        return tag
+
+    def made(self, text: str, linked: int) -> Block:
+        near, near_sums = self.stack[-1][2:4] if self.stack else ((), (0, 0))
+        columns = () if self.weights is not None else (*self.active, *near)
+        return Block(text, self.block(), min(linked, len(text)), columns, (self.sums[0] + near_sums[0], self.sums[1] + near_sums[1]))
+
+    def block(self) -> str:
+        """The innermost open block tag."""
+        place = self.stack[-1][4] if self.stack else -1
+        return self.stack[place][0] if place >= 0 else "body"
+
+    def close(self, tag: str) -> None:
+        """An end tag closes the last open tag of its name; that of an inline tag closes no block."""
+        at = self.places.get(tag)
+        if at and (tag in BLOCK_TAGS or at[-1] > self.stack[-1][4]):
+            last = at[-1]
+            while len(self.stack) > last:
+                self.pop()
+
+    def make_room(self, tag: str) -> None:
+        """Closes what an opening block tag closes."""
+        ends = CLOSES.get(tag, ())
+        while (held := self.block()) == "p" or held in ends:
+            while self.pop() != held:
+                pass
+
+    def linked(self) -> bool:
+        return bool(self.places.get("a"))
+
+
+def _tag_end(page: str, at: int, lost: set[str]) -> tuple[int, int]:
+    """(end of the attributes, where to go on) of the tag whose name ends at `at`; (-1, at) if it is text. `lost` keeps
+    which quotes do not occur any more, so that a quote that is never closed is looked for once."""
+    start, quoted = at, False
+    while True:
+        found = INSIDE.match(page, at)
+        at = found.end() if found else at
+        if at >= len(page):
+            return (at, at) if quoted else (-1, at)
+        if page[at] == ">":
+            return at, at + 1
+        if page[at] == "<":  # a new tag begins: this one ends here, unless it is plain words
+            plain = not quoted and page[start:at].strip() not in ("", "/")
+            return (-1, at) if plain else (at, at)
+        quoted = True
+        at = VALUE.match(page, at).end()
+        mark = page[at : at + 1]
+        if mark and mark in "\"'" and mark not in lost:
+            end = page.find(mark, at + 1)
+            if end < 0:
+                lost.add(mark)
+            at = end + 1 if end >= 0 else at + 1
+
+
+def leaf_blocks(page: str | None, weights: list[tuple[int, int]] | None = None) -> list[Block]:
+    """The blocks of a page in order, with white space collapsed and character references decoded; with the sums of
+    weights instead of columns if these are given."""
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    opened = _Open(weights)
     parts: list[str] = []
-    linked, skip_until = 0, None
+    linked, lost, unclosed = 0, set(), set()
+
+    def put(piece: str) -> None:
+        nonlocal linked
+        if piece:
+            parts.append(piece)
+            linked += len(piece) if opened.linked() else 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            context = tuple(w for _, words in stack for w in words)
-            context += tuple(f"{a}>{b}" for (a, _), (b, _) in zip(stack, stack[1:]) if b in SECTIONS)
-            near = next((words for t, words in reversed(stack) if t in SECTIONS and (t != "div" or len(words) > 1)), ())
-            context += tuple(f"near {w}" for w in near)
-            tag = next((t for t, _ in reversed(stack) if t in BLOCK_TAGS), "body")
-            out.append(Block(text, context, tag, min(linked, len(text))))
+            out.append(opened.made(text, linked))
         linked = 0
 
+    def behind(tag: str, at: int) -> int:
+        """Where the content of a skipped tag has ended, -1 if it never does."""
+        if tag in unclosed:
+            return -1
+        found = END[tag].search(page, at)
+        if not found:
+            unclosed.add(tag)
+            return -1
+        end = page.find(">", found.end())
+        return end + 1 if end >= 0 else len(page)
+
     at = 0
-    links = 0
-    while found := TOKEN.search(page, at):
-        if skip_until is None and found.start() > at:
-            piece = page[at : found.start()]
-            parts.append(piece)
-            linked += len(piece) if links else 0
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
-            continue
-        closing = bool(found[1])
-        if tag in RAW_TAGS and not closing and not found[3].rstrip().endswith("/"):
-            if skip_until is None and tag in BLOCK_TAGS:
-                flush()
-            end = RAW_END[tag].search(page, at)
-            if end or skip_until is None:
-                at = end.end() if end else len(page)
+    while (start := page.find("<", at)) >= 0:
+        put(page[at:start])
+        named = NAME.match(page, start + 1)
+        if not named:
+            if page.startswith("<!--", start):
+                short = re.compile("-?>").match(page, start + 4)
+                end = short.end() - 3 if short else page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(page)
+            elif page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start)
+                at = end + 3 if end >= 0 else len(page)
+            elif page[start + 1 : start + 2] in ("!", "?"):
+                end = page.find(">", start)
+                at = end + 1 if end >= 0 else len(page)
+            else:
+                put("<")
+                at = start + 1
             continue
-        if skip_until is not None:
-            if closing and tag == skip_until:
-                skip_until = None
+        stop, after = _tag_end(page, named.end(), lost)
+        if stop < 0:
+            put(page[start:after])
+            at = after
             continue
+        attributes, at = page[named.end() : stop], after
+        closing = page[start + 1] == "/"
+        tag = named[0].lstrip("/").lower()
         if tag in BLOCK_TAGS:
             flush()
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack and stack.pop()[0] != tag:
-                    pass
-                links = sum(t == "a" for t, _ in stack)
-            continue
-        if tag in SKIPPED_TAGS:
-            if not found[3].rstrip().endswith("/"):
-                skip_until = tag
-            continue
-        if tag in VOID_TAGS:
-            continue
-        if tag in CLOSED_BY_SELF or tag in BLOCK_TAGS and tag not in ("br", "hr"):
-            # an open p ends at any block; li, cells and the like end at the next of their kind
-            stop = CLOSED_BY_SELF.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                name = stack[i][0]
-                if name == tag and tag in CLOSED_BY_SELF or name == "p":
-                    del stack[i:]
-                    break
-                if name in stop or name in BLOCK_TAGS:
-                    break
-            links = sum(t == "a" for t, _ in stack)
-        stack.append((tag, _context(tag, found[3])))
-        links += tag == "a"
-    if skip_until is None:
-        parts.append(page[at:])
+            opened.close(tag)
+        elif tag in SKIPPED_TAGS:
+            end = at if attributes.rstrip().endswith("/") and tag not in ("script", "style") else behind(tag, at)
+            at = len(page) if end < 0 and tag in ("script", "style") else max(at, end)
+        elif tag not in VOID_TAGS:
+            if tag in BLOCK_TAGS:
+                opened.make_room(tag)
+            opened.push(tag, _words(tag, attributes))
+    put(page[at:])
     flush()
     return out
 
 
-def _hash(word: str) -> int:
-    h = 2166136261
-    for c in word.encode():
-        h = (h ^ c) * 16777619 & 0xFFFFFFFF
-    return (h ^ h >> 15) % WIDTH
-
-
-_MEMO: dict[str, int] = {}
-
-
-def _column(word: str) -> int:
-    got = _MEMO.get(word)
-    if got is None:
-        got = _hash(word)
-        if len(_MEMO) < 50_000:
-            _MEMO[word] = got
-    return got
-
-
 _LENGTHS = [2, 4, 8, 15, 30, 60]
 _DENSITY = [0.01, 0.3, 0.6, 0.95]
 _MARKS = [0, 1, 2, 4]
@@ -170,28 +298,32 @@ def _bucket(edges: list, value: float) -> int:
     return sum(value > e for e in edges)
 
 
-def features(blocks: list[Block]) -> list[list[int]]:
-    """Active columns of each block."""
+def own_columns(blocks: list[Block]) -> list[list[int]]:
+    """Active columns of each block itself: its tag and statistics."""
     out = []
     n = len(blocks)
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         marks = sum(b.text.count(c) for c in ".,;!?")
-        columns = {_column(w) for w in b.context}
-        columns.add(_column("own " + b.tag))
-        at = WIDTH
+        columns = [TAGS[b.tag]]
+        at = FIRST_STAT
         for edges, value in ((_LENGTHS, words), (_DENSITY, b.linked / len(b.text)), (_MARKS, marks), (_MARKS, b.text.count(". "))):
-            columns.add(at + _bucket(edges, value))
+            columns.append(at + _bucket(edges, value))
             at += len(edges) + 1
-        columns.add(at + min(4, 5 * i // n))
+        columns.append(at + min(4, 5 * i // n))
         at += 5
         if "©" in b.text or "(c)" in b.text.lower():
-            columns.add(at)
-        columns.add(at + 1)
-        out.append(sorted(columns))
+            columns.append(at)
+        columns.append(at + 1)
+        out.append(columns)
     return out
 
 
+def features(blocks: list[Block]) -> list[list[int]]:
+    """Active columns of each block, with those of its ancestors."""
+    return [[*b.columns, *own] for b, own in zip(blocks, own_columns(blocks), strict=True)]
+
+
 class Crf:
     """w (SIZE x 2 emissions), t (2 x 2 transitions) and s (2 starts)."""
 
@@ -199,15 +331,22 @@ class Crf:
         self.w, self.t, self.s = np.zeros((SIZE, 2)), np.zeros((2, 2)), np.zeros(2)
 
     def emissions(self, columns: list[list[int]]) -> np.ndarray:
-        return np.stack([self.w[c].sum(0) for c in columns])
+        heads = np.cumsum([0, *map(len, columns)])[:-1]
+        return np.add.reduceat(self.w[np.concatenate([np.asarray(c, np.int64) for c in columns])], heads)
+
+    def whole(self) -> Crf:
+        """The same model with whole weights, in parts of 1 / SCALE, as lists."""
+        out = Crf()
+        out.w, out.t, out.s = ([tuple(r) for r in np.rint(self.w * SCALE).astype(int).tolist()], *(np.rint(x * SCALE).astype(int) for x in (self.t, self.s)))
+        return out
 
-    def decode(self, columns: list[list[int]]) -> list[int]:
-        """Viterbi."""
-        e = self.emissions(columns).tolist()
+    def decode(self, emissions: list) -> list[int]:
+        """Viterbi over the blocks' emissions."""
         (t00, t01), (t10, t11) = self.t.tolist()
-        a, b = e[0][0] + self.s[0], e[0][1] + self.s[1]
+        s0, s1 = self.s.tolist()
+        a, b = emissions[0][0] + s0, emissions[0][1] + s1
         back = []
-        for x, y in e[1:]:
+        for x, y in emissions[1:]:
             fa, fb = a + t00 < b + t10, a + t01 < b + t11
             back.append((fa, fb))
             a, b = (b + t10 if fa else a + t00) + x, (b + t11 if fb else a + t01) + y
@@ -216,30 +355,37 @@ class Crf:
             path.append(int(fb if path[-1] else fa))
         return path[::-1]
 
-    def gradient(self, columns: list[list[int]], labels: list[int], gw: np.ndarray, gt: np.ndarray, gs: np.ndarray) -> float:
-        """Adds the gradient of the log-likelihood of one page and returns the latter."""
-        e = self.emissions(columns)
-        n = len(e)
-        forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-        forward[0] = self.s + e[0]
+    def gradient(self, pages: list[tuple[list[list[int]], list[int]]]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The log-likelihood of the pages (columns and labels of the blocks) and its gradient by w, t and s, from the
+        marginals of the forward and backward sums of all pages at once."""
+        size = np.array([len(labels) for _, labels in pages])
+        p, n = len(pages), int(size.max())
+        inside = np.arange(n) < size[:, None]
+        columns = [np.asarray(c, np.int64) for page, _ in pages for c in page]
+        e, y = np.zeros((p, n, 2)), np.zeros((p, n), np.int64)
+        e[inside] = self.emissions(columns)
+        y[inside] = np.concatenate([labels for _, labels in pages])
+        forward, backward = np.zeros((p, n, 2)), np.zeros((p, n, 2))
+        forward[:, 0] = self.s + e[:, 0]
         for i in range(1, n):
-            forward[i] = e[i] + np.logaddexp(forward[i - 1, 0] + self.t[0], forward[i - 1, 1] + self.t[1])
+            forward[:, i] = e[:, i] + np.logaddexp(forward[:, i - 1, :1] + self.t[0], forward[:, i - 1, 1:] + self.t[1])
         for i in range(n - 2, -1, -1):
-            after = e[i + 1] + backward[i + 1]
-            backward[i] = np.logaddexp(self.t[:, 0] + after[0], self.t[:, 1] + after[1])
-        total = np.logaddexp(forward[-1, 0], forward[-1, 1])
-        share = np.exp(forward + backward - total)
-        score = self.s[labels[0]] + sum(e[i, y] for i, y in enumerate(labels))
-        gs -= share[0]
-        gs[labels[0]] += 1
-        for i, y in enumerate(labels):
-            gw[columns[i]] -= share[i]
-            gw[columns[i], y] += 1
-            if i:
-                gt -= np.exp(forward[i - 1][:, None] + self.t + e[i] + backward[i] - total)
-                gt[labels[i - 1], y] += 1
-                score += self.t[labels[i - 1], y]
-        return float(score - total)
+            after = e[:, i + 1] + backward[:, i + 1]
+            before = np.logaddexp(self.t[:, 0] + after[:, :1], self.t[:, 1] + after[:, 1:])
+            backward[:, i] = np.where((i < size - 1)[:, None], before, 0)
+        row = np.arange(p)
+        last = forward[row, size - 1]
+        total = np.logaddexp(last[:, 0], last[:, 1])
+        share = np.exp(forward + backward - total[:, None, None])
+        truth = np.eye(2)[y]
+        rest = (truth - share)[inside]
+        flat, counts = np.concatenate(columns), [len(c) for c in columns]
+        gw = np.stack([np.bincount(flat, np.repeat(rest[:, k], counts), SIZE) for k in (0, 1)], 1)
+        both = inside[:, 1:]
+        moves = np.exp(forward[:, :-1, :, None] + self.t + (e + backward)[:, 1:, None, :] - total[:, None, None, None])
+        seen = truth[:, :-1, :, None] * truth[:, 1:, None, :]
+        score = (e * truth)[inside].sum() + self.s[y[:, 0]].sum() + (seen[both] * self.t).sum() - total.sum()
+        return float(score), gw, (seen - moves)[both].sum(0), (truth - share)[:, 0].sum(0)
 
     def fit(self, pages: list[tuple[list[list[int]], list[int]]], rounds: int = 15, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> Crf:
         rng = random.Random(seed)
@@ -250,9 +396,7 @@ class Crf:
             order = list(range(len(pages)))
             rng.shuffle(order)
             for at in range(0, len(order), 20):
-                grads = [np.zeros_like(x) for x in theta]
-                for i in order[at : at + 20]:
-                    self.gradient(*pages[i], *grads)
+                grads = self.gradient([pages[i] for i in order[at : at + 20]])[1:]
                 step += 1
                 for x, g, (m, v) in zip(theta, grads, moments, strict=True):
                     g = g / 20 - decay * x
@@ -411,28 +555,47 @@ class _Writer:
             self.html.append("</div>")
         self.html.append("" if loose else f"</{outer}>")
 
+    def short_article(self) -> None:
+        """An article of one to three blocks, in a section of its own or straight in the page."""
+        rng = self.rng
+        outer = rng.choice(["article", "main", "div", "section", "", "", "both"])
+        self.html.append("<main><article>" if outer == "both" else f"<{outer}{self.attribute(_ARTICLE)}>" if outer else "")
+        if rng.random() < 0.35:
+            self.block(rng.choice(["h1", "h1", "h2"]), self.words(rng.randint(1, 10)), 1)
+        if not outer and rng.random() < 0.4:
+            self.html.append(self.words(rng.choice([4, 12, 30, 80])))
+            self.labels.append(1)
+        else:
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                self.block("p", self.words(rng.choice([3, 8, 15, 25, 40, 80])), 1)
+        self.html.append("</article></main>" if outer == "both" else f"</{outer}>" if outer else "")
+
 
-def training_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[int]]]:
-    """(html, label of each leaf block) of n pages of varied layout."""
+def training_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[int]]]:
+    """(html, label of each leaf block) of n pages of varied layout; some are an article with little or nothing around."""
     rng = random.Random(seed)
     out = []
     while len(out) < n:
         page = _Writer(rng)
-        page.html.append("<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body>")
-        wrapped = rng.random() < 0.4
+        bare = rng.random() < 0.25
+        page.html.append(rng.choice(["", "<body>", "<html><body>"]) if bare else "<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body>")
+        wrapped = rng.random() < (0.15 if bare else 0.4)
         if wrapped:
             page.html.append(f'<div{page.attribute(["wrapper", "page", "container", "site", "layout", "row", "app"])}>')
+        around = rng.choice([0, 0.5, 0.8]) if bare else 1
         for kind in ("notice", "header", "nav", "form", "ad", "aside"):
-            if rng.random() < {"header": 0.5, "nav": 0.8, "ad": 0.5, "notice": 0.3}.get(kind, 0.2):
+            if rng.random() < around * {"header": 0.5, "nav": 0.8, "ad": 0.5, "notice": 0.3}.get(kind, 0.2):
                 page.part(kind)
-        if rng.random() < 0.97:
+        if bare:
+            page.short_article()
+        elif rng.random() < 0.97:
             page.article()
         for kind in ("comments", "aside", "ad", "nav", "form", "footer", "notice"):
-            if rng.random() < {"footer": 0.85, "comments": 0.35, "ad": 0.25}.get(kind, 0.2):
+            if rng.random() < around * {"footer": 0.85, "comments": 0.35, "ad": 0.25}.get(kind, 0.2):
                 page.part(kind)
         if wrapped:
             page.html.append("</div>")
-        page.html.append("</body></html>")
+        page.html.append("" if bare else "</body></html>")
         text = "".join(page.html)
         if page.labels and len(leaf_blocks(text)) == len(page.labels):
             out.append((text, page.labels))
@@ -445,15 +608,23 @@ def train(pages: list[tuple[str, list[int]]] | None = None) -> Crf:
 
 
 def main_text(model: Crf, page: str | None) -> str:
-    blocks = leaf_blocks(page)
+    """The text of the blocks that the model, as whole() gives it, labels as article."""
+    blocks = leaf_blocks(page, model.w)
     if not blocks:
         return ""
-    return "\n".join(b.text for b, y in zip(blocks, model.decode(features(blocks)), strict=True) if y)
+    emissions = []
+    for b, own in zip(blocks, own_columns(blocks), strict=True):
+        x, y = b.sums
+        for c in own:
+            p, q = model.w[c]
+            x, y = x + p, y + q
+        emissions.append((x, y))
+    return "\n".join(b.text for b, label in zip(blocks, model.decode(emissions), strict=True) if label)
 
 
 def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     """Per row of pages(page_id, url, html): page_id, url, text and n_chars."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or train())
+    shared = pages.sparkSession.sparkContext.broadcast((model or train()).whole())
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
