@@ -48,6 +48,38 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert [i for i in ids if i is not None] == [1, 3, 4, 5, 7, 9]
 
 
+def test_deduplicate_tells_rows_apart_by_id_and_set(spark):
+    other = prose(150, 77)
+    near = BASE.split()
+    near[100] = "otherword"
+    rows = [(1, BASE), (2, BASE), (2, other), (3, " ".join(near)), (3, ""), (3, "  "), (None, BASE), (None, prose(90, 78)), (None, prose(90, 78)), (4, "same words"), (4, "same  words"), (5, None)]
+    kept = ngram_join.deduplicate(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id and r.doc_id != 4 and r.text is not None) == sorted([(1, BASE), (2, other), (3, ""), (3, "  ")])
+    assert sum(r.doc_id == 4 for r in kept) == 1 and sum(r.doc_id == 5 for r in kept) == 1
+    assert [r.text for r in kept if r.doc_id is None] == [prose(90, 78)]
+
+
+def test_links_through_a_row_without_an_id(spark):
+    """a - null - c, where a and c alone do not link."""
+    a, b, c = prose(100, 81).split(), prose(100, 81).split(), prose(100, 81).split()
+    b[10:14] = "w1 w2 w3 w4".split()
+    c[10:14] = "w1 w2 w3 w4".split()
+    c[50:54] = "v1 v2 v3 v4".split()
+    rows = [(7, " ".join(a)), (None, " ".join(b)), (9, " ".join(c))]
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs(spark, rows)).collect()}
+    assert got == {7: 7, None: 7, 9: 7}
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs(spark, [rows[0], rows[2]])).collect()}
+    assert got == {7: 7, 9: 9}
+
+
+def test_pairs_at_the_bound(spark):
+    """With one-word shingles 90 of 100 words link at 90 percent, 89 of 100 do not."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(words[:100])), (1, " ".join(words[:90])), (2, " ".join(words[200:300])), (3, " ".join(words[200:289]))]
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs(spark, rows), 1, 90).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (1, 50)])
 def test_ngram_join_against_brute_force(spark, k, percent):
     rng = random.Random(k)
@@ -189,7 +221,9 @@ def test_decontamination_edges(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.match(docs(spark, rows), bench).collect()}
     assert got == {(1, 1), (1, 2), (6, 3)}
     kept = [r.doc_id for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()]
-    assert sorted(kept, key=str) == [2, 3, 4, 5, None]
+    assert sorted(kept, key=str) == [2, 3, 4, 5]  # the row without an id holds an item
+    twice = decontaminate.decontaminate(docs(spark, [(1, item), (1, "another clean text"), (None, "clean too")]), bench).collect()
+    assert sorted(r.text for r in twice) == ["another clean text", "clean too"]
     empty = bench.where("false")
     assert decontaminate.match(docs(spark, rows), empty).count() == 0
     assert decontaminate.match(docs(spark, []), bench).count() == 0
@@ -425,6 +459,29 @@ def test_embedding_edges(spark):
     assert embedding_dedup.deduplicate(df.where("false")).count() == 0
 
 
+def test_embeddings_in_many_cells(spark):
+    """Recall of the bounded probes is measured; without the bound no link is lost. Very large and very small vectors
+    keep their links, and a stray long vector changes nothing."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(700, 16))
+    near = base[rng.integers(0, 700, 1300)]
+    near = near + rng.normal(size=near.shape) * rng.uniform(0.02, 0.07, (1300, 1))
+    vectors = np.concatenate([base, near])
+    size = rng.choice([1.0, 1e200, 1e-200, 1e307], len(vectors))
+    rows = [(i, list(map(float, v * s)), 0) for i, (v, s) in enumerate(zip(vectors, size))] + [(9000, [1.0] * 40, 0), (9001, [2.0] * 40, 0), (9002, [1e200, 2e200], 0), (9003, [1e200, 2.001e200], 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    x = embedding_dedup.unit(vectors)
+    hit = x @ x.T >= 0.98
+    np.fill_diagonal(hit, False)
+    want = hit.sum(1)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.deduplicate(df, rows_per_cell=40, probes=None).collect()}
+    assert [got[i] for i in range(len(vectors))] == want.tolist()
+    assert got[9000] == got[9001] == got[9002] == got[9003] == 1
+    bounded = {r.vec_id: r.n_links for r in embedding_dedup.deduplicate(df, rows_per_cell=40).collect()}
+    found = sum(bounded[i] for i in range(len(vectors)))
+    assert all(bounded[i] <= want[i] for i in range(len(vectors))) and found / want.sum() >= 0.97
+
+
 def test_extraction(spark):
     page = "<body><header><h1>Site</h1></header><main><article><h1>T&amp;t</h1><p>One  two,\n three.</p><p>Four.</p></article></main><div class='comments'><p>nice</p></div><footer>&copy; x</footer>"
     df = spark.createDataFrame([(1, "u", page, "z"), (2, "u", None, "z"), (3, None, "", "z"), (None, "u", "<p", "z"), (1, "u", page, "z")], "page_id bigint, url string, html string, text string")

@@ -8,12 +8,16 @@ share a prefix token under the first order (an equi-join), survive a parity-bitm
 prefix token under every other order, and are then verified on their whole sets.
 
 A token list of more than SHORT members, as thousands of near copies make, is never expanded into all pairs. Two
-rounds link members with one pivot per list; lists whose members then lie in one component are done. For the
-rest, blocks of bounded size are compared inside a task, which returns only pairs that pass the filters and lie
+rounds link members with few pivots per list; lists whose members then lie in one component are done. For the
+rest, blocks of bounded size are compared inside a task, which returns only pairs that pass the bitmaps and lie
 in different components, so every link between components is still found.
 
-Null texts and empty texts have an empty set and link with nothing; a row with a null id joins the component of an
-equal set that has an id, else its component is null; repeated rows are each returned; extra columns are not
+Frequent tokens never meet in one task: what a list needs to know of itself is a map-side aggregate that is joined back,
+and only lists that a count of token buckets proves short are counted by a window. Whole sets travel as the upper halves of
+their hashes; a pair that chance agreements could have lifted over the bound is compared again by whole hashes.
+
+Null texts and empty texts have an empty set and link with nothing; a row with a null id links like any other, its
+component is that of the ids it reaches, null if there are none; repeated rows are each returned; extra columns are not
 looked at.
 """
 
@@ -26,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import (
     LOWER,
@@ -48,7 +53,12 @@ ORDERS = 3
 BLOCK = 1024
 SHORT = 32
 #: Partners of one pivot that are verified in one place.
-SALT_ROWS = 1024
+SALT_ROWS = 64
+#: Pivots that lists with the same members can have.
+PIVOTS = 8
+#: Buckets of prefix tokens (2 ** HOT_BITS), and the rows from which a bucket's tokens are not counted by a window.
+HOT_BITS = 12
+HOT_ROWS = 1000
 #: Most ids that are broadcast to fetch texts; beyond it both sides are shuffled.
 SMALL = 200_000
 
@@ -70,7 +80,8 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def token_sketch(documents: DataFrame, k: int) -> np.ndarray:
-    """Counts of tokens by hash bucket over all documents; 2 ** SKETCH_BITS numbers whatever the input's size."""
+    """Counts of tokens by hash bucket over all documents; 2 ** SKETCH_BITS numbers whatever the input's size. Where all
+    buckets are full, a token that is more frequent than a bucket's share still stands out, and only such ones matter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -92,6 +103,14 @@ def token_sketch(documents: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def _node(s: np.ndarray) -> int | None:
+    """The id of a set's class, None for the empty set."""
+    if not len(s):
+        return None
+    with np.errstate(over="ignore"):
+        return int(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -145,9 +164,7 @@ def profiles(documents: DataFrame, k: int, percent: int) -> DataFrame:
                         rows[c].append(None)
                 else:
                     p = prefix_length(n, percent)
-                    with np.errstate(over="ignore"):
-                        node = mix(np.array([mix(s).sum() + np.uint64(n)], np.uint64))
-                    rows["node"].append(int(node.view(np.int64)[0]))
+                    rows["node"].append(_node(s))
                     held = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     rows["first"].append(s[np.lexsort((s, held))[:p]].view(np.int64))
                     rows["others"].append([_heads(_order(s, j), p) for j in range(1, ORDERS)])
@@ -217,16 +234,28 @@ class _Verifier:
         self.documents, self.classes, self.sigs, self.k, self.percent = documents, classes, sigs, k, percent
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        percent = self.percent
         pairs = pairs if hasattr(pairs, "_scratch") else materialize(pairs, "candidates")
         named = _keep(self.sigs.select("node", F.struct("n", "bits", "others").alias("sig")), _nodes(pairs))
         sig = lambda x: named.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_"))
-        pairs = skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b").where(_near("a_", "b_", percent))
-        pairs = _meet(pairs, percent)
-        salts = F.ceil(F.count("*").over(Window.partitionBy("a")) / SALT_ROWS)
-        pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")), "pairs")
+        near = skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b").where(_near("a_", "b_", self.percent))
+        near = materialize(_meet(near, self.percent), "pairs")
+        links = self.compare(near, False)
+        discard(near)
+        close = links.where("not sure").select("a", "b")
+        if close.isEmpty():
+            return links.select("a", "b")
+        return links.where("sure").select("a", "b").unionByName(self.compare(materialize(close, "close"), True).select("a", "b"))
+
+    def compare(self, pairs: DataFrame, whole: bool) -> DataFrame:
+        """a, b and sure of the pairs that link by the halves of their hashes (sure: whatever chance agreements there
+        are) or by whole hashes."""
+        percent = self.percent
+        hubs = pairs.groupBy("a").agg(F.count("*").alias("held")).where(F.col("held") > SALT_ROWS)
+        pairs = _attach(pairs, materialize(hubs, "hubs"), "a", "left")
+        salts = F.ceil(F.coalesce("held", F.lit(1)) / SALT_ROWS)
+        pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
         wanted = materialize(skew_join(_nodes(pairs), self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
-        sets = _sets_of(self.documents, wanted, self.k)
+        sets = _sets_of(self.documents, wanted, self.k, whole)
         # each pivot's set goes once to each salt that has partners of it; partners' sets go once per pair
         asked = pairs.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("role")).unionByName(
             pairs.select(F.col("a").alias("node"), "a", "salt", F.lit(0).alias("role")).distinct()
@@ -247,14 +276,15 @@ class _Verifier:
                     if role[i] == 0:
                         at, pivot = (a[i], salt[i]), s
                     elif at == (a[i], salt[i]):
-                        shared = _shared(s, pivot)
-                        if 100 * shared >= percent * (len(s) + len(pivot) - shared):
-                            out.append((a[i], node[i]))
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+                        shared, both = _shared(s, pivot), len(s) + len(pivot)
+                        if (100 + percent) * shared >= percent * both:
+                            slack = 0 if whole else 3 + 20 * len(s) * len(pivot) // (1 << 32)
+                            out.append((a[i], node[i], (100 + percent) * (shared - slack) >= percent * both))
+                columns = list(zip(*out, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], ["a", "b", "sure"])
 
-        edges = materialize(rows.select("node", "a", "salt", "role", "s").mapInArrow(run, "a bigint, b bigint"), "links")
-        discard(pairs)
-        return edges
+        links = rows.select("node", "a", "salt", "role", "s").mapInArrow(run, "a bigint, b bigint, sure boolean")
+        return materialize(links, "links")
 
 
 def _block_pairs(percent: int):
@@ -281,6 +311,15 @@ def _block_pairs(percent: int):
 
 def join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of documents(doc_id, text): doc_id, n_shingles and component_id."""
+    docs, named = resolve(documents, k, percent)
+    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    of_node = skew_join(named, least, "comp").select("node", "component_id")
+    out = skew_join(docs.select("doc_id", "n", "node"), of_node, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def resolve(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, n and node of each row; classes: node, rep (its smallest id) and comp, the component's name)."""
     docs = materialize(profiles(documents, k, percent), "profiles")
     filled = docs.where("n > 0")
     classes = filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -292,37 +331,46 @@ def join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     verify = _Verifier(documents, classes, once, k, percent)
 
     tokens = once.select("node", F.col("n").cast("int").alias("n"), F.explode("first").alias("token"))
-    lists = materialize(tokens.withColumn("held", F.count("*").over(_by_token()).cast("int")).where("held > 1"), "lists")
+    lists = materialize(_counted(tokens).where("held > 1"), "lists")
     # in_long: how many of a node's prefix tokens have long lists
     in_long = materialize(lists.where(F.col("held") > SHORT).groupBy("node").agg(F.count("*").cast("int").alias("in_long")), "long")
-    short = lists.where(F.col("held") <= SHORT)
-    few = in_long.count() <= SMALL
-    short = short.join(F.broadcast(in_long), "node", "left") if few else skew_join(short, in_long, "node", "left")
-    short = short.withColumn("in_long", F.coalesce("in_long", F.lit(0)))
-    long = lists.where(F.col("held") > SHORT).drop("n")
-    long = materialize(skew_join(long, _keep(once.select("node", "n", "bits"), in_long), "node"), "longs")
+    short = _attach(lists.where(F.col("held") <= SHORT), in_long, "node", "left").withColumn("in_long", F.coalesce("in_long", F.lit(0)))
+    long = materialize(lists.where(F.col("held") > SHORT).select("token", "node"), "longs")
 
     # short lists: all pairs; long lists: each node with a pivot of the list
-    first = _pairs_with_pivot(long.withColumn("comp", F.col("node")), percent).unionByName(_short_pairs(short, percent))
+    first = _pairs_with_pivot(long.withColumn("comp", F.col("node"))).unionByName(_short_pairs(short, percent))
     first = materialize(first.distinct(), "candidates")
     discard(lists)
     comps = _components(None, verify(first))
+    discard(first)
     if not long.isEmpty():
-        # lists that still span components: once more with another pivot, then all blocks
-        pairs = _pairs_with_pivot(_open(long, comps), percent, 1)
-        comps = _components(comps, verify(pairs.distinct()))
-        comps = _components(comps, verify(_blocks(_open(long, comps), percent).distinct()))
+        # lists that still span components: once more with other pivots, then all blocks
+        comps = _components(comps, verify(_pairs_with_pivot(_open(long, comps), 1).distinct()))
+        comps = _components(comps, verify(_blocks(_open(long, comps), once, percent).distinct()))
 
     named = skew_join(classes, comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"))
-    named = materialize(named, "named")
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_node = skew_join(named, least, "comp").select("node", "component_id")
-    out = skew_join(docs.select("doc_id", "n", "node"), of_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return docs, materialize(named, "named")
+
+
+def _attach(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of found (a written table, one row per key), by broadcast while that is small."""
+    return rows.join(F.broadcast(found), key, how) if found.count() <= SMALL else skew_join(rows, found, key, how)
 
 
-def _by_token():
-    return Window.partitionBy("token")
+def _counted(tokens: DataFrame) -> DataFrame:
+    """tokens with held, the number of rows of each token. A window counts the tokens of buckets with few rows, which
+    bound its groups; those of the others, at most half of the buckets, are counted by an aggregate that is joined."""
+    bucket = F.shiftrightunsigned("token", 64 - HOT_BITS)
+    sizes = tokens.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()  # at most 2 ** HOT_BITS rows
+    most = max(HOT_ROWS, 2 * sum(r["n"] for r in sizes) >> HOT_BITS)
+    hot = [r["bucket"] for r in sizes if r["n"] > most]
+    held = F.count("*").over(Window.partitionBy("token")).cast("int")
+    if not hot:
+        return tokens.withColumn("held", held)
+    many = tokens.where(bucket.isin(hot))
+    counts = materialize(many.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "counts")
+    counted = _attach(many, counts, "token").withColumn("held", F.least("held", F.lit((1 << 31) - 1)).cast("int"))
+    return tokens.where(~bucket.isin(hot)).withColumn("held", held).unionByName(counted)
 
 
 def _components(known: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -345,33 +393,41 @@ def _keep(rows: DataFrame, nodes: DataFrame, how: str = "left_semi") -> DataFram
     return rows.join(nodes.select("node"), "node", how)
 
 
-def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, s): the whole set of each wanted(node, doc_id); a repeated row gives its set again."""
+def _sets_of(documents: DataFrame, wanted: DataFrame, k: int, whole: bool) -> DataFrame:
+    """(node, s): the whole set of each wanted(node, doc_id), as whole hashes or their upper halves (two that agree by
+    chance within a set stay two); a repeated row gives its set again. Rows without an id are looked through if a
+    class has no other."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    small = wanted.count() <= SMALL
-    rows = texts.join(F.broadcast(wanted), "doc_id") if small else skew_join(texts, wanted, "doc_id")
+    kind = pa.list_(pa.int64() if whole else pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sets, held = batch.column("node").to_pylist(), _sets(batch.column("text"), k), []
             for node, s in zip(nodes, sets, strict=True):
-                with np.errstate(over="ignore"):
-                    own = mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0] if len(s) else None
-                if own == node:  # a repeated id may bring another text
-                    # the hashes' upper halves; two that agree by chance within a set stay two
-                    held.append((node, (s >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                own = _node(s)
+                if own is not None and node in (None, own):  # a repeated id may bring another text
+                    held.append((own, s.view(np.int64) if whole else (s >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             for i in range(0, len(held), 500):
                 part = held[i : i + 500]
-                yield pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in part], pa.int64()), "s": pa.array([x for _, x in part], pa.list_(pa.int32()))})
+                yield pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in part], pa.int64()), "s": pa.array([x for _, x in part], kind)})
 
-    return rows.select("node", "text").mapInArrow(run, "node bigint, s array<int>")
+    schema = f"node bigint, s array<{'bigint' if whole else 'int'}>"
+    known = wanted.where("doc_id is not null")
+    rows = texts.join(F.broadcast(known), "doc_id") if known.count() <= SMALL else skew_join(texts, known, "doc_id")
+    sets = rows.select("node", "text").mapInArrow(run, schema)
+    nameless = wanted.where("doc_id is null").select("node")
+    if nameless.isEmpty():
+        return sets
+    own = texts.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(run, schema)
+    return sets.unionByName(_keep(own, nameless).dropDuplicates(["node"]))
 
 
 def _open(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows of lists, with their components, of the lists that span more than one component."""
     rows = skew_join(lists, comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    rows = rows.withColumn("lo", F.min("comp").over(_by_token())).withColumn("hi", F.max("comp").over(_by_token()))
-    return rows.where("lo <> hi").drop("lo", "hi")
+    rows = materialize(rows, "opened")
+    spans = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return _attach(rows, materialize(spans, "spans"), "token")
 
 
 def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -386,40 +442,72 @@ def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.where(f"{100 + percent} * (shared + more + {behind}) >= {percent} * (na + nb)").select("a", "b")
 
 
-def _pairs_with_pivot(rows: DataFrame, percent: int, number: int = 0) -> DataFrame:
-    """Pairs that may link of each row of the lists (token, node, comp, n, bits) with its list's pivot, a member
-    chosen by a hash."""
-    rank = F.xxhash64("token", "node", F.lit(number)).alias("h")
-    rows = rows.withColumn("x", F.min(F.struct(rank, "node", "comp", "n", "bits")).over(_by_token()))
-    rows = rows.withColumn("y", F.struct("n", "bits")).where("x.comp <> comp").where(_near("x", "y", percent))
-    return rows.select(F.least("x.node", "node").alias("a"), F.greatest("x.node", "node").alias("b"))
-
-
-def _blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of the long lists, block by block. Blocks follow components, so that two blocks of one
-    component are not compared."""
-    order = Window.partitionBy("token").orderBy("comp", "node")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")).drop("held")
-    rows = materialize(rows, "blocks")
+def _pairs_with_pivot(rows: DataFrame, number: int = 0) -> DataFrame:
+    """Pairs of each row of the lists (token, node, comp) with its list's pivot, the member with the smallest hash. Lists
+    of the same members have at most PIVOTS different ones."""
+    rows = rows.withColumn("rank", F.xxhash64("node", F.pmod("token", F.lit(PIVOTS)), F.lit(number)))
+    low = materialize(rows.groupBy("token").agg(F.min("rank").alias("low")), "low")
+    pivots = _attach(rows, low, "token").where("rank = low").groupBy("token").agg(F.min("node").alias("x"), F.min("comp").alias("x_comp"))
+    pairs = _attach(rows, materialize(pivots, "pivots"), "token").where("x_comp <> comp")
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+
+
+def _blocks(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of the long lists (token, node, comp), block by block. A component with many rows in a list has
+    blocks of its own, which are not compared with one another; the others are dealt by their hash."""
+    rows = materialize(rows, "open")
+    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("own"))
+    small = sizes.where(F.col("own") < BLOCK).groupBy("token").agg(F.ceil(F.sum("own") / BLOCK).alias("shared"))
+    rows = _attach(rows, materialize(small, "shared"), "token", "left")
+    large = sizes.where(F.col("own") >= BLOCK).withColumn("both", F.xxhash64("token", "comp")).select("both", "own")
+    rows = _attach(rows.withColumn("both", F.xxhash64("token", "comp")), materialize(large, "large"), "both", "left")
+    alone = F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK)))
+    rows = rows.withColumn("block", F.when(F.col("own").isNotNull(), alone).otherwise(F.pmod(F.xxhash64("comp"), F.col("shared"))))
+    rows = materialize(rows.select("token", "node", "comp", "block"), "blocks")
     spans = rows.groupBy("token", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     one = spans.toDF("token", "i", "lo1", "hi1")
     two = spans.toDF("token", "j", "lo2", "hi2")
     tasks = one.join(two, "token").where("i <= j and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
     side = lambda block, k: tasks.select("token", "i", "j", F.col(block).alias("block"), F.lit(k).alias("side"))
     sides = side("i", 0).unionByName(side("j", 1).where("i < j"))
-    found = sides.join(rows, ["token", "block"]).groupBy("token", "i", "j").applyInPandas(_block_pairs(percent), "a bigint, b bigint")
+    members = skew_join(rows, _keep(sigs.select("node", "n", "bits"), materialize(rows.select("node").distinct(), "nodes")), "node")
+    found = sides.join(members, ["token", "block"]).groupBy("token", "i", "j").applyInPandas(_block_pairs(percent), "a bigint, b bigint")
     return found.where("a <> b")
 
 
+def _with_node(rows: DataFrame, k: int) -> DataFrame:
+    """rows with __node, the class of their sets (null: empty)."""
+    plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    schema = StructType([*plain.schema.fields, StructField("__node", LongType())])
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = pa.array([_node(s) for s in _sets(batch.column(at).cast(pa.string()), k)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "__node"])
+
+    return plain.mapInArrow(run, schema).toDF(*rows.columns, "__node")
+
+
 def deduplicate(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """documents with one row of each component: that with the smallest doc_id. Rows with an empty set or a null
-    doc_id stay; of rows that repeat the kept id with a linked text one stays."""
-    found = materialize(join(documents, k, percent), "components")
-    drop = found.where("n_shingles > 0 and doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    kept = without(documents, drop, "doc_id")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
+    """documents with one row of each component: that with the smallest doc_id, nulls last; of rows that repeat this id
+    with linked texts one stays. Rows with an empty set stay. Rows are told apart by id and set, so a row whose id
+    other texts have too shares their fate only if it links with them."""
+    docs, named = resolve(documents, k, percent)
+    rows = docs.where("n > 0").select("doc_id", "node").distinct()
+    rows = materialize(skew_join(rows, named.select("node", "comp"), "node"), "members")
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")).alias("best"))
+    rows = skew_join(rows, best, "comp").select("doc_id", "node", F.expr("doc_id <=> best.doc_id and node = best.node").alias("stays"))
+    rows = materialize(rows, "decided")
+    # an id with one row decides by the id alone; rows of the other ids and without one are looked up by their sets
+    several = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    gone = rows.where("doc_id is not null and not stays").join(several, "doc_id", "left_anti").select("doc_id")
+    kept = without(documents, gone, "doc_id")
+    if several.isEmpty() and docs.where("doc_id is null and n > 0").isEmpty():
         return kept
-    return kept.join(repeated, "doc_id", "left_anti").select(*documents.columns).unionByName(
-        kept.join(repeated, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id", "text"])
-    )
+    single = kept.where("doc_id is not null").join(several, "doc_id", "left_anti").select(*documents.columns)
+    other = kept.where("doc_id is null").unionByName(kept.join(several, "doc_id", "left_semi").select(*documents.columns))
+    other = materialize(_with_node(other, k), "other")
+    stay = rows.where("stays").select(F.col("doc_id").alias("__id"), F.col("node").alias("__own"))
+    held = other.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__own")), "left_semi").dropDuplicates(["doc_id", "__node"])
+    return single.unionByName(held.unionByName(other.where("__node is null")).select(*documents.columns))
