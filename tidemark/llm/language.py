@@ -5,8 +5,8 @@ character the longest known n-gram (4, then 3, 2, 1 letters, with word-edge mark
 instead. The class with the largest sum wins; the score is its posterior per scored unit.
 
 Words are maximal runs of letters (ASCII letters and every non-ASCII character), lower-cased. Counts come from all
-rows of a bounded sample: about SAMPLE rows of each language, by a hash of the id; each language keeps its VOCAB
-most frequent words and GRAMS most frequent n-grams of each length, so the model's size is bounded.
+rows of a bounded sample: about SAMPLE rows of each language, by a hash of the id; words and n-grams seen at least LEAST
+times in it are kept, so the model's size follows from the sample and not from the table.
 
 A null text, or one without any letter, is `und` with score 0; rows with a null id are predicted, are not held
 out and never train; a null language never trains; repeated rows are predicted alike; extra columns are not looked
@@ -26,8 +26,8 @@ from tidemark.llm.common import NOT_LETTER, find_words, span_hashes, text_slices
 from tidemark.llm.quality import bucket
 
 SAMPLE = 2000
-VOCAB = 20000
-GRAMS = 5000
+#: Least count of a word or n-gram in a language of the sample.
+LEAST = 2
 LONGEST = 4
 EDGE = 0x20
 
@@ -81,10 +81,9 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     langs = sorted(totals)
     if not langs:
         return Model([], [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * (LONGEST + 1), np.zeros(0))
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(sample / totals[lang])).otherwise(share)
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
+    shares = documents.sparkSession.createDataFrame([(lang, sample / n) for lang, n in totals.items()], "lang string, share double")
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20))
+    rows = rows.join(F.broadcast(shares), "lang").where(chance < F.col("share") * (1 << 20)).select("text", "lang")
     number = {lang: i for i, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +112,8 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
                         )
 
     counts = rows.mapInArrow(count, "kind int, lang int, h bigint, n bigint").groupBy("kind", "lang", "h").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "h"))
     total = F.sum("n").over(Window.partitionBy("kind", "lang"))
-    most = F.when(F.col("kind") == 0, F.lit(VOCAB)).otherwise(F.lit(GRAMS))
-    kept = counts.withColumn("r", rank).withColumn("total", total).where(F.col("r") <= most).toPandas()
+    kept = counts.withColumn("total", total).where(F.col("n") >= LEAST).toPandas()
     sums = {(k, x): t for k, x, t in kept[["kind", "lang", "total"]].drop_duplicates().itertuples(index=False)}
     tables = []
     for kind in range(LONGEST + 1):

@@ -175,7 +175,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Fa
     labels = labels.where("doc_id is not null and quality is not null").where(bucket("doc_id", 4) != 2)
     labels = labels.groupBy("doc_id").agg(F.max("quality").alias("__quality"))
     sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = documents.select("doc_id", "text", _length(documents)).join(F.broadcast(sample), "doc_id")
+    chosen = documents.select("doc_id", F.col("text").cast("string").alias("text"), _length(documents)).join(F.broadcast(sample), "doc_id")
+    # rows that repeat an id count once: the driver gets at most `rows` of them
+    chosen = chosen.groupBy("doc_id", "__quality").agg(F.min(F.struct("text", "n_chars")).alias("x")).select("doc_id", "__quality", "x.text", "x.n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +202,8 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Fa
 
 def _length(documents: DataFrame):
     held = "n_chars" in documents.columns
-    return (F.col("n_chars") if held else F.lit(None)).cast("double").alias("n_chars")
+    length = F.col("n_chars").try_cast("double") if held else F.lit(None).cast("double")
+    return length.alias("n_chars")
 
 
 def score(documents: DataFrame, model: FactorisationMachine, keep: list[str] | None = None) -> DataFrame:

@@ -216,9 +216,15 @@ def read(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> Data
     split = whole.where("digest is null")
     if split.isEmpty():
         return whole.drop("next", "head", "length")
-    parts = _with_offsets(_mapped(_segments(spark, path), lambda data: (data,), f"{_SEGMENT}, data binary"), bases)
-    spans = split.select("file", F.col("off").alias("own"), "next", "head", "length")
-    parts = parts.join(spans, ["file"]).where("off >= own and off < next")
+    # segments of the files that hold such records, each compared with the records of its own blocks only
+    files = materialize(split.select("file").distinct(), "files")
+    raw = _segments(spark, path)
+    raw = raw.join(F.broadcast(files), "file", "left_semi").select(*raw.columns) if files.count() <= SMALL else raw
+    parts = _with_offsets(_mapped(raw, lambda data: (data,), f"{_SEGMENT}, data binary"), bases)
+    parts = parts.withColumn("blk", F.floor(F.col("off") / block_bytes))
+    blocks = F.sequence(F.floor(F.col("off") / block_bytes), F.floor((F.col("next") - 1) / block_bytes))
+    spans = split.select("file", F.explode(blocks).alias("blk"), F.col("off").alias("own"), "next", "head", "length")
+    parts = parts.join(spans, ["file", "blk"]).where("off >= own and off < next")
     parts = parts.groupBy("file", F.col("own").alias("off"), "head", "length").agg(F.sort_array(F.collect_list(F.struct("off", "data"))).alias("p"))
     joined = F.expr(f"aggregate(p, cast('' as binary), (a, x) -> concat(a, cast('{MAGIC.strip()}\\r\\n' as binary), x.data))")
     payload = F.expr(f"substring(b, {len(MAGIC)} + head + 1, length)")
