@@ -440,6 +440,36 @@ def test_backoff_prefers_the_longest_known_gram():
     assert list(ends[3]) == [4, 5, 6, 0, 0, 0] and list(ends[0]) == [1, 2, 3, 4, 5, 6]
 
 
+def test_language_scores_against_plain_backoff(spark):
+    """Each word by a dictionary look-up, each character of an unseen one by its longest known n-gram."""
+    a, b = prose(3000, 21), prose(3000, 22).translate(str.maketrans("abcde", "klmno"))
+    rows = [(i, " ".join(w.split()[i % 100 * 30 : i % 100 * 30 + 30]), lang) for lang, w, at in (("aa", a, 0), ("bb", b, 100)) for i in range(at, at + 100)]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+
+    def look_up(kind, text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = model.find(kind, common.span_hashes(data, np.array([0]), np.array([len(data)])))[0]
+        return None if at < 0 else model.tables[kind][1][at]
+
+    texts = [rows[3][1], prose(20, 99), "fklm " + rows[150][1][:40], "Zzé abc", "q", "ab, cd-EF 12 gh"]
+    names, best = language.predict_texts(model, texts)
+    for text, name, score in zip(texts, names, best):
+        total, units = np.zeros(2), 0.0
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            known = look_up(0, word)
+            if known is not None:
+                total, units = total + known, units + 1
+                continue
+            padded = f" {word} "
+            for i in range(len(padded)):
+                grams = [look_up(n, padded[i : i + n]) for n in range(language.LONGEST, 0, -1) if i + n <= len(padded)]
+                hit = next((g for g in grams if g is not None), None)
+                if hit is not None:
+                    total, units = total + hit / language.LONGEST, units + 1 / language.LONGEST
+        share = np.exp((total - total.max()) / max(np.sqrt(units), 1))
+        assert name == model.langs[int(total.argmax())] and np.isclose(score, share.max() / share.sum())
+
+
 def test_embedding_edges(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 8))

@@ -36,3 +36,44 @@ def test_classifier_and_language_on_held_out_rows(spark):
     rows = queries.op10_language_id(spark, sf_dir).join(truth, "doc_id").where("held_out")
     right, n = rows.selectExpr("sum(cast(lang_pred = lang as int))", "count(*)").first()
     assert right / n >= 0.98
+
+
+def test_oracles_on_the_smallest_tables(spark):
+    import duckdb
+
+    from tidemark.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+    for name, text in queries.ORACLE_SQL.items():
+        got = queries.QUERIES[name](spark, sf_dir)
+        want = con.sql(text)
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns)
+        rows = [tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()]
+        assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=str) == sorted(rows, key=str), name
+
+
+def test_pipeline_on_empty_tables_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    empty = str(tmp_path / "empty")
+    for name, table in (("documents", source), ("labels", labels), ("benchmark", benchmark)):
+        table.where("false").write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    odd = str(tmp_path / "odd")
+    item = benchmark.where("length(text) > 60").orderBy("item_id").first().text
+    clean = source.join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").limit(1).select(*source.columns)
+    text = clean.first().text
+    extra = spark.createDataFrame([(None, text, "en", "s", None), (None, item + " " + text, "en", "s", None), (None, None, None, None, None), (7, "", "en", "s", 0)], source.schema)
+    source.unionByName(clean).unionByName(extra).write.parquet(f"{odd}/documents.parquet")
+    labels.write.parquet(f"{odd}/labels.parquet")
+    benchmark.write.parquet(f"{odd}/benchmark.parquet")
+    packed = corpus_pipeline.run(spark, odd)
+    ids = packed.groupBy("doc_id").agg({"n_words": "sum"}).collect()
+    assert sum(r.doc_id == clean.first().doc_id for r in ids) <= 1 and not any(r.doc_id is None for r in ids)

@@ -106,3 +106,19 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, similarity: float
     hit = match(texts, benchmark, similarity).select("doc_id").distinct().select(F.col("doc_id.col1").alias("__h1"), F.col("doc_id.col2").alias("__h2"))
     keyed = documents.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit("text"), text)})
     return without(keyed, hit, ["__h1", "__h2"]).drop("__h1", "__h2")
+
+
+def oracle_sql(similarity: float = SIMILARITY) -> str:
+    """match() in DuckDB's SQL: every window of each document that shares a shingle with an item, for small tables."""
+    words = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    grams = "list_transform(range(1, len(w) - g + 2), lambda p: array_to_string(w[p:p + g - 1], ' '))"
+    return f"""
+WITH i AS (SELECT item_id, w, len(w) AS n, least(len(w), {GRAM}) AS g FROM (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+k AS (SELECT item_id, n, g, list_distinct({grams}) AS grams FROM i),
+o AS (SELECT doc_id, g, {grams} AS own FROM (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) CROSS JOIN (SELECT DISTINCT g FROM k) WHERE len(w) >= g),
+c AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, g, unnest(own) AS h FROM o) JOIN (SELECT item_id, g, unnest(grams) AS h FROM k) USING (g, h)),
+x AS (SELECT doc_id, item_id, s, grams, own[s + 1:s + n - g + 1] AS v FROM (SELECT *, unnest(range(len(own))) AS s FROM c JOIN k USING (item_id) JOIN o USING (doc_id, g))),
+y AS (SELECT doc_id, item_id, s, len(list_intersect(v, grams)) AS shared, len(list_distinct(v)) AS b, len(grams) AS a FROM x),
+z AS (SELECT doc_id, item_id, s, shared / (a + b - shared) AS similarity FROM y WHERE shared / (a + b - shared) >= {similarity})
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(s, (similarity, -s))::INT AS start, count(DISTINCT s) AS n_windows FROM z GROUP BY doc_id, item_id
+"""

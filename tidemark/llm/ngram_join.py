@@ -235,10 +235,14 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         pairs = pairs if hasattr(pairs, "_scratch") else materialize(pairs, "candidates")
+        if pairs.isEmpty():
+            return pairs
         named = _keep(self.sigs.select("node", F.struct("n", "bits", "others").alias("sig")), _nodes(pairs))
         sig = lambda x: named.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_"))
         near = skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b").where(_near("a_", "b_", self.percent))
         near = materialize(_meet(near, self.percent), "pairs")
+        if near.isEmpty():
+            return near
         links = self.compare(near, False)
         discard(near)
         close = links.where("not sure").select("a", "b")
@@ -343,10 +347,12 @@ def resolve(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     discard(lists)
     comps = _components(None, verify(first))
     discard(first)
-    if not long.isEmpty():
-        # lists that still span components: once more with other pivots, then all blocks
-        comps = _components(comps, verify(_pairs_with_pivot(_open(long, comps), 1).distinct()))
-        comps = _components(comps, verify(_blocks(_open(long, comps), once, percent).distinct()))
+    # lists that still span components: once more with other pivots, then all blocks
+    for pairs_of in (lambda rows: _pairs_with_pivot(rows, 1), lambda rows: _blocks(rows, once, percent)):
+        still = _open(long, comps)
+        if still.isEmpty():
+            break
+        comps = _components(comps, verify(pairs_of(still).distinct()))
 
     named = skew_join(classes, comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"))
     return docs, materialize(named, "named")
@@ -427,7 +433,7 @@ def _open(lists: DataFrame, comps: DataFrame) -> DataFrame:
     rows = skew_join(lists, comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     rows = materialize(rows, "opened")
     spans = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return _attach(rows, materialize(spans, "spans"), "token")
+    return materialize(_attach(rows, materialize(spans, "spans"), "token"), "open")
 
 
 def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -455,7 +461,6 @@ def _pairs_with_pivot(rows: DataFrame, number: int = 0) -> DataFrame:
 def _blocks(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the long lists (token, node, comp), block by block. A component with many rows in a list has
     blocks of its own, which are not compared with one another; the others are dealt by their hash."""
-    rows = materialize(rows, "open")
     sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("own"))
     small = sizes.where(F.col("own") < BLOCK).groupBy("token").agg(F.ceil(F.sum("own") / BLOCK).alias("shared"))
     rows = _attach(rows, materialize(small, "shared"), "token", "left")
@@ -511,3 +516,21 @@ def deduplicate(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     stay = rows.where("stays").select(F.col("doc_id").alias("__id"), F.col("node").alias("__own"))
     held = other.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__own")), "left_semi").dropDuplicates(["doc_id", "__node"])
     return single.unionByName(held.unionByName(other.where("__node is null")).select(*documents.columns))
+
+
+def oracle_sql(k: int, percent: int) -> str:
+    """join() in DuckDB's SQL by the shingles that pairs share, for small tables."""
+    run = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: {run})) END AS s FROM d),
+g AS (SELECT r, len(s) AS n, unnest(s) AS t FROM s),
+e AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.t = b.t AND a.r <> b.r AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+c AS (SELECT r, r AS root FROM d UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.r WHERE c.root < e.b),
+m AS (SELECT r, min(root) AS root FROM c GROUP BY r),
+i AS (SELECT root, min(doc_id) AS component_id FROM m JOIN d USING (r) GROUP BY root)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, component_id FROM s JOIN m USING (r) JOIN i USING (root)
+"""

@@ -81,4 +81,11 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL = {"op2_warc_roundtrip": OP2_SQL, "op5_secret_scan": secrets.oracle_sql(), "op7_licence_scan": licences.oracle_sql(), "op8_embedding_dedup": embedding_dedup.oracle_sql()}
+ORACLE_SQL = {
+    "op2_warc_roundtrip": OP2_SQL,
+    "op5_secret_scan": secrets.oracle_sql(),
+    "op6_ngram_join": ngram_join.oracle_sql(3, 90),
+    "op7_licence_scan": licences.oracle_sql(),
+    "op8_embedding_dedup": embedding_dedup.oracle_sql(),
+    "op9_decontamination": decontaminate.oracle_sql(),
+}
