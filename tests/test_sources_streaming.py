@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars, indicators, patterns, state
-from tidemark.plans.inputs import bars_of, ticks
+from tidemark.plans.inputs import bars_of, ticks, trades
 from tidemark.sources import ohlcv
 from tidemark.streaming import live
 
@@ -123,3 +123,46 @@ def test_streamed_breakouts_equal_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{path}/*")
     got = _drain(live.breakout_stream(stream), "breakouts", "append")
     assert {(r.symbol, r.bar_ts): (r.event_no, r.event_state) for r in got.collect()} == want
+
+
+def test_streamed_sessions_and_sliding_windows_equal_batch(spark, tmp_path):
+    t = ticks(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+    flush = spark.createDataFrame([("zz", datetime(2024, 4, 1), 1.0, 1, -1)], t.schema)
+    both = t.unionByName(flush)
+    got = _drain(live.sessions(_stream(spark, both, tmp_path / "s"), "3 hours", "2 days"), "sessions", "append")
+    want = t.groupBy("symbol", F.session_window("ts", "3 hours").alias("w")).count().select("symbol", "w.start", "w.end", "count")
+    assert {tuple(r) for r in got.where("symbol <> 'zz'").collect()} == {tuple(r) for r in want.collect()}
+    got = _drain(live.sliding_day(_stream(spark, both, tmp_path / "d"), "2 days", "24 hours", "12 hours"), "sliding", "append")
+    w = t.groupBy("symbol", F.window("ts", "24 hours", "12 hours").alias("w")).agg(F.sum("volume").alias("v"), F.min_by("price", "ts").alias("a"), F.max_by("price", "ts").alias("b"))
+    want = {(r.symbol, r.w.end): (r.v, round(r.b / r.a - 1, 9)) for r in w.collect()}
+    assert {(r.symbol, r.ts): (r.volume, round(r.change, 9)) for r in got.where("symbol <> 'zz'").collect()} == want
+
+
+def test_streamed_daily_ranking_and_alerts(spark, tmp_path):
+    t = ticks(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+    flush = spark.createDataFrame([("zz", datetime(2024, 4, 1), 1.0, 1, -1)], t.schema)
+    days = []
+    q = live.daily_ranking(_stream(spark, t.unionByName(flush), tmp_path / "r"), "2 days", lambda batch, i: days.extend(batch.collect())).start()
+    q.awaitTermination(120)
+    want = t.groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(F.sum(F.col("price") * F.col("volume")).alias("v"))
+    assert {(r.symbol, r.day): round(r.quote_volume, 6) for r in days if r.symbol != "zz"} == {(r.symbol, r.w.end): round(r.v, 6) for r in want.collect()}
+    limits = spark.createDataFrame([("click", 400.0)], "symbol string, limit double")
+    alerts = _drain(live.price_alerts(_stream(spark, t, tmp_path / "a"), limits), "alerts", "append")
+    assert alerts.count() == t.where("symbol = 'click' and price > 400").count() > 0
+
+
+def test_streamed_pauses_equal_batch_and_ledger_is_appended_once(spark, tmp_path):
+    rows = trades(spark, SF).select("symbol", "trade_id", "exit_time", F.when(F.col("trade_id") % 5 < 3, -F.abs("net_pnl") * 40).otherwise(F.col("net_pnl")).alias("net_pnl"))
+    want = {r.trade_id: r.paused for r in state.trading_pause(rows, ["symbol"], ["exit_time", "trade_id"], "net_pnl").collect()}
+    path = str(tmp_path / "t")
+    for i, part in enumerate(("exit_time < timestamp'1995-01-01'", "exit_time >= timestamp'1995-01-01'")):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    for i in (0, 1):
+        name = next(x for x in os.listdir(f"{path}/{i}") if x.startswith("part-"))
+        os.utime(f"{path}/{i}/{name}", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = {r.trade_id: r.paused for r in _drain(live.pause_stream(stream()), "pauses", "append").collect()}
+    assert got == want and len(set(want.values())) == 2
+    for _ in range(2):
+        live.write_ledger(stream(), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()

@@ -103,12 +103,32 @@ def overlap_pairs(rows: DataFrame, keys: list[str], start: str, end: str, ident:
     return x.join(y, on).select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.i").alias("a"), F.col("y.i").alias("b"))
 
 
-def portfolio_curve(curves: DataFrame, ts: str, run: str, value: str) -> DataFrame:
-    """Equal-weight mean of the curves at every time of any of them, each carried forward, 1 before its first row.
-    Curves are few (one per run), times many."""
-    runs = curves.select(run).distinct()
-    grid = curves.select(ts).distinct().join(F.broadcast(runs)) if runs.limit(10_001).count() <= 10_000 else curves.select(ts).distinct().crossJoin(runs)
-    w = Window.partitionBy(run).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    rows = grid.join(curves.groupBy(run, ts).agg(F.max(value).alias(value)), [run, ts], "left")
-    rows = rows.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(1.0)))
-    return rows.groupBy(ts).agg(F.avg(value).alias(value), F.count("*").alias("n_curves"))
+def overlap_counts(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """n_pairs of rows of each key whose closed intervals overlap, without making them: all pairs less those in which one
+    begins after the other has ended. Begins and ends are counted by time first, and running counts go from block to block
+    of a year, so no task holds a key."""
+    mark = lambda c, b, e: F.struct(F.col(c).alias("t"), F.lit(b).cast("bigint").alias("b"), F.lit(e).cast("bigint").alias("e"))
+    marks = rows.select(*keys, F.inline(F.array(mark(start, 1, 0), mark(end, 0, 1))))
+    times = marks.groupBy(*keys, "t").agg(F.sum("b").alias("b"), F.sum("e").alias("e")).withColumn("block", F.year("t"))
+    blocks = times.groupBy(*keys, "block").agg(F.sum("b").alias("all"))
+    after = Window.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("later", F.coalesce(F.sum("all").over(after), F.lit(0))).drop("all")
+    inside = Window.partitionBy(*keys, "block").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    times = times.withColumn("own", F.coalesce(F.sum("b").over(inside), F.lit(0))).join(blocks, [*keys, "block"])
+    n = F.sum("b")
+    return times.groupBy(*keys).agg((n * (n - 1) / 2 - F.sum(F.col("e") * (F.col("own") + F.col("later")))).cast("bigint").alias("n_pairs"))
+
+
+def portfolio_curve(curves: DataFrame, ts: str, run: str, value: str, block: str = "yyyy-MM") -> DataFrame:
+    """Equal-weight mean of the curves at every time of any of them, each carried forward, 1 before its first row: 1 plus
+    the running sum of all curves' changes over their number. The running sum goes from block to block of times."""
+    rows = curves.groupBy(run, ts).agg(F.max(value).alias("v"))
+    change = F.col("v") - F.coalesce(F.lag("v").over(Window.partitionBy(run).orderBy(ts)), F.lit(1.0))
+    times = rows.withColumn("d", change).groupBy(ts).agg(F.sum("d").alias("d")).withColumn("block", F.date_format(ts, block))
+    # one row per block of times
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = times.groupBy("block").agg(F.sum("d").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0.0))).drop("all")
+    inside = Window.partitionBy("block").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    out = times.withColumn("own", F.sum("d").over(inside)).join(blocks, "block")
+    n = curves.agg(F.count_distinct(run).alias("n_curves"))
+    return out.join(F.broadcast(n)).select(ts, (1 + (F.col("base") + F.col("own")) / F.col("n_curves")).alias(value), "n_curves")  # n is one row

@@ -5,6 +5,8 @@ A frame of n bars gives a value only when n values lie in it, unless `least` say
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,27 @@ def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_
     return out.select("symbol", *kept, *found).select(*rows.columns, *names)
 
 
+def in_pieces(rows: DataFrame, compute: Callable[[DataFrame], DataFrame], before: int, after: int = 0, size: int = 4096, ts: str = "bar_ts") -> DataFrame:
+    """compute(rows) over pieces of `size` rows of each symbol, for window operators whose frames reach at most `before` rows
+    back and `after` ahead: a piece also gets the rows around it, so a long series is spread over tasks. Rows are numbered
+    month by month; a month's offset comes from the counts of the months before."""
+    if max(before, after) > size:
+        raise ValueError("a piece has at least as many rows as a frame reaches")
+    month = F.date_format(ts, "yyyy-MM")
+    rows = rows.withColumn("__month", month)
+    counts = rows.groupBy("symbol", "__month").agg(F.count("*").alias("__n"))
+    run = Window.partitionBy("symbol").orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(run), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("symbol", "__month").orderBy(ts)) - 1
+    rows = rows.withColumn("__i", inside).join(counts, ["symbol", "__month"]).withColumn("__i", F.col("__i") + F.col("__offset"))
+    piece, at = F.floor(F.col("__i") / size), F.col("__i") % size
+    own = F.struct(piece.alias("piece"), F.lit(True).alias("own"))
+    near = [F.when(at >= size - before, F.struct((piece + 1).alias("piece"), F.lit(False).alias("own"))), F.when(at < after, F.struct((piece - 1).alias("piece"), F.lit(False).alias("own")))]
+    rows = rows.withColumn("__p", F.explode(F.array_compact(F.array(own, *near)))).withColumn("symbol", F.struct("symbol", "__p.piece")).withColumn("__own", F.col("__p.own"))
+    out = compute(rows.drop("__month", "__offset", "__i", "__p")).where("__own")
+    return out.withColumn("symbol", F.col("symbol.symbol")).drop("__own")
+
+
 def ema(rows: DataFrame, spans: dict[str, int], value: str = "close", ts: str = "bar_ts") -> DataFrame:
     return smooth(rows, {name: (value, 2 / (n + 1)) for name, n in spans.items()}, ts)
 

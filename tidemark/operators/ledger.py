@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,16 +56,39 @@ def resolve_exits(events: DataFrame, bars: DataFrame, exit_flag: str, stop: str,
     rows = asof(events, flags, "entry_time", "flag_time", ["flag_time", "flag_close"], "forward", strict=True).join(ends, "symbol", "left")
     rows = rows.withColumn("until", F.coalesce("flag_time", "last_time")).withColumn("__from", F.expr("entry_time + interval 1 microsecond"))
     path = interval_join(rows.select("symbol", "event_id", "__from", "until", stop), bars, "__from", "until", ts, bucket_seconds, ["high", "low"])
-    hits = path.groupBy("symbol", "event_id").agg(F.min(F.when(F.col("low") <= F.col(stop), F.col("path_ts"))).alias("stop_time"))
-    rows = rows.join(hits, ["symbol", "event_id"], "left")
-    rows = rows.withColumn("exit_time", F.coalesce("stop_time", "until"))
-    reason = F.when(F.col("stop_time").isNotNull(), "stop").when(F.col("flag_time").isNotNull(), "signal").otherwise("end_of_data")
-    price = F.when(F.col("stop_time").isNotNull(), F.col(stop)).otherwise(F.coalesce("flag_close", "last_close"))
-    rows = rows.withColumn("exit_reason", reason).withColumn("exit_price", price)
-    span = path.join(rows.select("symbol", "event_id", "exit_time"), ["symbol", "event_id"]).where("path_ts <= exit_time")
-    span = span.groupBy("symbol", "event_id").agg(F.max("high").alias("path_high"), F.min("low").alias("path_low"))
-    drop = ["flag_time", "flag_close", "last_time", "last_close", "until", "__from", "stop_time"]
-    return rows.join(span, ["symbol", "event_id"], "left").drop(*drop)
+    # one pass over each event's path: what has been seen up to each bar, then the first bar that stops it or the last one
+    seen = Window.partitionBy("symbol", "event_id").orderBy("path_ts").rowsBetween(Window.unboundedPreceding, 0)
+    bar = F.struct("path_ts", F.max("high").over(seen).alias("h"), F.min("low").over(seen).alias("l"))
+    path = path.withColumn("__bar", bar)
+    ends = path.groupBy("symbol", "event_id").agg(F.min(F.when(F.col("low") <= F.col(stop), F.col("__bar"))).alias("hit"), F.max("__bar").alias("last"))
+    rows = rows.join(ends, ["symbol", "event_id"], "left").withColumn("end", F.coalesce("hit", "last"))
+    stopped = F.col("hit").isNotNull()
+    rows = rows.withColumns(
+        {
+            "exit_time": F.coalesce("hit.path_ts", "until"),
+            "exit_reason": F.when(stopped, "stop").when(F.col("flag_time").isNotNull(), "signal").otherwise("end_of_data"),
+            "exit_price": F.when(stopped, F.col(stop)).otherwise(F.coalesce("flag_close", "last_close")),
+            "path_high": F.col("end.h"),
+            "path_low": F.col("end.l"),
+        }
+    )
+    return rows.drop("flag_time", "flag_close", "last_time", "last_close", "until", "__from", "hit", "last", "end")
+
+
+def resolve_liquidations(events: DataFrame, bars: DataFrame, exit_flag: str, stop: str, leverage: float, bucket_seconds: int, maintenance: float = 0.005) -> DataFrame:
+    """resolve_exits() of leveraged longs: the trigger is the higher of stop and liquidation price, and a bar that reaches
+    the latter liquidates at it, whether it reaches the stop too or not."""
+    rows = events.withColumn("__liq", liquidation_price(F.col("entry_price"), leverage, F.lit("LONG"), maintenance)).withColumn("trigger", F.greatest(F.col(stop), F.col("__liq")))
+    rows = resolve_exits(rows, bars, exit_flag, "trigger", bucket_seconds)
+    # the path's low up to the exit is the exit bar's own where a trigger ended it
+    gone = (F.col("exit_reason") == "stop") & (F.col("path_low") <= F.col("__liq"))
+    price = F.when(gone, F.col("__liq")).when(F.col("exit_reason") == "stop", F.col(stop)).otherwise(F.col("exit_price"))
+    return rows.withColumn("exit_price", price).withColumn("exit_reason", F.when(gone, "liquidation").otherwise(F.col("exit_reason"))).drop("__liq")
+
+
+def gate_downshift(leverage: Column, risky: Column, factor: float) -> Column:
+    """The leverage, times factor where a gate finds a high risk."""
+    return F.when(F.coalesce(risky, F.lit(False)), leverage * factor).otherwise(leverage)
 
 
 def resolve_target_exits(events: DataFrame, bars: DataFrame, max_seconds: int, bucket_seconds: int, ts: str = "bar_ts") -> DataFrame:
@@ -130,11 +153,11 @@ def leveraged_fold(trades: DataFrame, keys: list[str], order: list[str], ret: st
     rows = trades.withColumn("__m", options).select("*", "__m.mode", "__m.levels").drop("__m")
     rows = rows.repartition(*run).sortWithinPartitions(*run, *order)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, equity, peak, last = None, start, start, []
         for batch in batches:
             out = []
-            for key, r, levels in zip(batch[run].itertuples(index=False, name=None), batch[ret], batch["levels"], strict=True):
+            for *key, r, levels in zip(*(batch.column(c).to_pylist() for c in (*run, ret, "levels")), strict=True):
                 if key != at:
                     at, equity, peak, last = key, start, start, []
                 base, after_losses, in_drawdown = levels
@@ -143,11 +166,12 @@ def leveraged_fold(trades: DataFrame, keys: list[str], order: list[str], ret: st
                 before, equity = equity, equity * (floor if gone else 1 + r * x)
                 peak, last = max(peak, equity), [*last, r][-3:]
                 out.append((x, before, equity, gone))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield batch.drop(columns="levels").assign(leverage=list(cols[0]), equity_before=list(cols[1]), equity_after=list(cols[2]), liquidated=list(cols[3]))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            more = [*(pa.array(c, pa.float64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-4]), *more], schema.names)
 
     schema = rows.drop("levels").select("*", F.lit(1.0).alias("leverage"), F.lit(1.0).alias("equity_before"), F.lit(1.0).alias("equity_after"), F.lit(True).alias("liquidated")).schema
-    return rows.mapInPandas(fold, schema)
+    return rows.mapInArrow(fold, schema)
 
 
 #: Stress cases: name, entry drift, extra slippage, fee multiple, liquidation shift.

@@ -96,17 +96,17 @@ def period_summary(trades: DataFrame, keys: list[str], period: Column, order: li
     return out.withColumn("status", F.when(F.col("n_trades") < least, "insufficient_sample").otherwise("ok"))
 
 
-def quintile_summary(rows: DataFrame, keys: list[str], quantile: str, horizon: int) -> DataFrame:
-    """Per key and quintile: count and label statistics."""
-    h = horizon
-    return rows.where(F.col(quantile).isNotNull() & F.col(f"fwd_ret_{h}").isNotNull()).groupBy(*keys, quantile).agg(
+def quintile_summary(rows: DataFrame, keys: list[str], quantile: str, horizon: int | None = None) -> DataFrame:
+    """Per key and quintile: count and label statistics, of one horizon's columns or of the long form's."""
+    ret, mfe, mae = (f"fwd_{x}" if horizon is None else f"fwd_{x}_{horizon}" for x in ("ret", "mfe", "mae"))
+    return rows.where(F.col(quantile).isNotNull() & F.col(ret).isNotNull()).groupBy(*keys, quantile).agg(
         F.count("*").alias("n"),
-        F.avg(f"fwd_ret_{h}").alias("mean_ret"),
-        F.percentile(f"fwd_ret_{h}", F.lit(0.5)).alias("median_ret"),
-        F.avg(f"fwd_mfe_{h}").alias("mean_mfe"),
-        F.avg(f"fwd_mae_{h}").alias("mean_mae"),
-        F.avg((F.col(f"fwd_ret_{h}") > 0).cast("double")).alias("positive_rate"),
-        (F.avg(f"fwd_mfe_{h}") / F.nullif(-F.avg(f"fwd_mae_{h}"), F.lit(0.0))).alias("mfe_mae"),
+        F.avg(ret).alias("mean_ret"),
+        F.percentile(ret, F.lit(0.5)).alias("median_ret"),
+        F.avg(mfe).alias("mean_mfe"),
+        F.avg(mae).alias("mean_mae"),
+        F.avg((F.col(ret) > 0).cast("double")).alias("positive_rate"),
+        (F.avg(mfe) / F.nullif(-F.avg(mae), F.lit(0.0))).alias("mfe_mae"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,20 +109,22 @@ def underwater(curve: DataFrame, keys: list[str], order: list[str], value: str)
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("underwater_rows", "underwater_seconds")})
 
 
-def trading_pause(trades: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def trading_pause(trades: DataFrame, keys: list[str], order: list[str], value: str, start: float = 1e6, deepest: float = 0.3) -> DataFrame:
     """paused after each closed trade: set by 4 losses in the last 5, under a quarter of wins or a negative sum in the
-    last 10; reset by 2 wins in the last 3."""
+    last 10, or a balance (start plus all results) that deep under its peak; reset by 2 wins in the last 3."""
     w = Window.partitionBy(*keys).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
     last = lambda n: w.rowsBetween(1 - n, 0)
     loss, win = (F.col(value) <= 0).cast("int"), (F.col(value) > 0).cast("int")
-    rows = trades.withColumn("__l", loss).withColumn("__w", win)
+    rows = trades.withColumn("__l", loss).withColumn("__w", win).withColumn("__eq", start + F.sum(value).over(run))
     full = lambda n: F.count("*").over(last(n)) == n
     bad = (full(5) & (F.sum("__l").over(last(5)) >= 4)) | (full(10) & ((F.avg("__w").over(last(10)) < 0.25) | (F.sum(value).over(last(10)) < 0)))
+    bad = bad | (F.col("__eq") < (1 - deepest) * F.greatest(F.lit(float(start)), F.max("__eq").over(run)))
     good = full(3) & (F.sum("__w").over(last(3)) >= 2)
     event = F.when(good, 0).when(bad, 1)
     rows = rows.withColumn("__e", event)
-    paused = F.coalesce(F.last("__e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) == 1
-    return rows.withColumn("paused", paused).drop("__l", "__w", "__e")
+    paused = F.coalesce(F.last("__e", ignorenulls=True).over(run), F.lit(0)) == 1
+    return rows.withColumn("paused", paused).drop("__l", "__w", "__e", "__eq")
 
 
 def recent_losses(trades: DataFrame, keys: list[str], order: list[str], value: str, n: int = 3) -> DataFrame:
@@ -154,18 +156,18 @@ def non_overlapping(events: DataFrame, keys: list[str], start: str, end: str, ti
     cols = [F.col(c) for c in events.columns]
     rows = events.select(*cols).repartition(*keys).sortWithinPartitions(*keys, start, tie)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, until = None, None
         for batch in batches:
             held = []
-            for key, a, b in zip(batch[keys].itertuples(index=False, name=None), batch[start], batch[end], strict=True):
-                fresh = key != run or until is None or a > until
+            for *key, a, b in zip(*(batch.column(c).to_pylist() for c in (*keys, start, end)), strict=True):
+                fresh = key != run or until is None or (a is not None and a > until)
                 held.append(fresh)
                 if fresh:
                     run, until = key, b
-            yield batch[held]
+            yield batch.filter(pa.array(held, pa.bool_()))
 
-    return rows.mapInPandas(keep, events.schema)
+    return rows.mapInArrow(keep, events.schema)
 
 
 def breakout_events(rows: DataFrame, max_age: int = 8, ts: str = "bar_ts") -> DataFrame:
@@ -177,17 +179,18 @@ def breakout_events(rows: DataFrame, max_age: int = 8, ts: str = "bar_ts") -> Da
     need = ["breakout", "exit_signal", "low", "open", "close"]
     ordered = rows.repartition("symbol").sortWithinPartitions("symbol", ts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, state = None, BreakoutState()
         for batch in batches:
-            out = []
-            for key, *bar in zip(batch["symbol"], *(batch[c] for c in need), strict=True):
+            numbers, states, ages = [], [], []
+            for key, *bar in zip(*(batch.column(c).to_pylist() for c in ("symbol", *need)), strict=True):
                 if key != symbol:
                     symbol, state = key, BreakoutState()
                 state, label = step(state, *bar, max_age=max_age)
-                out.append((state.number, label, state.age))
-            numbers, labels, ages = zip(*out, strict=True) if out else ((), (), ())
-            yield batch.assign(event_no=list(numbers), event_state=list(labels), event_age=list(ages))
+                numbers.append(state.number)
+                states.append(label)
+                ages.append(state.age)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32()), pa.array(states, pa.string()), pa.array(ages, pa.int32())], schema.names)
 
     schema = ordered.select("*", F.lit(0).alias("event_no"), F.lit("").alias("event_state"), F.lit(0).alias("event_age")).schema
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 PRIME = 2147483629
 RUN_STEP, SLOT_STEP, OFFSET = 48271, 69621, 12345
 
+#: Most rows of a key whose pairs are compared.
+MOST_PERIODS = 20_000
+
 
 def draw(run: Column, slot: Column, n: Column) -> Column:
     """0 .. n-1, from two rounds of a multiplicative generator."""
@@ -61,7 +64,8 @@ def p_values(edges: DataFrame, observed: DataFrame, keys: list[str]) -> DataFram
 
 
 def benjamini_hochberg(rows: DataFrame, keys: list[str], p: str, tie: str) -> DataFrame:
-    """q values: p * m / rank, made monotone from the largest p down, at most 1. keys may be empty only for short tables."""
+    """q values: p * m / rank, made monotone from the largest p down, at most 1. Rows are hypotheses, so
+    without keys they are one group."""
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     rank = F.row_number().over(part.orderBy(p, tie))
     rows = rows.withColumn("__q", F.col(p) * F.count(p).over(part) / rank)
@@ -170,7 +174,11 @@ def correlations(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 
 def kendall(blocks: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Kendall's tau-b of a short table (one row per period): pairs of a key's rows are compared by a self-join."""
+    """Kendall's tau-b of a short table (one row per period): pairs of a key's rows are compared by a self-join, so a key with
+    more than MOST_PERIODS rows is an error."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    short = F.when(n > MOST_PERIODS, F.raise_error(F.lit("kendall: a key has more rows than MOST_PERIODS")).cast("boolean")).otherwise(True)
+    blocks = blocks.withColumn("__short", short).where("__short").drop("__short")
     x = blocks.select(*keys, F.col(a).alias("a"), F.col(b).alias("b")).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("a", "b")))
     y = x.select(*keys, F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("i").alias("j"))
     pairs = x.join(y, keys).where("i < j")
@@ -190,3 +198,105 @@ def edge_metrics(rows: DataFrame, keys: list[str], values: list[str]) -> DataFra
     long = rows.select(*keys, "top20", "bottom20", *[F.col(v).cast("double").alias(v) for v in values]).unpivot([*keys, "top20", "bottom20"], values, "metric", "value")
     hi, lo = F.when(F.col("top20"), F.col("value")), F.when(F.col("bottom20"), F.col("value"))
     return long.groupBy(*keys, "metric").agg(F.count(hi).alias("n_top"), F.count(lo).alias("n_bottom"), (F.avg(hi) - F.avg(lo)).alias("edge"))
+
+
+def matched_sampling(target: DataFrame, pool: DataFrame, bucket: list[str], ident: str, start: str, end: str, n_runs: int, share: float) -> DataFrame:
+    """Per run: as many rows of the pool as the target has in each bucket, without two that overlap in time, and what a bucket
+    lacks filled from the others. A run draws a share of the pool, takes those that do not overlap in the order of time (a sorted stream
+    per run), and keeps each bucket's quota by the draw. run, ident, bucket columns and filled."""
+    from tidemark.operators.state import non_overlapping
+
+    quotas = target.groupBy(*bucket).agg(F.count("*").alias("quota"))
+    numbered = pool.withColumn("slot", F.row_number().over(Window.partitionBy(*bucket).orderBy(ident)).cast("bigint"))
+    rows = runs(numbered.select(*bucket, ident, start, end, "slot"), n_runs).withColumn("r", draw(F.col("run"), F.col(ident).cast("bigint"), F.lit(PRIME).cast("bigint")))
+    kept = non_overlapping(rows.where(F.col("r") < int(share * PRIME)), ["run"], start, end, ident)
+    kept = kept.join(quotas, bucket, "left").withColumn("quota", F.coalesce("quota", F.lit(0)))
+    kept = kept.withColumn("__rank", F.row_number().over(Window.partitionBy("run", *bucket).orderBy("r", ident))).withColumn("filled", F.col("__rank") > F.col("quota"))
+    lack = kept.groupBy("run", *bucket).agg(F.least(F.count("*"), F.first("quota")).alias("held")).groupBy("run").agg(F.sum("held").alias("held"))
+    lack = lack.join(F.broadcast(quotas.agg(F.sum("quota").alias("asked")))).select("run", (F.col("asked") - F.col("held")).alias("lack"))  # one row
+    rest = kept.join(lack, "run").withColumn("__rest", F.row_number().over(Window.partitionBy("run", "filled").orderBy("r", ident)))
+    return rest.where("not filled or __rest <= lack").select("run", ident, *bucket, "filled")
+
+
+def edge_bootstrap(rows: DataFrame, keys: list[str], group: str, value: str, ident: str, high, low, n_runs: int) -> DataFrame:
+    """Edge (mean of the high group less that of the low one) of each run, which resamples the rows within each group."""
+    pool = rows.where(F.col(group).isin(high, low))
+    means = bootstrap_means(pool, [*keys, group], value, ident, n_runs)
+    hi, lo = F.max(F.when(F.col(group) == high, F.col("mean"))), F.max(F.when(F.col(group) == low, F.col("mean")))
+    return means.groupBy(*keys, "run").agg((hi - lo).alias("edge"))
+
+
+def block_edge_bootstrap(rows: DataFrame, keys: list[str], block: str, group: str, value: str, high, low, n_runs: int) -> DataFrame:
+    """Edge of each run, which resamples whole blocks: from sums and counts of each group by block."""
+    hi, lo = F.col(group) == high, F.col(group) == low
+    v = F.col(value)
+    sums = rows.where((hi | lo) & v.isNotNull()).groupBy(*keys, block).agg(
+        *[F.sum(F.when(g, v).otherwise(0.0)).alias(f"s{i}") for i, g in enumerate((hi, lo))], *[F.count_if(g).alias(f"c{i}") for i, g in enumerate((hi, lo))]
+    )
+    w = Window.partitionBy(*keys)
+    sums = sums.withColumn("slot", (F.row_number().over(w.orderBy(block)) - 1).cast("bigint")).withColumn("n", F.count("*").over(w))
+    asked = runs(sums.select(*keys, "slot", "n"), n_runs)
+    asked = asked.select(*keys, "run", draw(F.col("run"), F.col("slot"), F.col("n")).alias("slot"))
+    drawn = asked.join(sums.select(*keys, "slot", "s0", "s1", "c0", "c1"), [*keys, "slot"])
+    mean = lambda i: F.sum(f"s{i}") / F.nullif(F.sum(f"c{i}"), F.lit(0))
+    return drawn.groupBy(*keys, "run").agg((mean(0) - mean(1)).alias("edge"))
+
+
+def pnl_bootstrap(trades: DataFrame, keys: list[str], block: str, pnl: str, start: float, ruin: float, n_runs: int) -> DataFrame:
+    """Per key: share of runs that end with a loss and of those whose balance ever falls to `ruin` of the start, and the mean of the
+    final balances, when whole blocks of trades are drawn anew in each run. Blocks are reduced to their sum and lowest running sum
+    first, so a run's path is that of its blocks."""
+    order = Window.partitionBy(*keys, block).orderBy("exit_time", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = trades.withColumn("__run", F.sum(pnl).over(order)).groupBy(*keys, block).agg(F.sum(pnl).alias("s"), F.min("__run").alias("low"))
+    w = Window.partitionBy(*keys)
+    blocks = blocks.withColumn("slot", (F.row_number().over(w.orderBy(block)) - 1).cast("bigint")).withColumn("n", F.count("*").over(w))
+    asked = runs(blocks.select(*keys, F.col("slot").alias("at"), "n"), n_runs)
+    asked = asked.select(*keys, "run", "at", draw(F.col("run"), F.col("at"), F.col("n")).alias("slot"))
+    path = Window.partitionBy(*keys, "run").orderBy("at")
+    drawn = asked.join(blocks.select(*keys, "slot", "s", "low"), [*keys, "slot"])
+    drawn = drawn.withColumn("lowest", start + F.sum("s").over(path.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s") + F.col("low"))
+    ends = drawn.groupBy(*keys, "run").agg((start + F.sum("s")).alias("final"), F.min("lowest").alias("lowest"))
+    return ends.groupBy(*keys).agg(
+        F.count("*").alias("n_runs"), F.avg((F.col("final") < start).cast("double")).alias("loss_rate"), F.avg((F.col("lowest") <= ruin * start).cast("double")).alias("ruin_rate"), F.avg("final").alias("mean_final")
+    )
+
+
+def subsample_test(rows: DataFrame, pool: DataFrame, keys: list[str], value: str, ident: str, n_runs: int) -> DataFrame:
+    """Mean of each key's rows against draws of as many rows of its pool without replacement: the share of draws below it."""
+    own = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    base = pool.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(ident)).cast("bigint"))
+    dealt = runs(base.select(*keys, "i", F.col(value).alias("v")), n_runs).withColumn("r", draw(F.col("run"), F.col("i"), F.lit(PRIME).cast("bigint")))
+    dealt = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "run").orderBy("r", "i"))).join(own, keys)
+    draws = dealt.where("rank <= n").groupBy(*keys, "run").agg(F.avg("v").alias("drawn"), F.first("mean").alias("mean"))
+    return draws.groupBy(*keys).agg(F.first("mean").alias("mean"), F.avg("drawn").alias("mean_drawn"), F.avg((F.col("drawn") < F.col("mean")).cast("double")).alias("share_below"))
+
+
+def top_removed_edges(rows: DataFrame, keys: list[str], group: str, value: str, tie: str, high, low, shares: list[float]) -> DataFrame:
+    """Edge when the best share of a key's values is left out, for each share (0: none)."""
+    known = rows.where(F.col(value).isNotNull())
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), tie)) / F.count("*").over(Window.partitionBy(*keys))
+    long = known.withColumn("__p", rank).withColumn("removed", F.explode(F.array(*map(F.lit, map(float, shares))))).where("__p > removed")
+    return observed_edge(long, [*keys, "removed"], group, value, high, low)
+
+
+def reranked_edges(rows: DataFrame, keys: list[str], scenarios: dict[str, Column], factor: str, value: str, tie: str) -> DataFrame:
+    """Edge of the factor's top over its bottom fifth in each scenario's subset, ranked anew inside it. scenarios: name to the
+    number of times a row counts (0: left out)."""
+    times = F.array(*[F.struct(F.lit(n).alias("scenario"), c.cast("int").alias("times")) for n, c in scenarios.items()])
+    long = rows.where(F.col(factor).isNotNull() & F.col(value).isNotNull()).withColumn("__s", F.explode(times)).where("__s.times > 0")
+    long = long.select("*", F.col("__s.scenario").alias("scenario"), F.explode(F.sequence(F.lit(1), F.col("__s.times"))).alias("__copy"))
+    part = Window.partitionBy(*keys, "scenario")
+    share = (F.row_number().over(part.orderBy(factor, tie, "__copy")) - 0.5) / F.count("*").over(part)
+    fifth = F.when(F.col("__share") > 0.8, 5).when(F.col("__share") <= 0.2, 1)
+    return observed_edge(long.withColumn("__share", share).withColumn("__g", fifth), [*keys, "scenario"], "__g", value, 5, 1)
+
+
+def safety_consistency(rows: DataFrame, labels: dict[str, int], scopes: list[str]) -> DataFrame:
+    """Over rows with top20 and bottom20 flags: the edge of each label, turned so that more is safer (sign -1 for liquidations), over
+    all rows, and the shares of each scope's groups in which it is positive."""
+    cols = [F.struct(F.lit(n).alias("label"), (F.col(n).cast("double") * s).alias("v")) for n, s in labels.items()]
+    groups = F.array(F.struct(F.lit("all").alias("scope"), F.lit("all").alias("grp")), *[F.struct(F.lit(s).alias("scope"), F.col(s).cast("string").alias("grp")) for s in scopes])
+    long = rows.where("top20 or bottom20").select("top20", "bottom20", F.explode(groups).alias("g"), F.array(*cols).alias("l")).select("top20", "bottom20", "g.scope", "g.grp", F.inline("l").alias("label", "v"))
+    hi, lo = F.avg(F.when(F.col("top20"), F.col("v"))), F.avg(F.when(F.col("bottom20"), F.col("v")))
+    edges = long.groupBy("label", "scope", "grp").agg((hi - lo).alias("edge"))
+    return edges.groupBy("label", "scope").agg(F.count("edge").alias("n_groups"), F.avg((F.col("edge") > 0).cast("double")).alias("positive_share"), F.avg("edge").alias("mean_edge"))

@@ -12,7 +12,7 @@ def fit(rows: DataFrame, factors: list[str], keys: list[str] | None = None, low:
     long = rows.select(*keys, *[F.col(f).cast("double").alias(f) for f in factors]).unpivot(keys, factors, "factor", "value")
     by = [*keys, "factor"]
     bounds = long.groupBy(*by).agg(F.percentile("value", F.lit(low)).alias("low"), F.percentile("value", F.lit(high)).alias("high"))
-    clipped = long.join(F.broadcast(bounds), by).withColumn("c", F.when(F.col("value").isNotNull(), F.least(F.greatest("value", "low"), F.col("high"))))
+    clipped = long.join(bounds, by).withColumn("c", F.when(F.col("value").isNotNull(), F.least(F.greatest("value", "low"), F.col("high"))))
     return clipped.groupBy(*by).agg(
         F.first("low").alias("low"), F.first("high").alias("high"), F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"), F.avg(F.col("value").isNull().cast("double")).alias("missing_rate")
     )
@@ -23,7 +23,7 @@ def standardise(rows: DataFrame, ids: list[str], factors: list[str], params: Dat
     keys = keys or []
     cols = list(dict.fromkeys([*ids, *keys]))
     long = rows.select(*cols, *[F.col(f).cast("double").alias(f) for f in factors]).unpivot(cols, factors, "factor", "value")
-    out = long.join(F.broadcast(params.select(*keys, "factor", "low", "high", "mean", "std")), [*keys, "factor"])
+    out = long.join(params.select(*keys, "factor", "low", "high", "mean", "std"), [*keys, "factor"])
     clipped = F.least(F.greatest(F.col("value"), F.col("low")), F.col("high"))
     z = F.when(F.col("value").isNotNull(), (clipped - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)))
     return out.select(*cols, "factor", "value", z.alias("z"))
@@ -114,3 +114,18 @@ def ladder(rules: list[tuple[Column, str]], default: str) -> Column:
     for condition, label in rules:
         out = out.when(F.coalesce(condition, F.lit(False)), label)
     return out.otherwise(default)
+
+
+def cross_asset(rows: DataFrame, discovery: Column, ids: list[str], factors: dict[str, tuple[str, int]], value: str, tie: str) -> DataFrame:
+    """Every symbol scored by parameters fitted on the discovery rows alone: per symbol and family the edge of the score's top over
+    its bottom fifth, and whether it has the discovery's sign. rows: one per ids, with symbol and value."""
+    params = fit(rows.where(discovery), list(factors))
+    scores = family_scores(standardise(rows, [*ids, "symbol"], list(factors), params), [*ids, "symbol"], factors)
+    scored = scores.join(rows.select(*ids, value, discovery.alias("__d")), ids).where(F.col("score").isNotNull() & F.col(value).isNotNull())
+    part = Window.partitionBy("symbol", "family")
+    share = (F.row_number().over(part.orderBy("score", tie)) - 0.5) / F.count("*").over(part)
+    scored = scored.withColumn("__p", share)
+    edge = F.avg(F.when(F.col("__p") > 0.8, F.col(value))) - F.avg(F.when(F.col("__p") <= 0.2, F.col(value)))
+    out = scored.groupBy("symbol", "family").agg(F.count("*").alias("n"), F.max("__d").alias("discovery"), edge.alias("edge"))
+    found = out.where("discovery").groupBy("family").agg(F.avg("edge").alias("__e"))
+    return out.join(found, "family", "left").withColumn("same_sign", F.signum("edge") == F.signum("__e")).drop("__e")

@@ -77,9 +77,9 @@ sql(
 sql(
     "monthly_spine",
     TRADES,
-    """, m AS (SELECT symbol, strftime(exit_time, '%Y-%m') AS month, round(sum(net_pnl), 2) AS net FROM trades WHERE symbol = '1-URGENT' AND n_lines >= 7 GROUP BY ALL),
-s AS (SELECT symbol, strftime(unnest(generate_series(strptime(min(month) || '-01', '%Y-%m-%d'), strptime(max(month) || '-01', '%Y-%m-%d'), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM m GROUP BY symbol)
-SELECT symbol, month, coalesce(net, 0) AS net FROM s LEFT JOIN m USING (symbol, month)""",
+    """, m AS (SELECT symbol, exit_reason, n_lines, strftime(exit_time, '%Y-%m') AS month, round(sum(net_pnl), 4) AS net FROM trades GROUP BY ALL),
+s AS (SELECT symbol, exit_reason, n_lines, strftime(unnest(generate_series(strptime(min(month) || '-01', '%Y-%m-%d'), strptime(max(month) || '-01', '%Y-%m-%d'), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM m GROUP BY symbol, exit_reason, n_lines)
+SELECT symbol, exit_reason, n_lines, month, coalesce(net, 0) AS net FROM s LEFT JOIN m USING (symbol, exit_reason, n_lines, month)""",
 )
 EQUITY = f"{TRADES}, equity AS (SELECT *, 1e6 + sum(net_pnl) OVER (PARTITION BY symbol ORDER BY exit_time, trade_id) AS equity FROM trades)"
 sql(
@@ -292,8 +292,9 @@ def last_n(n: int) -> str:
 sql(
     "trading_pause",
     TRADES,
-    f""", a AS (SELECT *, CASE WHEN count(*) OVER {last_n(3)} = 3 AND sum((net_pnl > 0)::INT) OVER {last_n(3)} >= 2 THEN 0
-  WHEN (count(*) OVER {last_n(5)} = 5 AND sum((net_pnl <= 0)::INT) OVER {last_n(5)} >= 4) OR (count(*) OVER {last_n(10)} = 10 AND (avg((net_pnl > 0)::INT) OVER {last_n(10)} < 0.25 OR sum(net_pnl) OVER {last_n(10)} < 0)) THEN 1 END AS e FROM trades),
+    f""", q0 AS (SELECT *, 1e6 + sum(net_pnl) OVER {T[:-1]} ROWS UNBOUNDED PRECEDING) AS eq FROM trades), q AS (SELECT *, greatest(1e6, max(eq) OVER {T[:-1]} ROWS UNBOUNDED PRECEDING)) AS peak FROM q0),
+a AS (SELECT *, CASE WHEN count(*) OVER {last_n(3)} = 3 AND sum((net_pnl > 0)::INT) OVER {last_n(3)} >= 2 THEN 0
+  WHEN (count(*) OVER {last_n(5)} = 5 AND sum((net_pnl <= 0)::INT) OVER {last_n(5)} >= 4) OR (count(*) OVER {last_n(10)} = 10 AND (avg((net_pnl > 0)::INT) OVER {last_n(10)} < 0.25 OR sum(net_pnl) OVER {last_n(10)} < 0)) OR eq < 0.7 * peak THEN 1 END AS e FROM q),
 b AS (SELECT symbol, coalesce(last_value(e IGNORE NULLS) OVER {T[:-1]} ROWS UNBOUNDED PRECEDING), 0) = 1 AS paused FROM a)
 SELECT symbol, paused, count(*) AS n FROM b GROUP BY ALL""",
 )
@@ -329,14 +330,14 @@ sql("path_interval_join", EVENTS, "SELECT ev.event_id, count(*) AS n, max(price)
 sql(
     "containment_join",
     SEG,
-    """, t AS (SELECT symbol, event_id, ts FROM ticks WHERE event_id % 10 = 0),
+    """, t AS (SELECT symbol, event_id, ts FROM ticks),
 j AS (SELECT t.symbol, event_id, ts, segment_id, segment_start, segment_end, coalesce(ts <= segment_end, false) AS mapped FROM t ASOF LEFT JOIN seg ON t.symbol = seg.symbol AND t.ts >= seg.segment_start)
 SELECT symbol, event_id, mapped, CASE WHEN mapped THEN segment_id END AS segment_id, CASE WHEN mapped THEN round(floor(epoch(ts - segment_start)) / nullif(epoch(segment_end - segment_start), 0), 6) END AS position FROM j""",
 )
 sql(
     "fallback_match",
     TRADES,
-    """, e AS (SELECT trade_id, symbol, side, strftime(entry_time, '%Y-%m') AS month FROM trades WHERE trade_id % 50 = 0), p AS (SELECT symbol, side, strftime(entry_time, '%Y-%m') AS month, net_pnl FROM trades WHERE trade_id % 50 = 1 AND n_lines > 4),
+    """, e AS (SELECT trade_id, symbol, side, strftime(entry_time, '%Y-%m') AS month FROM trades), p AS (SELECT symbol, side, strftime(entry_time, '%Y-%m') AS month, net_pnl FROM trades WHERE exit_reason = 'P'),
 a AS (SELECT symbol, side, month, count(*) AS n, avg(net_pnl) AS m FROM p GROUP BY ALL), b AS (SELECT symbol, side, count(*) AS n, avg(net_pnl) AS m FROM p GROUP BY ALL)
 SELECT trade_id, symbol, side, month, CASE WHEN a.n > 0 THEN 'primary' WHEN b.n > 0 THEN 'fallback' ELSE 'unmatched' END AS match_kind, coalesce(a.n, b.n, 0) AS match_n, round(coalesce(a.m, b.m), 6) AS match_mean
 FROM e LEFT JOIN a USING (symbol, side, month) LEFT JOIN b USING (symbol, side)""",
@@ -344,11 +345,11 @@ FROM e LEFT JOIN a USING (symbol, side, month) LEFT JOIN b USING (symbol, side)"
 sql(
     "overlapping_pairs",
     TRADES,
-    ", t AS (SELECT * FROM trades WHERE n_lines >= 6) SELECT x.symbol, x.side, count(*) AS n_pairs FROM t x JOIN t y ON x.symbol = y.symbol AND x.side = y.side AND x.trade_id < y.trade_id AND x.entry_time <= y.exit_time AND x.exit_time >= y.entry_time GROUP BY ALL",
+    ", t AS (SELECT * FROM trades) SELECT x.symbol, x.side, count(*) AS n_pairs FROM t x JOIN t y ON x.symbol = y.symbol AND x.side = y.side AND x.trade_id < y.trade_id AND x.entry_time <= y.exit_time AND x.exit_time >= y.entry_time GROUP BY ALL",
 )
 sql(
     "portfolio_curve",
-    f"{TRADES}, e0 AS (SELECT *, 1e6 + sum(net_pnl) OVER (PARTITION BY symbol ORDER BY exit_time, trade_id) AS equity FROM trades WHERE n_lines >= 8)",
+    f"{TRADES}, e0 AS (SELECT *, 1e6 + sum(net_pnl) OVER (PARTITION BY symbol ORDER BY exit_time, trade_id) AS equity FROM trades)",
     """, c AS (SELECT symbol, exit_time, arg_max(equity, trade_id) / 1e6 AS g FROM e0 GROUP BY ALL), s AS (SELECT DISTINCT symbol FROM c), t AS (SELECT DISTINCT exit_time FROM c),
 x AS (SELECT t.exit_time, s.symbol, c.g FROM t CROSS JOIN s LEFT JOIN c ON c.symbol = s.symbol AND c.exit_time = t.exit_time),
 y AS (SELECT exit_time, coalesce(last_value(g IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY exit_time ROWS UNBOUNDED PRECEDING), 1) AS g FROM x)
@@ -605,7 +606,7 @@ draws AS (SELECT symbol, run, avg(CASE WHEN {draw_sql('run', 'i', '2')} = 1 THEN
 sql(
     "order_shuffle",
     TRADES,
-    f""", base AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY trade_id) AS i, net_pnl AS v FROM trades WHERE n_lines >= 6),
+    f""", base AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY trade_id) AS i, net_pnl AS v FROM trades),
 x AS (SELECT *, {draw_sql('run', 'i', str(PRIME))} AS r FROM base CROSS JOIN (SELECT unnest(range(1, 51)) AS run)), y AS (SELECT *, 1e6 + sum(v) OVER (PARTITION BY symbol, run ORDER BY r, i ROWS UNBOUNDED PRECEDING) AS eq FROM x),
 z AS (SELECT *, eq / greatest(1e6, max(eq) OVER (PARTITION BY symbol, run ORDER BY r, i ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM y)
 SELECT symbol, run, round(sum(v), 2) AS net, round(least(min(dd), 0), 6) AS max_drawdown FROM z GROUP BY symbol, run""",
@@ -876,9 +877,9 @@ SELECT symbol, scenario, round(sum(v), 2) AS net, round({pf('v')}, 6) AS profit_
 sql(
     "risk_sweep",
     TRADES,
-    """, x AS (SELECT symbol, exit_time, trade_id, risk, exp(sum(ln(1 + risk * ret)) OVER (PARTITION BY symbol, risk ORDER BY exit_time, trade_id ROWS UNBOUNDED PRECEDING)) AS eq FROM trades CROSS JOIN (SELECT unnest([0.5::DOUBLE, 1.0, 2.0]) AS risk) WHERE n_lines >= 7),
+    """, x AS (SELECT symbol, exit_time, trade_id, risk, exp(sum(ln(1 + risk * ret)) OVER (PARTITION BY symbol, risk ORDER BY exit_time, trade_id ROWS UNBOUNDED PRECEDING)) AS eq FROM trades CROSS JOIN (SELECT unnest([0.5::DOUBLE, 1.0, 2.0]) AS risk)),
 d AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol, risk ORDER BY exit_time, trade_id ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM x)
-SELECT symbol, risk, round(arg_max(eq, (exit_time, trade_id)), 6) AS final, round(min(dd), 6) AS max_drawdown FROM d GROUP BY symbol, risk""",
+SELECT symbol, risk, round(ln(arg_max(eq, (exit_time, trade_id))), 6) AS log_final, round(min(dd), 6) AS max_drawdown FROM d GROUP BY symbol, risk""",
 )
 sql(
     "weak_month_overlap",

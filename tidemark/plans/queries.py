@@ -56,9 +56,9 @@ def trade_period_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def monthly_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir).where("symbol = '1-URGENT' and n_lines >= 7")
-    m = t.groupBy("symbol", F.date_format("exit_time", "yyyy-MM").alias("month")).agg(F.round(F.sum("net_pnl"), 2).alias("net"))
-    return bars.month_spine(m, ["symbol"], "month", ["net"])
+    t = trades(spark, sf_dir)
+    m = t.groupBy("symbol", "exit_reason", "n_lines", F.date_format("exit_time", "yyyy-MM").alias("month")).agg(F.round(F.sum("net_pnl"), 4).alias("net"))
+    return bars.month_spine(m, ["symbol", "exit_reason", "n_lines"], "month", ["net"])
 
 
 @query
@@ -373,7 +373,7 @@ def path_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = state.set_reset(signal_frame(spark, sf_dir), F.col("breakout"), F.col("exit_signal"), "active")
     seg = state.segments(rows, "active").select("symbol", "segment_id", "segment_start", "segment_end", "start_price")
-    t = ticks(spark, sf_dir).where("event_id % 10 = 0").select("symbol", "event_id", "ts", "price")
+    t = ticks(spark, sf_dir).select("symbol", "event_id", "ts", "price")
     out = asof.containment(t, seg, "ts", "segment_start", "segment_end", ["segment_id", "segment_end", "start_price"])
     pos = F.expr("timestampdiff(SECOND, segment_start, ts)") / F.nullif(F.expr("timestampdiff(SECOND, segment_start, segment_end)"), F.lit(0))
     return out.select("symbol", "event_id", "mapped", "segment_id", F.round(pos, 6).alias("position"))
@@ -382,20 +382,19 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fallback_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades(spark, sf_dir).withColumn("month", F.date_format("entry_time", "yyyy-MM"))
-    out = asof.match_with_fallback(t.where("trade_id % 50 = 0").select("trade_id", "symbol", "side", "month"), t.where("trade_id % 50 = 1 and n_lines > 4"), ["symbol", "side", "month"], ["symbol", "side"], "net_pnl")
+    # each trade against the partly filled ones of its month, else of all months
+    out = asof.match_with_fallback(t.select("trade_id", "symbol", "side", "month"), t.where("exit_reason = 'P'"), ["symbol", "side", "month"], ["symbol", "side"], "net_pnl")
     return r6(out, "match_mean")
 
 
 @query
 def overlapping_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir).where("n_lines >= 6")
-    out = asof.overlap_pairs(t, ["symbol", "side"], "entry_time", "exit_time", "trade_id", 7 * 86400)
-    return out.groupBy("symbol", "side").agg(F.count("*").alias("n_pairs"))
+    return asof.overlap_counts(trades(spark, sf_dir), ["symbol", "side"], "entry_time", "exit_time")
 
 
 @query
 def portfolio_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ledger.equity_curve(trades(spark, sf_dir).where("n_lines >= 8"), ["symbol"], ["exit_time", "trade_id"], "net_pnl", 1e6)
+    e = ledger.equity_curve(trades(spark, sf_dir), ["symbol"], ["exit_time", "trade_id"], "net_pnl", 1e6)
     e = e.groupBy("symbol", "exit_time").agg((F.max_by("equity", "trade_id") / 1e6).alias("growth"))
     return r6(asof.portfolio_curve(e, "exit_time", "symbol", "growth"), "growth")
 
@@ -669,8 +668,7 @@ def random_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def order_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir).where("n_lines >= 6")
-    out = stats.shuffled_drawdowns(t, ["symbol"], "net_pnl", "trade_id", 1e6, 50)
+    out = stats.shuffled_drawdowns(trades(spark, sf_dir), ["symbol"], "net_pnl", "trade_id", 1e6, 50)
     return r6(out.withColumn("net", F.round("net", 2)), "max_drawdown")
 
 
@@ -751,8 +749,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = state.set_reset(patterns.trend_signals(rows), F.col("breakout"), F.col("exit_signal"), "active")
     rows = labels.forward_labels(rows, [1, 4, 8]).withColumn("factor", F.round((F.col("close") - F.col("ema_slow")) / F.nullif(F.col("atr"), F.lit(0.0)), 9))
     rows = ranking.quintiles(rows, ["symbol"], "factor", "bar_ts", distinct=20)
-    parts = [metrics.quintile_summary(rows, ["symbol"], "quintile", h).withColumn("horizon", F.lit(h)) for h in (1, 4, 8)]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = labels.unpivot_labels(rows.where("quintile is not null"), ["symbol", "quintile"], [1, 4, 8])
+    out = metrics.quintile_summary(rows, ["symbol", "horizon"], "quintile")
     return r6(out, "mean_ret", "median_ret", "mean_mfe", "mean_mae", "positive_rate", "mfe_mae")
 
 
@@ -966,13 +964,13 @@ def cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def risk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir).where("n_lines >= 7")
-    return r6(studies.risk_sweep(t, ["symbol"], ["exit_time", "trade_id"], "ret", [0.5, 1.0, 2.0], 1.0), "final", "max_drawdown")
+    out = studies.risk_sweep(trades(spark, sf_dir), ["symbol"], ["exit_time", "trade_id"], "ret", [0.5, 1.0, 2.0], 1.0)
+    return r6(out.withColumn("log_final", F.log("final")).drop("final"), "log_final", "max_drawdown")
 
 
 @query
 def leverage_stress_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir).where("n_lines >= 7").withColumn("fee_rate", F.col("total_fee") / F.col("notional"))
+    t = trades(spark, sf_dir).withColumn("fee_rate", F.col("total_fee") / F.col("notional"))
     out = studies.leverage_stress_grid(t, ["symbol"], ["exit_time", "trade_id"], {"fixed": [3, 3, 3], "adaptive": [5, 2, 1]}, 1000.0)
     return out.withColumn("final", F.round(F.log("final"), 4))
 

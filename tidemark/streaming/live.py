@@ -79,24 +79,25 @@ def daily_ranking(ticks: DataFrame, late: str, sink):
     return rows.writeStream.outputMode("append").foreachBatch(sink).trigger(availableNow=True)
 
 
-def pause_stream(trades: DataFrame) -> DataFrame:
+def pause_stream(trades: DataFrame, start: float = 1e6, deepest: float = 0.3) -> DataFrame:
     """Paused or not after each closed trade(symbol, exit_time, trade_id, net_pnl), by the batch operator's rules: the state of a
-    symbol is its last ten results and the flag."""
+    symbol is its last ten results, the flag, its balance and the balance's peak."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, paused = (list(state.get[0]), state.get[1]) if state.exists else ([], False)
+        last, paused, balance, peak = (list(state.get[0]), *state.get[1:]) if state.exists else ([], False, start, start)
         rows = pd.concat(list(batches)).sort_values(["exit_time", "trade_id"])
         flags = []
-        for pnl in rows["net_pnl"]:
-            last = [*last, float(pnl)][-10:]
+        for pnl in map(float, rows["net_pnl"]):
+            last, balance = [*last, pnl][-10:], balance + pnl
+            peak = max(peak, balance)
             losses, wins = (lambda n: sum(v <= 0 for v in last[-n:])), (lambda n: sum(v > 0 for v in last[-n:]))
             if len(last) >= 3 and wins(3) >= 2:
                 paused = False
-            elif len(last) >= 5 and losses(5) >= 4 or len(last) >= 10 and (wins(10) < 2.5 or sum(last) < 0):
+            elif len(last) >= 5 and losses(5) >= 4 or len(last) >= 10 and (wins(10) < 2.5 or sum(last) < 0) or balance < (1 - deepest) * peak:
                 paused = True
             flags.append(paused)
-        state.update((last, paused))
+        state.update((last, paused, balance, peak))
         yield pd.DataFrame({"symbol": key[0], "trade_id": rows["trade_id"].to_numpy(), "paused": flags})
 
     schema = trades.select("symbol", "trade_id", F.lit(True).alias("paused")).schema
-    return trades.groupBy("symbol").applyInPandasWithState(run, schema, "last array<double>, paused boolean", "append", GroupStateTimeout.NoTimeout)
+    return trades.groupBy("symbol").applyInPandasWithState(run, schema, "last array<double>, paused boolean, balance double, peak double", "append", GroupStateTimeout.NoTimeout)
