@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and
 rereads as the next stage's docs. All but the last return the columns of documents. Empty tables pass through every
-stage; null texts count as empty ones and rows with a null doc_id stay until packing, as each operator states.
+stage; null texts count as empty ones; a row with a null doc_id takes part in every stage like any other, by its text.
 """
 
 from __future__ import annotations
