@@ -7,6 +7,7 @@ import itertools
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch_scope():
+    """Tables that materialize() writes inside are deleted at the end, except those handed to the yielded function, which
+    go to the scope around it. What is returned may read kept tables only."""
+    written: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _SCOPES.append(written)
+    try:
+        yield kept.append
+    finally:
+        _SCOPES.pop()
+    for df in written:
+        if not any(df is k for k in kept):
+            discard(df)
+    if _SCOPES:
+        _SCOPES[-1].extend(kept)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of df by writing it to the shared folder and reading it back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 

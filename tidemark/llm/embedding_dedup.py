@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, materialize, skew_join
+from tidemark.llm.common import connected_components, materialize, scratch_scope, skew_join
 
 SAMPLE = 8192
 ROWS_PER_CELL = 16_384
@@ -94,14 +94,8 @@ def _links(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
         a, b = one["node"].to_numpy(), two["node"].to_numpy()
         wx, wy = one["weight"].to_numpy(), two["weight"].to_numpy()
         nx, ny = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        parent = {}
-
-        def root(i):
-            while parent.setdefault(i, i) != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        nodes, shift = (a, 0) if within else (np.concatenate([a, b]), len(a))
+        group = np.arange(len(nodes))  # the smallest place that each is connected with so far
         for at in range(0, len(a), 256):
             hit = x[at : at + 256] @ y.T >= cosine
             if within:
@@ -109,15 +103,15 @@ def _links(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
             nx[at : at + 256] += hit @ wy
             if not within:
                 ny += wx[at : at + 256] @ hit
-            for i, j in zip(*np.nonzero(hit), strict=True):
-                u, v = root(a[at + i]), root(b[j])
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-        for i, n in [*zip(a, nx, strict=True), *([] if within else zip(b, ny, strict=True))]:
-            if n:
-                out["node"].append(i)
-                out["n"].append(n)
-                out["other"].append(root(i))
+            for i in np.flatnonzero(hit.any(1)):
+                own = group[at + i]
+                met = group[np.flatnonzero(hit[i]) + shift]
+                if (met != own).any():
+                    joined = np.unique(np.append(met, own))
+                    group[np.isin(group, joined[1:])] = joined[0]
+        n = nx if within else np.concatenate([nx, ny])
+        linked = np.flatnonzero(n)
+        out = {"node": nodes[linked], "n": n[linked], "other": nodes[group[linked]]}
     return pd.DataFrame({c: np.array(v, np.int64) for c, v in out.items()})
 
 
@@ -208,7 +202,9 @@ def find_links(classes: DataFrame, cosine: float, probes: int | None = PROBES, r
 def deduplicate(embeddings: DataFrame, cosine: float = 0.98, probes: int | None = PROBES, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """Per row of embeddings(vec_id, embedding, label): vec_id, n_links, component_id and kept."""
     rows, classes = classes_of(embeddings)
-    found = materialize(find_links(classes, cosine, probes, rows_per_cell), "found")
+    with scratch_scope() as keep:
+        found = materialize(find_links(classes, cosine, probes, rows_per_cell), "found")
+        keep(found)
     comps = connected_components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     named = classes.select("k1", "k2", "node", "weight", "low").join(comps, "node", "left").join(counts, "node", "left")

@@ -39,6 +39,7 @@ from tidemark.llm.common import (
     find_words,
     materialize,
     mix,
+    scratch_scope,
     shingle_hashes,
     skew_join,
     span_hashes,
@@ -324,6 +325,14 @@ def join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def resolve(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n and node of each row; classes: node, rep (its smallest id) and comp, the component's name)."""
+    with scratch_scope() as keep:
+        docs, named = _resolve(documents, k, percent)
+        keep(docs)
+        keep(named)
+    return docs, named
+
+
+def _resolve(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     docs = materialize(profiles(documents, k, percent), "profiles")
     filled = docs.where("n > 0")
     classes = filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -355,7 +364,8 @@ def resolve(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
         comps = _components(comps, verify(pairs_of(still).distinct()))
 
     named = skew_join(classes, comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"))
-    return docs, materialize(named, "named")
+    # the filters' columns are not needed any more
+    return materialize(docs.select("doc_id", "n", "node"), "rows"), materialize(named, "named")
 
 
 def _attach(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, scratch_path, skew_join, text_of
+from tidemark.llm.common import materialize, scratch_path, scratch_scope, skew_join, text_of
 
 # Fixed values of the format.
 MAGIC = "WARC/1.0\r\n"
@@ -210,9 +210,12 @@ def verify_chain(found: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def read(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """file, off, kind, id, refers, payload_bytes and digest of every record of the archives under path. The
     payload of a record with magic inside is put together from the segments it spans."""
-    found, bases = candidates(spark, path)
-    whole = found.join(verify_chain(found, block_bytes), ["file", "off"])
-    whole = materialize(whole.select("file", "off", "next", "head", "length", "kind", "id", "refers", "payload_bytes", "digest"), "whole")
+    with scratch_scope() as keep:
+        found, bases = candidates(spark, path)
+        whole = found.join(verify_chain(found, block_bytes), ["file", "off"])
+        whole = materialize(whole.select("file", "off", "next", "head", "length", "kind", "id", "refers", "payload_bytes", "digest"), "whole")
+        keep(whole)
+        keep(bases)
     split = whole.where("digest is null")
     if split.isEmpty():
         return whole.drop("next", "head", "length")
