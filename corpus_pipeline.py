@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, ngram_join, packing, quality, secrets
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize, scratch_scope
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +61,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch_scope() as keep:
+            after = materialize(stage(spark, docs, sf_dir), name)
+            keep(after)
+        discard(docs)  # the stage before, if it is a scratch table
+        docs = after
     return docs
