@@ -133,3 +133,36 @@ def pullback_entries(rows: DataFrame, state: str, low: int = 2, high: int = 8, t
     rows = rows.withColumn("__pulled", F.max("__lower").over(inside) == 1)
     hit = F.col(f"{state}_age").between(low, high) & F.col("__pulled") & F.col("__engulfs") & (F.col("ema_fast") > F.col("ema_slow"))
     return rows.where(true(hit)).groupBy("symbol", "__run").agg(F.min(ts).alias("entry_time"), F.min_by("close", ts).alias("entry_price"), F.min_by(f"{state}_age", ts).alias("age")).drop("__run")
+
+
+def early_failures(rows: DataFrame, conditions: dict[str, Column], failed: Column) -> DataFrame:
+    """Per condition and side (and ALL): rows that meet it and their share of failures, against the share among the others."""
+    long = rows.withColumn("__failed", failed.cast("double")).withColumn("__side", F.explode(F.array(F.lit("ALL"), F.col("side"))))
+    met = F.array(*[F.struct(F.lit(n).alias("condition"), true(c).alias("met")) for n, c in conditions.items()])
+    long = long.select("__side", "__failed", F.inline(met))
+    rate = lambda m: F.avg(F.when(F.col("met") == m, F.col("__failed")))
+    return long.groupBy("condition", F.col("__side").alias("direction")).agg(F.count_if("met").alias("n"), rate(True).alias("fail_rate"), rate(False).alias("other_rate"))
+
+
+def touches_in_r(rows: DataFrame, multiples: list[tuple[float, float]], h: int, ts: str = "bar_ts") -> DataFrame:
+    """Per row(side, close, risk) and (target, stop) in units of risk: what the next h bars reach first as the side sees it: target, stop, none
+    or ambiguous (one bar reaches both), and after how many bars."""
+    w = labels.forward(ts, h)
+    rows = rows.withColumn("__path", F.collect_list(F.struct("high", "low")).over(w))
+    sign = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
+    options = F.array(*[F.struct(F.lit(float(a)).alias("target_r"), F.lit(float(b)).alias("stop_r")) for a, b in multiples])
+    rows = rows.withColumn("__sign", sign).select("*", F.inline(options))
+    reach = lambda x: (
+        F.when(F.col("__sign") > 0, x["high"] - F.col("close")).otherwise(F.col("close") - x["low"]) / F.col("risk"),
+        F.when(F.col("__sign") > 0, F.col("close") - x["low"]).otherwise(x["high"] - F.col("close")) / F.col("risk"),
+    )
+
+    def outcome(x: Column, i: Column) -> Column:
+        gain, loss = reach(x)
+        hit, lost = gain >= F.col("target_r"), loss >= F.col("stop_r")
+        kind = F.when(hit & lost, "ambiguous").when(hit, "target").when(lost, "stop")
+        return F.when(kind.isNotNull(), F.struct((i + 1).alias("bars"), kind.alias("outcome")))
+
+    first = F.get(F.array_compact(F.transform("__path", outcome)), 0)
+    rows = rows.withColumn("__x", first)
+    return rows.withColumn("outcome", F.coalesce("__x.outcome", F.lit("none"))).withColumn("bars", F.col("__x.bars")).drop("__path", "__x", "__sign")

@@ -703,3 +703,279 @@ sql(
     """, d AS (SELECT mr.*, fwd_ret_8 AS f, CASE WHEN CASE WHEN deviation > 0 THEN fwd_ret_8 < 0 ELSE fwd_ret_8 > 0 END THEN 'reversion' ELSE 'continuation' END AS outcome FROM mr JOIN lab USING (symbol, bar_ts) WHERE abs(deviation) >= 1 AND fwd_ret_8 IS NOT NULL)
 SELECT symbol, outcome, count(*) AS n, round(avg(trend_strength), 6) AS strength, round(avg(abs(deviation)), 6) AS deviation, round(avg(f), 6) AS mean_ret FROM d GROUP BY ALL""",
 )
+
+# ------------------------------------------------------------------ summaries of events, modes and windows
+
+
+def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.post_exit_phase(_active(spark, sf_dir), "active").select("symbol", "bar_ts", "phase")
+
+
+PHASES = f"""{ACTIVE}, ph0 AS (SELECT *, CASE WHEN active = 0 AND lag(active) OVER {W} = 1 THEN rn END AS ex FROM act), ph1 AS (SELECT *, CASE WHEN active = 0 THEN rn - last_value(ex IGNORE NULLS) OVER {RUN} END AS since FROM ph0),
+phases AS (SELECT symbol, bar_ts, CASE WHEN active = 1 THEN 'held' WHEN since IS NULL THEN 'idle' WHEN since <= 4 THEN '0-4' WHEN since <= 16 THEN '5-16' WHEN since <= 64 THEN '17-64' ELSE 'idle' END AS phase FROM ph1)"""
+MRC_ONLY = MRC.removeprefix(SIG)
+
+
+@query
+def exit_window_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by symbol, side and the phase after an exit that they fall in."""
+    rows = patterns.mean_reversion_candidates(labels.forward_labels(indicators.mean_reversion(signal_frame(spark, sf_dir)), [8]))
+    rows = labels.directional(rows, [8]).join(_phases(spark, sf_dir).where("phase <> 'held'"), ["symbol", "bar_ts"])
+    return r6(rows.groupBy("candidate", "symbol", "side", "phase").agg(F.count("*").alias("n"), F.avg("dir_ret_8").alias("mean_ret")), "mean_ret")
+
+
+sql(
+    "exit_window_candidates",
+    f"{PHASES}{MRC_ONLY}, {LABELS}",
+    """SELECT candidate, mrc.symbol, side, phase, count(*) AS n, round(avg(CASE WHEN side = 'SHORT' THEN -fwd_ret_8 ELSE fwd_ret_8 END), 6) AS mean_ret
+FROM mrc JOIN lab USING (symbol, bar_ts) JOIN phases USING (symbol, bar_ts) WHERE phase <> 'held' GROUP BY candidate, mrc.symbol, side, phase""",
+)
+
+
+@query
+def early_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labels.forward_labels(indicators.mean_reversion(_candles(spark, sf_dir)), [1, 4, 8])
+    rows = labels.directional(events.directional_breakouts(rows), [1, 4, 8]).where("dir_ret_8 is not null")
+    conditions = {
+        "mfe_1_low": F.col("dir_mfe_1") < 0.02,
+        "mfe_4_low": F.col("dir_mfe_4") < 0.05,
+        "mae_1_deep": F.col("dir_mae_1") < -0.1,
+        "reclaimed": F.col("dir_ret_1") < 0,
+        "weak_body": F.col("signed_body") < 0.2,
+        "weak_location": F.col("side_location") < 0.6,
+        "thin_volume": F.col("volume") < F.col("volume_mean"),
+        "far": F.col("strength") > 1,
+    }
+    return r6(events.early_failures(rows, conditions, F.col("dir_ret_8") < 0), "fail_rate", "other_rate")
+
+
+sql(
+    "early_failures",
+    f"{MRK}, {LABELS}",
+    """, e AS (SELECT m.*, CASE WHEN m.close > range_upper THEN 1 ELSE -1 END AS d, fwd_ret_1, fwd_mfe_1, fwd_mae_1, fwd_mfe_4, fwd_mae_4, fwd_ret_8 FROM mrk m JOIN lab l USING (symbol, bar_ts) WHERE (m.close > range_upper OR m.close < range_lower) AND fwd_ret_8 IS NOT NULL),
+f AS (SELECT *, CASE WHEN d = 1 THEN fwd_mfe_1 ELSE 1 / (1 + fwd_mae_1) - 1 END AS f1, CASE WHEN d = 1 THEN fwd_mfe_4 ELSE 1 / (1 + fwd_mae_4) - 1 END AS f4, CASE WHEN d = 1 THEN fwd_mae_1 ELSE 1 / (1 + fwd_mfe_1) - 1 END AS a1, d * fwd_ret_8 < 0 AS failed FROM e),
+c AS (SELECT CASE WHEN d = 1 THEN 'LONG' ELSE 'SHORT' END AS side, failed::INT AS failed, unnest([{'n': 'mfe_1_low', 'm': f1 < 0.02}, {'n': 'mfe_4_low', 'm': f4 < 0.05}, {'n': 'mae_1_deep', 'm': a1 < -0.1}, {'n': 'reclaimed', 'm': d * fwd_ret_1 < 0},
+  {'n': 'weak_body', 'm': CASE WHEN close >= open THEN body ELSE -body END * d < 0.2}, {'n': 'weak_location', 'm': CASE WHEN d = 1 THEN close_location ELSE 1 - close_location END < 0.6}, {'n': 'thin_volume', 'm': volume < volume_mean},
+  {'n': 'far', 'm': CASE WHEN d = 1 THEN close - range_upper ELSE range_lower - close END / nullif(atr, 0) > 1}]) AS x FROM f),
+g AS (SELECT side AS direction, failed, x.n AS condition, coalesce(x.m, false) AS met FROM c UNION ALL SELECT 'ALL', failed, x.n, coalesce(x.m, false) FROM c)
+SELECT condition, direction, count(*) FILTER (met) AS n, round(avg(failed) FILTER (met), 6) AS fail_rate, round(avg(failed) FILTER (NOT met), 6) AS other_rate FROM g GROUP BY condition, direction""",
+)
+
+
+@query
+def high_risk_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the first gate does not accept."""
+    rows = patterns.gates(_scored(spark, sf_dir), [("s", 0.7, -1)], {"G1": (1, 1)})
+    return rows.where(~F.col("accepted")).select("event_id", "symbol")
+
+
+sql("high_risk_mask", SCORED, "SELECT event_id, symbol FROM sc WHERE NOT coalesce(-s >= -0.7, false)")
+
+
+@query
+def segment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per trend segment the breakouts and ticks inside it."""
+    seg = state.segments(_active(spark, sf_dir), "active").select("symbol", "segment_id", "segment_start", "segment_end")
+    out = seg
+    for points, at, name in ((_events(spark, sf_dir), "signal_time", "n_events"), (ticks(spark, sf_dir), "ts", "n_ticks")):
+        held = asof.containment(points.select("symbol", at), seg, at, "segment_start", "segment_end", ["segment_id", "segment_end"]).where("mapped")
+        out = out.join(held.groupBy("symbol", "segment_id").agg(F.count("*").alias(name)), ["symbol", "segment_id"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+SEGMENTS = f"""{ACTIVE}, sg0 AS (SELECT *, sum(active_first::INT) OVER {RUN} AS segment_id FROM act), sg AS (SELECT symbol, segment_id::BIGINT AS segment_id, min(bar_ts) AS segment_start, max(bar_ts) AS segment_end FROM sg0 WHERE active = 1 GROUP BY symbol, segment_id)"""
+sql(
+    "segment_events",
+    SEGMENTS,
+    """, e AS (SELECT s.symbol, segment_id, count(*) AS n FROM sg s JOIN sig x ON x.symbol = s.symbol AND x.bar_ts BETWEEN segment_start AND segment_end AND breakout AND atr IS NOT NULL GROUP BY ALL),
+t AS (SELECT s.symbol, segment_id, count(*) AS n FROM sg s JOIN ticks x ON x.symbol = s.symbol AND x.ts BETWEEN segment_start AND segment_end GROUP BY ALL)
+SELECT sg.symbol, sg.segment_id, segment_start, segment_end, coalesce(e.n, 0) AS n_events, coalesce(t.n, 0) AS n_ticks FROM sg LEFT JOIN e USING (symbol, segment_id) LEFT JOIN t USING (symbol, segment_id)""",
+)
+
+
+@query
+def touches_in_r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events.touches_in_r(_pool(spark, sf_dir), [(0.5, 0.5), (1, 1), (2, 1)], 8)
+    return rows.select("symbol", "bar_ts", "side", "target_r", "stop_r", "outcome", "bars")
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar with an ATR as a candidate of both sides, at risk of one ATR."""
+    rows = signal_frame(spark, sf_dir).withColumn("risk", F.nullif(F.col("atr"), F.lit(0.0)))
+    return rows.withColumn("side", F.explode(F.array(F.lit("LONG"), F.lit("SHORT"))).alias("side")).transform(lambda df: df.withColumn("symbol", F.concat_ws("|", "symbol", "side")))
+
+
+sql(
+    "touches_in_r",
+    SIG,
+    f""", x AS (SELECT *, row_number() OVER {W} AS rn FROM sig), s AS (SELECT *, unnest(['LONG', 'SHORT']) AS side FROM x), m(target_r, stop_r) AS (VALUES (0.5::DOUBLE, 0.5::DOUBLE), (1, 1), (2, 1)),
+h AS (SELECT s.symbol, s.bar_ts, s.side, target_r, stop_r, min(p.rn - s.rn) FILTER (CASE WHEN s.side = 'LONG' THEN p.high - s.close ELSE s.close - p.low END / nullif(s.atr, 0) >= target_r) AS u,
+  min(p.rn - s.rn) FILTER (CASE WHEN s.side = 'LONG' THEN s.close - p.low ELSE p.high - s.close END / nullif(s.atr, 0) >= stop_r) AS d FROM s CROSS JOIN m LEFT JOIN x p ON p.symbol = s.symbol AND p.rn BETWEEN s.rn + 1 AND s.rn + 8 GROUP BY ALL)
+SELECT symbol || '|' || side AS symbol, bar_ts, side, target_r, stop_r, CASE WHEN u IS NULL AND d IS NULL THEN 'none' WHEN u = d THEN 'ambiguous' WHEN d IS NULL OR u < d THEN 'target' ELSE 'stop' END AS outcome, least(u, d)::INT AS bars FROM h""",
+)
+
+
+@query
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical event table: breakout bars with the next open, patterns, factors and labels under one id."""
+    rows = indicators.event_factors(signal_frame(spark, sf_dir), short=8, long=24, rank_n=60)
+    w = indicators.series()
+    rows = rows.withColumns({"execution_time": F.lead("bar_ts").over(w), "execution_open": F.lead("open").over(w), "engulfing": patterns.bullish_engulfing()})
+    rows = labels.forward_labels(rows, [4, 8]).where("breakout and atr is not null")
+    cols = ["execution_open", "ret_short", "ema_gap", "volume_z", "fwd_ret_4", "fwd_mae_8"]
+    rows = rows.select(F.concat_ws("_", "symbol", F.date_format("bar_ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("event_id"), "symbol", "execution_time", "engulfing", *cols)
+    return r6(rows, *cols)
+
+
+sql(
+    "event_table",
+    f"{FACTORS}, {LABELS}",
+    f""", x AS (SELECT f.*, lead(bar_ts) OVER {W} AS et, lead(open) OVER {W} AS eo, coalesce(lag(close) OVER {W} < lag(open) OVER {W} AND close > open AND open <= lag(close) OVER {W} AND close >= lag(open) OVER {W}, false) AS engulfing FROM factors f)
+SELECT symbol || '_' || strftime(bar_ts, '%Y-%m-%dT%H:%M:%S') AS event_id, symbol, et AS execution_time, engulfing, round(eo, 6) AS execution_open, round(ret_short, 6) AS ret_short, round(ema_gap, 6) AS ema_gap, round(volume_z, 6) AS volume_z,
+  round(fwd_ret_4, 6) AS fwd_ret_4, round(fwd_mae_8, 6) AS fwd_mae_8 FROM x JOIN (SELECT symbol, bar_ts, fwd_ret_4, fwd_mae_8 FROM lab) l USING (symbol, bar_ts) WHERE breakout AND atr IS NOT NULL""",
+)
+
+
+@query
+def leverage_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean return per fixed leverage and for a ladder of drawdown, recent losses and rank."""
+    t = state.recent_losses(trades(spark, sf_dir), ["symbol"], ["exit_time", "trade_id"], "net_pnl", 5)
+    curve = metrics.drawdowns(ledger.equity_curve(t, ["symbol"], ["exit_time", "trade_id"], "net_pnl", 1e6), ["symbol"], ["exit_time", "trade_id"], "equity")
+    ladder = ledger.leverage_ladder(F.col("drawdown"), F.col("recent_losses"), F.lit(0.5), [(0.01, 1, 0.8, 5.0), (0.05, 3, 0.8, 3.0)], 1.0)
+    modes = F.array(*[F.struct(F.lit(f"fixed_{x}").alias("mode"), F.lit(float(x)).alias("leverage")) for x in (1, 3, 10, 20)], F.struct(F.lit("ladder").alias("mode"), ladder.alias("leverage")))
+    rows = curve.select("symbol", "ret", F.inline(modes))
+    return r6(rows.groupBy("symbol", "mode").agg(F.count("*").alias("n"), F.avg("leverage").alias("mean_leverage"), F.avg(F.col("ret") * F.col("leverage")).alias("mean_ret")), "mean_leverage", "mean_ret")
+
+
+sql(
+    "leverage_modes",
+    TRADES,
+    f""", a AS (SELECT *, 1e6 + sum(net_pnl) OVER {T[:-1]} ROWS UNBOUNDED PRECEDING) AS eq, coalesce(sum((net_pnl <= 0)::INT) OVER {T[:-1]} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS losses FROM trades),
+b AS (SELECT *, eq / max(eq) OVER {T[:-1]} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM a),
+m AS (SELECT symbol, ret, unnest([{{'mode': 'fixed_1', 'x': 1.0::DOUBLE}}, {{'mode': 'fixed_3', 'x': 3.0}}, {{'mode': 'fixed_10', 'x': 10.0}}, {{'mode': 'fixed_20', 'x': 20.0}},
+  {{'mode': 'ladder', 'x': CASE WHEN dd >= -0.01 AND losses <= 1 THEN 5.0::DOUBLE WHEN dd >= -0.05 AND losses <= 3 THEN 3.0 ELSE 1.0 END}}]) AS o FROM b)
+SELECT symbol, o.mode AS mode, count(*) AS n, round(avg(o.x), 6) AS mean_leverage, round(avg(ret * o.x), 6) AS mean_ret FROM m GROUP BY ALL""",
+)
+
+
+@query
+def strict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per symbol: trades, liquidations and their rate, counts by exit reason and the lowest compounded balance."""
+    rows = signal_frame(spark, sf_dir)
+    e = _events(spark, sf_dir).select("event_id", "symbol", F.col("signal_time").alias("entry_time"), F.col("close").alias("entry_price"), (F.col("close") - 2 * F.col("atr")).alias("stop"))
+    out = ledger.resolve_liquidations(e, rows, "exit_signal", "stop", 3.0, 24 * 3600).withColumn("ret", F.col("exit_price") / F.nullif(F.col("entry_price"), F.lit(0.0)) - 1)
+    out = ledger.compound(out, ["symbol"], ["entry_time", "event_id"], "ret", 1000.0)
+    of = lambda r: F.count_if(F.col("exit_reason") == r)
+    found = out.groupBy("symbol").agg(F.count("*").alias("n_trades"), of("liquidation").alias("n_liquidated"), of("stop").alias("n_stop"), of("signal").alias("n_signal"), F.min("balance_after").alias("min_balance"))
+    return r6(found.withColumn("liquidation_rate", F.col("n_liquidated") / F.col("n_trades")), "liquidation_rate", "min_balance")
+
+
+sql(
+    "strict_summary",
+    EVENTS,
+    """, e AS (SELECT event_id, symbol, signal_time AS et, close, close - 2 * atr AS stop, close * (1 - (1 / 3.0::DOUBLE - 0.005)) AS liq FROM ev), z AS (SELECT symbol, max(bar_ts) AS lt, arg_max(close, bar_ts) AS lc FROM bars GROUP BY symbol),
+u AS (SELECT e.*, greatest(stop, liq) AS trg, f.bar_ts AS ft, coalesce(f.close, lc) AS c, coalesce(f.bar_ts, lt) AS until FROM e ASOF LEFT JOIN (SELECT * FROM sig WHERE exit_signal) f ON e.symbol = f.symbol AND e.et < f.bar_ts JOIN z ON z.symbol = e.symbol),
+h AS (SELECT event_id, arg_min(b.low, b.bar_ts) AS lo FROM u JOIN bars b ON b.symbol = u.symbol AND b.bar_ts > u.et AND b.bar_ts <= u.until AND b.low <= trg GROUP BY event_id),
+x AS (SELECT u.symbol, et, u.event_id, lo, liq, ft, CASE WHEN lo <= liq THEN liq WHEN lo IS NOT NULL THEN stop ELSE c END / nullif(u.close, 0) - 1 AS r FROM u LEFT JOIN h USING (event_id)),
+y AS (SELECT *, 1000 * exp(sum(ln(1 + r)) OVER (PARTITION BY symbol ORDER BY et, event_id ROWS UNBOUNDED PRECEDING)) AS b FROM x)
+SELECT symbol, count(*) AS n_trades, count(*) FILTER (lo <= liq) AS n_liquidated, count(*) FILTER (lo > liq) AS n_stop, count(*) FILTER (lo IS NULL AND ft IS NOT NULL) AS n_signal, round(min(b), 6) AS min_balance, round(count(*) FILTER (lo <= liq) / count(*), 6) AS liquidation_rate FROM y GROUP BY symbol""",
+)
+
+
+@query
+def prototype_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event summary by prototype and horizon, and by week, from the long form of the labels."""
+    rows = patterns.masks(_scored(spark, sf_dir), {"P0": F.lit(True), "P1": F.col("m") >= 0.8, "P2": F.col("s") <= 0.2})
+    long = labels.unpivot_labels(rows, ["prototype", "week"], [1, 4, 8]).where("fwd_ret is not null").withColumn("horizon", F.col("horizon").cast("string"))
+    out = metrics.grouped_summary(long, [["prototype", "horizon"], ["prototype", "week"]], "fwd_ret")
+    return r6(out.drop("profit_factor"), "mean", "median", "positive_rate")
+
+
+sql(
+    "prototype_horizons",
+    SCORED,
+    """, p AS (SELECT 'P0' AS prototype, * FROM sc UNION ALL SELECT 'P1', * FROM sc WHERE m >= 0.8 UNION ALL SELECT 'P2', * FROM sc WHERE s <= 0.2),
+l AS (SELECT prototype, week::VARCHAR AS week, '1' AS horizon, fwd_ret_1 AS v FROM p UNION ALL SELECT prototype, week::VARCHAR, '4', fwd_ret_4 FROM p UNION ALL SELECT prototype, week::VARCHAR, '8', fwd_ret_8 FROM p)
+SELECT CASE WHEN GROUPING(horizon) = 0 THEN 'prototype,horizon' ELSE 'prototype,week' END AS grouping, prototype, horizon, week, count(*) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(avg((v > 0)::INT), 6) AS positive_rate
+FROM l WHERE v IS NOT NULL GROUP BY GROUPING SETS ((prototype, horizon), (prototype, week))""",
+)
+
+
+@query
+def failure_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses by symbol, year, side and exit reason: how many, their sum and their share of all losses."""
+    t = trades(spark, sf_dir).where("net_pnl <= 0").withColumn("year", F.year("exit_time").cast("string"))
+    by = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("grp")) for c in ("symbol", "year", "side", "exit_reason")])
+    rows = t.select("net_pnl", F.inline(by)).groupBy("dimension", "grp").agg(F.count("*").alias("n"), F.sum("net_pnl").alias("net"))
+    whole = t.agg(F.sum("net_pnl").alias("all"))
+    out = rows.join(F.broadcast(whole)).withColumn("share", F.col("net") / F.nullif(F.col("all"), F.lit(0.0))).drop("all")  # one row
+    return r6(out.withColumn("net", F.round("net", 2)), "share")
+
+
+sql(
+    "failure_attribution",
+    TRADES,
+    """, t AS (SELECT * FROM trades WHERE net_pnl <= 0), l AS (SELECT 'symbol' AS dimension, symbol AS grp, net_pnl FROM t UNION ALL SELECT 'year', year(exit_time)::VARCHAR, net_pnl FROM t UNION ALL SELECT 'side', side, net_pnl FROM t UNION ALL SELECT 'exit_reason', exit_reason, net_pnl FROM t)
+SELECT dimension, grp, count(*) AS n, round(sum(net_pnl), 2) AS net, round(sum(net_pnl) / (SELECT sum(net_pnl) FROM t), 6) AS share FROM l GROUP BY dimension, grp""",
+)
+
+
+@query
+def failure_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst trades of each symbol and those of each side, as one table without repeats, with the label of their month."""
+    t = trades(spark, sf_dir).withColumn("month", F.date_format("exit_time", "yyyy-MM"))
+    worst = lambda k: metrics.top_rows(t, [k], "net_pnl", "trade_id", 5).where("rank_bottom <= 5").select("trade_id", "month", F.lit(k).alias("source"))
+    cases = worst("symbol").unionByName(worst("side"), allowMissingColumns=True).groupBy("trade_id", "month").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+    label = t.groupBy("month").agg(F.when(F.sum("net_pnl") > 0, "good").otherwise("bad").alias("label"))
+    return cases.join(label, "month", "left")
+
+
+sql(
+    "failure_cases",
+    TRADES,
+    """, t AS (SELECT *, strftime(exit_time, '%Y-%m') AS month FROM trades),
+c AS (SELECT trade_id, month, 'symbol' AS source FROM t QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY net_pnl, trade_id) <= 5 UNION ALL SELECT trade_id, month, 'side' FROM t QUALIFY row_number() OVER (PARTITION BY side ORDER BY net_pnl, trade_id) <= 5)
+SELECT trade_id, c.month, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, any_value(label) AS label FROM c JOIN (SELECT month, CASE WHEN sum(net_pnl) > 0 THEN 'good' ELSE 'bad' END AS label FROM t GROUP BY month) l ON l.month = c.month GROUP BY trade_id, c.month""",
+)
+
+
+@query
+def walk_forward_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The non-overlapping, compounded ledger of each walk-forward window's test part, side and size."""
+    t = trades(spark, sf_dir).select("side", "trade_id", "entry_time", "exit_time", "ret")
+    held = validate.in_windows(t, validate.walk_forward(t, "entry_time", 12, 3, 3), "entry_time").where("part = 'test'")
+    kept = state.non_overlapping(held.select("window_id", "side", "trade_id", "entry_time", "exit_time", "ret"), ["window_id", "side"], "entry_time", "exit_time", "trade_id")
+    sized = kept.withColumn("size", F.explode(F.array(F.lit(1.0), F.lit(2.0)))).withColumn("sized_ret", F.col("size") * F.col("ret"))
+    run = ["window_id", "side", "size"]
+    out = metrics.drawdowns(ledger.compound(sized, run, ["entry_time", "trade_id"], "sized_ret", 1000.0), run, ["entry_time", "trade_id"], "balance_after")
+    return r6(out.groupBy(*run).agg(F.count("*").alias("n"), F.max_by("balance_after", F.struct("entry_time", "trade_id")).alias("final"), F.min("drawdown").alias("max_drawdown")), "final", "max_drawdown")
+
+
+sql(
+    "walk_forward_ledger",
+    f"""{TRADES}, s AS (SELECT date_trunc('month', min(entry_time)) AS a, date_trunc('month', max(entry_time)) AS b FROM trades),
+w AS (SELECT row_number() OVER (ORDER BY t) - 1 AS window_id, t AS test_start FROM (SELECT unnest(generate_series(a + INTERVAL 12 MONTH, b - INTERVAL 2 MONTH, INTERVAL 3 MONTH)) AS t FROM s)),
+o AS (SELECT window_id, side, trade_id, entry_time, exit_time, ret, row_number() OVER (PARTITION BY window_id, side ORDER BY entry_time, trade_id) AS rn FROM trades JOIN w ON entry_time >= test_start AND entry_time < test_start + INTERVAL 3 MONTH),
+k AS (SELECT window_id, side, rn, exit_time AS until, true AS kept FROM o WHERE rn = 1
+  UNION ALL SELECT o.window_id, o.side, o.rn, CASE WHEN o.entry_time > k.until THEN o.exit_time ELSE k.until END, o.entry_time > k.until FROM k JOIN o ON o.window_id = k.window_id AND o.side = k.side AND o.rn = k.rn + 1)""",
+    """, x AS (SELECT o.*, size FROM o JOIN k USING (window_id, side, rn) CROSS JOIN (SELECT unnest([1.0::DOUBLE, 2.0]) AS size) WHERE kept),
+y AS (SELECT *, 1000 * exp(sum(ln(1 + size * ret)) OVER (PARTITION BY window_id, side, size ORDER BY entry_time, trade_id ROWS UNBOUNDED PRECEDING)) AS b FROM x),
+z AS (SELECT *, b / max(b) OVER (PARTITION BY window_id, side, size ORDER BY entry_time, trade_id ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM y)
+SELECT window_id::INT AS window_id, side, size, count(*) AS n, round(arg_max(b, (entry_time, trade_id)), 6) AS final, round(min(dd), 6) AS max_drawdown FROM z GROUP BY window_id, side, size""",
+)
+
+
+@query
+def yearly_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per symbol and year: trades, mean return, profit factor and whether the sample is large enough to judge."""
+    rows = trades(spark, sf_dir).groupBy("symbol", F.year("exit_time").alias("year")).agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), metrics.profit_factor("net_pnl", "b").alias("profit_factor"))
+    status = validate.ladder([(F.col("n") < 60, "insufficient_sample"), (F.col("profit_factor") < 1, "weak")], "ok")
+    return r6(rows.withColumn("status", status), "mean_ret", "profit_factor")
+
+
+sql(
+    "yearly_check",
+    TRADES,
+    f""", y AS (SELECT symbol, year(exit_time)::INT AS year, count(*) AS n, avg(ret) AS mean_ret, {pf('net_pnl')} AS profit_factor FROM trades GROUP BY ALL)
+SELECT symbol, year, n, round(mean_ret, 6) AS mean_ret, round(profit_factor, 6) AS profit_factor, CASE WHEN n < 60 THEN 'insufficient_sample' WHEN profit_factor < 1 THEN 'weak' ELSE 'ok' END AS status FROM y""",
+)
