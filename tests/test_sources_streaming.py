@@ -146,9 +146,9 @@ def test_streamed_daily_ranking_and_alerts(spark, tmp_path):
     q.awaitTermination(120)
     want = t.groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(F.sum(F.col("price") * F.col("volume")).alias("v"))
     assert {(r.symbol, r.day): round(r.quote_volume, 6) for r in days if r.symbol != "zz"} == {(r.symbol, r.w.end): round(r.v, 6) for r in want.collect()}
-    limits = spark.createDataFrame([("click", 400.0)], "symbol string, limit double")
+    limits = spark.createDataFrame([("click", 60.0)], "symbol string, limit double")
     alerts = _drain(live.price_alerts(_stream(spark, t, tmp_path / "a"), limits), "alerts", "append")
-    assert alerts.count() == t.where("symbol = 'click' and price > 400").count() > 0
+    assert alerts.count() == t.where("symbol = 'click' and price > 60").count() > 0
 
 
 def test_streamed_pauses_equal_batch_and_ledger_is_appended_once(spark, tmp_path):
