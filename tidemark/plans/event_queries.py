@@ -69,14 +69,14 @@ sql(
 @query
 def candle_target_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.candle_dataset(_candles(spark, sf_dir), [8])
-    return r6(events.target_hits(rows, ["pattern", "side"], "dir_mfe_8", [0.01, 0.05, 0.1]), "hit_rate")
+    return r6(events.target_hits(rows, ["pattern", "side"], "dir_mfe_8", [0.01, 0.1, 0.2]), "hit_rate")
 
 
 sql(
     "candle_target_hits",
     CANDLE_EVENTS,
     """, m AS (SELECT pattern, side, CASE WHEN side = 'SHORT' THEN 1 / (1 + fwd_mae_8) - 1 ELSE fwd_mfe_8 END AS f FROM cev)
-SELECT pattern, side, target, count(*) AS n, round(avg((f >= target)::INT), 6) AS hit_rate FROM m CROSS JOIN (SELECT unnest([0.01::DOUBLE, 0.05, 0.1]) AS target) WHERE f IS NOT NULL GROUP BY ALL""",
+SELECT pattern, side, target, count(*) AS n, round(avg((f >= target)::INT), 6) AS hit_rate FROM m CROSS JOIN (SELECT unnest([0.01::DOUBLE, 0.1, 0.2]) AS target) WHERE f IS NOT NULL GROUP BY ALL""",
 )
 
 
