@@ -350,14 +350,15 @@ SELECT symbol, round(any_value(mean), 6) AS mean, round(avg(drawn), 6) AS mean_d
 
 @query
 def top_removed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(stats.top_removed_edges(_quantiled(spark, sf_dir), ["symbol"], "quintile", "fwd_ret_4", "event_id", 5, 1, [0.0, 0.01, 0.05]), "edge")
+    out = stats.top_removed_edges(_quantiled(spark, sf_dir), ["symbol"], "quintile", "fwd_ret_4", "event_id", 5, 1, [0.0, 0.01, 0.05])
+    return r6(out.withColumn("removed", F.col("removed").cast("string")), "edge")
 
 
 sql(
     "top_removed_edges",
     QS,
     """, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fwd_ret_4 DESC, event_id) / count(*) OVER (PARTITION BY symbol) AS p FROM qs)
-SELECT symbol, removed, count(*) FILTER (quintile = 5) AS n_high, count(*) FILTER (quintile = 1) AS n_low, round(avg(fwd_ret_4) FILTER (quintile = 5) - avg(fwd_ret_4) FILTER (quintile = 1), 6) AS edge
+SELECT symbol, removed::VARCHAR AS removed, count(*) FILTER (quintile = 5) AS n_high, count(*) FILTER (quintile = 1) AS n_low, round(avg(fwd_ret_4) FILTER (quintile = 5) - avg(fwd_ret_4) FILTER (quintile = 1), 6) AS edge
 FROM k CROSS JOIN (SELECT unnest([0.0::DOUBLE, 0.01, 0.05]) AS removed) WHERE p > removed GROUP BY symbol, removed""",
 )
 
