@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embedding_dedup, html_extract, language, licences, ngram_join, packing, quality, secrets, warc
+from tidemark.llm import clustering, decontaminate, embedding_dedup, fill_in_middle, html_extract, language, licences, ngram_join, packing, quality, secrets, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.restore(fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc_roundtrip": op2_warc_roundtrip,
@@ -80,6 +94,9 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 ORACLE_SQL = {
     "op2_warc_roundtrip": OP2_SQL,
@@ -88,4 +105,7 @@ ORACLE_SQL = {
     "op7_licence_scan": licences.oracle_sql(),
     "op8_embedding_dedup": embedding_dedup.oracle_sql(),
     "op9_decontamination": decontaminate.oracle_sql(),
+    "op11_centroid_clustering": clustering.oracle_sql(),
+    "op12_fill_in_middle": fill_in_middle.oracle_sql(),
+    "op13_exact_top_k": topk.oracle_sql(),
 }
