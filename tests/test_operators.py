@@ -166,7 +166,7 @@ def test_asof_directions_and_ties(spark):
 def test_target_and_stop_in_one_bar_is_a_stop(spark):
     df = make_bars(spark, [(100, 100, 100, 100), (100, 130, 80, 100), (100, 100, 100, 101)])
     e = spark.createDataFrame([("A", "x", at(0), 100.0, 120.0, 90.0), ("A", "y", at(60), 100.0, 120.0, 90.0)], "symbol string, event_id string, entry_time timestamp_ntz, entry_price double, target double, stop double")
-    got = {r.event_id: (r.exit_reason, r.exit_price) for r in ledger.resolve_target_exits(e, df, 7200, 3600).collect()}
+    got = {r.event_id: (r.exit_reason, r.exit_price) for r in ledger.resolve_target_exits(e, df, 7200).collect()}
     assert got == {"x": ("stop", 90.0), "y": ("time", 101.0)}
 
 

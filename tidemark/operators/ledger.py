@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import asof, interval_join
+from tidemark.operators import pathsearch
+from tidemark.operators.asof import asof
 from tidemark.operators.state import non_overlapping
 
 
@@ -47,39 +48,30 @@ def stop_level(entry: Column, atr: Column, k: float, cap: float = 0.014) -> Colu
     return entry - F.least(k * atr, cap * entry)
 
 
-def resolve_exits(events: DataFrame, bars: DataFrame, exit_flag: str, stop: str, bucket_seconds: int, ts: str = "bar_ts") -> DataFrame:
+def resolve_exits(events: DataFrame, bars: DataFrame, exit_flag: str, stop: str, ts: str = "bar_ts") -> DataFrame:
     """For long events(symbol, event_id, entry_time, entry_price, stop): the first bar whose low reaches the stop, before the first
     bar after the entry on which exit_flag holds, else that bar's close, else the last bar: exit_time, exit_price,
-    exit_reason, path_high and path_low to the exit. Exits do not depend on other trades, so this is a join."""
-    flags = bars.where(exit_flag).select("symbol", F.col(ts).alias("flag_time"), F.col("close").alias("flag_close"))
-    ends = bars.groupBy("symbol").agg(F.max(ts).alias("last_time"), F.max_by("close", ts).alias("last_close"))
-    rows = asof(events, flags, "entry_time", "flag_time", ["flag_time", "flag_close"], "forward", strict=True).join(ends, "symbol", "left")
-    rows = rows.withColumn("until", F.coalesce("flag_time", "last_time")).withColumn("__from", F.expr("entry_time + interval 1 microsecond"))
-    path = interval_join(rows.select("symbol", "event_id", "__from", "until", stop), bars, "__from", "until", ts, bucket_seconds, ["high", "low"])
-    # one pass over each event's path: what has been seen up to each bar, then the first bar that stops it or the last one
-    seen = Window.partitionBy("symbol", "event_id").orderBy("path_ts").rowsBetween(Window.unboundedPreceding, 0)
-    bar = F.struct("path_ts", F.max("high").over(seen).alias("h"), F.min("low").over(seen).alias("l"))
-    path = path.withColumn("__bar", bar)
-    ends = path.groupBy("symbol", "event_id").agg(F.min(F.when(F.col("low") <= F.col(stop), F.col("__bar"))).alias("hit"), F.max("__bar").alias("last"))
-    rows = rows.join(ends, ["symbol", "event_id"], "left").withColumn("end", F.coalesce("hit", "last"))
-    stopped = F.col("hit").isNotNull()
-    rows = rows.withColumns(
-        {
-            "exit_time": F.coalesce("hit.path_ts", "until"),
-            "exit_reason": F.when(stopped, "stop").when(F.col("flag_time").isNotNull(), "signal").otherwise("end_of_data"),
-            "exit_price": F.when(stopped, F.col(stop)).otherwise(F.coalesce("flag_close", "last_close")),
-            "path_high": F.col("end.h"),
-            "path_low": F.col("end.l"),
-        }
+    exit_reason, path_high and path_low to the exit. Exits do not depend on other trades, so each is a search of its own
+    through the bars' block extremes."""
+    columns = [F.col(f"`{c}`") for c in events.columns]
+    index = pathsearch.build(bars, exit_flag, ts)
+    rows = pathsearch.first_touch(events, index, "entry_time", None, stop)
+    stopped = F.coalesce(F.col("found.low") <= F.col(stop), F.lit(False))
+    return rows.join(index.last(), "symbol", "left").select(
+        *columns,
+        F.coalesce("found.ts", "last_time").alias("exit_time"),
+        F.when(stopped, F.col(stop)).otherwise(F.coalesce("found.close", "last_close")).alias("exit_price"),
+        F.when(stopped, "stop").when(F.col("found.flag"), "signal").otherwise("end_of_data").alias("exit_reason"),
+        "path_high",
+        "path_low",
     )
-    return rows.drop("flag_time", "flag_close", "last_time", "last_close", "until", "__from", "hit", "last", "end")
 
 
-def resolve_liquidations(events: DataFrame, bars: DataFrame, exit_flag: str, stop: str, leverage: float, bucket_seconds: int, maintenance: float = 0.005) -> DataFrame:
+def resolve_liquidations(events: DataFrame, bars: DataFrame, exit_flag: str, stop: str, leverage: float, maintenance: float = 0.005) -> DataFrame:
     """resolve_exits() of leveraged longs: the trigger is the higher of stop and liquidation price, and a bar that reaches
     the latter liquidates at it, whether it reaches the stop too or not."""
     rows = events.withColumn("__liq", liquidation_price(F.col("entry_price"), leverage, F.lit("LONG"), maintenance)).withColumn("trigger", F.greatest(F.col(stop), F.col("__liq")))
-    rows = resolve_exits(rows, bars, exit_flag, "trigger", bucket_seconds)
+    rows = resolve_exits(rows, bars, exit_flag, "trigger")
     # the path's low up to the exit is the exit bar's own where a trigger ended it
     gone = (F.col("exit_reason") == "stop") & (F.col("path_low") <= F.col("__liq"))
     price = F.when(gone, F.col("__liq")).when(F.col("exit_reason") == "stop", F.col(stop)).otherwise(F.col("exit_price"))
@@ -91,20 +83,18 @@ def gate_downshift(leverage: Column, risky: Column, factor: float) -> Column:
     return F.when(F.coalesce(risky, F.lit(False)), leverage * factor).otherwise(leverage)
 
 
-def resolve_target_exits(events: DataFrame, bars: DataFrame, max_seconds: int, bucket_seconds: int, ts: str = "bar_ts") -> DataFrame:
+def resolve_target_exits(events: DataFrame, bars: DataFrame, max_seconds: int, ts: str = "bar_ts") -> DataFrame:
     """Long events(symbol, event_id, entry_time, entry_price, target, stop): stop first on a bar that reaches both, else
     target, else the last close within max_seconds (time)."""
-    rows = events.withColumn("__end", F.expr(f"timestampadd(SECOND, {max_seconds}, entry_time)")).withColumn("__from", F.expr("entry_time + interval 1 microsecond"))
-    path = interval_join(rows, bars, "__from", "__end", ts, bucket_seconds, ["high", "low", "close"])
-    kind = F.when(F.col("low") <= F.col("stop"), F.struct(F.col("path_ts"), F.lit(0).alias("k"), F.col("stop").alias("p"), F.lit("stop").alias("r")))
-    kind = kind.when(F.col("high") >= F.col("target"), F.struct(F.col("path_ts"), F.lit(1).alias("k"), F.col("target").alias("p"), F.lit("target").alias("r")))
-    found = path.groupBy("symbol", "event_id").agg(F.min(kind).alias("x"), F.max(F.struct("path_ts", "close")).alias("z"))
-    out = events.join(found, ["symbol", "event_id"], "left")
-    return out.select(
-        *events.columns,
-        F.coalesce("x.path_ts", "z.path_ts").alias("exit_time"),
-        F.coalesce("x.p", "z.close").alias("exit_price"),
-        F.coalesce(F.col("x.r"), F.when(F.col("z").isNotNull(), "time"), F.lit("no_path")).alias("exit_reason"),
+    columns = [F.col(f"`{c}`") for c in events.columns]
+    rows = events.withColumn("__end", F.expr(f"timestampadd(SECOND, {max_seconds}, entry_time)"))
+    rows = pathsearch.first_touch(rows, pathsearch.build(bars, ts=ts), "entry_time", "__end", "stop", "target")
+    stopped, reached = F.col("found.low") <= F.col("stop"), F.col("found.high") >= F.col("target")
+    return rows.select(
+        *columns,
+        F.col("found.ts").alias("exit_time"),
+        F.when(stopped, F.col("stop")).when(reached, F.col("target")).otherwise(F.col("found.close")).alias("exit_price"),
+        F.when(F.col("found").isNull(), "no_path").when(stopped, "stop").when(reached, "target").otherwise("time").alias("exit_reason"),
     )
 
 

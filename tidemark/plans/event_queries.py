@@ -262,7 +262,7 @@ def random_pool_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signal_frame(spark, sf_dir)
     pool = studies.context_events(rows, F.col("ema_fast") > F.col("ema_slow")).where("atr is not null")
     pool = pool.select("symbol", F.concat_ws("_", "symbol", F.date_format("bar_ts", "yyyyMMddHH")).alias("event_id"), "entry_time", "entry_price", (F.col("entry_price") - F.col("atr")).alias("stop"))
-    out = ledger.resolve_exits(pool, rows, "exit_signal", "stop", 24 * 3600)
+    out = ledger.resolve_exits(pool, rows, "exit_signal", "stop")
     ret = F.avg(F.col("exit_price") / F.nullif(F.col("entry_price"), F.lit(0.0)) - 1)
     return r6(out.groupBy("symbol", "exit_reason").agg(F.count("*").alias("n"), ret.alias("mean_ret")), "mean_ret")
 
@@ -629,7 +629,7 @@ def liquidation_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearer of stop and liquidation price is the trigger, and a bar that reaches both liquidates."""
     rows = signal_frame(spark, sf_dir)
     e = _events(spark, sf_dir).select("event_id", "symbol", F.col("signal_time").alias("entry_time"), F.col("close").alias("entry_price"), (F.col("close") - 2 * F.col("atr")).alias("stop"))
-    out = ledger.resolve_liquidations(e, rows, "exit_signal", "stop", 3.0, 24 * 3600)
+    out = ledger.resolve_liquidations(e, rows, "exit_signal", "stop", 3.0)
     return r6(out.select("event_id", "trigger", "exit_time", "exit_price", "exit_reason"), "trigger", "exit_price")
 
 
@@ -864,7 +864,7 @@ def strict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per symbol: trades, liquidations and their rate, counts by exit reason and the lowest compounded balance."""
     rows = signal_frame(spark, sf_dir)
     e = _events(spark, sf_dir).select("event_id", "symbol", F.col("signal_time").alias("entry_time"), F.col("close").alias("entry_price"), (F.col("close") - 2 * F.col("atr")).alias("stop"))
-    out = ledger.resolve_liquidations(e, rows, "exit_signal", "stop", 3.0, 24 * 3600).withColumn("ret", F.col("exit_price") / F.nullif(F.col("entry_price"), F.lit(0.0)) - 1)
+    out = ledger.resolve_liquidations(e, rows, "exit_signal", "stop", 3.0).withColumn("ret", F.col("exit_price") / F.nullif(F.col("entry_price"), F.lit(0.0)) - 1)
     out = ledger.compound(out, ["symbol"], ["entry_time", "event_id"], "ret", 1000.0)
     of = lambda r: F.count_if(F.col("exit_reason") == r)
     found = out.groupBy("symbol").agg(F.count("*").alias("n_trades"), of("liquidation").alias("n_liquidated"), of("stop").alias("n_stop"), of("signal").alias("n_signal"), F.min("balance_after").alias("min_balance"))

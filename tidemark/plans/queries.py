@@ -452,14 +452,14 @@ def exit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signal_frame(spark, sf_dir)
     e = asof.next_open(_events(spark, sf_dir), bars_of(spark, sf_dir), strict=True).where("execution_open is not null")
     e = e.select("event_id", "symbol", F.col("execution_time").alias("entry_time"), F.col("execution_open").alias("entry_price"), (F.col("execution_open") - F.col("atr")).alias("stop"))
-    out = ledger.resolve_exits(e, rows, "exit_signal", "stop", 6 * 3600)
+    out = ledger.resolve_exits(e, rows, "exit_signal", "stop")
     return r6(out, "entry_price", "stop", "exit_price")
 
 
 @query
 def target_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("event_id", "symbol", F.col("signal_time").alias("entry_time"), F.col("close").alias("entry_price"), (F.col("close") + F.col("atr")).alias("target"), (F.col("close") - F.col("atr") / 2).alias("stop"))
-    return r6(ledger.resolve_target_exits(e, bars_of(spark, sf_dir), 8 * 3600, 6 * 3600), "entry_price", "target", "stop", "exit_price")
+    return r6(ledger.resolve_target_exits(e, bars_of(spark, sf_dir), 8 * 3600), "entry_price", "target", "stop", "exit_price")
 
 
 @query
