@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars, indicators, labels, ledger, metrics, quality, ranking, state, stats, validate
+from tidemark.operators import asof, bars, indicators, labels, ledger, metrics, quality, ranking, selection, state, stats, validate
 from tidemark.operators.machine import BreakoutState, step
 
 T0 = datetime(2024, 1, 1)
@@ -48,7 +48,7 @@ def test_first_touch_tie(spark):
 def test_non_overlapping(spark):
     rows = [("A", 1, at(0), at(60)), ("A", 2, at(30), at(120)), ("A", 3, at(61), at(180)), ("B", 4, at(0), at(5)), ("B", 5, at(5), at(9))]
     df = spark.createDataFrame(rows, "symbol string, i long, s timestamp_ntz, e timestamp_ntz")
-    assert sorted(r.i for r in state.non_overlapping(df, ["symbol"], "s", "e", "i").collect()) == [1, 3, 4]
+    assert sorted(r.i for r in selection.non_overlapping(df, ["symbol"], "s", "e", "i").collect()) == [1, 3, 4]
 
 
 def test_sequence_metrics(spark):

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import pathsearch, pieces
+from tidemark.operators import pathsearch, pieces, selection
 
 T0 = datetime(2024, 1, 1)
 BARS = "symbol string, bar_ts timestamp_ntz, open double, high double, low double, close double, flag boolean"
@@ -79,3 +79,32 @@ def test_path_search_joins_few_rows_of_a_long_path(spark):
     assert len(index.levels) == 3 and plan.count("__node") > 0
     assert plan.count("path-level") == 0 and plan.count("Join LeftOuter") <= 2 * len(index.levels) + 2
     assert found.first().found.low == 1.0 and index.levels[0].agg(F.max(F.size("kids"))).first()[0] == pathsearch.FAN
+
+
+def greedy(rows):
+    """rows (key, start, end, i) kept by a walk along each key."""
+    kept = []
+    for key in {r[0] for r in rows}:
+        until = fresh = None
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or T0, r[3])):
+            if fresh is None or until is None or (r[1] is not None and r[1] > until):
+                kept.append(r[3])
+                fresh, until = True, r[2]
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("size", [5, 64, 4096])
+def test_selection_against_a_walk(spark, size):
+    """Many pieces, ends before starts, missing times, ties, null keys; one long event over many pieces."""
+    rng = random.Random(size)
+    rows = []
+    for i in range(900):
+        key = rng.choice(["a", "a", "a", "b", None]) if i else "c"
+        at = T0 + timedelta(hours=rng.randint(0, 900))
+        end = at + timedelta(hours=rng.choice([-2, 0, 1, 1, 2, 3, 30]))
+        rows.append((key, None if i % 97 == 1 else at, None if i % 89 == 2 else end, i))
+    rows.append(("a", T0 + timedelta(hours=300, minutes=1), T0 + timedelta(hours=700), 5000))
+    df = spark.createDataFrame(rows, "k string, s timestamp_ntz, e timestamp_ntz, i int")
+    got = selection.non_overlapping(df, ["k"], "s", "e", "i", size=size)
+    assert got.columns == df.columns and sorted(r.i for r in got.collect()) == greedy(rows)
+    assert selection.non_overlapping(df.limit(0), ["k"], "s", "e", "i", size=size).count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import pathsearch
 from tidemark.operators.asof import asof
-from tidemark.operators.state import non_overlapping
+from tidemark.operators.selection import non_overlapping
 
 
 def checked_side(side: Column) -> Column:

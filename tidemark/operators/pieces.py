@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -14,9 +15,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(other, on, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def day_of(ts: str | Column) -> Column:
-    """The day of a time; rows without one come before all others."""
-    return F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date"))
+def day_of(rows: DataFrame, ts: str) -> Column:
+    """The day of a time (a number counts seconds); rows without one come before all others."""
+    numeric = isinstance(rows.schema[ts].dataType, T.NumericType)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(ts) / 86400).cast("int")) if numeric else F.to_date(ts)
+    return F.coalesce(day, F.lit("0001-01-01").cast("date"))
 
 
 def _offsets(days: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,7 +30,7 @@ def _offsets(days: DataFrame, keys: list[str]) -> DataFrame:
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "__i") -> DataFrame:
     """rows with their place (from 0) among their keys' rows by order, whose first column is a time."""
-    rows = rows.withColumn("__day", day_of(order[0]))
+    rows = rows.withColumn("__day", day_of(rows, order[0]))
     days = rows.groupBy(*keys, "__day").agg(F.count("*").alias("__n"))
     inside = F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(*order)) - 1
     rows = null_safe_join(rows.withColumn(name, inside), _offsets(days, keys), [*keys, "__day"])
@@ -39,7 +42,8 @@ def rows_until(points: DataFrame, rows: DataFrame, keys: list[str], at: str, ts:
     without a time gets null."""
     own = points.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__s"), F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("__p"))
     other = rows.select(*keys, F.col(ts).alias("__t"), F.lit(0).alias("__s"), F.lit(None).cast(own.schema["__p"].dataType).alias("__p"))
-    both = own.unionByName(other).withColumn("__day", day_of("__t"))
+    both = own.unionByName(other)
+    both = both.withColumn("__day", day_of(both, "__t"))
     days = both.groupBy(*keys, "__day").agg(F.count_if(F.col("__s") == 0).alias("__n"))
     inside = Window.partitionBy(*keys, "__day").orderBy("__t", "__s").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__c", F.count_if(F.col("__s") == 0).over(inside)).where("__p is not null")

@@ -1,4 +1,4 @@
-"""Stateful sequences as window functions: set / reset states, islands, streaks, held states, and greedy selection."""
+"""Stateful sequences as window functions: set / reset states, islands, streaks and held states."""
 
 from __future__ import annotations
 
@@ -150,26 +150,6 @@ def daily_universe(bars: DataFrame, top: int, ts: str = "bar_ts") -> DataFrame:
     return day.withColumn("rank", rank).withColumn("member", F.col("rank") <= top)
 
 
-def non_overlapping(events: DataFrame, keys: list[str], start: str, end: str, tie: str) -> DataFrame:
-    """Greedy selection per run: an event stays only if it starts after the end of the last one kept. Events are
-    taken by (start, tie). A sorted stream with one timestamp of state per run, whatever a run's length."""
-    cols = [F.col(c) for c in events.columns]
-    rows = events.select(*cols).repartition(*keys).sortWithinPartitions(*keys, start, tie)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, until = None, None
-        for batch in batches:
-            held = []
-            for *key, a, b in zip(*(batch.column(c).to_pylist() for c in (*keys, start, end)), strict=True):
-                fresh = key != run or until is None or (a is not None and a > until)
-                held.append(fresh)
-                if fresh:
-                    run, until = key, b
-            yield batch.filter(pa.array(held, pa.bool_()))
-
-    return rows.mapInArrow(keep, events.schema)
-
-
 def breakout_events(rows: DataFrame, max_age: int = 8, ts: str = "bar_ts") -> DataFrame:
     """Post-breakout state over trend_signals(): an event opens on a breakout when none is open, and closes by age, an
     exit signal, or an entry (a pull-back: lower low, then a bullish bar). event_no counts a symbol's events; state is

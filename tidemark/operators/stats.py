@@ -204,7 +204,7 @@ def matched_sampling(target: DataFrame, pool: DataFrame, bucket: list[str], iden
     """Per run: as many rows of the pool as the target has in each bucket, without two that overlap in time, and what a bucket
     lacks filled from the others. A run draws a share of the pool, takes those that do not overlap in the order of time (a sorted stream
     per run), and keeps each bucket's quota by the draw. run, ident, bucket columns and filled."""
-    from tidemark.operators.state import non_overlapping
+    from tidemark.operators.selection import non_overlapping
 
     quotas = target.groupBy(*bucket).agg(F.count("*").alias("quota"))
     numbered = pool.withColumn("slot", F.row_number().over(Window.partitionBy(*bucket).orderBy(ident)).cast("bigint"))

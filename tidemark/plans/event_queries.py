@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars, events, indicators, labels, ledger, metrics, patterns, quality, ranking, state, stats, studies, validate
+from tidemark.operators import asof, bars, events, indicators, labels, ledger, metrics, patterns, quality, ranking, selection, state, stats, studies, validate
 from tidemark.operators.stats import PRIME, draw_sql
 from tidemark.plans.inputs import BARS, TICKS, TRADES, bars_of, bars_sql, ticks, trades
 from tidemark.plans.oracles import ACTIVE, CANDLES, EVENTS, FACTORS, HIKKAKE, LABELS, MR, MRC, QS, ROWS, RUN, SCORED, SIG, WILDER, T, W, pf, r, rank_sql, recursive_mean, roll, signal_sql, sql
@@ -647,7 +647,7 @@ SELECT event_id, round(trg, 6) AS trigger, coalesce(st, until) AS exit_time, rou
 @query
 def conversion_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = trades(spark, sf_dir).select("symbol", "side", "trade_id", "entry_time", "exit_time", F.when(F.col("trade_id") % 7 != 0, F.col("notional")).alias("entry_price"), F.when(F.col("n_lines") > 1, F.col("ret")).alias("stop"))
-    kept = state.non_overlapping(e.where("entry_price is not null and stop is not null"), ["symbol", "side"], "entry_time", "exit_time", "trade_id")
+    kept = selection.non_overlapping(e.where("entry_price is not null and stop is not null"), ["symbol", "side"], "entry_time", "exit_time", "trade_id")
     return ledger.conversion_status(e, kept, "trade_id").groupBy("symbol", "status").agg(F.count("*").alias("n"))
 
 
@@ -945,7 +945,7 @@ def walk_forward_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The non-overlapping, compounded ledger of each walk-forward window's test part, side and size."""
     t = trades(spark, sf_dir).select("side", "trade_id", "entry_time", "exit_time", "ret")
     held = validate.in_windows(t, validate.walk_forward(t, "entry_time", 12, 3, 3), "entry_time").where("part = 'test'")
-    kept = state.non_overlapping(held.select("window_id", "side", "trade_id", "entry_time", "exit_time", "ret"), ["window_id", "side"], "entry_time", "exit_time", "trade_id")
+    kept = selection.non_overlapping(held.select("window_id", "side", "trade_id", "entry_time", "exit_time", "ret"), ["window_id", "side"], "entry_time", "exit_time", "trade_id")
     sized = kept.withColumn("size", F.explode(F.array(F.lit(1.0), F.lit(2.0)))).withColumn("sized_ret", F.col("size") * F.col("ret"))
     run = ["window_id", "side", "size"]
     out = metrics.drawdowns(ledger.compound(sized, run, ["entry_time", "trade_id"], "sized_ret", 1000.0), run, ["entry_time", "trade_id"], "balance_after")
@@ -980,3 +980,21 @@ sql(
     f""", y AS (SELECT symbol, year(exit_time)::INT AS year, count(*) AS n, avg(ret) AS mean_ret, {pf('net_pnl')} AS profit_factor FROM trades GROUP BY ALL)
 SELECT symbol, year, n, round(mean_ret, 6) AS mean_ret, round(profit_factor, 6) AS profit_factor, CASE WHEN n < 60 THEN 'insufficient_sample' WHEN profit_factor < 1 THEN 'weak' ELSE 'ok' END AS status FROM y""",
 )
+
+
+# ------------------------------------------------------------------ long series
+
+
+@query
+def one_book_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trades as one run: the greedy choice of trades that do not overlap."""
+    t = trades(spark, sf_dir).select(F.lit("all").alias("book"), "trade_id", "entry_time", "exit_time")
+    return selection.non_overlapping(t, ["book"], "entry_time", "exit_time", "trade_id")
+
+
+sql(
+    "one_book_selection",
+    f"""{TRADES}, k AS (SELECT arg_min(exit_time, trade_id) AS until, min(trade_id) AS trade_id FROM trades WHERE entry_time = (SELECT min(entry_time) FROM trades)
+  UNION ALL SELECT n.exit_time, n.trade_id FROM k, LATERAL (SELECT exit_time, trade_id FROM trades t WHERE t.entry_time > k.until ORDER BY entry_time, trade_id LIMIT 1) n)""",
+    "SELECT 'all' AS book, trade_id, entry_time, exit_time FROM k JOIN trades USING (trade_id)",
+)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars, indicators, labels, ledger, metrics, patterns, quality, ranking, state, stats, studies, validate
+from tidemark.operators import asof, bars, indicators, labels, ledger, metrics, patterns, quality, ranking, selection, state, stats, studies, validate
 from tidemark.plans.inputs import bars_of, table, ticks, trades
 
 QUERIES: dict = {}
@@ -336,7 +336,7 @@ def daily_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def non_overlapping_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades(spark, sf_dir).select("symbol", "side", "trade_id", "entry_time", "exit_time")
-    return state.non_overlapping(t, ["symbol", "side"], "entry_time", "exit_time", "trade_id")
+    return selection.non_overlapping(t, ["symbol", "side"], "entry_time", "exit_time", "trade_id")
 
 
 # ------------------------------------------------------------------ joins and labels
