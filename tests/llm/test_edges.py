@@ -316,20 +316,6 @@ def test_decontamination_of_repeated_items(spark):
     assert {i for _, i in assert_windows(spark, rows, items)} == {0, 1, 2, 3, 4, 9}
 
 
-def test_radius_blocks_guarantee(spark):
-    rng = random.Random(1)
-    rows = []
-    for _ in range(200):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), 11):
-            b ^= 1 << bit
-        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
-    df = spark.createDataFrame(rows, "a bigint, b bigint")
-    met = df.selectExpr(f"arrays_overlap({decontaminate.blocks('a', 11)}, {decontaminate.blocks('b', 11)}) as m")
-    assert met.where("not m").count() == 0
-
-
 def test_packing(spark):
     rng = random.Random(0)
     rows = [(i, prose(rng.choice([0, 1, 5, 30, 99, 100, 101, 250]), i % 40)) for i in range(300)] + [(None, "a b"), (5, None), (7, prose(5, 7))]

@@ -8,7 +8,7 @@ reaches the driver.
 
 Null vectors, those of another length and those with null or non-finite components are left out. A null vec_id takes part, comes
 last among the first centroids and is returned as null; rows that repeat count each. With fewer rows than k each row
-is a centroid; an empty table gives no rows. Components beyond 10^27 in size count as 10^27, and distances and their sums that a
+is a centroid; an empty table gives no rows. Components beyond 2^90 in size count as 2^90, and distances and their sums that a
 long can't hold as the largest long. Extra columns are not looked at.
 """
 
@@ -27,7 +27,7 @@ from tidemark.llm.common import materialize
 from tidemark.llm.vectors import EXACT, embedding_of, integers, matrix, python_integers, to_longs
 
 K, ROUNDS, WIDTH, SEED = 40, 5, 64, "2:"
-MOST = 1e27
+MOST = float(1 << 90)
 #: Rows whose tests run together.
 BATCH = 1024
 
@@ -38,25 +38,26 @@ class Bisectors:
     def __init__(self, centroids: list[list[int]]):
         exact = np.array(centroids, object)
         norms = (exact * exact).sum(1)
-        self.exact = exact
+        self.centroids = exact
         self.normals = 2 * (exact[None, :, :] - exact[:, None, :])
         self.thresholds = norms[None, :] - norms[:, None]
         self.most = float(np.abs(exact).max())
         self.small = self.most**2 * 256 * exact.shape[1] < EXACT
         if self.small:
-            self.centroids, self.normals, self.thresholds = (a.astype(float) for a in (exact, self.normals, self.thresholds))
+            self.centroids, self.normals, self.thresholds = (a.astype(float) for a in (self.centroids, self.normals, self.thresholds))
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the nearest centroid, exact squared distance) of each row of whole doubles."""
         most = max(float(np.abs(x).max(initial=0)), self.most)
         small = self.small and most**2 * 4 * x.shape[1] < EXACT
+        normals, thresholds, centroids = self.normals, self.thresholds, self.centroids
         if not small:
-            x = python_integers(x)
+            x, normals, thresholds, centroids = (python_integers(a) for a in (x, normals, thresholds, centroids))
         winner = np.zeros(len(x), np.int64)
-        for j in range(1, len(self.exact)):
-            side = (self.normals[winner, j] * x).sum(1) if not small else np.einsum("ij,ij->i", self.normals[winner, j], x)
-            winner[np.asarray(side > self.thresholds[winner, j], bool)] = j
-        gap = x - (self.centroids if small else self.exact)[winner]
+        for j in range(1, len(centroids)):
+            side = np.einsum("ij,ij->i", normals[winner, j], x) if small else (normals[winner, j] * x).sum(1)
+            winner[np.asarray(side > thresholds[winner, j], bool)] = j
+        gap = x - centroids[winner]
         return winner, to_longs((gap * gap).sum(1))
 
 
