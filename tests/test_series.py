@@ -3,10 +3,13 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import pathsearch, pieces, selection
+from tidemark.operators import indicators, orderstats, pathsearch, pieces, selection
+from tidemark.operators.orderstats import Sliding, WaveletMatrix
 
 T0 = datetime(2024, 1, 1)
 BARS = "symbol string, bar_ts timestamp_ntz, open double, high double, low double, close double, flag boolean"
@@ -108,3 +111,58 @@ def test_selection_against_a_walk(spark, size):
     got = selection.non_overlapping(df, ["k"], "s", "e", "i", size=size)
     assert got.columns == df.columns and sorted(r.i for r in got.collect()) == greedy(rows)
     assert selection.non_overlapping(df.limit(0), ["k"], "s", "e", "i", size=size).count() == 0
+
+
+def test_wavelet_matrix_against_sorting():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 7, 300):
+        values = rng.integers(0, max(1, n // 3), n).astype(float)
+        tree = WaveletMatrix(values)
+        begin = rng.integers(0, n, 200)
+        end = np.minimum(begin + rng.integers(1, n + 1, 200), n)
+        k = np.array([rng.integers(0, b - a) for a, b in zip(begin, end)])
+        assert tree.kth(begin, end, k).tolist() == [sorted(values[a:b])[i] for a, b, i in zip(begin, end, k)]
+        at = rng.integers(0, n, 200)
+        assert tree.below(begin, end, tree.rank[at]).tolist() == [int((values[a:b] < values[i]).sum()) for a, b, i in zip(begin, end, at)]
+
+
+@pytest.mark.parametrize("window,least,size", [(5, 2, 8), (50, 10, 64), (300, 1, 16)])
+def test_sliding_statistics_against_pandas(spark, window, least, size):
+    rng = random.Random(window)
+    values = [None if rng.random() < 0.1 else rng.choice([1.0, 2.5, 3.0, rng.random()]) for _ in range(700)]
+    rows = [("a", T0 + timedelta(minutes=i * 17), v, i) for i, v in enumerate(values)] + [("b", T0, 1.0, 9999), ("c", T0, None, 9998)]
+    df = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, v double, i int")
+    items = {"rank": Sliding("v", window, least), "median": Sliding("v", window, least, 0.5), "p9": Sliding("v", window, least, 0.9)}
+    got = orderstats.sliding(df, items, size=size)
+    assert got.columns == [*df.columns, *items]
+    got = {r.i: r for r in got.collect()}
+    assert len(got) == len(rows) and got[9999].median == (1.0 if least == 1 else None) and got[9998].median is None
+    x = pd.Series(values, dtype=float)
+    for name, q in (("median", 0.5), ("p9", 0.9)):
+        want = x.rolling(window, min_periods=least).quantile(q)
+        assert all((got[i][name] is None) if np.isnan(w) else abs(got[i][name] - w) < 1e-12 for i, w in enumerate(want))
+    for i, v in enumerate(values):
+        seen = [w for w in values[max(0, i - window + 1) : i + 1] if w is not None]
+        want = None if v is None or len(seen) < least else (sum(w < v for w in seen) + (sum(w == v for w in seen) + 1) / 2) / len(seen)
+        assert (got[i]["rank"] is None) == (want is None) and (want is None or abs(got[i]["rank"] - want) < 1e-12)
+
+
+@pytest.mark.parametrize("block,fan", [(2, 2), (3, 4), (256, 256)])
+def test_smoothing_over_many_levels(spark, block, fan):
+    """Over 256 * 256 rows with blocks of 256; five levels and more with small ones; nulls at the start and over whole groups."""
+    n = 70_000 if block == 256 else 150
+    rng = np.random.default_rng(block)
+    x, z = rng.normal(10, 3, n), rng.normal(0, 1, n)
+    x[rng.random(n) < 0.2] = np.nan
+    x[:40] = np.nan
+    z[n // 3 : 2 * n // 3] = np.nan
+    ts = pd.Timestamp(T0) + pd.to_timedelta(np.arange(n) * 60, unit="s")
+    frame = pd.DataFrame({"symbol": "a", "bar_ts": ts, "i": np.arange(n), "x": x, "z": z})
+    df = spark.createDataFrame(frame).select("symbol", F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"), "i", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "xz"])
+    got = indicators.smooth(df, {"ex": ("x", 0.05), "ez": ("z", 0.3)}, block=block, fan=fan).toPandas().sort_values("i")
+    for source, name, a in (("x", "ex", 0.05), ("z", "ez", 0.3)):
+        y, want = np.nan, []
+        for v in frame[source]:
+            y = v if np.isnan(y) else y if np.isnan(v) else a * v + (1 - a) * y
+            want.append(y)
+        assert np.allclose(got[name].to_numpy(float), want, rtol=1e-10, atol=1e-12, equal_nan=True)

@@ -5,13 +5,19 @@ A frame of n bars gives a value only when n values lie in it, unless `least` say
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one fold of the block scan holds.
-SCAN_BLOCK = 256
+from tidemark.operators.orderstats import Sliding, sliding
+from tidemark.operators.pieces import numbered, with_halo
+from tidemark.scratch import written
+
+#: Rows of a piece of the block scan, and pieces of a group of its next level.
+SCAN_BLOCK, SCAN_FAN = 4096, 256
 
 
 def series(ts: str = "bar_ts"):
@@ -28,63 +34,100 @@ def rolling(agg: Column, over: str | Column, n: int, shift: int = 0, least: int
     return F.when(F.count(over).over(w) >= (n if least is None else least), agg.over(w))
 
 
-def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_ts", block: int = SCAN_BLOCK) -> DataFrame:
+def _scan(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running composition of the maps y -> m y + c, by doubling steps."""
+    step = 1
+    while step < len(m):
+        c = np.concatenate([c[:step], m[step:] * c[:-step] + c[step:]])
+        m = np.concatenate([m[:step], m[step:] * m[:-step]])
+        step *= 2
+    return m, c
+
+
+def _starts(nodes: DataFrame, n: int, fan: int) -> DataFrame:
+    """symbol, node, y0..: the value of each of n recurrences before each of nodes(symbol, node, m0, c0, h0, ..), null if it has not
+    begun. A node's map is m y + c, its first value h, at which a recurrence begins. Groups of `fan` nodes are composed to a node of the
+    next level until one is left, and the starts are handed down again, so no row holds more than one group."""
+
+    def grouped(level: DataFrame) -> DataFrame:
+        node = F.struct("node", *[f"{x}{i}" for i in range(n) for x in "mch"])
+        return level.groupBy("symbol", F.floor(F.col("node") / fan).alias("up")).agg(F.sort_array(F.collect_list(node)).alias("kids"))
+
+    levels = [grouped(nodes)]
+    while (nodes.agg(F.max("node").alias("top")).first().top or 0) >= fan:
+        levels[-1] = written(levels[-1], "smooth-level")
+        composed = [F.expr(f"aggregate(kids, named_struct('m', 1D, 'c', 0D), (y, k) -> named_struct('m', y.m * k.m{i}, 'c', y.c * k.m{i} + k.c{i}))").alias(f"z{i}") for i in range(n)]
+        firsts = [F.expr(f"get(filter(transform(kids, k -> k.h{i}), v -> v is not null), 0)").alias(f"h{i}") for i in range(n)]
+        above = levels[-1].select("symbol", F.col("up").alias("node"), *composed, *firsts)
+        nodes = written(above.select("symbol", "node", *[F.col(c).alias(d) for i in range(n) for c, d in ((f"z{i}.m", f"m{i}"), (f"z{i}.c", f"c{i}"), (f"h{i}", f"h{i}"))]), "smooth-level")
+        levels.append(grouped(nodes))
+    found = levels[-1].withColumns({f"y{i}": F.lit(None).cast("double") for i in range(n)})
+    for level in [*reversed(levels[:-1]), None]:
+        after = "if(s.y is null, k.m{0} * k.h{0}, k.m{0} * s.y) + k.c{0}"
+        seen = [F.expr(f"aggregate(kids, named_struct('y', y{i}, 'o', cast(array() as array<double>)), (s, k) -> named_struct('y', {after.format(i)}, 'o', concat(s.o, array(s.y))), s -> s.o)").alias(f"y{i}") for i in range(n)]
+        below = found.select("symbol", F.expr("transform(kids, k -> k.node)").alias("node"), *seen)
+        below = below.select("symbol", F.inline(F.arrays_zip("node", *[f"y{i}" for i in range(n)])))
+        if level is not None:
+            found = level.join(below.withColumnRenamed("node", "up"), ["symbol", "up"])
+    return below
+
+
+def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_ts", block: int = SCAN_BLOCK, fan: int = SCAN_FAN) -> DataFrame:
     """Adds y_t = a * x_t + (1 - a) * y_(t-1), y_1 = x_1, for each {name: (x, a)}; nulls of x leave y as it is.
 
-    The recurrence is affine, so a block of rows maps its start to its end by one factor and one offset. Blocks
-    are folded in parallel, their maps are chained per symbol, and the blocks are replayed from their starts.
+    The recurrence is affine, so a piece of rows maps its start to its end by one factor and one offset: pieces are folded in
+    parallel, their maps are scanned over levels of `fan`, and the pieces are replayed from their starts.
     """
-    names = list(items)
-    base = rows.withColumn("__b", F.floor((F.row_number().over(series(ts)) - 1) / block))
-    firsts = [F.first(F.col(x), ignorenulls=True).over(series(ts).rowsBetween(Window.unboundedPreceding, 0)).alias(f"__f{i}") for i, (x, _) in enumerate(items.values())]
-    base = base.select("*", *firsts)
-    own = [c for c in base.columns if c not in ("symbol", "__b")]
-    packed = base.groupBy("symbol", "__b").agg(F.sort_array(F.collect_list(F.struct(ts, F.struct(*own).alias("r")))).alias("rs"))
-    maps = [
-        F.expr(f"aggregate(rs, named_struct('m', 1D, 'c', 0D), (y, t) -> if(t.r.{x} is null, y, named_struct('m', y.m * {1 - a}D, 'c', y.c * {1 - a}D + {a}D * t.r.{x})))").alias(f"m{i}")
-        for i, (x, a) in enumerate(items.values())
-    ]
-    heads = [F.expr(f"get(filter(transform(rs, t -> t.r.__f{i}), v -> v is not null), 0)").alias(f"h{i}") for i in range(len(names))]
-    blocks = packed.select("symbol", "__b", *maps, *heads)
-    chain = blocks.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("__b", *[f"m{i}" for i in range(len(names))], *[f"h{i}" for i in range(len(names))]))).alias("bs"))
-    starts = []
-    for i in range(len(names)):
-        seed = f"get(filter(transform(bs, z -> z.h{i}), v -> v is not null), 0)"
-        starts.append(F.expr(f"aggregate(bs, named_struct('y', cast({seed} as double), 'o', cast(array() as array<double>)), (s, z) -> named_struct('y', s.y * z.m{i}.m + z.m{i}.c, 'o', concat(s.o, array(s.y))), s -> s.o)").alias(f"s{i}"))
-    chained = chain.select("symbol", F.expr("transform(bs, z -> z.__b)").alias("k"), *starts)
-    zipped = F.arrays_zip("k", *[f"s{i}" for i in range(len(names))])
-    chained = chained.select("symbol", F.explode(zipped).alias("z")).select("symbol", F.col("z.k").alias("__b"), *[F.col(f"z.s{i}").alias(f"s{i}") for i in range(len(names))])
-    joined = packed.join(chained, ["symbol", "__b"])
-    step = ", ".join(f"if(t.r.{x} is null, s.y[{i}], s.y[{i}] + {a}D * (t.r.{x} - s.y[{i}]))" for i, (x, a) in enumerate(items.values()))
-    start = ", ".join(f"s{i}" for i in range(len(names)))
-    replay = F.expr(
-        f"aggregate(rs, named_struct('y', array({start}), 'o', cast(array() as array<array<double>>)), (s, t) -> transform(array(array({step})), y -> named_struct('y', y, 'o', concat(s.o, array(y))))[0], s -> s.o)"
-    )
-    out = joined.withColumn("ys", replay).select("symbol", F.explode(F.arrays_zip("rs", "ys")).alias("z"))
-    kept = [F.col(f"z.rs.r.`{c}`").alias(c) for c in rows.columns if c != "symbol"]
-    found = [F.when(F.col(f"z.rs.r.__f{i}").isNotNull(), F.col("z.ys")[i]).alias(name) for i, name in enumerate(names)]
-    return out.select("symbol", *kept, *found).select(*rows.columns, *names)
+    n, weights, columns = len(items), [a for _, a in items.values()], rows.columns
+    inputs = [f"__x{i}" for i in range(n)]
+    placed = numbered(rows, ["symbol"], [ts], "__i").withColumns({c: F.col(x).cast("double") for c, (x, _) in zip(inputs, items.values(), strict=True)})
+    placed = placed.withColumn("__node", F.floor(F.col("__i") / block))
+
+    def in_order(table: pa.Table) -> pa.Table:
+        return table.take(pa.array(np.argsort(table.column("__i").to_numpy())))
+
+    def running(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(values, which are given, running factors, running offsets) of each recurrence."""
+        for c, a in zip(inputs, weights, strict=True):
+            x = table.column(c).to_numpy()
+            given = ~np.isnan(x)
+            yield x, given, *_scan(np.where(given, 1 - a, 1.0), np.where(given, a * np.nan_to_num(x), 0.0))
+
+    empty = [F.lit(None).cast("double").alias(f"{x}{i}") for i in range(n) for x in "mch"]
+    nodes = placed.select("symbol", F.col("__node").alias("node"), *empty).schema
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = in_order(table)
+        out = [table.column(c).slice(0, 1) for c in ("symbol", "__node")]
+        for x, given, m, c in running(table):
+            out += [pa.array([m[-1]]), pa.array([c[-1]]), pa.array([x[given][0] if given.any() else None], pa.float64())]
+        return pa.Table.from_arrays(out, nodes.names)
+
+    maps = placed.select("symbol", "__node", "__i", *inputs).groupBy("symbol", "__node").applyInArrow(fold, nodes)
+    starts = _starts(written(maps, "smooth-pieces"), n, fan).withColumnRenamed("node", "__node")
+    out_schema = rows.select("*", *[F.lit(None).cast("double").alias(name) for name in items]).schema
+
+    def replay(table: pa.Table) -> pa.Table:
+        table = in_order(table)
+        out = [table.column(c) for c in columns]
+        for i, (x, given, m, c) in enumerate(running(table)):
+            start = table.column(f"y{i}").to_numpy()[0]
+            ok = np.full(len(x), True)
+            if np.isnan(start):  # begins at the first value, if there is one
+                ok = np.cumsum(given) > 0
+                start = x[given][0] if given.any() else 0.0
+            out.append(pa.array(m * start + c, mask=~ok))
+        return pa.Table.from_arrays(out, out_schema.names)
+
+    return placed.join(starts, ["symbol", "__node"]).groupBy("symbol", "__node").applyInArrow(replay, out_schema)
 
 
 def in_pieces(rows: DataFrame, compute: Callable[[DataFrame], DataFrame], before: int, after: int = 0, size: int = 4096, ts: str = "bar_ts") -> DataFrame:
     """compute(rows) over pieces of `size` rows of each symbol, for window operators whose frames reach at most `before` rows
-    back and `after` ahead: a piece also gets the rows around it, so a long series is spread over tasks. Rows are numbered
-    month by month; a month's offset comes from the counts of the months before."""
-    if max(before, after) > size:
-        raise ValueError("a piece has at least as many rows as a frame reaches")
-    month = F.date_format(ts, "yyyy-MM")
-    rows = rows.withColumn("__month", month)
-    counts = rows.groupBy("symbol", "__month").agg(F.count("*").alias("__n"))
-    run = Window.partitionBy("symbol").orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(run), F.lit(0))).drop("__n")
-    inside = F.row_number().over(Window.partitionBy("symbol", "__month").orderBy(ts)) - 1
-    rows = rows.withColumn("__i", inside).join(counts, ["symbol", "__month"]).withColumn("__i", F.col("__i") + F.col("__offset"))
-    piece, at = F.floor(F.col("__i") / size), F.col("__i") % size
-    own = F.struct(piece.alias("piece"), F.lit(True).alias("own"))
-    near = [F.when(at >= size - before, F.struct((piece + 1).alias("piece"), F.lit(False).alias("own"))), F.when(at < after, F.struct((piece - 1).alias("piece"), F.lit(False).alias("own")))]
-    rows = rows.withColumn("__p", F.explode(F.array_compact(F.array(own, *near)))).withColumn("symbol", F.struct("symbol", "__p.piece")).withColumn("__own", F.col("__p.own"))
-    out = compute(rows.drop("__month", "__offset", "__i", "__p")).where("__own")
-    return out.withColumn("symbol", F.col("symbol.symbol")).drop("__own")
+    back and `after` ahead: a piece also gets the rows around it, so a long series is spread over tasks."""
+    placed = with_halo(numbered(rows, ["symbol"], [ts], "__i"), "__i", size, before, after)
+    placed = placed.withColumn("symbol", F.struct("symbol", "__piece")).drop("__i", "__piece")
+    return compute(placed).where("__own").withColumn("symbol", F.col("symbol.symbol")).drop("__own")
 
 
 def ema(rows: DataFrame, spans: dict[str, int], value: str = "close", ts: str = "bar_ts") -> DataFrame:
@@ -110,14 +153,6 @@ def n_return(n: int, ts: str = "bar_ts") -> Column:
     return F.col("close") / F.nullif(F.lag("close", n).over(series(ts)), F.lit(0.0)) - 1
 
 
-def percentile_rank(value: str, n: int = 200, least: int = 50, ts: str = "bar_ts") -> Column:
-    """Rank of the current value among the last n, ties averaged, as a share."""
-    values = F.collect_list(value).over(frame(n, 0, ts))
-    below = F.size(F.filter(values, lambda x: x < F.col(value)))
-    same = F.size(F.filter(values, lambda x: x == F.col(value)))
-    return F.when((F.size(values) >= least) & F.col(value).isNotNull(), (below + (same + 1) / 2) / F.size(values))
-
-
 def efficiency_ratio(n: int, ts: str = "bar_ts") -> Column:
     """Needs a column step = |close - close before|."""
     path = rolling(F.sum("step"), "step", n, ts=ts)
@@ -161,6 +196,7 @@ def event_factors(rows: DataFrame, short: int = 16, long: int = 96, rank_n: int
     one = F.col("close") / F.nullif(F.lag("close").over(series(ts)), F.lit(0.0)) - 1
     rows = candle_metrics(rows).withColumn("ret_1", one).withColumn("step", F.abs(F.col("close") - F.lag("close").over(series(ts))))
     rows = rows.withColumn("atr_pct", F.col("atr") / F.nullif(F.col("close"), F.lit(0.0)))
+    rows = sliding(rows, {"atr_rank": Sliding("atr", rank_n, 50)}, [ts])
     return rows.withColumns(
         {
             "ret_short": n_return(short, ts),
@@ -169,7 +205,6 @@ def event_factors(rows: DataFrame, short: int = 16, long: int = 96, rank_n: int
             "ema_gap": (F.col("ema_fast") - F.col("ema_slow")) / a,
             "breakout_distance": (F.col("close") - F.col("upper")) / a,
             "channel_width": (F.col("upper") - F.col("exit_low")) / a,
-            "atr_rank": percentile_rank("atr", rank_n, 50, ts),
             "volatility_ratio": rolling(F.stddev_samp("ret_1"), "ret_1", short, ts=ts) / F.nullif(rolling(F.stddev_samp("ret_1"), "ret_1", long, ts=ts), F.lit(0.0)),
             "volume_z": zscore("volume", long, ts),
             "efficiency": efficiency_ratio(20, ts),

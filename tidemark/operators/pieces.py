@@ -37,6 +37,17 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "__
     return rows.withColumn(name, F.col(name) + F.col("__offset")).drop("__day", "__offset")
 
 
+def with_halo(rows: DataFrame, place: str, size: int, before: int, after: int = 0) -> DataFrame:
+    """rows with __piece, their place by `size`, and __own: true. The rows that lie up to `before` places ahead of a piece and up to
+    `after` behind it come again with its number and __own false. Neither may be more than size."""
+    if max(before, after) > size:
+        raise ValueError("a piece has at least as many rows as a frame reaches")
+    piece, at = F.floor(F.col(place) / size), F.col(place) % size
+    part = lambda p, own: F.struct(p.alias("__piece"), F.lit(own).alias("__own"))
+    near = [F.when(at >= size - before, part(piece + 1, False)), F.when(at < after, part(piece - 1, False))]
+    return rows.select("*", F.inline(F.array_compact(F.array(part(piece, True), *near))))
+
+
 def rows_until(points: DataFrame, rows: DataFrame, keys: list[str], at: str, ts: str, name: str) -> DataFrame:
     """points with name: how many rows of their keys have a time at or before theirs (rows without a time count). A point
     without a time gets null."""

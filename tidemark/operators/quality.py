@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.orderstats import Sliding, sliding
+
 
 def merge_sources(sources: list[DataFrame], keys: list[str], order: str | None = None) -> DataFrame:
     """Union of sources in rising precedence; of rows with equal keys that of the last source stays (of one source's
@@ -58,12 +60,10 @@ def jumps(bars: DataFrame, limit: float = 0.10, ts: str = "bar_ts") -> DataFrame
 def robust_outliers(bars: DataFrame, window: int = 1440, least: int = 100, scale: float = 20.0, floor: float = 0.02, fill: float = 0.05, ts: str = "bar_ts") -> DataFrame:
     """Bars whose close lies further from the rolling median than scale times the rolling median absolute deviation,
     at least `floor` and `fill` where the window is short, all relative to the median."""
-    w = Window.partitionBy("symbol").orderBy(ts).rowsBetween(1 - window, 0)
-    enough = F.count("close").over(w) >= least
-    rows = bars.withColumn("median", F.when(enough, F.percentile("close", F.lit(0.5)).over(w)))
+    rows = sliding(bars, {"median": Sliding("close", window, least, 0.5)}, [ts])
     rows = rows.withColumn("dev", F.abs(F.col("close") / F.nullif(F.col("median"), F.lit(0.0)) - 1))
-    spread = F.when(F.count("dev").over(w) >= least, F.percentile("dev", F.lit(0.5)).over(w))
-    rows = rows.withColumn("limit", F.coalesce(F.greatest(spread * scale, F.lit(floor)), F.lit(fill)))
+    rows = sliding(rows, {"limit": Sliding("dev", window, least, 0.5)}, [ts])
+    rows = rows.withColumn("limit", F.coalesce(F.greatest(F.col("limit") * scale, F.lit(floor)), F.lit(fill)))
     return rows.where(F.col("dev") > F.col("limit"))
 
 

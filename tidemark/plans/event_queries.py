@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars, events, indicators, labels, ledger, metrics, patterns, quality, ranking, selection, state, stats, studies, validate
+from tidemark.operators import asof, bars, events, indicators, labels, ledger, metrics, orderstats, patterns, quality, ranking, selection, state, stats, studies, validate
 from tidemark.operators.stats import PRIME, draw_sql
 from tidemark.plans.inputs import BARS, TICKS, TRADES, bars_of, bars_sql, ticks, trades
 from tidemark.plans.oracles import ACTIVE, CANDLES, EVENTS, FACTORS, HIKKAKE, LABELS, MR, MRC, QS, ROWS, RUN, SCORED, SIG, WILDER, T, W, pf, r, rank_sql, recursive_mean, roll, signal_sql, sql
@@ -998,3 +998,46 @@ sql(
   UNION ALL SELECT n.exit_time, n.trade_id FROM k, LATERAL (SELECT exit_time, trade_id FROM trades t WHERE t.entry_time > k.until ORDER BY entry_time, trade_id LIMIT 1) n)""",
     "SELECT 'all' AS book, trade_id, entry_time, exit_time FROM k JOIN trades USING (trade_id)",
 )
+
+
+def _tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tick as a bar, the longest series that the tables give."""
+    return ticks(spark, sf_dir).select("symbol", F.col("ts").alias("bar_ts"), "event_id", F.col("price").alias("close"))
+
+
+TICK_BARS = f"{TICKS}, tb AS (SELECT symbol, ts AS bar_ts, event_id, price AS close, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS rn FROM ticks)"
+
+
+@query
+def long_percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks among the last 2 880 ticks."""
+    rows = orderstats.sliding(_tick_bars(spark, sf_dir), {"rank": orderstats.Sliding("close", 2880, 50)}, ["bar_ts", "event_id"])
+    return r6(rows.select("symbol", "event_id", "rank"), "rank")
+
+
+sql(
+    "long_percentile_rank",
+    TICK_BARS,
+    """, g AS (SELECT a.symbol, a.event_id, count(*) AS n, count(*) FILTER (b.close < a.close) AS less, count(*) FILTER (b.close = a.close) AS same
+  FROM tb a JOIN tb b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 2879 AND a.rn GROUP BY ALL)
+SELECT symbol, event_id, round(CASE WHEN n >= 50 THEN (less + (same + 1) / 2.0::DOUBLE) / n END, 6) AS rank FROM g""",
+)
+
+
+@query
+def long_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks far from the median of the last 1 440."""
+    found = quality.robust_outliers(_tick_bars(spark, sf_dir), window=1440, least=100, scale=1.5)
+    return r6(found.select("symbol", "event_id", "close", "median", "dev", "limit"), "median", "dev", "limit")
+
+
+_LONG = "OVER (PARTITION BY symbol ORDER BY bar_ts, event_id ROWS BETWEEN 1439 PRECEDING AND CURRENT ROW)"
+sql(
+    "long_robust_outliers",
+    TICK_BARS,
+    f""", m AS (SELECT *, CASE WHEN count(close) {_LONG} >= 100 THEN median(close) {_LONG} END AS med FROM tb),
+d AS (SELECT *, abs(close / nullif(med, 0) - 1) AS dev FROM m),
+l AS (SELECT *, CASE WHEN count(dev) {_LONG} >= 100 THEN median(dev) {_LONG} END AS spread FROM d)
+SELECT symbol, event_id, close, round(med, 6) AS median, round(dev, 6) AS dev, round(coalesce(greatest(spread * 1.5, 0.02), 0.05), 6) AS "limit"
+FROM (SELECT *, CASE WHEN spread IS NULL THEN 0.02 ELSE greatest(spread * 1.5, 0.02) END AS lim FROM l) WHERE dev > lim""",
+)
