@@ -54,13 +54,15 @@ def _starts(nodes: DataFrame, n: int, fan: int) -> DataFrame:
         return level.groupBy("symbol", F.floor(F.col("node") / fan).alias("up")).agg(F.sort_array(F.collect_list(node)).alias("kids"))
 
     levels = [grouped(nodes)]
-    while (nodes.agg(F.max("node").alias("top")).first().top or 0) >= fan:
+    top = nodes.agg(F.max("node").alias("top")).first().top or 0
+    while top >= fan:
         levels[-1] = written(levels[-1], "smooth-level")
         composed = [F.expr(f"aggregate(kids, named_struct('m', 1D, 'c', 0D), (y, k) -> named_struct('m', y.m * k.m{i}, 'c', y.c * k.m{i} + k.c{i}))").alias(f"z{i}") for i in range(n)]
         firsts = [F.expr(f"get(filter(transform(kids, k -> k.h{i}), v -> v is not null), 0)").alias(f"h{i}") for i in range(n)]
         above = levels[-1].select("symbol", F.col("up").alias("node"), *composed, *firsts)
         nodes = written(above.select("symbol", "node", *[F.col(c).alias(d) for i in range(n) for c, d in ((f"z{i}.m", f"m{i}"), (f"z{i}.c", f"c{i}"), (f"h{i}", f"h{i}"))]), "smooth-level")
         levels.append(grouped(nodes))
+        top //= fan
     found = levels[-1].withColumns({f"y{i}": F.lit(None).cast("double") for i in range(n)})
     for level in [*reversed(levels[:-1]), None]:
         after = "if(s.y is null, k.m{0} * k.h{0}, k.m{0} * s.y) + k.c{0}"

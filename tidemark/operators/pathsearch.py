@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.pieces import numbered, rows_until
-from tidemark.scratch import written
+from tidemark.scratch import discard, written
 
 FAN = 64
 
@@ -42,13 +42,16 @@ def build(bars: DataFrame, flag: str | None = None, ts: str = "bar_ts") -> PathI
     kid = F.struct(F.col("__i").alias("i"), "low", "high", "flag", "ts", "close")
     level = rows.groupBy("symbol", F.floor(F.col("__i") / FAN).alias("node")).agg(F.sort_array(F.collect_list(kid)).alias("kids"))
     levels = [written(level, "path-level")]
-    while (levels[-1].agg(F.max("node").alias("n")).first().n or 0) > 0:
+    top = levels[0].agg(F.max("node").alias("n")).first().n or 0
+    while top > 0:
         kid = F.expr(
             "named_struct('i', node, 'low', array_min(transform(kids, k -> k.low)), 'high', array_max(transform(kids, k -> k.high)), 'flag', exists(kids, k -> k.flag))"
         )
         above = levels[-1].select("symbol", F.floor(F.col("node") / FAN).alias("up"), kid.alias("kid"))
         above = above.groupBy("symbol", F.col("up").alias("node")).agg(F.sort_array(F.collect_list("kid")).alias("kids"))
         levels.append(written(above, "path-level"))
+        top //= FAN
+    discard(rows)
     return PathIndex(levels)
 
 
@@ -57,7 +60,7 @@ def first_touch(points: DataFrame, index: PathIndex, after: str, until: str | No
     column `high`, or whose flag is set; else the last bar at or before `until` (of all bars if that is None). found
     holds ts, low, high, close and flag, path_low and path_high the extremes from the first bar to it; all are null where no bar lies
     between."""
-    columns = points.columns
+    columns, points = points.columns, written(points, "points")
     rows = rows_until(points, index.times(), ["symbol"], after, "ts", "__from")
     if until:
         rows = rows_until(rows, index.times(), ["symbol"], until, "ts", "__to")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.scratch import written
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys equal each other; left's keys stay."""
@@ -29,12 +31,13 @@ def _offsets(days: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "__i") -> DataFrame:
-    """rows with their place (from 0) among their keys' rows by order, whose first column is a time."""
+    """rows with their place (from 0) among their keys' rows by order, whose first column is a time. The result is a written table: all
+    that is made of places reads it more than once, and numbering anew could break ties in another way."""
     rows = rows.withColumn("__day", day_of(rows, order[0]))
     days = rows.groupBy(*keys, "__day").agg(F.count("*").alias("__n"))
     inside = F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(*order)) - 1
     rows = null_safe_join(rows.withColumn(name, inside), _offsets(days, keys), [*keys, "__day"])
-    return rows.withColumn(name, F.col(name) + F.col("__offset")).drop("__day", "__offset")
+    return written(rows.withColumn(name, F.col(name) + F.col("__offset")).drop("__day", "__offset"), "numbered")
 
 
 def with_halo(rows: DataFrame, place: str, size: int, before: int, after: int = 0) -> DataFrame:
@@ -50,7 +53,7 @@ def with_halo(rows: DataFrame, place: str, size: int, before: int, after: int =
 
 def rows_until(points: DataFrame, rows: DataFrame, keys: list[str], at: str, ts: str, name: str) -> DataFrame:
     """points with name: how many rows of their keys have a time at or before theirs (rows without a time count). A point
-    without a time gets null."""
+    without a time gets null. Both inputs are read twice, so they should be cheap to read."""
     own = points.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__s"), F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("__p"))
     other = rows.select(*keys, F.col(ts).alias("__t"), F.lit(0).alias("__s"), F.lit(None).cast(own.schema["__p"].dataType).alias("__p"))
     both = own.unionByName(other)

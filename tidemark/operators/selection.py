@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.pieces import null_safe_join, numbered, rows_until
 from tidemark.scratch import discard, written
 
-SIZE = 4096
+SIZE = 1 << 16
 
 
 def _exits(table: pa.Table) -> pa.Table:
@@ -72,11 +72,12 @@ def non_overlapping(events: DataFrame, keys: list[str], start: str, end: str, ti
     """Greedy selection per run: an event stays only if it starts after the end of the last one kept. Events are taken by (start, tie);
     (start, tie) should tell a run's events apart. Events without a start come first, of which one alone stays, unless it has no
     end: an event without an end lets the next one start."""
-    rows = rows_until(numbered(events, keys, [start, tie]), events, keys, end, start, "__next")
+    placed = numbered(events, keys, [start, tie])
+    rows = rows_until(placed, placed, keys, end, start, "__next")
     later = F.col("__i") + 1
-    rows = written(rows.withColumn("__next", F.greatest(F.coalesce("__next", later), later)), "events")
-    most = rows.agg(F.max("__i").alias("m")).first().m or 0
-    if most >= size:
+    rows = rows.withColumn("__next", F.greatest(F.coalesce("__next", later), later))
+    if (placed.agg(F.max("__i").alias("m")).first().m or 0) >= size:
+        rows = written(rows, "events")
         entry = _entries(rows, keys, size).withColumn("__entry", F.lit(True))
         rows = null_safe_join(rows, entry, [*keys, "__i"], "left").withColumn("__entry", F.coalesce("__entry", F.lit(False)))
     else:  # a run is one piece

@@ -11,6 +11,7 @@ from tidemark.operators.stats import PRIME, draw_sql
 from tidemark.plans.inputs import BARS, TICKS, TRADES, bars_of, bars_sql, ticks, trades
 from tidemark.plans.oracles import ACTIVE, CANDLES, EVENTS, FACTORS, HIKKAKE, LABELS, MR, MRC, QS, ROWS, RUN, SCORED, SIG, WILDER, T, W, pf, r, rank_sql, recursive_mean, roll, signal_sql, sql
 from tidemark.plans.queries import _active, _events, _factor_rows, _quantiled, _scored, query, r6, signal_frame
+from tidemark.scratch import written
 
 # ------------------------------------------------------------------ event data sets
 
@@ -627,8 +628,8 @@ SELECT event_id, round(stop, 6) AS stop, 2.0::DOUBLE AS fixed, round(CASE WHEN a
 @query
 def liquidation_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearer of stop and liquidation price is the trigger, and a bar that reaches both liquidates."""
-    rows = signal_frame(spark, sf_dir)
-    e = _events(spark, sf_dir).select("event_id", "symbol", F.col("signal_time").alias("entry_time"), F.col("close").alias("entry_price"), (F.col("close") - 2 * F.col("atr")).alias("stop"))
+    rows = written(signal_frame(spark, sf_dir), "signals")
+    e = _events(spark, sf_dir, rows).select("event_id", "symbol", F.col("signal_time").alias("entry_time"), F.col("close").alias("entry_price"), (F.col("close") - 2 * F.col("atr")).alias("stop"))
     out = ledger.resolve_liquidations(e, rows, "exit_signal", "stop", 3.0)
     return r6(out.select("event_id", "trigger", "exit_time", "exit_price", "exit_reason"), "trigger", "exit_price")
 
@@ -862,8 +863,8 @@ SELECT symbol, o.mode AS mode, count(*) AS n, round(avg(o.x), 6) AS mean_leverag
 @query
 def strict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per symbol: trades, liquidations and their rate, counts by exit reason and the lowest compounded balance."""
-    rows = signal_frame(spark, sf_dir)
-    e = _events(spark, sf_dir).select("event_id", "symbol", F.col("signal_time").alias("entry_time"), F.col("close").alias("entry_price"), (F.col("close") - 2 * F.col("atr")).alias("stop"))
+    rows = written(signal_frame(spark, sf_dir), "signals")
+    e = _events(spark, sf_dir, rows).select("event_id", "symbol", F.col("signal_time").alias("entry_time"), F.col("close").alias("entry_price"), (F.col("close") - 2 * F.col("atr")).alias("stop"))
     out = ledger.resolve_liquidations(e, rows, "exit_signal", "stop", 3.0).withColumn("ret", F.col("exit_price") / F.nullif(F.col("entry_price"), F.lit(0.0)) - 1)
     out = ledger.compound(out, ["symbol"], ["entry_time", "event_id"], "ret", 1000.0)
     of = lambda r: F.count_if(F.col("exit_reason") == r)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, bars, indicators, labels, ledger, metrics, patterns, quality, ranking, selection, state, stats, studies, validate
 from tidemark.plans.inputs import bars_of, table, ticks, trades
+from tidemark.scratch import written
 
 QUERIES: dict = {}
 
@@ -342,8 +343,8 @@ def non_overlapping_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ joins and labels
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signal_frame(spark, sf_dir).where("breakout and atr is not null")
+def _events(spark: SparkSession, sf_dir: str, signals: DataFrame | None = None) -> DataFrame:
+    rows = (signal_frame(spark, sf_dir) if signals is None else signals).where("breakout and atr is not null")
     ident = F.concat_ws("_", "symbol", F.date_format("bar_ts", "yyyyMMddHH"))
     return rows.select(ident.alias("event_id"), "symbol", F.col("bar_ts").alias("signal_time"), "close", "atr", "ema_slow")
 
@@ -449,8 +450,8 @@ def trade_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def exit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signal_frame(spark, sf_dir)
-    e = asof.next_open(_events(spark, sf_dir), bars_of(spark, sf_dir), strict=True).where("execution_open is not null")
+    rows = written(signal_frame(spark, sf_dir), "signals")
+    e = asof.next_open(_events(spark, sf_dir, rows), rows, strict=True).where("execution_open is not null")
     e = e.select("event_id", "symbol", F.col("execution_time").alias("entry_time"), F.col("execution_open").alias("entry_price"), (F.col("execution_open") - F.col("atr")).alias("stop"))
     out = ledger.resolve_exits(e, rows, "exit_signal", "stop")
     return r6(out, "entry_price", "stop", "exit_price")
