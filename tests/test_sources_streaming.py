@@ -1,15 +1,16 @@
 """Sources, sinks and streams: exact round trips, and streams compared with batch results."""
 
 import os
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bars, indicators, patterns, state
+from tidemark.operators import bars, events, indicators, patterns, state
 from tidemark.plans.inputs import bars_of, ticks, trades
 from tidemark.sources import ohlcv
-from tidemark.streaming import live
+from tidemark.streaming import live, stateful, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -166,3 +167,133 @@ def test_streamed_pauses_equal_batch_and_ledger_is_appended_once(spark, tmp_path
     for _ in range(2):
         live.write_ledger(stream(), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
+
+
+def _in_turns(spark, rows, ts, folder, cuts):
+    """A stream of files, split at the cut times, with each part's rows out of order, then a row of another symbol far ahead."""
+    path = str(folder)
+    os.makedirs(path)
+    bounds = [None, *cuts, None]
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        part = rows.where((F.col(ts) >= F.lit(a)) if a else F.lit(True)).where((F.col(ts) < F.lit(b)) if b else F.lit(True))
+        part.orderBy(F.xxhash64(ts, "symbol")).coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+        for name in os.listdir(f"{path}/{i}"):
+            os.utime(f"{path}/{i}/{name}", (1_700_000_000 + i, 1_700_000_000 + i))
+    return lambda files: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{files}")
+
+
+def _finish(spark, rows, ts):
+    """One row of symbol zz in the year 2100, so that the watermark passes all others."""
+    return rows.unionByName(rows.limit(1).withColumn("symbol", F.lit("zz")).withColumn(ts, F.lit("2100-01-01").cast("timestamp")))
+
+
+def _append(df, path, checkpoint):
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+
+
+CUTS = ["2024-01-08", "2024-01-16", "2024-01-17 12:00:00"]
+
+
+def test_streamed_hikkake_setups_equal_batch_after_a_restart(spark, tmp_path):
+    rng = random.Random(8)
+    made = [(s, datetime(2024, 1, 1) + timedelta(hours=h), 50 + rng.random() * 9, 50 - rng.random() * 9, rng.random() < 0.9) for s in "abc" for h in range(400)]
+    rows = patterns.hikkake(spark.createDataFrame(made, "symbol string, bar_ts timestamp_ntz, high double, low double, valid boolean"))
+    want = {tuple(r) for r in events.hikkake_tracker(rows, "valid").collect()}
+    assert {r[3] for r in want} == {"confirmed", "invalid", "expired"}
+    given = rows.select("symbol", F.col("bar_ts").cast("timestamp").alias("bar_ts"), "high", "low", "valid")
+    stream = _in_turns(spark, _finish(spark, given, "bar_ts"), "bar_ts", tmp_path / "in", CUTS)
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    hold = lambda files: stateful.hikkake_stream(stream(files), "9 days", patience_seconds=40 * 86_400)
+    _append(hold("[0-1]"), out, check)
+    first = spark.read.parquet(out).count()
+    assert 0 < first < len(want)
+    _append(hold("*"), out, check)  # the same query again, with what came meanwhile
+    got = spark.read.parquet(out).where("symbol <> 'zz'").selectExpr("symbol", "cast(setup_time as timestamp_ntz)", "cast(confirm_time as timestamp_ntz)", "outcome").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_a_setup_expires_without_a_further_bar(spark, tmp_path):
+    """Bars of one symbol stop after a setup; the other symbol's bars move the watermark beyond its deadline."""
+    at = lambda h: datetime(2024, 1, 1, h)
+    rows = [("a", at(0), 10.0, 5.0, True), ("a", at(1), 9.0, 6.0, True), ("a", at(2), 8.0, 5.5, True), ("b", at(23), 1.0, 1.0, True)]
+    df = spark.createDataFrame(rows, "symbol string, bar_ts timestamp, high double, low double, valid boolean")
+    stream = _in_turns(spark, df, "bar_ts", tmp_path / "in", ["2024-01-01 03:00:00"])
+    got = _drain(stateful.hikkake_stream(stream("*"), "1 hour", patience_seconds=4 * 3600), "expired_setups", "append").collect()
+    assert [(r.symbol, r.setup_time, r.confirm_time, r.outcome) for r in got] == [("a", at(2), None, "expired")]
+
+
+def test_streamed_held_states_equal_batch(spark, tmp_path):
+    rows = patterns.trend_signals(indicators.base_indicators(bars_of(spark, SF), fast=3, slow=8, channel=5, exit_channel=5))
+    rows = state.set_reset(rows, F.col("breakout"), F.col("exit_signal"), "active")
+    want = {(r.symbol, r.bar_ts): (r.active, r.active_age, r.bars_since_exit, r.phase) for r in state.post_exit_phase(rows, "active").collect()}
+    given = rows.select("symbol", F.col("bar_ts").cast("timestamp").alias("bar_ts"), "breakout", "exit_signal")
+    stream = _in_turns(spark, _finish(spark, given, "bar_ts"), "bar_ts", tmp_path / "in", CUTS)
+    got = _drain(stateful.held_stream(stream("*"), "9 days"), "held", "append").where("symbol <> 'zz'").collect()
+    assert len(got) == len(want) and {(r.symbol, r.bar_ts): (r.active, r.active_age, r.bars_since_exit, r.phase) for r in got} == want
+
+
+def test_streamed_pauses_take_trades_in_their_order(spark, tmp_path):
+    rows = trades(spark, SF).select("symbol", "trade_id", F.col("exit_time").cast("timestamp").alias("exit_time"), F.when(F.col("trade_id") % 5 < 3, -F.abs("net_pnl") * 40).otherwise(F.col("net_pnl")).alias("net_pnl"))
+    want = {r.trade_id: r.paused for r in state.trading_pause(rows, ["symbol"], ["exit_time", "trade_id"], "net_pnl").collect()}
+    stream = _in_turns(spark, _finish(spark, rows, "exit_time"), "exit_time", tmp_path / "in", ["1994-01-01", "1996-06-01"])
+    got = _drain(stateful.ordered_pause_stream(stream("*"), "3000 days"), "ordered_pauses", "append").where("symbol <> 'zz'").collect()
+    assert {r.trade_id: r.paused for r in got} == want and len(got) == len(want)
+
+
+def test_developing_bars_are_replaced(spark, tmp_path):
+    """Ticks out of order over files: every bar develops over several batches, late ticks replace it, and the last versions are the
+    batch bars; a batch that is tried again counts once."""
+    t = ticks(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = tmp_path / "in"
+    for i in range(4):
+        t.where(F.col("event_id") % 4 == i).coalesce(1).write.parquet(f"{path}/{i}")
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    kept = str(tmp_path / "kept")
+    tables.upsert(live.bars(stream, "4 hours", "60 days"), kept).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(180)
+    versions = spark.read.option("basePath", kept).parquet(f"{kept}/batch=*")
+    want = {tuple(r) for r in bars.resample_ticks(t, "4 hours").collect()}
+    assert versions.count() > len(want)
+    assert {tuple(r) for r in tables.latest(spark, kept, ["symbol", "bar_ts"]).collect()} == want
+    again = versions.where("batch = 1").drop("batch")
+    again.write.mode("overwrite").parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("overwrite").parquet(f"{kept}/batch=000000000001")
+    assert {tuple(r) for r in tables.latest(spark, kept, ["symbol", "bar_ts"]).collect()} == want
+    tables.compact(spark, kept, str(tmp_path / "compact"), ["symbol", "bar_ts"])
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == len(want)
+
+
+def test_bars_sent_again_keep_the_last(spark, tmp_path):
+    """Closed bars that arrive twice: the higher sequence number stays, whichever batch brings it."""
+    rows = [("a", datetime(2024, 1, 1, 0, 15), 1.0, 5), ("a", datetime(2024, 1, 1, 0, 15), 2.0, 9), ("a", datetime(2024, 1, 1, 0, 20), 3.0, 6), ("a", datetime(2024, 1, 1, 0, 15), 4.0, 7)]
+    for i, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, "symbol string, bar_ts timestamp, close double, seq bigint").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("symbol string, bar_ts timestamp, close double, seq bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    kept = str(tmp_path / "kept")
+    tables.upsert(stream, kept, "append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+    got = tables.latest(spark, kept, ["symbol", "bar_ts"], "seq").withColumn("acts", tables.on_boundary("bar_ts")).orderBy("bar_ts").collect()
+    assert [(r.close, r.acts) for r in got] == [(2.0, True), (3.0, False)]
+
+
+def test_ticks_get_the_universe_frozen_for_their_day(spark, tmp_path):
+    t = ticks(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+    flush = spark.createDataFrame([("zz", datetime(2024, 4, d), 1.0, 1, -d) for d in (1, 2)], t.schema)
+    ranking, joined = str(tmp_path / "ranking"), str(tmp_path / "joined")
+    days = lambda rows: rows.withWatermark("ts", "2 days").groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(F.sum(F.col("price") * F.col("volume")).alias("quote_volume")).select("symbol", F.col("w.end").alias("day"), "quote_volume")
+    ticks_in = _in_turns(spark, t.unionByName(flush), "ts", tmp_path / "in", ["2024-01-10", "2024-01-20", "2024-02-10", "2024-04-02"])
+
+    def turn(files):
+        """Ticks first: those of days without a ranking wait."""
+        for writer, check in ((tables.join_universe(ticks_in(files), ranking, joined, 3), "join"), (tables.rank_days(days(ticks_in(files)), ranking), "rank")):
+            writer.option("checkpointLocation", f"{tmp_path}/{check}").trigger(availableNow=True).start().awaitTermination(180)
+
+    turn("[0-1]")
+    turn("[0-2]")
+    turn("[0-3]")
+    turn("*")
+    got = {r.event_id: (r["rank"], r.member) for r in spark.read.parquet(f"{joined}/ranked/*").collect()}
+    daily = state.daily_universe(t.select("symbol", F.col("ts").alias("bar_ts"), F.col("price").alias("close"), "volume"), 3)
+    want = t.join(daily, (daily.symbol == t.symbol) & (daily.day == F.to_date("ts")), "left").select("event_id", "rank", "member").collect()
+    want = {r.event_id: (r["rank"], bool(r.member)) for r in want}
+    assert {i: x for i, x in got.items() if i >= 0} == want
+    assert spark.read.parquet(f"{joined}/ranked/*").count() == len(got) and len({r for r, _ in want.values()}) > 3

@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _aggregates(o: str, h: str, low: str, c: str, v: str, ts: str) -> list[Column]:
+def first_and_last(rows: DataFrame, ts: str = "ts", tie: str = "event_id") -> Column:
+    """What orders rows for a first and a last price: their time, and at equal times their number, if they have one."""
+    return F.struct(ts, tie) if tie in rows.columns else F.col(ts)
+
+
+def _aggregates(o: str, h: str, low: str, c: str, v: str, ts: Column) -> list[Column]:
     return [
         F.min_by(o, ts).alias("open"),
         F.max(h).alias("high"),
@@ -25,14 +30,14 @@ def _bar_end(label: str) -> Column:
 
 def resample_ticks(ticks: DataFrame, width: str, label: str = "close") -> DataFrame:
     """OHLCV bars of ticks(symbol, ts, price, volume), stamped at their start (open) or their end (close)."""
-    rows = ticks.groupBy("symbol", F.window("ts", width).alias("w")).agg(*_aggregates("price", "price", "price", "price", "volume", "ts"))
+    rows = ticks.groupBy("symbol", F.window("ts", width).alias("w")).agg(*_aggregates("price", "price", "price", "price", "volume", first_and_last(ticks)))
     return rows.select("symbol", _bar_end(label), "open", "high", "low", "close", "volume", "n_ticks")
 
 
 def resample_bars(bars: DataFrame, width: str, label: str = "close", complete: int | None = None) -> DataFrame:
     """Coarser bars from bars(symbol, ts, open, high, low, close, volume); with `complete`, only those made of exactly
     that many finer bars (a strict resample)."""
-    rows = bars.groupBy("symbol", F.window("ts", width).alias("w")).agg(*_aggregates("open", "high", "low", "close", "volume", "ts"))
+    rows = bars.groupBy("symbol", F.window("ts", width).alias("w")).agg(*_aggregates("open", "high", "low", "close", "volume", F.col("ts")))
     if complete is not None:
         rows = rows.where(F.col("n_ticks") == complete)
     return rows.select("symbol", _bar_end(label), "open", "high", "low", "close", "volume", "n_ticks")

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.bars import first_and_last
 from tidemark.operators.machine import BreakoutState, step
 
 
 def bars(ticks: DataFrame, width: str, late: str) -> DataFrame:
     """Close-labelled bars of a tick stream; ticks later than the watermark are dropped."""
     rows = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", width).alias("w"))
-    rows = rows.agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("n_ticks"))
+    order = first_and_last(ticks)
+    rows = rows.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("n_ticks"))
     return rows.select("symbol", F.col("w.end").alias("bar_ts"), "open", "high", "low", "close", "volume", "n_ticks")
 
 
