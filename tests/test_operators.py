@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars, indicators, labels, ledger, metrics, quality, ranking, selection, state, stats, validate
+from tidemark.operators import asof, bars, indicators, labels, ledger, metrics, quality, ranking, selection, selectk, state, stats, validate
 from tidemark.operators.machine import BreakoutState, step
 
 T0 = datetime(2024, 1, 1)
@@ -214,4 +214,4 @@ def test_walk_forward_windows(spark):
 
 def test_kendall_of_a_perfect_order(spark):
     df = spark.createDataFrame([("A", i, i * i) for i in range(6)], "k string, a int, b int")
-    assert stats.kendall(df, ["k"], "a", "b").first().tau == 1.0
+    assert selectk.kendall(df, ["k"], "a", "b").first().tau == 1.0

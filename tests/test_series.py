@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import indicators, orderstats, pathsearch, pieces, selection
+from tidemark.operators import indicators, orderstats, pathsearch, pieces, selection, selectk
 from tidemark.operators.orderstats import Sliding, WaveletMatrix
 
 T0 = datetime(2024, 1, 1)
@@ -166,3 +166,43 @@ def test_smoothing_over_many_levels(spark, block, fan):
             y = v if np.isnan(y) else y if np.isnan(v) else a * v + (1 - a) * y
             want.append(y)
         assert np.allclose(got[name].to_numpy(float), want, rtol=1e-10, atol=1e-12, equal_nan=True)
+
+
+@pytest.mark.parametrize("bins,buffer", [(2, 1), (4, 3), (1024, 10_000)])
+def test_quantiles_against_numpy(spark, bins, buffer):
+    """Ties, one value, extremes of the double range, infinities, missing values, null keys."""
+    rng = random.Random(bins)
+    groups = {
+        "ties": [rng.choice([1.0, 2.0, 2.0, 7.5]) for _ in range(200)],
+        "one": [3.0] * 50,
+        "wide": [1e308, -1e308, 1e-308, 0.0, -0.5, 2.5, 1e300, 5e-324],
+        "infinite": [float("inf"), 1.0, 2.0, 3.0, float("-inf")],
+        "single": [4.0],
+        None: [rng.random() for _ in range(111)],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("ties", None), ("ties", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = {"low": 0.01, "mid": 0.5, "p8": 0.8, "top": 1.0}
+    got = {r.k: r for r in selectk.quantiles(df, ["k"], "v", at, bins, buffer).collect()}
+    assert set(got) == {*groups, "none"} and all(got["none"][name] is None for name in at)
+    for k, values in groups.items():
+        for name, p in at.items():
+            x = sorted(values)
+            place = p * (len(x) - 1)
+            low, high, rest = x[int(place)], x[min(int(place) + 1, len(x) - 1)], place - int(place)
+            want = low if rest == 0 else (1 - rest) * low + rest * high
+            assert got[k][name] == want or abs(got[k][name] - want) <= 1e-12 * abs(want)
+
+
+@pytest.mark.parametrize("size", [7, 40, 1 << 16])
+def test_kendall_against_all_pairs(spark, size):
+    rng = random.Random(size)
+    rows = [("a", float(rng.randint(0, 9)), rng.choice([rng.random(), 0.5])) for _ in range(120)] + [("b", float(i), -float(i)) for i in range(30)]
+    rows += [("c", 1.0, float(i)) for i in range(9)] + [(None, float(i % 4), float(i % 3)) for i in range(25)] + [("a", None, 1.0), ("b", 1.0, float("nan"))]
+    got = {r.k: r.tau for r in selectk.kendall(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y", size=size).collect()}
+    for k in ("a", "b", "c", None):
+        p = [(x, y) for key, x, y in rows if key == k and x is not None and y == y]
+        sign = lambda v: (v > 0) - (v < 0)
+        pairs = [(sign(u[0] - v[0]), sign(u[1] - v[1])) for i, u in enumerate(p) for v in p[:i]]
+        below = (sum(s != 0 for s, _ in pairs) * sum(t != 0 for _, t in pairs)) ** 0.5
+        assert got[k] is None if not below else abs(got[k] - sum(s * t for s, t in pairs) / below) < 1e-12

@@ -41,6 +41,49 @@ def test_days_are_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
+def _scans(df):
+    """(formatted plan as it ran, files opened by its partitioned scan)."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    files = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if name.startswith("Scan parquet") and "open" in node.simpleString(1000):
+            files.append(node.metrics().get("numFiles").get().value())
+        inner = [node.plan()] if "QueryStage" in name else []
+        children = node.children()
+        for child in [*inner, *[children.apply(i) for i in range(children.size())]]:
+            walk(child)
+
+    walk(plan)
+    return text, files
+
+
+def test_only_days_that_positions_touch_are_read(spark, tmp_path):
+    path = str(tmp_path / "days")
+    ohlcv.write_days(_rows(spark).coalesce(1), path)
+    days = [x for x in os.listdir(path) if x.startswith("day=")]
+    assert len(days) > 20
+    held = spark.createDataFrame([("click", datetime(2024, 1, 5, 22), datetime(2024, 1, 6, 2)), ("view", datetime(2024, 1, 9), datetime(2024, 1, 9, 1)), ("view", datetime(2024, 1, 20), datetime(2024, 1, 3))], "symbol string, a timestamp_ntz, b timestamp_ntz")
+    held.write.parquet(str(tmp_path / "held"))
+    got = ohlcv.read_days_of(spark, path, spark.read.parquet(str(tmp_path / "held")), "a", "b")
+    text, files = _scans(got)
+    assert "dynamicpruning" in text.lower() and files == [3]
+    want = _rows(spark).where("symbol = 'click' and to_date(ts) in ('2024-01-05', '2024-01-06') or symbol = 'view' and to_date(ts) = '2024-01-09'")
+    assert sorted((r.symbol, r.ts) for r in got.collect()) == sorted((r.symbol, r.ts) for r in want.collect())
+
+
+def test_the_first_of_repeated_times_stays(spark, tmp_path):
+    ts = datetime(2024, 1, 1, 5)
+    rows = [("a", ts, float(i), 1.0, 1.0, 1.0, 1.0) for i in range(50)]
+    ohlcv.write_days(spark.createDataFrame(rows, ohlcv.BAR_SCHEMA).coalesce(1), str(tmp_path / "d"))
+    assert [r.open for r in ohlcv.read_days(spark, str(tmp_path / "d"), "2024-01-01", "2024-01-02").collect()] == [0.0]
+
+
 def test_append_new_only(spark, tmp_path):
     path = str(tmp_path / "bars")
     rows = _rows(spark)

@@ -48,7 +48,7 @@ def timeframes(ticks: DataFrame, widths: dict[str, int], label: str = "close") -
     pairs = F.array(*[F.struct(F.lit(name).alias("tf"), F.lit(sec).cast("bigint").alias("sec")) for name, sec in widths.items()])
     rows = ticks.withColumn("x", F.explode(pairs)).withColumn("tf", F.col("x.tf")).withColumn("sec", F.col("x.sec"))
     start = F.expr("timestampadd(SECOND, cast(floor(timestampdiff(SECOND, timestamp_ntz'1970-01-01', ts) / sec) * sec as bigint), timestamp_ntz'1970-01-01')")
-    rows = rows.withColumn("start", start).groupBy("symbol", "tf", "sec", "start").agg(*_aggregates("price", "price", "price", "price", "volume", "ts"))
+    rows = rows.withColumn("start", start).groupBy("symbol", "tf", "sec", "start").agg(*_aggregates("price", "price", "price", "price", "volume", first_and_last(ticks)))
     stamp = F.col("start") if label == "open" else F.expr("timestampadd(SECOND, sec, start)")
     return rows.select("symbol", "tf", stamp.alias("bar_ts"), "open", "high", "low", "close", "volume", "n_ticks")
 

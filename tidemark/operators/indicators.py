@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.orderstats import Sliding, sliding
 from tidemark.operators.pieces import numbered, with_halo
+from tidemark.operators.selectk import quantiles
 from tidemark.scratch import written
 
 #: Rows of a piece of the block scan, and pieces of a group of its next level.
@@ -321,7 +322,7 @@ def bucket(value: Column, edges: list[float], labels: list[str]) -> Column:
 def state_terciles(rows: DataFrame, value: str, name: str, keys: list[str] | None = None) -> DataFrame:
     """low / mid / high by the value's terciles within keys (default: each symbol)."""
     keys = keys or ["symbol"]
-    cuts = rows.groupBy(*keys).agg(F.percentile(value, F.lit(1 / 3)).alias("__a"), F.percentile(value, F.lit(2 / 3)).alias("__b"))
+    cuts = quantiles(rows, keys, value, {"__a": 1 / 3, "__b": 2 / 3})
     out = rows.join(cuts, keys, "left")
     state = F.when(F.col(value).isNull(), "unknown").when(F.col(value) <= F.col("__a"), "low").when(F.col(value) <= F.col("__b"), "mid").otherwise("high")
     return out.withColumn(name, state).drop("__a", "__b")

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 PRIME = 2147483629
 RUN_STEP, SLOT_STEP, OFFSET = 48271, 69621, 12345
 
-#: Most rows of a key whose pairs are compared.
-MOST_PERIODS = 20_000
-
 
 def draw(run: Column, slot: Column, n: Column) -> Column:
     """0 .. n-1, from two rounds of a multiplicative generator."""
@@ -173,20 +170,6 @@ def correlations(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(a, b).alias("pearson"), F.corr("__a", "__b").alias("spearman"))
 
 
-def kendall(blocks: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Kendall's tau-b of a short table (one row per period): pairs of a key's rows are compared by a self-join, so a key with
-    more than MOST_PERIODS rows is an error."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    short = F.when(n > MOST_PERIODS, F.raise_error(F.lit("kendall: a key has more rows than MOST_PERIODS")).cast("boolean")).otherwise(True)
-    blocks = blocks.withColumn("__short", short).where("__short").drop("__short")
-    x = blocks.select(*keys, F.col(a).alias("a"), F.col(b).alias("b")).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("a", "b")))
-    y = x.select(*keys, F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("i").alias("j"))
-    pairs = x.join(y, keys).where("i < j")
-    sa, sb = F.signum(F.col("a2") - F.col("a")), F.signum(F.col("b2") - F.col("b"))
-    out = pairs.groupBy(*keys).agg(F.sum(sa * sb).alias("s"), F.count_if(sa != 0).alias("na"), F.count_if(sb != 0).alias("nb"))
-    return out.select(*keys, (F.col("s") / F.nullif(F.sqrt(F.col("na").cast("double") * F.col("nb")), F.lit(0.0))).alias("tau"))
-
-
 def failure_lift(rows: DataFrame, keys: list[str], risky: Column, failed: Column) -> DataFrame:
     """Failure rate among risky rows over the base rate."""
     base, own = F.avg(failed.cast("double")), F.avg(F.when(risky, failed.cast("double")))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.selectk import quantiles
+
 
 def fit(rows: DataFrame, factors: list[str], keys: list[str] | None = None, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Per (keys and) factor: winsor bounds, and the mean, population deviation and missing rate after clipping."""
     keys = keys or []
     long = rows.select(*keys, *[F.col(f).cast("double").alias(f) for f in factors]).unpivot(keys, factors, "factor", "value")
     by = [*keys, "factor"]
-    bounds = long.groupBy(*by).agg(F.percentile("value", F.lit(low)).alias("low"), F.percentile("value", F.lit(high)).alias("high"))
+    bounds = quantiles(long, by, "value", {"low": low, "high": high})
     clipped = long.join(bounds, by).withColumn("c", F.when(F.col("value").isNotNull(), F.least(F.greatest("value", "low"), F.col("high"))))
     return clipped.groupBy(*by).agg(
         F.first("low").alias("low"), F.first("high").alias("high"), F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"), F.avg(F.col("value").isNull().cast("double")).alias("missing_rate")
@@ -38,13 +40,13 @@ def family_scores(z: DataFrame, ids: list[str], families: dict[str, tuple[str, i
     return rows.groupBy(*ids, "family").agg(F.avg(F.col("z") * F.col("d")).alias("score"), F.count("z").alias("n_factors"))
 
 
-def thresholds(rows: DataFrame, keys: list[str], value: str, quantiles: list[float]) -> DataFrame:
-    return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(q)).alias(f"q{round(100 * q)}") for q in quantiles])
+def thresholds(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    return quantiles(rows, keys, value, {f"q{round(100 * p)}": p for p in shares})
 
 
 def gate_threshold(rows: DataFrame, keys: list[str], value: str, keep: float, direction: int) -> DataFrame:
     """The threshold that keeps that share of rows on the good side."""
-    return rows.groupBy(*keys).agg(F.percentile(value, F.lit(1 - keep if direction > 0 else keep)).alias("threshold"), F.lit(direction).alias("direction"))
+    return quantiles(rows, keys, value, {"threshold": 1 - keep if direction > 0 else keep}).withColumn("direction", F.lit(direction))
 
 
 def time_split(rows: DataFrame, keys: list[str], order: list[str], shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars, indicators, labels, ledger, metrics, patterns, quality, ranking, selection, state, stats, studies, validate
+from tidemark.operators import asof, bars, indicators, labels, ledger, metrics, patterns, quality, ranking, selection, selectk, state, stats, studies, validate
 from tidemark.plans.inputs import bars_of, table, ticks, trades
 from tidemark.scratch import written
 
@@ -693,7 +693,7 @@ def factor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def monthly_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades(spark, sf_dir).groupBy("symbol", F.date_format("exit_time", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.round(F.sum("net_pnl"), 2).alias("net"))
-    return r6(stats.kendall(t, ["symbol"], "n", "net"), "tau")
+    return r6(selectk.kendall(t, ["symbol"], "n", "net"), "tau")
 
 
 @query
