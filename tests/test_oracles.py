@@ -47,4 +47,4 @@ def test_query_equals_oracle(spark, duck, name):
 
 
 def test_every_query_without_an_oracle_is_known():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"leveraged_fold", "leverage_stress_grid"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"leveraged_fold", "leverage_stress_grid", "bootstrap_5000", "permutation_5000"}

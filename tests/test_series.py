@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import indicators, orderstats, pathsearch, pieces, selection, selectk
+from tidemark.operators import indicators, orderstats, pathsearch, pieces, resample, selection, selectk
 from tidemark.operators.orderstats import Sliding, WaveletMatrix
 
 T0 = datetime(2024, 1, 1)
@@ -206,3 +206,49 @@ def test_kendall_against_all_pairs(spark, size):
         pairs = [(sign(u[0] - v[0]), sign(u[1] - v[1])) for i, u in enumerate(p) for v in p[:i]]
         below = (sum(s != 0 for s, _ in pairs) * sum(t != 0 for _, t in pairs)) ** 0.5
         assert got[k] is None if not below else abs(got[k] - sum(s * t for s, t in pairs) / below) < 1e-12
+
+
+def _pool(spark, n=700):
+    rng = random.Random(n)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.gauss(5, 2), rng.choice(["hi", "lo", "lo", "mid"])) for i in range(n)] + [("c", n, 7.0, "hi"), ("a", n + 1, None, "hi")]
+    return rows, spark.createDataFrame(rows, "k string, i bigint, v double, g string")
+
+
+@pytest.mark.parametrize("size", [50, 4096])
+def test_bootstrap_has_the_moments_of_resampling(spark, size):
+    rows, df = _pool(spark)
+    got = resample.bootstrap(df, ["k"], "v", "i", 2000, seed=3, size=size).toPandas()
+    assert len(got) == 4 * 2000 and set(got["run"]) == set(range(1, 2001))
+    for k in ("a", "b", None):
+        v = np.array([r[2] for r in rows if r[0] == k and r[2] is not None])
+        mean = got.loc[got["k"].isna() if k is None else got["k"] == k, "mean"].to_numpy()
+        error = v.std() / len(v) ** 0.5
+        assert abs(mean.mean() - v.mean()) < 4 * error / 2000**0.5 and abs(mean.std() / error - 1) < 0.08
+        assert len(np.unique(mean)) > 1900
+    assert (got.loc[got["k"] == "c", "mean"] == 7.0).all()
+    again = resample.bootstrap(df.repartition(7), ["k"], "v", "i", 2000, seed=3, size=size).toPandas()
+    by = ["k", "run"]
+    assert np.allclose(got.sort_values(by)["mean"], again.sort_values(by)["mean"], rtol=1e-12)
+
+
+@pytest.mark.parametrize("size", [50, 4096])
+def test_permutation_deals_the_labels(spark, size):
+    """Sums of a dealing: the mean is 0, the variance that of drawing without replacement; each row is high equally often."""
+    rows, df = _pool(spark)
+    got = resample.permutation(df, ["k"], "g", "v", "i", "hi", "lo", 2000, seed=5, size=size).toPandas()
+    assert set(got["k"].fillna("null")) == {"a", "b", "null"} and len(got) == 3 * 2000
+    for k in ("a", "b", None):
+        v = np.array([r[2] for r in rows if r[0] == k and r[2] is not None and r[3] != "mid"])
+        h = sum(r[0] == k and r[3] == "hi" and r[2] is not None for r in rows)
+        edge = got.loc[got["k"].isna() if k is None else got["k"] == k, "edge"].to_numpy()
+        sd = v.std(ddof=1) * (1 / h + 1 / (len(v) - h)) ** 0.5
+        assert abs(edge.mean()) < 4 * sd / 2000**0.5 and abs(edge.std() / sd - 1) < 0.08
+
+
+def test_resampling_moves_no_row_for_each_run(spark):
+    """The exchanges of 5 000 runs carry one number for each block and run at most."""
+    df = spark.range(20_000).select(F.lit("a").alias("k"), F.col("id").alias("i"), F.rand(1).alias("v"))
+    got = resample.bootstrap(df, ["k"], "v", "i", 5000)
+    assert got.count() == 5000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence(1, 5000" not in plan and "FlatMapCoGroupsInArrow" in plan

@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars, events, indicators, labels, ledger, metrics, orderstats, patterns, quality, ranking, selection, state, stats, studies, validate
+from tidemark.operators import asof, bars, events, indicators, labels, ledger, metrics, orderstats, patterns, quality, ranking, resample, selection, state, stats, studies, validate
 from tidemark.operators.stats import PRIME, draw_sql
 from tidemark.plans.inputs import BARS, TICKS, TRADES, bars_of, bars_sql, ticks, trades
-from tidemark.plans.oracles import ACTIVE, CANDLES, EVENTS, FACTORS, HIKKAKE, LABELS, MR, MRC, QS, ROWS, RUN, SCORED, SIG, WILDER, T, W, pf, r, rank_sql, recursive_mean, roll, signal_sql, sql
-from tidemark.plans.queries import _active, _events, _factor_rows, _quantiled, _scored, query, r6, signal_frame
+from tidemark.plans.oracles import ORACLE_SQL, ACTIVE, CANDLES, EVENTS, FACTORS, HIKKAKE, LABELS, MR, MRC, QS, ROWS, RUN, SCORED, SIG, WILDER, T, W, pf, r, rank_sql, recursive_mean, roll, signal_sql, sql
+from tidemark.plans.queries import QUERIES, _active, _events, _factor_rows, _quantiled, _scored, query, r6, signal_frame
 from tidemark.scratch import written
 
 # ------------------------------------------------------------------ event data sets
@@ -1042,3 +1042,47 @@ l AS (SELECT *, CASE WHEN count(dev) {_LONG} >= 100 THEN median(dev) {_LONG} END
 SELECT symbol, event_id, close, round(med, 6) AS median, round(dev, 6) AS dev, round(coalesce(greatest(spread * 1.5, 0.02), 0.05), 6) AS "limit"
 FROM (SELECT *, CASE WHEN spread IS NULL THEN 0.02 ELSE greatest(spread * 1.5, 0.02) END AS lim FROM l) WHERE dev > lim""",
 )
+
+
+# ------------------------------------------------------------------ thousands of runs
+
+
+@query
+def bootstrap_5000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of 5 000 resampled means of each symbol's trades. The generator is numpy's, which SQL can't repeat."""
+    draws = resample.bootstrap(trades(spark, sf_dir), ["symbol"], "ret", "trade_id", 5000)
+    return stats.distribution(draws, ["symbol"], "mean")
+
+
+@query
+def permutation_5000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p-values of the edge between the sides of each symbol's trades against 5 000 random labellings."""
+    t = trades(spark, sf_dir)
+    draws = resample.permutation(t, ["symbol"], "side", "ret", "trade_id", "LONG", "SHORT", 5000)
+    return stats.p_values(draws, stats.observed_edge(t, ["symbol"], "side", "ret", "LONG", "SHORT").select("symbol", "edge"), ["symbol"])
+
+
+# ------------------------------------------------------------------ base against test
+
+
+PAIRS = [("P0", "P1"), ("P0", "P2"), ("P0", "P4"), ("P1", "P4")]
+
+
+@query
+def base_against_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of prototypes side by side: a self-join of their results through the table of pairs."""
+    base = QUERIES["prototype_masks"](spark, sf_dir)
+    pairs = F.broadcast(spark.createDataFrame(PAIRS, "base string, test string"))  # a fixed list
+    a = base.select("symbol", F.col("prototype").alias("base"), F.col("n").alias("base_n"), F.col("mean_ret").alias("base_ret"))
+    b = base.select("symbol", F.col("prototype").alias("test"), F.col("n").alias("test_n"), F.col("mean_ret").alias("test_ret"))
+    out = a.join(pairs, "base").join(b, ["symbol", "test"], "left")
+    out = out.withColumn("kept", F.coalesce("test_n", F.lit(0)) / F.col("base_n")).withColumn("gain", F.col("test_ret") - F.col("base_ret"))
+    return r6(out.select("symbol", "base", "test", "base_n", "test_n", "kept", "gain"), "kept", "gain")
+
+
+sql(
+    "base_against_test",
+    "m AS (" + ORACLE_SQL["prototype_masks"].strip() + "), x(base, test) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + ")",
+    """SELECT a.symbol, base, test, a.n AS base_n, b.n AS test_n, round(coalesce(b.n, 0) / a.n, 6) AS kept, round(b.mean_ret - a.mean_ret, 6) AS gain
+FROM m a JOIN x ON a.prototype = x.base LEFT JOIN m b ON b.symbol = a.symbol AND b.prototype = x.test""",
+)
