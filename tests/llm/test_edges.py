@@ -235,7 +235,7 @@ def test_licences_of_long_and_exact_texts_equal_the_oracle(spark):
     mit = next(t for n, t in licences.TEMPLATES if n == "mit" and len(t) > 100)
     words = mit.split()
     wrapped = "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
-    rows = [(1, "\n".join([wrapped] * 7)), (2, "\n".join([wrapped] * 400)), (3, wrapped), (4, LONG[:9000] + "\n" + LONG[9000:]), (5, "a\nb"), (6, "\n\n"), (7, None)]
+    rows = [(1, "\n".join([wrapped] * 7)), (2, "\n".join([wrapped] * 40)), (3, wrapped), (4, LONG[:9000] + "\n" + LONG[9000:]), (5, "a\nb"), (6, "\n\n"), (7, None)]
     # 2 * shared / (A + B) = 0.8 at either bound: a notice with half as many bigrams added, one with a third left out
     for k, (_, text) in enumerate(sorted(licences.TEMPLATES)):
         w = text.split()
@@ -249,8 +249,53 @@ def test_licences_of_long_and_exact_texts_equal_the_oracle(spark):
     want = con.sql(licences.oracle_sql()).fetchall()
     assert sorted(got) == sorted(want)
     by = {r[0]: r for r in got}
-    assert by[1][2] == by[2][2] == by[3][2] == "mit"
-    assert 0.8 in {r[3] for r in got}
+    assert by[1][3] == by[2][3] == by[3][3] == "mit"
+    assert 0.8 in {r[4] for r in got}
+
+
+def test_wrapped_embedded_and_commented_licences(spark):
+    """Whole licences in their usual form, inside other text, and at the bound; SQL over all windows agrees."""
+    import textwrap
+
+    import duckdb
+
+    full = {n: max((t for m, t in licences.TEMPLATES if m == n), key=len) for n in ("mit", "isc", "bsd")}
+    lines = {n: "\n".join(textwrap.wrap(t, 78)) for n, t in full.items()}
+    about = "\n".join(textwrap.wrap(prose(400, 90), 78))
+    changed = full["mit"].split()
+    for i in range(0, len(changed), 40):
+        changed[i] = "otherword"
+    short = full["isc"].split()[:70]
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2024 Somebody\n\n" + lines["mit"]),
+        (2, about + "\n" + lines["isc"] + "\n" + about),
+        (3, "\n".join(" * " + x for x in lines["bsd"].split("\n")) + "\nint main() { return 0; }"),
+        (4, "\n".join(textwrap.wrap(" ".join(changed), 60)) + "\n" + about),
+        (5, about + "\n" + lines["mit"] + "\n" + lines["bsd"]),
+        (6, about + "\n" + "\n".join(textwrap.wrap(" ".join(short), 40)) + "\n" + about),
+        (7, about),
+    ]
+    # a run of the template's words followed by others: the coefficient falls through 0.8
+    rows += [(100 + j, " ".join(full["isc"].split()[: 130 - j]) + " " + prose(60, 91)) for j in range(60)]
+    frame = docs(spark, rows)
+    got = {r.doc_id: r for r in licences.digest(licences.scan(frame)).collect()}
+    assert [got[i].licences for i in (1, 2, 3, 4, 7)] == ["mit", "isc", "bsd", "mit", ""]
+    assert set(got[5].licences.split(",")) == {"mit", "bsd"} and got[1].best_dice == 1.0
+    assert any(x.split(":")[1] == "400" for x in got[2].windows.split(","))
+    documents = frame.select("doc_id", "text").toPandas()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert sorted(tuple(r) for r in got.values()) == sorted(con.sql(licences.oracle_sql()).fetchall())
+    assert len({got[100 + j].n_windows for j in range(60)}) > 1
+
+
+def test_licence_scan_of_a_long_text_of_licences(spark):
+    import time
+
+    text = "\n".join(t for _, t in licences.TEMPLATES) + "\n"
+    start = time.perf_counter()
+    got = licences.digest(licences.scan(docs(spark, [(1, text * (500_000 // len(text)))]))).first()
+    assert got.n_windows == len(licences.TEMPLATES) and time.perf_counter() - start < 120
 
 
 def brute_force_windows(rows, items, least=0.8):

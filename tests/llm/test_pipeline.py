@@ -77,3 +77,28 @@ def test_pipeline_on_empty_tables_and_odd_rows(spark, tmp_path):
     packed = corpus_pipeline.run(spark, odd)
     ids = packed.groupBy("doc_id").agg({"n_words": "sum"}).collect()
     assert sum(r.doc_id == clean.first().doc_id for r in ids) <= 1 and not any(r.doc_id is None for r in ids)
+
+
+def test_pipeline_stages_with_clashing_and_dotted_columns(spark, tmp_path):
+    """Every stage keeps columns that have the names the operators use inside, and drops and keeps the same rows as without them."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    sf_dir = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    repeated = plain.where("doc_id < 5").withColumn("text", F.concat("text", F.lit(" and more")))
+    plain = plain.unionByName(repeated)  # ids that repeat take the longer way through the near-duplicates
+    names = ["__t", "__c", "__m", "__k0", "__h1", "__h2", "__node", "__own", "__given", "a.b", "score", "row", "node", "comp", "t", "k0", "found", "n"]
+    docs = plain.select("*", *[F.concat(F.lit(f"{i} "), F.col("doc_id").cast("string")).alias(c) for i, c in enumerate(names)])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, docs = stage(spark, plain, sf_dir), stage(spark, docs, sf_dir)
+        assert docs.columns == columns
+        for table, kind in ((plain, "plain"), (docs, "clash")):
+            table.write.parquet(str(tmp_path / f"{name}-{kind}"))
+        plain, docs = (spark.read.parquet(str(tmp_path / f"{name}-{kind}")) for kind in ("plain", "clash"))
+        same = lambda df: sorted(tuple(r) for r in df.select("doc_id", "text").collect())
+        assert same(docs) == same(plain) and len(same(docs)) > 0
+        for i, c in enumerate(names):
+            assert docs.where(F.col(f"`{c}`") != F.concat(F.lit(f"{i} "), F.col("doc_id").cast("string"))).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0

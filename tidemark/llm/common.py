@@ -137,10 +137,14 @@ def connected_components(edges: DataFrame, small: int = 200_000) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def rename_clashes(df: DataFrame, reserved: list[str]) -> DataFrame:
-    """Input columns whose names the operator needs for itself get the suffix _in."""
-    taken = {c.lower() for c in reserved}
-    return df.select(*[F.col(f"`{c}`").alias(f"{c}_in" if c.lower() in taken else c) for c in df.columns])
+def packed(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` of df and `row`, a struct of all its columns: whatever names a table has, an operator's own can't meet them."""
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in keep], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of packed() again, those in `changed` with new values."""
+    return df.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def text_of(column: str = "text") -> Column:

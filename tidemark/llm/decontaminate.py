@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, skew_join, without
+from tidemark.llm.common import materialize, packed, skew_join, unpacked, without
 
 GRAM = 5
 SIMILARITY = 0.8
@@ -104,8 +104,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, similarity: float
     key = F.struct(F.xxhash64(text), F.xxhash64(F.lit("text"), text))  # 128 bits
     texts = documents.where("text is not null").select(key.alias("doc_id"), text.alias("text"))
     hit = match(texts, benchmark, similarity).select("doc_id").distinct().select(F.col("doc_id.col1").alias("__h1"), F.col("doc_id.col2").alias("__h2"))
-    keyed = documents.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit("text"), text)})
-    return without(keyed, hit, ["__h1", "__h2"]).drop("__h1", "__h2")
+    keyed = packed(documents, "text").withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit("text"), text)})
+    return unpacked(without(keyed, hit, ["__h1", "__h2"]), documents.columns)
 
 
 def oracle_sql(similarity: float = SIMILARITY) -> str:

@@ -39,11 +39,13 @@ from tidemark.llm.common import (
     find_words,
     materialize,
     mix,
+    packed,
     scratch_scope,
     shingle_hashes,
     skew_join,
     span_hashes,
     text_slices,
+    unpacked,
     without,
 )
 
@@ -508,6 +510,10 @@ def deduplicate(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """documents with one row of each component: that with the smallest doc_id, nulls last; of rows that repeat this id
     with linked texts one stays. Rows with an empty set stay. Rows are told apart by id and set, so a row whose id
     other texts have too shares their fate only if it links with them."""
+    return unpacked(_deduplicated(packed(documents, "doc_id", "text"), k, percent), documents.columns)
+
+
+def _deduplicated(documents: DataFrame, k: int, percent: int) -> DataFrame:
     docs, named = resolve(documents, k, percent)
     rows = docs.where("n > 0").select("doc_id", "node").distinct()
     rows = materialize(skew_join(rows, named.select("node", "comp"), "node"), "members")

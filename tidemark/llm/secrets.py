@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import packed, text_of, unpacked
 
 # The patterns that the base kinds are defined by.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -152,7 +152,7 @@ def scan(
 def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """documents with every found span replaced by mask; overlapping spans are replaced once. All rows and
     columns stay; a null text stays null."""
-    out = documents.withColumn("__t", text_of(text_col))
+    out = packed(documents, text_col).withColumnRenamed(text_col, "__given").withColumn("__t", text_of("__given"))
     t = F.col("__t")
     pieces = {f"__k{k}": v for k, v in enumerate([spans(t, BEGINS + ASSIGN, 2, 6), spans(t, ACCESS), spans(t, HEX)])}
     out = out.withColumns(pieces | {"__c": candidates(t)})
@@ -168,8 +168,7 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (a, x) -> named_struct('at', greatest(a.at, x.e), 'out',
           case when x.s >= a.at then concat(a.out, array(substr(__t, a.at + 1, x.s - a.at), '{mask}')) else a.out end),
         a -> concat(array_join(a.out, ''), substr(__t, a.at + 1)))""")
-    text = F.when(F.size("__m") == 0, F.col(text_col)).otherwise(masked)
-    return out.withColumn(text_col, text).drop("__t", "__c", "__m", *pieces)
+    return unpacked(out, documents.columns, **{text_col: F.when(F.size("__m") == 0, F.col("__given")).otherwise(masked)})
 
 
 def digest(scanned: DataFrame) -> DataFrame:
