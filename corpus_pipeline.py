@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, ngram_join, packing, quality, secrets
-from tidemark.llm.common import discard, materialize, scratch_scope
+from tidemark.llm.common import discard, materialize, packed, scratch_scope, unpacked
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. It learns from the labelled rows outside the held-out quarter."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels)
-    scored = quality.score(docs, model, keep=docs.columns)
-    return scored.where(F.col("score") >= quality.THRESHOLD).drop("score")
+    rows = packed(docs, *[c for c in ("doc_id", "text", "n_chars") if c in docs.columns])
+    scored = quality.score(rows, model, keep=["row"])
+    return unpacked(scored.where(F.col("score") >= quality.THRESHOLD), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         length = F.when(F.col("text").isNotNull() & F.col("n_chars").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
