@@ -205,6 +205,32 @@ def test_secret_scan_of_long_runs_is_linear(spark):
     assert got == {1: "", 2: "entropy:0:100000"} and time.perf_counter() - start < 60
 
 
+def test_running_merges_over_many_chunks(spark):
+    values = [random.Random(3).randint(0, 50) for _ in range(1000)]
+    df = spark.createDataFrame([(values[:n],) for n in (0, 1, 255, 256, 257, 1000)], "v array<int>")
+    for merge, plain in ((lambda a, b: a + b, lambda a, b: a + b), (lambda a, b: secrets.F.greatest(a, b), max)):
+        for r in df.select("v", secrets.running(secrets.F.col("v"), merge).alias("r")).collect():
+            want, at = [], 0
+            for x in r.v:
+                at = plain(at, x)
+                want.append(at)
+            assert r.r == want
+
+
+def test_secrets_of_a_text_full_of_them(spark):
+    """1 MB of hex tokens: spans and masked text in time that grows with the text."""
+    import time
+
+    rng = random.Random(5)
+    tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(40_000)]
+    text = "é😀 " + " ".join(tokens) + " end"
+    start = time.perf_counter()
+    got = secrets.digest(secrets.scan(docs(spark, [(1, text)]))).first()
+    assert got.n_hex == 40_000 and got.spans.split(",")[0].split(":")[1:] == ["3", "27"]
+    assert secrets.redact(docs(spark, [(1, text)])).first().text == "é😀 " + " ".join(["[SECRET]"] * 40_000) + " end"
+    assert time.perf_counter() - start < 120
+
+
 def test_licence_edges(spark):
     rows = [(1, "Released under the MIT License."), (2, "x\nAll rights reserved.\ny"), (3, None), (4, ""), (5, "license"), (None, "Licensed under CC BY-NC 4.0."), (6, LONG)]
     got = {r.doc_id: r.licences for r in licences.digest(licences.scan(docs(spark, rows))).collect()}

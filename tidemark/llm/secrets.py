@@ -2,12 +2,14 @@
 
 Every span is found where the text is scanned; nothing is shuffled. A null text counts as empty and has no
 spans; repeated rows are scanned one by one; extra columns are not looked at. Offsets are code points and
-ends are exclusive.
+ends are exclusive. The entropy scan measures strings of one run of characters that hold a digit: a run of letters alone, however random,
+is no candidate. Time and memory grow in proportion to the text and to its matches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ BEGINS = "(?=[PpSsTtAa])"
 #: Candidate strings of the entropy scan: a run of at least WINDOW such characters; those without a digit are left out.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+#: Values that are merged in one growing array.
+CHUNK = 256
 #: Sums of c * log2(c) are kept as whole numbers of this part of a bit, so that they don't depend on the way they were reached.
 SCALE = 1 << 32
 #: Least entropy in bits of a window, by the character class that the whole candidate stays in.
@@ -37,29 +41,52 @@ ALLOW = [
 ]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """The merged values (from 0 on) up to each place of an array<int>. Chunks are merged first and then chained, so the cost of the arrays
+    that grow is the chunk's size for each value, not the array's."""
+
+    def chain(part: Column, start: Column) -> Column:
+        state = F.struct(start.alias("t"), F.expr("cast(array() as array<int>)").alias("o"))
+        step = lambda s, x: let(merge(s["t"], x), lambda m: F.struct(m.alias("t"), F.concat(s["o"], F.array(m)).alias("o")))
+        return F.aggregate(part, state, step, lambda s: s["o"])
+
+    def whole(v: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / CHUNK).cast("int"))
+        return let(F.transform(chunks, lambda c: F.slice(v, c * CHUNK + 1, CHUNK)), joined)
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), merge))
+        before = F.concat(F.array(F.lit(0)), chain(totals, F.lit(0)))
+        return let(before, lambda b: F.flatten(F.transform(parts, lambda p, c: chain(p, F.get(b, c)))))
+
+    return let(values, whole)
+
+
 def spans(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
     """array<struct<s, e, v>> of the leftmost non-overlapping matches of pattern; with a group, matches whose
     group is shorter than `least` are dropped afterwards. What lies between two matches comes from split(), so
     a running sum of lengths gives the offsets. Texts without a match are passed over once."""
     none = F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)")
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = [between.alias("p"), found.alias("m")]
-    if group is not None:
-        rows.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["pos"] + F.length(x["p"])
-        e = s + F.length(x["m"])
-        out = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v"))))
-        if group is not None:
-            out = F.when(F.length(x["g"]) >= least, out).otherwise(acc["out"])
-        return F.struct(e.alias("pos"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+    groups = found if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     # split() has one part more than there are matches
-    pieces = F.filter(F.arrays_zip(*rows), lambda x: x["m"].isNotNull())
-    folded = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    pieces = F.filter(F.arrays_zip(between.alias("p"), found.alias("m"), groups.alias("g")), lambda x: x["m"].isNotNull())
+
+    def placed(x: Column) -> Column:
+        ends = running(F.transform(x, lambda y: F.length(y["p"]) + F.length(y["m"])), lambda a, b: a + b)
+
+        def at(e: Column) -> Column:
+            return F.transform(x, lambda y, i: F.struct((F.get(e, i) - F.length(y["m"])).alias("s"), F.get(e, i).alias("e"), y["m"].alias("v"), F.length(y["g"]).alias("n")))
+
+        kept = F.filter(let(ends, at), lambda y: y["n"] >= (least if group is not None else 0))
+        return F.transform(kept, lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), y["v"].alias("v")))
+
+    return F.when(text.rlike(pattern), let(pieces, placed)).otherwise(none)
 
 
 def weights(window: int) -> list[int]:
@@ -164,10 +191,17 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           transform(__k2, x -> named_struct('s', x.s, 'e', x.e)), transform(filter(__c, x -> x.r.first >= 0),
             x -> named_struct('s', x.s + x.r.first, 'e', x.s + x.r.last + {WINDOW}))))"""),
     )
-    masked = F.expr(f"""aggregate(__m, named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (a, x) -> named_struct('at', greatest(a.at, x.e), 'out',
-          case when x.s >= a.at then concat(a.out, array(substr(__t, a.at + 1, x.s - a.at), '{mask}')) else a.out end),
-        a -> concat(array_join(a.out, ''), substr(__t, a.at + 1)))""")
+    found, ends = F.col("__m"), running(F.transform("__m", lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+
+    def cut(chars: Column, until: Column) -> Column:
+        """Between the spans, each of which begins at or behind the end of all before it, the text; instead of them the mask."""
+        text = lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")
+        end = lambda i: F.when(i == 0, 0).otherwise(F.get(until, i - 1))
+        begun = F.filter(F.transform(found, lambda x, i: F.struct(end(i).alias("a"), x["s"].alias("b"))), lambda x: x["b"] >= x["a"])
+        head = F.array_join(F.transform(begun, lambda x: F.concat(text(x["a"], x["b"]), F.lit(mask))), "")
+        return F.concat(head, text(end(F.size(until)), F.size(chars)))
+
+    masked = let(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda chars: let(ends, lambda until: cut(chars, until)))
     return unpacked(out, documents.columns, **{text_col: F.when(F.size("__m") == 0, F.col("__given")).otherwise(masked)})
 
 
