@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import event_queries  # noqa: F401  (registers its queries and oracles)
+from tidemark.plans import event_queries, source_queries  # noqa: F401  (they register their queries and oracles)
 from tidemark.plans.oracles import ORACLE_SQL
 from tidemark.plans.queries import QUERIES
 
