@@ -210,3 +210,20 @@ def top_rows(rows: DataFrame, keys: list[str], by: str, tie: str, k: int) -> Dat
     hi, lo = Window.partitionBy(*keys).orderBy(F.desc(by), tie), Window.partitionBy(*keys).orderBy(by, tie)
     out = rows.withColumn("rank_top", F.row_number().over(hi)).withColumn("rank_bottom", F.row_number().over(lo))
     return out.where((F.col("rank_top") <= k) | (F.col("rank_bottom") <= k))
+
+
+def event_summary(rows: DataFrame, keys: list[str], ret: str, within: list[str], flags: dict[str, Column] | None = None) -> DataFrame:
+    """Per group of events: their number, those with a return, mean return, positive rate, profit factor, the group's share of the summed
+    returns of all groups with equal `within` columns (null where that sum is 0), and the rate of each flag."""
+    found = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_events"),
+        F.count(ret).alias("n_valid"),
+        F.avg(ret).alias("mean_ret"),
+        F.avg((F.col(ret) > 0).cast("double")).alias("positive_rate"),
+        profit_factor(ret).alias("profit_factor"),
+        F.sum(ret).alias("__sum"),
+        *[F.avg(F.coalesce(flag, F.lit(False)).cast("double")).alias(name) for name, flag in (flags or {}).items()],
+    )
+    # one row a group
+    whole = F.sum("__sum").over(Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0)))
+    return found.withColumn("contribution", F.col("__sum") / F.nullif(whole, F.lit(0.0))).drop("__sum")

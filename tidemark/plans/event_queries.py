@@ -1086,3 +1086,64 @@ sql(
     """SELECT a.symbol, base, test, a.n AS base_n, b.n AS test_n, round(coalesce(b.n, 0) / a.n, 6) AS kept, round(b.mean_ret - a.mean_ret, 6) AS gain
 FROM m a JOIN x ON a.prototype = x.base LEFT JOIN m b ON b.symbol = a.symbol AND b.prototype = x.test""",
 )
+
+
+# ------------------------------------------------------------------ event summaries
+
+_SUMMARY = ["mean_ret", "positive_rate", "profit_factor", "contribution"]
+
+
+def _summary_sql(keys: str, within: str, source: str, flags: str = "", names: str = "") -> str:
+    return f""", s AS (SELECT {keys}, count(*) AS n_events, count(ret) AS n_valid, avg(ret) AS mean_ret, avg((ret > 0)::INT) AS positive_rate, {pf('ret')} AS profit_factor, sum(ret) AS t{flags} FROM {source} GROUP BY {keys})
+SELECT {keys}, n_events, n_valid, round(mean_ret, 6) AS mean_ret, round(positive_rate, 6) AS positive_rate, round(profit_factor, 6) AS profit_factor, round(t / nullif(sum(t) OVER (PARTITION BY {within}), 0), 6) AS contribution{names} FROM s"""
+
+
+@query
+def phase_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars by year and phase after an exit, with what follows in four bars."""
+    rows = labels.forward_labels(state.post_exit_phase(_active(spark, sf_dir), "active"), [4]).withColumn("year", F.year("bar_ts"))
+    found = metrics.event_summary(rows, ["symbol", "year", "phase"], "fwd_ret_4", ["symbol", "year"])
+    return r6(found, *_SUMMARY)
+
+
+sql(
+    "phase_summary",
+    f"{ACTIVE}, {LABELS}",
+    f""", x AS (SELECT *, CASE WHEN active = 0 AND lag(active) OVER {W} = 1 THEN rn END AS ex FROM act), y AS (SELECT *, CASE WHEN active = 0 THEN rn - last_value(ex IGNORE NULLS) OVER {RUN} END AS b FROM x),
+z AS (SELECT y.symbol, year(y.bar_ts)::INT AS year, lab.fwd_ret_4 AS ret, CASE WHEN active = 1 THEN 'held' WHEN b IS NULL THEN 'idle' WHEN b <= 4 THEN '0-4' WHEN b <= 16 THEN '5-16' WHEN b <= 64 THEN '17-64' ELSE 'idle' END AS phase FROM y JOIN lab USING (symbol, bar_ts))"""
+    + _summary_sql("symbol, year, phase", "symbol, year", "z"),
+)
+
+
+@query
+def candidate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by kind, symbol and side, with their regime's rate."""
+    rows = labels.forward_labels(indicators.mean_reversion(signal_frame(spark, sf_dir)), [4])
+    rows = patterns.mean_reversion_candidates(rows)
+    found = metrics.event_summary(rows, ["symbol", "candidate", "side"], "fwd_ret_4", ["symbol"], {"calm_rate": F.col("trend_strength") <= 0.5})
+    return r6(found, *_SUMMARY, "calm_rate")
+
+
+sql(
+    "candidate_summary",
+    f"{MRC}, {LABELS}",
+    ", z AS (SELECT mrc.symbol, candidate, side, fwd_ret_4 AS ret, coalesce(trend_strength <= 0.5, false) AS calm FROM mrc JOIN lab USING (symbol, bar_ts))"
+    + _summary_sql("symbol, candidate, side", "symbol", "z", ", avg(calm::INT) AS calm_rate", ", round(calm_rate, 6) AS calm_rate"),
+)
+
+
+@query
+def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades by stage (entries of each order status) and mode (side): profit factor, contribution and rates."""
+    t = trades(spark, sf_dir)
+    found = metrics.event_summary(t, ["exit_reason", "side"], "net_pnl", [], {"win_rate_small": F.col("ret") > 0.02, "long_hold_rate": F.col("n_lines") >= 5})
+    return found.withColumn("mean_ret", F.round("mean_ret", 3)).withColumns({c: F.round(c, 5) for c in ("positive_rate", "profit_factor", "contribution", "win_rate_small", "long_hold_rate")})
+
+
+sql(
+    "stage_summary",
+    TRADES,
+    f""", s AS (SELECT exit_reason, side, count(*) AS n_events, count(net_pnl) AS n_valid, avg(net_pnl) AS mean_ret, avg((net_pnl > 0)::INT) AS positive_rate, {pf('net_pnl')} AS profit_factor, sum(net_pnl) AS t,
+  avg(coalesce(ret > 0.02, false)::INT) AS w, avg((n_lines >= 5)::INT) AS h FROM trades GROUP BY ALL)
+SELECT exit_reason, side, n_events, n_valid, round(mean_ret, 3) AS mean_ret, round(positive_rate, 5) AS positive_rate, round(profit_factor, 5) AS profit_factor, round(t / nullif(sum(t) OVER (), 0), 5) AS contribution, round(w, 5) AS win_rate_small, round(h, 5) AS long_hold_rate FROM s""",
+)
