@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import indicators, orderstats, pathsearch, pieces, resample, selection, selectk
+from tidemark.operators import indicators, orderstats, pathsearch, pieces, resample, selection, selectk, state
+from tidemark.operators.machine import BreakoutState, step
 from tidemark.operators.orderstats import Sliding, WaveletMatrix
 
 T0 = datetime(2024, 1, 1)
@@ -252,3 +253,27 @@ def test_resampling_moves_no_row_for_each_run(spark):
     assert got.count() == 5000
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(sequence(1, 5000" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("piece,max_age", [(16, 8), (4096, 8), (16, 2)])
+def test_breakout_events_against_the_machine(spark, monkeypatch, piece, max_age):
+    """Breakouts inside open events, on closing bars and at the end, across pieces; missing flags."""
+    monkeypatch.setattr(state, "PIECE", piece)
+    rng = random.Random(max_age)
+    rows = []
+    for symbol, n in (("a", 500), ("b", 90), ("c", 1)):
+        for i in range(n):
+            low = 10 + rng.random()
+            bar = (rng.choice([True, False, False, None]), rng.choice([True] + [False] * 9 + [None]), low, 11 + rng.random(), 11 + rng.random())
+            rows.append((symbol, T0 + timedelta(minutes=30 * i), *bar))
+    df = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, breakout boolean, exit_signal boolean, low double, open double, close double")
+    want = {}
+    for symbol in "abc":
+        now = BreakoutState()
+        for _, ts, *bar in [r for r in rows if r[0] == symbol]:
+            now, label = step(now, *bar, max_age=max_age)
+            want[symbol, ts] = (now.number, label, now.age)
+    got = state.breakout_events(df, max_age)
+    assert got.columns == [*df.columns, "event_no", "event_state", "event_age"]
+    got = {(r.symbol, r.bar_ts): (r.event_no, r.event_state, r.event_age) for r in got.collect()}
+    assert got == want and {label for _, label, _ in want.values()} >= {"opened", "open", "entered", "invalid", "expired", "none"}

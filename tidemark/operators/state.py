@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.indicators import series
+from tidemark.operators.patterns import true
+from tidemark.operators.pieces import numbered, rows_until, with_halo
+from tidemark.operators.selection import non_overlapping
+from tidemark.scratch import written
+
+#: Bars of a piece of a long series.
+PIECE = 4096
 
 
 def set_reset(rows: DataFrame, on: Column, off: Column, name: str, keys: list[str] | None = None, ts: str = "bar_ts") -> DataFrame:
@@ -152,25 +156,36 @@ def daily_universe(bars: DataFrame, top: int, ts: str = "bar_ts") -> DataFrame:
 
 def breakout_events(rows: DataFrame, max_age: int = 8, ts: str = "bar_ts") -> DataFrame:
     """Post-breakout state over trend_signals(): an event opens on a breakout when none is open, and closes by age, an
-    exit signal, or an entry (a pull-back: lower low, then a bullish bar). event_no counts a symbol's events; state is
-    open, entered, invalid, expired or none. One sorted stream per symbol with a small state."""
-    from tidemark.operators.machine import BreakoutState, step
-
-    need = ["breakout", "exit_signal", "low", "open", "close"]
-    ordered = rows.repartition("symbol").sortWithinPartitions("symbol", ts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, state = None, BreakoutState()
-        for batch in batches:
-            numbers, states, ages = [], [], []
-            for key, *bar in zip(*(batch.column(c).to_pylist() for c in ("symbol", *need)), strict=True):
-                if key != symbol:
-                    symbol, state = key, BreakoutState()
-                state, label = step(state, *bar, max_age=max_age)
-                numbers.append(state.number)
-                states.append(label)
-                ages.append(state.age)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32()), pa.array(states, pa.string()), pa.array(ages, pa.int32())], schema.names)
-
-    schema = ordered.select("*", F.lit(0).alias("event_no"), F.lit("").alias("event_state"), F.lit(0).alias("event_age")).schema
-    return ordered.mapInArrow(run, schema)
+    exit signal, or an entry (a pull-back: lower low, then a bullish bar). event_no counts a symbol's events; event_state is
+    opened, open, entered, invalid, expired or none, event_age the bars since the opening.
+
+    An event closes within max_age + 1 bars whatever came before it, so each bar that could open one first gets the close that it would
+    have, over pieces of the series; which of them open is then a greedy choice of events that do not overlap."""
+    placed = numbered(rows, ["symbol"], [ts], "__i")
+    ahead = Window.partitionBy("symbol").orderBy(ts).rowsBetween(1, max_age + 1)
+    bar = F.struct(F.col(ts).alias("ts"), F.col("__i").alias("i"), "exit_signal", "low", "open", "close")
+
+    def first_close(part: DataFrame) -> DataFrame:
+        return part.withColumn("__ahead", F.collect_list(bar).over(ahead))
+
+    may_open = true(F.col("breakout")) & ~true(F.col("exit_signal"))
+    # symbols of the pieces are (symbol, piece), as in in_pieces, but the places stay
+    pieces = with_halo(placed, "__i", PIECE, 0, max_age + 1).withColumn("symbol", F.struct("symbol", "__piece")).drop("__piece")
+    starts = first_close(pieces).where("__own").where(may_open).withColumn("symbol", F.col("symbol.symbol"))
+    step = f"""aggregate(__ahead, named_struct('age', 0, 'low', low, 'pulled', false, 'state', 'open', 'ts', {ts}, 'i', __i, 'bars', cast(array() as array<struct<i:bigint,age:int,state:string>>)),
+      (s, b) -> if(s.state <> 'open', s, transform(array(case when coalesce(b.exit_signal, false) then 'invalid' when s.age + 1 > {max_age} then 'expired'
+          when s.age >= 1 and s.pulled and coalesce(b.close > b.open, false) then 'entered' else 'open' end),
+        x -> named_struct('age', s.age + 1, 'low', b.low, 'pulled', s.pulled or coalesce(b.low < s.low, false), 'state', x, 'ts', b.ts, 'i', b.i,
+          'bars', concat(s.bars, array(named_struct('i', b.i, 'age', s.age + 1, 'state', x)))))[0]))"""
+    starts = starts.withColumn("__close", F.expr(step)).select("symbol", F.col(ts).alias("__start"), F.col("__close.ts").alias("__end"), F.col("__i").alias("__open"), F.col("__close.bars").alias("__bars"))
+    kept = written(non_overlapping(starts, ["symbol"], "__start", "__end", "__open"), "breakouts")
+    own = F.array(F.struct(F.col("__open").alias("i"), F.lit(0).alias("age"), F.lit("opened").alias("state")))
+    labels = kept.select("symbol", F.inline(F.concat(own, "__bars"))).select("symbol", F.col("i").alias("__i"), F.col("age").alias("event_age"), F.col("state").alias("event_state"))
+    found = placed.join(labels, ["symbol", "__i"], "left")
+    found = rows_until(found, kept, ["symbol"], ts, "__start", "event_no")
+    return found.select(
+        *[F.col(f"`{c}`") for c in rows.columns],
+        F.col("event_no").cast("int").alias("event_no"),
+        F.coalesce("event_state", F.lit("none")).alias("event_state"),
+        F.coalesce("event_age", F.lit(0)).alias("event_age"),
+    )
