@@ -277,3 +277,24 @@ def test_breakout_events_against_the_machine(spark, monkeypatch, piece, max_age)
     assert got.columns == [*df.columns, "event_no", "event_state", "event_age"]
     got = {(r.symbol, r.bar_ts): (r.event_no, r.event_state, r.event_age) for r in got.collect()}
     assert got == want and {label for _, label, _ in want.values()} >= {"opened", "open", "entered", "invalid", "expired", "none"}
+
+
+def test_frames_over_pieces_of_a_long_series(spark):
+    """More bars than a piece has: channels, means and ranks at the seams equal those of one window."""
+    bars = walk(9000, 11)
+    df = spark.createDataFrame([(*b[:6], float(i % 7)) for i, b in enumerate(bars)], "symbol string, bar_ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    rows = indicators.event_factors(indicators.base_indicators(df), short=8, long=24, rank_n=60)
+    got = rows.select("bar_ts", "upper", "exit_low", "atr", "ret_long", "atr_rank").toPandas().sort_values("bar_ts").reset_index(drop=True)
+    x = pd.DataFrame(bars, columns=["symbol", "bar_ts", "open", "high", "low", "close", "flag"])
+    before = x["close"].shift()
+    tr = pd.concat([x["high"] - x["low"], (x["high"] - before).abs(), (x["low"] - before).abs()], axis=1).max(axis=1)
+    want = {
+        "upper": x["high"].shift().rolling(20).max(),
+        "exit_low": x["low"].shift().rolling(10).min(),
+        "atr": tr.rolling(14).mean(),
+        "ret_long": x["close"] / x["close"].shift(24) - 1,
+    }
+    assert len(got) == 9000
+    for name, w in want.items():
+        assert np.allclose(got[name].astype(float), w, equal_nan=True, rtol=1e-9, atol=1e-9)
+    assert got["atr_rank"].notna().sum() == 9000 - 13 - 49

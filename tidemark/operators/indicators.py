@@ -75,13 +75,14 @@ def _starts(nodes: DataFrame, n: int, fan: int) -> DataFrame:
     return below
 
 
-def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_ts", block: int = SCAN_BLOCK, fan: int = SCAN_FAN) -> DataFrame:
-    """Adds y_t = a * x_t + (1 - a) * y_(t-1), y_1 = x_1, for each {name: (x, a)}; nulls of x leave y as it is.
+def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_ts", block: int = SCAN_BLOCK, fan: int = SCAN_FAN, place: str | None = None) -> DataFrame:
+    """Adds y_t = a * x_t + (1 - a) * y_(t-1), y_1 = x_1, for each {name: (x, a)}; nulls of x leave y as it is. With `place`, that
+    column holds the rows' places in their series, for in_pieces().
 
     The recurrence is affine, so a piece of rows maps its start to its end by one factor and one offset: pieces are folded in
     parallel, their maps are scanned over levels of `fan`, and the pieces are replayed from their starts.
     """
-    n, weights, columns = len(items), [a for _, a in items.values()], rows.columns
+    n, weights, columns = len(items), [a for _, a in items.values()], [*rows.columns, *(["__i"] if place else [])]
     inputs = [f"__x{i}" for i in range(n)]
     placed = numbered(rows, ["symbol"], [ts], "__i").withColumns({c: F.col(x).cast("double") for c, (x, _) in zip(inputs, items.values(), strict=True)})
     placed = placed.withColumn("__node", F.floor(F.col("__i") / block))
@@ -108,7 +109,7 @@ def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_
 
     maps = placed.select("symbol", "__node", "__i", *inputs).groupBy("symbol", "__node").applyInArrow(fold, nodes)
     starts = _starts(written(maps, "smooth-pieces"), n, fan).withColumnRenamed("node", "__node")
-    out_schema = rows.select("*", *[F.lit(None).cast("double").alias(name) for name in items]).schema
+    out_schema = placed.select(*[F.col(f"`{c}`") for c in columns], *[F.lit(None).cast("double").alias(name) for name in items]).schema
 
     def replay(table: pa.Table) -> pa.Table:
         table = in_order(table)
@@ -122,19 +123,23 @@ def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_
             out.append(pa.array(m * start + c, mask=~ok))
         return pa.Table.from_arrays(out, out_schema.names)
 
-    return placed.join(starts, ["symbol", "__node"]).groupBy("symbol", "__node").applyInArrow(replay, out_schema)
+    out = placed.join(starts, ["symbol", "__node"]).groupBy("symbol", "__node").applyInArrow(replay, out_schema)
+    return out.withColumnRenamed("__i", place) if place else out
 
 
-def in_pieces(rows: DataFrame, compute: Callable[[DataFrame], DataFrame], before: int, after: int = 0, size: int = 4096, ts: str = "bar_ts") -> DataFrame:
+def in_pieces(rows: DataFrame, compute: Callable[[DataFrame], DataFrame], before: int, after: int = 0, size: int = 4096, ts: str = "bar_ts", place: str | None = None) -> DataFrame:
     """compute(rows) over pieces of `size` rows of each symbol, for window operators whose frames reach at most `before` rows
-    back and `after` ahead: a piece also gets the rows around it, so a long series is spread over tasks."""
-    placed = with_halo(numbered(rows, ["symbol"], [ts], "__i"), "__i", size, before, after)
-    placed = placed.withColumn("symbol", F.struct("symbol", "__piece")).drop("__i", "__piece")
+    back and `after` ahead: a piece also gets the rows around it, so a long series is spread over tasks. `place` is a column of the rows'
+    places, which goes; without one they are numbered."""
+    if place is None:
+        rows, place = numbered(rows, ["symbol"], [ts], "__i"), "__i"
+    placed = with_halo(rows, place, max(size, before, after), before, after)
+    placed = placed.withColumn("symbol", F.struct("symbol", "__piece")).drop(place, "__piece")
     return compute(placed).where("__own").withColumn("symbol", F.col("symbol.symbol")).drop("__own")
 
 
-def ema(rows: DataFrame, spans: dict[str, int], value: str = "close", ts: str = "bar_ts") -> DataFrame:
-    return smooth(rows, {name: (value, 2 / (n + 1)) for name, n in spans.items()}, ts)
+def ema(rows: DataFrame, spans: dict[str, int], value: str = "close", ts: str = "bar_ts", place: str | None = None) -> DataFrame:
+    return smooth(rows, {name: (value, 2 / (n + 1)) for name, n in spans.items()}, ts, place=place)
 
 
 def true_range(ts: str = "bar_ts") -> Column:
@@ -182,38 +187,45 @@ def candle_metrics(rows: DataFrame) -> DataFrame:
 
 def base_indicators(bars: DataFrame, fast: int = 12, slow: int = 48, channel: int = 20, exit_channel: int = 10, atr_n: int = 14, ts: str = "bar_ts") -> DataFrame:
     """True range, ATR, shifted channels, exponential means and the shifted volume mean of one timeframe."""
-    rows = ema(bars, {"ema_fast": fast, "ema_slow": slow}, ts=ts).withColumn("tr", true_range(ts))
-    return rows.withColumns(
-        {
-            "atr": atr(atr_n, ts),
-            "upper": donchian(channel, "upper", ts),
-            "exit_low": donchian(exit_channel, "lower", ts),
-            "volume_mean": rolling(F.avg("volume"), "volume", channel, 1, ts=ts),
-        }
-    )
+    rows = ema(bars, {"ema_fast": fast, "ema_slow": slow}, ts=ts, place="__place")
+
+    def framed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("tr", true_range(ts)).withColumns(
+            {
+                "atr": atr(atr_n, ts),
+                "upper": donchian(channel, "upper", ts),
+                "exit_low": donchian(exit_channel, "lower", ts),
+                "volume_mean": rolling(F.avg("volume"), "volume", channel, 1, ts=ts),
+            }
+        )
+
+    return in_pieces(rows, framed, max(channel, exit_channel, atr_n) + 1, ts=ts, place="__place")
 
 
 def event_factors(rows: DataFrame, short: int = 16, long: int = 96, rank_n: int = 200, ts: str = "bar_ts") -> DataFrame:
     """Factors of a bar over base_indicators(): returns, slopes and gaps in ATR, ranks, ratios."""
     a = F.nullif(F.col("atr"), F.lit(0.0))
+    rows = sliding(rows, {"atr_rank": Sliding("atr", rank_n, 50)}, [ts], place="__place")
     one = F.col("close") / F.nullif(F.lag("close").over(series(ts)), F.lit(0.0)) - 1
-    rows = candle_metrics(rows).withColumn("ret_1", one).withColumn("step", F.abs(F.col("close") - F.lag("close").over(series(ts))))
-    rows = rows.withColumn("atr_pct", F.col("atr") / F.nullif(F.col("close"), F.lit(0.0)))
-    rows = sliding(rows, {"atr_rank": Sliding("atr", rank_n, 50)}, [ts])
-    return rows.withColumns(
-        {
-            "ret_short": n_return(short, ts),
-            "ret_long": n_return(long, ts),
-            "slow_slope": (F.col("ema_slow") - F.lag("ema_slow", short).over(series(ts))) / a,
-            "ema_gap": (F.col("ema_fast") - F.col("ema_slow")) / a,
-            "breakout_distance": (F.col("close") - F.col("upper")) / a,
-            "channel_width": (F.col("upper") - F.col("exit_low")) / a,
-            "volatility_ratio": rolling(F.stddev_samp("ret_1"), "ret_1", short, ts=ts) / F.nullif(rolling(F.stddev_samp("ret_1"), "ret_1", long, ts=ts), F.lit(0.0)),
-            "volume_z": zscore("volume", long, ts),
-            "efficiency": efficiency_ratio(20, ts),
-            "compression": (F.col("high") - F.col("low")) / F.nullif(F.lag(F.col("high") - F.col("low")).over(series(ts)), F.lit(0.0)),
-        }
-    )
+
+    def framed(rows: DataFrame) -> DataFrame:
+        rows = candle_metrics(rows).withColumn("ret_1", one).withColumn("step", F.abs(F.col("close") - F.lag("close").over(series(ts))))
+        rows = rows.withColumn("atr_pct", F.col("atr") / F.nullif(F.col("close"), F.lit(0.0)))
+        return rows.withColumns(factors)
+
+    factors = {
+        "ret_short": n_return(short, ts),
+        "ret_long": n_return(long, ts),
+        "slow_slope": (F.col("ema_slow") - F.lag("ema_slow", short).over(series(ts))) / a,
+        "ema_gap": (F.col("ema_fast") - F.col("ema_slow")) / a,
+        "breakout_distance": (F.col("close") - F.col("upper")) / a,
+        "channel_width": (F.col("upper") - F.col("exit_low")) / a,
+        "volatility_ratio": rolling(F.stddev_samp("ret_1"), "ret_1", short, ts=ts) / F.nullif(rolling(F.stddev_samp("ret_1"), "ret_1", long, ts=ts), F.lit(0.0)),
+        "volume_z": zscore("volume", long, ts),
+        "efficiency": efficiency_ratio(20, ts),
+        "compression": (F.col("high") - F.col("low")) / F.nullif(F.lag(F.col("high") - F.col("low")).over(series(ts)), F.lit(0.0)),
+    }
+    return in_pieces(rows, framed, max(short, long, 20) + 1, ts=ts, place="__place")
 
 
 def mean_reversion(rows: DataFrame, n: int = 32, ts: str = "bar_ts") -> DataFrame:

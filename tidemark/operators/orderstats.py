@@ -90,11 +90,11 @@ def _statistic(values: np.ndarray, item: Sliding) -> tuple[np.ndarray, np.ndarra
     return out, ok
 
 
-def sliding(rows: DataFrame, items: dict[str, Sliding], order: list[str] | None = None, size: int = SIZE) -> DataFrame:
-    """rows with one column for each item over the windows of its symbol's rows by order (bar_ts)."""
+def sliding(rows: DataFrame, items: dict[str, Sliding], order: list[str] | None = None, size: int = SIZE, place: str | None = None) -> DataFrame:
+    """rows with one column for each item over the windows of its symbol's rows by order (bar_ts), and with `place` one of their places."""
     order = order or ["bar_ts"]
     widest = max(i.window for i in items.values())
-    size, given = max(size, 4 * widest), rows.columns
+    size, given = max(size, 4 * widest), [*rows.columns, *(["__i"] if place else [])]
     values = list(dict.fromkeys(i.value for i in items.values()))
     placed = numbered(rows, ["symbol"], order, "__i").withColumns({f"__v{n}": F.col(v).cast("double") for n, v in enumerate(values)})
     pieces = with_halo(placed, "__i", size, widest - 1)
@@ -110,4 +110,5 @@ def sliding(rows: DataFrame, items: dict[str, Sliding], order: list[str] | None
             columns.append(pa.array(out[own], mask=~ok[own]))
         return pa.Table.from_arrays(columns, schema.names)
 
-    return pieces.groupBy("symbol", "__piece").applyInArrow(run, schema)
+    out = pieces.groupBy("symbol", "__piece").applyInArrow(run, schema)
+    return out.withColumnRenamed("__i", place) if place else out
