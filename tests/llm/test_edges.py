@@ -231,6 +231,20 @@ def test_secrets_of_a_text_full_of_them(spark):
     assert time.perf_counter() - start < 120
 
 
+def test_languages_by_the_hundred(spark):
+    """300 languages of their own words: the model holds an entry for each n-gram and language that had it, not for each pair."""
+    rng = random.Random(6)
+    vocabulary = {f"l{x:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(40)] for x in range(300)}
+    rows = [(i, " ".join(rng.choices(vocabulary[f"l{i % 300:03d}"], k=30)), f"l{i % 300:03d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(df)
+    assert len(model.langs) == 300
+    entries, dense = sum(len(t.langs) for t in model.tables), sum(len(t.keys) for t in model.tables) * 300
+    assert entries < dense / 20
+    got = {r.doc_id: r.lang_pred for r in language.predict(df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.99 * len(rows)
+
+
 def test_licence_edges(spark):
     rows = [(1, "Released under the MIT License."), (2, "x\nAll rights reserved.\ny"), (3, None), (4, ""), (5, "license"), (None, "Licensed under CC BY-NC 4.0."), (6, LONG)]
     got = {r.doc_id: r.licences for r in licences.digest(licences.scan(docs(spark, rows))).collect()}
@@ -506,7 +520,12 @@ def test_language_scores_against_plain_backoff(spark):
     def look_up(kind, text):
         data = np.frombuffer(text.encode(), np.uint8)
         at = model.find(kind, common.span_hashes(data, np.array([0]), np.array([len(data)])))[0]
-        return None if at < 0 else model.tables[kind][1][at]
+        if at < 0:
+            return None
+        table, row = model.tables[kind], model.tables[kind].never.copy()
+        held = slice(table.starts[at], table.starts[at + 1])
+        row[table.langs[held]] += table.gains[held]
+        return row
 
     texts = [rows[3][1], prose(20, 99), "fklm " + rows[150][1][:40], "Zzé abc", "q", "ab, cd-EF 12 gh"]
     names, best = language.predict_texts(model, texts)

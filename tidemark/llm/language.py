@@ -2,11 +2,13 @@
 
 A known word scores by its log frequency in each language. An unseen word is covered from left to right: at each
 character the longest known n-gram (4, then 3, 2, 1 letters, with word-edge marks) that starts there scores
-instead. The class with the largest sum wins; the score is its posterior per scored unit.
+instead. The class with the largest sum wins; the score is its share when the sums, divided by the square root of the number of scored
+units, are taken as log odds. A language that never had a word or n-gram counts it half a time.
 
 Words are maximal runs of letters (ASCII letters and every non-ASCII character), lower-cased. Counts come from all
 rows of a bounded sample: about SAMPLE rows of each language, by a hash of the id; words and n-grams seen at least LEAST
-times in it are kept, so the model's size follows from the sample and not from the table.
+times in it are kept, so the model's size follows from the sample and not from the table: one entry for each n-gram and language that
+had it, however many languages there are.
 
 A null text, or one without any letter, is `und` with score 0; rows with a null id are predicted, are not held
 out and never train; a null language never trains; repeated rows are predicted alike; extra columns are not looked
@@ -16,8 +18,10 @@ at; without training rows every text is `und`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,15 +36,43 @@ LONGEST = 4
 EDGE = 0x20
 
 
-class Model:
-    """langs, and for words and for each n-gram length sorted hashes with a row of log frequencies each."""
+class Table(NamedTuple):
+    """Sorted hashes; of hash i the languages langs[starts[i]:starts[i + 1]] that had it, with what that adds to the log frequency of
+    what a language never had; and that log frequency of each language."""
 
-    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]], unseen: np.ndarray):
-        self.langs, self.tables, self.unseen = langs, tables, unseen
+    keys: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    gains: np.ndarray
+    never: np.ndarray
+
+    def add(self, total: np.ndarray, row: np.ndarray, hit: np.ndarray, weight: float = 1.0) -> None:
+        """Adds to total[row] (rows x languages) the log frequencies of the hashes at the places hit."""
+        n, width = total.shape
+        total += weight * np.bincount(row, minlength=n)[:, None] * self.never
+        size = self.starts[hit + 1] - self.starts[hit]
+        at = np.repeat(self.starts[hit] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        place = np.repeat(row, size) * width + self.langs[at]
+        total += weight * np.bincount(place, self.gains[at], n * width).reshape(n, width)
+
+
+def _table(part: pd.DataFrame, sums: dict, kind: int, n_langs: int) -> Table:
+    part = part.sort_values(["key", "lang"])
+    keys, starts = np.unique(part["key"].to_numpy(np.uint64), return_index=True)
+    base = np.array([sums.get((kind, x), 0) + 0.5 * max(len(keys), 1) for x in range(n_langs)])
+    gains = np.log((0.5 + part["n"].to_numpy()) / 0.5)
+    return Table(keys, np.append(starts, len(part)).astype(np.int64), part["lang"].to_numpy(np.int64), gains, np.log(0.5 / base))
+
+
+class Model(NamedTuple):
+    """langs, and a table of the words (0) and of the n-grams of each length (n)."""
+
+    langs: list[str]
+    tables: list[Table]
 
     def find(self, kind: int, hashes: np.ndarray) -> np.ndarray:
         """Row of each hash in the table of words (0) or of n-grams (n), -1 where unknown."""
-        keys = self.tables[kind][0]
+        keys = self.tables[kind].keys
         if not len(keys):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
@@ -80,7 +112,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
-        return Model([], [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * (LONGEST + 1), np.zeros(0))
+        return Model([], [])
     shares = documents.sparkSession.createDataFrame([(lang, sample / n) for lang, n in totals.items()], "lang string, share double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20))
     rows = rows.join(F.broadcast(shares), "lang").where(chance < F.col("share") * (1 << 20)).select("text", "lang")
@@ -100,34 +132,24 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
                     held = end > 0
                     found.append((n, own[word[held]], span_hashes(padded, chars[held], end[held])))
                 for kind, who, hashes in found:
-                    for x in range(len(langs)):
-                        keys, counts = np.unique(hashes[who == x], return_counts=True)
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "kind": pa.array(np.full(len(keys), kind), pa.int32()),
-                                "lang": pa.array(np.full(len(keys), x), pa.int32()),
-                                "h": pa.array(keys.view(np.int64), pa.int64()),
-                                "n": pa.array(counts, pa.int64()),
-                            }
-                        )
+                    order = np.lexsort((hashes, who))
+                    who, hashes = who[order], hashes[order]
+                    new = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (hashes[1:] != hashes[:-1]))) if len(who) else order
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "kind": pa.array(np.full(len(new), kind), pa.int32()),
+                            "lang": pa.array(who[new], pa.int32()),
+                            "h": pa.array(hashes[new].view(np.int64), pa.int64()),
+                            "n": pa.array(np.diff(np.append(new, len(who))), pa.int64()),
+                        }
+                    )
 
     counts = rows.mapInArrow(count, "kind int, lang int, h bigint, n bigint").groupBy("kind", "lang", "h").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy("kind", "lang"))
     kept = counts.withColumn("total", total).where(F.col("n") >= LEAST).toPandas()
     sums = {(k, x): t for k, x, t in kept[["kind", "lang", "total"]].drop_duplicates().itertuples(index=False)}
-    tables = []
-    for kind in range(LONGEST + 1):
-        part = kept[kept["kind"] == kind]
-        keys, row = np.unique(part["h"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        seen = np.full((len(keys), len(langs)), 0.5)
-        seen[row, part["lang"].to_numpy()] += part["n"].to_numpy()
-        base = np.array([sums.get((kind, x), 0) + 0.5 * max(len(keys), 1) for x in range(len(langs))])
-        tables.append((keys, np.log(seen / base)))
-    return Model(langs, tables, np.zeros(len(langs)))
-
-
-def _row_sums(scores: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(row, scores[:, x], n) for x in range(scores.shape[1])], 1)
+    kept["key"] = kept["h"].to_numpy(np.int64).view(np.uint64)
+    return Model(langs, [_table(kept[kept["kind"] == kind], sums, kind, len(langs)) for kind in range(LONGEST + 1)])
 
 
 def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -141,7 +163,8 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.
         row = np.repeat(np.arange(n), np.diff(first))
         found = model.find(0, span_hashes(data, starts, ends))
         known = found >= 0
-        total = _row_sums(model.tables[0][1][found[known]], row[known], n)
+        total = np.zeros((n, len(model.langs)))
+        model.tables[0].add(total, row[known], found[known])
         units = np.bincount(row[known], minlength=n).astype(float)
         if not known.all():
             padded, heads, stops = _padded(data, starts[~known], ends[~known])
@@ -153,7 +176,7 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.
                 hit = model.find(k, span_hashes(padded, chars[idx], gram_ends[k - 1][idx]))
                 idx, hit = idx[hit >= 0], hit[hit >= 0]
                 left[idx] = False
-                total += _row_sums(model.tables[k][1][hit], own[word[idx]], n) / LONGEST
+                model.tables[k].add(total, own[word[idx]], hit, 1 / LONGEST)
                 units += np.bincount(own[word[idx]], minlength=n) / LONGEST
         shifted = total - total.max(1, keepdims=True)
         share = np.exp(shifted / np.maximum(np.sqrt(units), 1)[:, None])
