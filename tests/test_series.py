@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import indicators, orderstats, pathsearch, pieces, resample, selection, selectk, state
+from tidemark.operators import asof, indicators, orderstats, pathsearch, pieces, resample, selection, selectk, state
 from tidemark.operators.machine import BreakoutState, step
 from tidemark.operators.orderstats import Sliding, WaveletMatrix
 
@@ -298,3 +298,37 @@ def test_frames_over_pieces_of_a_long_series(spark):
     for name, w in want.items():
         assert np.allclose(got[name].astype(float), w, equal_nan=True, rtol=1e-9, atol=1e-9)
     assert got["atr_rank"].notna().sum() == 9000 - 13 - 49
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_from_day_to_day(spark, direction, strict):
+    """Matches on the same day, many days off, at equal times and missing; null keys meet null keys."""
+    rng = random.Random(4)
+    at = lambda: T0 + timedelta(hours=6 * rng.randint(0, 60))
+    left = [(rng.choice(["a", "b", None, "none"]), at(), i) for i in range(200)]
+    right = [(rng.choice(["a", "a", "b", None]), at(), rng.randint(0, 5)) for _ in range(25)]
+    got = asof.asof(spark.createDataFrame(left, "symbol string, t timestamp_ntz, i int"), spark.createDataFrame(right, "symbol string, u timestamp_ntz, v int"), "t", "u", ["u", "v"], direction, strict)
+    found = {r.i: (r.u, r.v) for r in got.collect()}
+    assert len(found) == len(left)
+    for symbol, t, i in left:
+        if direction == "backward":
+            want = max(((u, v) for s, u, v in right if s == symbol and (u < t or u == t and not strict)), default=(None, None))
+        else:
+            want = min(((u, v) for s, u, v in right if s == symbol and (u > t or u == t and not strict)), default=(None, None))
+        assert found[i] == want
+
+
+def test_set_and_reset_from_day_to_day(spark):
+    rng = random.Random(9)
+    rows = [(s, T0 + timedelta(hours=5 * i), rng.choice([True, None] + [False] * 8), rng.choice([True, None] + [False] * 12)) for s in ("a", "b", None) for i in range(150)]
+    df = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, up boolean, down boolean")
+    got = {(r.symbol, r.bar_ts): (r.on, r.on_first, r.on_age) for r in state.set_reset(df, F.col("up"), F.col("down"), "on").collect()}
+    assert len(got) == len(rows)
+    for symbol in ("a", "b", None):
+        on, age = 0, None
+        for _, ts, up, down in [r for r in rows if r[0] == symbol]:
+            now = 0 if down else 1 if up else on
+            age = None if not now else age + 1 if on else 0
+            assert got[symbol, ts] == (now, now == 1 and on == 0, age)
+            on = now

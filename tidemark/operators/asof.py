@@ -1,6 +1,6 @@
 """As-of, interval and containment joins, and joins with fallback keys.
 
-As-of joins union both sides and carry the last row along each symbol's order; interval joins explode each interval
+As-of joins union both sides and carry the last row along each day's order and from day to day; interval joins explode each interval
 into the time buckets it spans, so that they are equi-joins on (symbol, bucket).
 """
 
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.pieces import day_of, null_safe_join
+from tidemark.scratch import written
+
 
 def asof(left: DataFrame, right: DataFrame, on: str, right_on: str, values: list[str], direction: str = "backward", strict: bool = False, keys: list[str] | None = None) -> DataFrame:
     """left with `values` of the nearest right row at or before (backward) or at or after (forward) left's `on`, not at it
@@ -21,9 +24,17 @@ def asof(left: DataFrame, right: DataFrame, on: str, right_on: str, values: list
     own = left.select(*keys, F.col(on).alias("__t"), F.lit(1 - (1 if strict else 0)).alias("__s"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("__v"))
     other = right.select(*keys, F.col(right_on).alias("__t"), side.alias("__s"), F.lit(None).cast(own.schema["__l"].dataType).alias("__l"), F.struct(*values).alias("__v"))
     order = [F.col("__t") if back else F.desc("__t"), F.col("__s"), F.col("__v") if back else F.desc("__v")]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    both = own.unionByName(other).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__l is not null")
-    return both.select("__l.*", *[F.col(f"__v.{v}").alias(v) for v in values])
+    both = own.unionByName(other)
+    both = written(both.withColumn("__day", day_of(both, "__t")), "asof")
+    inside = Window.partitionBy(*keys, "__day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # what a day hands on to the days behind it in the scan's direction
+    row = F.when(F.col("__v").isNotNull(), F.struct("__t", "__v"))
+    days = both.groupBy(*keys, "__day").agg((F.max(row) if back else F.min(row)).alias("__x"))
+    behind = Window.partitionBy(*keys).orderBy("__day" if back else F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*keys, "__day", F.last("__x", ignorenulls=True).over(behind).alias("__x"))
+    rows = null_safe_join(both.withColumn("__v", F.last("__v", ignorenulls=True).over(inside)).where("__l is not null"), days, [*keys, "__day"])
+    rows = rows.withColumn("__v", F.coalesce("__v", "__x.__v"))
+    return rows.select("__l.*", *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
 def next_open(signals: DataFrame, bars: DataFrame, signal_time: str = "signal_time", strict: bool = False, ts: str = "bar_ts") -> DataFrame:

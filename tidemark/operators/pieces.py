@@ -40,6 +40,21 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "__
     return written(rows.withColumn(name, F.col(name) + F.col("__offset")).drop("__day", "__offset"), "numbered")
 
 
+def carried(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """rows with, for each {name: column}, the column's last value that is not null in the rows before (by order, whose first column is a
+    time; orders differ). Each day's last values go to the days after it, so a task holds one day. rows are read twice."""
+    rows = rows.withColumn("__day", day_of(rows, order[0]))
+    inside = Window.partitionBy(*keys, "__day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__last{i}") for i, c in enumerate(values.values())]
+    days = rows.groupBy(*keys, "__day").agg(*lasts)
+    days = days.select(*keys, "__day", *[F.last(f"__last{i}", ignorenulls=True).over(before).alias(f"__carry{i}") for i in range(len(lasts))])
+    own = rows.withColumns({f"__own{i}": F.last(c, ignorenulls=True).over(inside) for i, c in enumerate(values.values())})
+    out = null_safe_join(own, days, [*keys, "__day"])
+    found = {name: F.coalesce(f"__own{i}", f"__carry{i}") for i, name in enumerate(values)}
+    return out.withColumns(found).drop("__day", *[f"__{x}{i}" for x in ("own", "carry") for i in range(len(lasts))])
+
+
 def with_halo(rows: DataFrame, place: str, size: int, before: int, after: int = 0) -> DataFrame:
     """rows with __piece, their place by `size`, and __own: true. The rows that lie up to `before` places ahead of a piece and up to
     `after` behind it come again with its number and __own false. Neither may be more than size."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.indicators import series
 from tidemark.operators.patterns import true
-from tidemark.operators.pieces import numbered, rows_until, with_halo
+from tidemark.operators.pieces import carried, numbered, rows_until, with_halo
 from tidemark.operators.selection import non_overlapping
 from tidemark.scratch import written
 
@@ -19,14 +19,14 @@ def set_reset(rows: DataFrame, on: Column, off: Column, name: str, keys: list[st
     """Adds name (1 from a row where `on` holds until a row where `off` does; `off` wins), name_first (first row of a
     run of 1) and name_age (rows since the run's first row, null outside)."""
     keys = keys or ["symbol"]
-    w = Window.partitionBy(*keys).orderBy(ts)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__e", F.when(F.coalesce(off, F.lit(False)), 0).when(F.coalesce(on, F.lit(False)), 1))
-    rows = rows.withColumn(name, F.coalesce(F.last("__e", ignorenulls=True).over(run), F.lit(0))).withColumn("__rn", F.row_number().over(w))
-    first = (F.col(name) == 1) & (F.coalesce(F.lag(name).over(w), F.lit(0)) == 0)
-    rows = rows.withColumn(f"{name}_first", first)
-    start = F.last(F.when(F.col(f"{name}_first"), F.col("__rn")), ignorenulls=True).over(run)
-    return rows.withColumn(f"{name}_age", F.when(F.col(name) == 1, F.col("__rn") - start)).drop("__e", "__rn")
+    rows = carried(numbered(rows, keys, [ts], "__rn"), keys, [ts], {"__before": "__e"})
+    rows = rows.withColumn(name, F.coalesce("__e", "__before", F.lit(0)))
+    rows = rows.withColumn(f"{name}_first", (F.col(name) == 1) & (F.coalesce("__before", F.lit(0)) == 0))
+    rows = rows.withColumn("__start", F.when(F.col(f"{name}_first"), F.col("__rn")))
+    rows = carried(rows, keys, [ts], {"__opened": "__start"})
+    age = F.col("__rn") - F.coalesce("__start", "__opened")
+    return rows.withColumn(f"{name}_age", F.when(F.col(name) == 1, age)).drop("__e", "__rn", "__before", "__start", "__opened")
 
 
 def segments(rows: DataFrame, state: str, ts: str = "bar_ts") -> DataFrame:
