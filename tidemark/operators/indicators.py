@@ -47,7 +47,8 @@ def _scan(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _starts(nodes: DataFrame, n: int, fan: int) -> DataFrame:
     """symbol, node, y0..: the value of each of n recurrences before each of nodes(symbol, node, m0, c0, h0, ..), null if it has not
-    begun. A node's map is m y + c, its first value h, at which a recurrence begins. Groups of `fan` nodes are composed to a node of the
+    begun. A node's map is h + m (y - h) + c about its first value h, at which a recurrence begins, so a constant stays as it is; without
+    a value it leaves y. Groups of `fan` nodes are composed to a node of the
     next level until one is left, and the starts are handed down again, so no row holds more than one group."""
 
     def grouped(level: DataFrame) -> DataFrame:
@@ -58,15 +59,16 @@ def _starts(nodes: DataFrame, n: int, fan: int) -> DataFrame:
     top = nodes.agg(F.max("node").alias("top")).first().top or 0
     while top >= fan:
         levels[-1] = written(levels[-1], "smooth-level")
-        composed = [F.expr(f"aggregate(kids, named_struct('m', 1D, 'c', 0D), (y, k) -> named_struct('m', y.m * k.m{i}, 'c', y.c * k.m{i} + k.c{i}))").alias(f"z{i}") for i in range(n)]
-        firsts = [F.expr(f"get(filter(transform(kids, k -> k.h{i}), v -> v is not null), 0)").alias(f"h{i}") for i in range(n)]
-        above = levels[-1].select("symbol", F.col("up").alias("node"), *composed, *firsts)
-        nodes = written(above.select("symbol", "node", *[F.col(c).alias(d) for i in range(n) for c, d in ((f"z{i}.m", f"m{i}"), (f"z{i}.c", f"c{i}"), (f"h{i}", f"h{i}"))]), "smooth-level")
+        start = "named_struct('m', 1D, 'c', 0D, 'h', cast(null as double))"
+        step = "if(k.h{0} is null, s, if(s.h is null, named_struct('m', k.m{0}, 'c', k.c{0}, 'h', k.h{0}), named_struct('m', s.m * k.m{0}, 'c', k.h{0} - s.h + k.m{0} * (s.h + s.c - k.h{0}) + k.c{0}, 'h', s.h)))"
+        composed = [F.expr(f"aggregate(kids, {start}, (s, k) -> {step.format(i)})").alias(f"z{i}") for i in range(n)]
+        above = levels[-1].select("symbol", F.col("up").alias("node"), *composed)
+        nodes = written(above.select("symbol", "node", *[F.col(f"z{i}.{x}").alias(f"{x}{i}") for i in range(n) for x in "mch"]), "smooth-level")
         levels.append(grouped(nodes))
         top //= fan
     found = levels[-1].withColumns({f"y{i}": F.lit(None).cast("double") for i in range(n)})
     for level in [*reversed(levels[:-1]), None]:
-        after = "if(s.y is null, k.m{0} * k.h{0}, k.m{0} * s.y) + k.c{0}"
+        after = "if(k.h{0} is null, s.y, k.h{0} + k.c{0} + if(s.y is null, 0D, k.m{0} * (s.y - k.h{0})))"
         seen = [F.expr(f"aggregate(kids, named_struct('y', y{i}, 'o', cast(array() as array<double>)), (s, k) -> named_struct('y', {after.format(i)}, 'o', concat(s.o, array(s.y))), s -> s.o)").alias(f"y{i}") for i in range(n)]
         below = found.select("symbol", F.expr("transform(kids, k -> k.node)").alias("node"), *seen)
         below = below.select("symbol", F.inline(F.arrays_zip("node", *[f"y{i}" for i in range(n)])))
@@ -90,12 +92,15 @@ def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_
     def in_order(table: pa.Table) -> pa.Table:
         return table.take(pa.array(np.argsort(table.column("__i").to_numpy())))
 
-    def running(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(values, which are given, running factors, running offsets) of each recurrence."""
-        for c, a in zip(inputs, weights, strict=True):
-            x = table.column(c).to_numpy()
-            given = ~np.isnan(x)
-            yield x, given, *_scan(np.where(given, 1 - a, 1.0), np.where(given, a * np.nan_to_num(x), 0.0))
+    def running(table: pa.Table, i: int, about: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """(rows that a value or the start precedes, running factors, running offsets, value) of a recurrence about that value, by default
+        its first one."""
+        x = table.column(inputs[i]).to_numpy()
+        given = ~np.isnan(x)
+        begun = np.full(len(x), True)
+        if about is None:
+            begun, about = np.cumsum(given) > 0, float(x[given][0]) if given.any() else 0.0
+        return begun, *_scan(np.where(given, 1 - weights[i], 1.0), np.where(given, weights[i] * (np.nan_to_num(x) - about), 0.0)), about
 
     empty = [F.lit(None).cast("double").alias(f"{x}{i}") for i in range(n) for x in "mch"]
     nodes = placed.select("symbol", F.col("__node").alias("node"), *empty).schema
@@ -103,8 +108,9 @@ def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_
     def fold(table: pa.Table) -> pa.Table:
         table = in_order(table)
         out = [table.column(c).slice(0, 1) for c in ("symbol", "__node")]
-        for x, given, m, c in running(table):
-            out += [pa.array([m[-1]]), pa.array([c[-1]]), pa.array([x[given][0] if given.any() else None], pa.float64())]
+        for i in range(n):
+            begun, m, c, first = running(table, i, None)
+            out += [pa.array([m[-1]]), pa.array([c[-1]]), pa.array([first if begun[-1] else None], pa.float64())]
         return pa.Table.from_arrays(out, nodes.names)
 
     maps = placed.select("symbol", "__node", "__i", *inputs).groupBy("symbol", "__node").applyInArrow(fold, nodes)
@@ -114,13 +120,10 @@ def smooth(rows: DataFrame, items: dict[str, tuple[str, float]], ts: str = "bar_
     def replay(table: pa.Table) -> pa.Table:
         table = in_order(table)
         out = [table.column(c) for c in columns]
-        for i, (x, given, m, c) in enumerate(running(table)):
+        for i in range(n):
             start = table.column(f"y{i}").to_numpy()[0]
-            ok = np.full(len(x), True)
-            if np.isnan(start):  # begins at the first value, if there is one
-                ok = np.cumsum(given) > 0
-                start = x[given][0] if given.any() else 0.0
-            out.append(pa.array(m * start + c, mask=~ok))
+            begun, _, c, about = running(table, i, None if np.isnan(start) else float(start))
+            out.append(pa.array(about + c, mask=~begun))
         return pa.Table.from_arrays(out, out_schema.names)
 
     out = placed.join(starts, ["symbol", "__node"]).groupBy("symbol", "__node").applyInArrow(replay, out_schema)
