@@ -170,6 +170,13 @@ def test_target_and_stop_in_one_bar_is_a_stop(spark):
     assert got == {"x": ("stop", 90.0), "y": ("time", 101.0)}
 
 
+def test_short_whose_price_falls_to_zero_gains_without_bound(spark):
+    rows = [("SHORT", 0.1, 0.25, -1.0), ("SHORT", -1.0, -1.0, -1.0), ("LONG", 0.1, 0.25, -1.0), ("SHORT", 0.1, 0.25, -0.5), ("SHORT", None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, side string, fwd_ret_2 double, fwd_mfe_2 double, fwd_mae_2 double")
+    got = [(r.dir_mfe_2, r.dir_mae_2) for r in labels.directional(df, [2]).orderBy("i").collect()]
+    assert got == [(math.inf, 1 / 1.25 - 1), (math.inf, math.inf), (0.25, -1.0), (1.0, 1 / 1.25 - 1), (None, None)]
+
+
 def test_leveraged_fold_equals_a_loop(spark):
     rng = random.Random(1)
     rows = [("A", i, rng.uniform(-0.3, 0.3)) for i in range(200)]

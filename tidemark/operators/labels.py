@@ -27,6 +27,11 @@ def forward_labels(bars: DataFrame, horizons: list[int], require_full: bool = Tr
     return bars.withColumns(cols)
 
 
+def _inverse(move: Column) -> Column:
+    """The move of 1 / price: without bound where the price falls to 0."""
+    return F.when(1 + move == 0, F.lit(float("inf"))).otherwise(1 / F.nullif(1 + move, F.lit(0.0)) - 1)
+
+
 def directional(rows: DataFrame, horizons: list[int], side: str = "side") -> DataFrame:
     """The labels as seen by each row's side: a short gains when prices fall."""
     short = F.col(side) == "SHORT"
@@ -34,8 +39,8 @@ def directional(rows: DataFrame, horizons: list[int], side: str = "side") -> Dat
     for h in horizons:
         ret, mfe, mae = (F.col(f"fwd_{x}_{h}") for x in ("ret", "mfe", "mae"))
         cols[f"dir_ret_{h}"] = F.when(short, -ret).otherwise(ret)
-        cols[f"dir_mfe_{h}"] = F.when(short, 1 / (1 + mae) - 1).otherwise(mfe)
-        cols[f"dir_mae_{h}"] = F.when(short, 1 / (1 + mfe) - 1).otherwise(mae)
+        cols[f"dir_mfe_{h}"] = F.when(short, _inverse(mae)).otherwise(mfe)
+        cols[f"dir_mae_{h}"] = F.when(short, _inverse(mfe)).otherwise(mae)
     return rows.withColumns(cols)
 
 
