@@ -4,11 +4,13 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars, events, indicators, patterns, state
 from tidemark.plans.inputs import bars_of, ticks, trades
+from tidemark.plans.registry import ORACLE_SQL, QUERIES
 from tidemark.sources import ohlcv
 from tidemark.streaming import live, stateful, tables
 
@@ -84,6 +86,17 @@ def test_the_first_of_repeated_times_stays(spark, tmp_path):
     assert [r.open for r in ohlcv.read_days(spark, str(tmp_path / "d"), "2024-01-01", "2024-01-02").collect()] == [0.0]
 
 
+@pytest.mark.parametrize("name", ["bars_of_held_days", "day_partitions"])
+def test_ticks_with_one_time_all_stay(spark, tmp_path, name):
+    again = spark.read.parquet(f"{SF}/events.parquet").where("event_id % 3 = 0").withColumns({"event_id": F.col("event_id") + 1_000_000, "value": F.col("value") + 1})
+    spark.read.parquet(f"{SF}/events.parquet").unionByName(again).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    want = con.sql(ORACLE_SQL[name])
+    assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_append_new_only(spark, tmp_path):
     path = str(tmp_path / "bars")
     rows = _rows(spark)

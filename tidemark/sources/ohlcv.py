@@ -61,22 +61,26 @@ def _first_of_each(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__rn", rn).where("__rn = 1").drop("__rn", "__file", "__row")
 
 
-def _days(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumns({"__file": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")})
+def _days(spark: SparkSession, path: str, repeats: bool) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows if repeats else rows.withColumns({"__file": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")})
 
 
-def read_days(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
-    """Only the days touched by [start, end] are read; of repeated times the first stays."""
-    rows = _days(spark, path).where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return _first_of_each(rows.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))))
+def read_days(spark: SparkSession, path: str, start: str, end: str, repeats: bool = False) -> DataFrame:
+    """Only the days touched by [start, end] are read; of repeated times the first stays. With `repeats` all stay, for rows such as ticks,
+    of which several may have one time."""
+    rows = _days(spark, path, repeats).where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    rows = rows.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+    return rows if repeats else _first_of_each(rows)
 
 
-def read_days_of(spark: SparkSession, path: str, positions: DataFrame, start: str, end: str) -> DataFrame:
-    """The bars of the days that positions(symbol, start, end) of their symbols touch, first of repeated times. The days reach the scan
-    as a filter on its partitions while the query runs, so no other day's files are opened."""
+def read_days_of(spark: SparkSession, path: str, positions: DataFrame, start: str, end: str, repeats: bool = False) -> DataFrame:
+    """The bars of the days that positions(symbol, start, end) of their symbols touch, first of repeated times (with `repeats`, all). The
+    days reach the scan as a filter on its partitions while the query runs, so no other day's files are opened."""
     touched = positions.where(F.col(start) <= F.col(end)).select("symbol", F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("day"))
     touched = touched.distinct()
-    return _first_of_each(_days(spark, path).join(touched, ["symbol", "day"], "left_semi"))
+    rows = _days(spark, path, repeats).join(touched, ["symbol", "day"], "left_semi")
+    return rows if repeats else _first_of_each(rows)
 
 
 def append_new(spark: SparkSession, new: DataFrame, path: str) -> int:
