@@ -191,6 +191,26 @@ def test_leveraged_fold_equals_a_loop(spark):
         assert math.isclose(eq, have)
 
 
+@pytest.mark.parametrize("drift", [0.3, 0.0, -0.3])
+def test_shuffled_drawdowns_in_buckets_equal_a_loop(spark, monkeypatch, drift):
+    monkeypatch.setattr(stats, "BUCKET_ROWS", 8)
+    rng = random.Random(3)
+    rows = [(k, 3 * i, rng.gauss(drift, 1)) for k, n in (("A", 300), (None, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, id long, v double")
+    got = {(r.symbol, r.run): (r.net, r.max_drawdown) for r in stats.shuffled_drawdowns(df, ["symbol"], "v", "id", 20.0, 4).collect()}
+    assert len(got) == 8
+    for (k, run), (net, deepest) in got.items():
+        values = [v for s, _, v in rows if s == k]
+        drawn = sorted(((((run * 48271 + i * 69621 + 12345) % stats.PRIME) * 40692 + run * 7919 + i) % stats.PRIME, i) for i in range(1, len(values) + 1))
+        eq = peak = 20.0
+        worst = 0.0
+        for _, i in drawn:
+            eq += values[i - 1]
+            peak = max(peak, eq)
+            worst = min(worst, eq / peak - 1)
+        assert math.isclose(net, sum(values), abs_tol=1e-9) and math.isclose(deepest, worst, abs_tol=1e-9)
+
+
 def test_breakout_machine():
     s = BreakoutState()
     seen = []

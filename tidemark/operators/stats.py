@@ -9,9 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.pieces import null_safe_join, numbered
+from tidemark.scratch import discard, written
+
 # Fixed values of the draw: multipliers below a prime under 2^31.
 PRIME = 2147483629
 RUN_STEP, SLOT_STEP, OFFSET = 48271, 69621, 12345
+#: Rows of a bucket of a drawn order, most buckets of an order, and most rows that are broadcast.
+BUCKET_ROWS, MOST_BUCKETS, SMALL = 1024, 1024, 200_000
 
 
 def draw(run: Column, slot: Column, n: Column) -> Column:
@@ -126,12 +131,56 @@ def random_direction(rows: DataFrame, keys: list[str], value: str, ident: str, n
 
 
 def shuffled_drawdowns(trades: DataFrame, keys: list[str], value: str, ident: str, start: float, n_runs: int) -> DataFrame:
-    """Per run: the trades in a drawn order, their final equity and deepest drawdown."""
-    base = trades.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(ident)).cast("bigint"))
-    rows = runs(base.select(*keys, "i", F.col(value).alias("v")), n_runs).withColumn("r", draw(F.col("run"), F.col("i"), F.lit(PRIME).cast("bigint")))
-    w = Window.partitionBy(*keys, "run").orderBy("r", "i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("eq", start + F.sum("v").over(w)).withColumn("dd", F.col("eq") / F.greatest(F.lit(float(start)), F.max("eq").over(w)) - 1)
-    return rows.groupBy(*keys, "run").agg(F.sum("v").alias("net"), F.least(F.min("dd"), F.lit(0.0)).alias("max_drawdown"))
+    """Per run: the trades in a drawn order, their final equity and deepest drawdown. ident is a number or a time, start is above 0.
+
+    An order is cut into buckets by the drawn number, and what is shuffled of a bucket are its sums: they give the equity at its start, and
+    the sums of its gains and losses bound all drawdowns in it. Only buckets that may hold the deepest one, or the peak before it,
+    are put in order: first each run's most suspect one, then those that it doesn't rule out."""
+    placed = numbered(trades.select(*keys, F.col(ident).alias("__id"), F.col(value).alias("v")), keys, ["__id"], "i")
+    # few bytes, but a row for each run is made of them: all cores take part
+    base = written(placed.drop("__id").repartition(2 * trades.sparkSession.sparkContext.defaultParallelism, "i"), "shuffled")
+    discard(placed)
+    groups = base.groupBy(*keys).agg(F.sum("v").alias("net"), F.least(F.ceil(F.count("*") / BUCKET_ROWS), F.lit(MOST_BUCKETS)).alias("m"))
+    groups = written(groups, "groups")
+    rows = null_safe_join(base.select(*keys, (F.col("i") + 1).alias("i"), F.coalesce("v", F.lit(0.0)).alias("v")), groups.drop("net"), keys)
+    rows = runs(rows, n_runs).withColumn("r", draw(F.col("run"), F.col("i"), F.lit(PRIME).cast("bigint"))).withColumn("bucket", F.expr(f"r * m div {PRIME}"))
+    run = [*keys, "run"]
+
+    sums = rows.groupBy(*run, "bucket").agg(F.sum("v").alias("s"), F.sum(F.greatest("v", F.lit(0.0))).alias("up"), F.sum(F.least("v", F.lit(0.0))).alias("down"))
+    w = Window.partitionBy(*run).orderBy("bucket")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("first", start + F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    # the peak in a bucket is at least `low` and at most `high`
+    sums = sums.withColumn("low", F.greatest(F.lit(float(start)), F.max("first").over(upto))).withColumn("high", F.greatest(F.lit(float(start)), F.max(F.col("first") + F.col("up")).over(upto)))
+    least, last = F.col("first") + F.col("down"), F.col("first") + F.col("s")
+    sums = sums.withColumn("bound", F.when(least >= 0, least / F.col("high")).otherwise(least / F.col("low")) - 1)
+    sums = sums.withColumn("seen", F.when(last >= 0, last / F.greatest(F.col("low"), last)).otherwise(last / F.col("high")) - 1)
+    sums = written(sums, "buckets")
+
+    def deepest(sums: DataFrame, target: Column) -> DataFrame:
+        """run and dd, the deepest drawdown in the buckets where target holds."""
+        marked = sums.withColumn("target", target)
+        later = F.min(F.when(F.col("target"), F.col("low"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+        wanted = marked.withColumn("later", later).where("target or first + up > later").select(*run, "bucket", "first", "low", "target")
+        wanted = written(wanted, "wanted")
+        near = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
+        # one shuffle serves both windows, whose orders agree
+        found = null_safe_join(rows.select(*run, "bucket", "r", "i", "v"), near, [*run, "bucket"]).repartition(*run)
+        inside = Window.partitionBy(*run, "bucket").orderBy("r", "i").rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumn("eq", F.col("first") + F.sum("v").over(inside))
+        peak = F.max("eq").over(Window.partitionBy(*run).orderBy("bucket", "r", "i").rowsBetween(Window.unboundedPreceding, 0))
+        found = found.withColumn("dd", F.col("eq") / F.greatest("low", peak) - 1).where("target")
+        return written(found.groupBy(*run).agg(F.min("dd").alias("dd")), "deepest")
+
+    lowest = F.min_by("bucket", F.struct("bound", "bucket")).over(Window.partitionBy(*run))
+    sums = sums.withColumn("lowest", lowest)
+    one = deepest(sums, F.col("bucket") == F.col("lowest"))
+    best = F.least(F.lit(0.0), F.col("one"), F.min("seen").over(Window.partitionBy(*run)))
+    open_ = null_safe_join(sums, one.withColumnRenamed("dd", "one"), run).withColumn("best", best)
+    two = deepest(open_, (F.col("bound") <= F.col("best") + 1e-9) & (F.col("bucket") != F.col("lowest")))
+    discard(base)
+    out = null_safe_join(one, two.withColumnRenamed("dd", "two"), run, "left")
+    return null_safe_join(out, groups, keys).select(*run, "net", F.least("dd", "two", F.lit(0.0)).alias("max_drawdown"))
 
 
 def tail_dependence(rows: DataFrame, keys: list[str], value: str, tie: str, tops: list[int], block: str) -> DataFrame:
