@@ -191,6 +191,16 @@ def test_leveraged_fold_equals_a_loop(spark):
         assert math.isclose(eq, have)
 
 
+def test_leveraged_fold_goes_on_from_piece_to_piece(spark):
+    rng = random.Random(2)
+    rows = [(k, i, rng.uniform(-0.3, 0.3)) for k in ("A", None) for i in range(50 if k else 21)]
+    df = spark.createDataFrame(rows, "symbol string, i int, ret double")
+    fold = lambda size: sorted(ledger.leveraged_fold(df, ["symbol"], ["i"], "ret", {"m": [4, 2, 1], "n": [2, 2, 2]}, 100.0, size=size).collect(), key=str)
+    whole = fold(1000)
+    assert len(whole) == 142 and fold(20) == whole
+    assert ledger.leveraged_fold(df.where("i < 0"), ["symbol"], ["i"], "ret", {"m": [4, 2, 1]}, 100.0).count() == 0
+
+
 @pytest.mark.parametrize("drift", [0.3, 0.0, -0.3])
 def test_shuffled_drawdowns_in_buckets_equal_a_loop(spark, monkeypatch, drift):
     monkeypatch.setattr(stats, "BUCKET_ROWS", 8)

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import pathsearch
 from tidemark.operators.asof import asof
+from tidemark.operators.pieces import numbered
 from tidemark.operators.selection import non_overlapping
+from tidemark.scratch import discard, root
+
+#: Most trades of a run that a task folds, and what a fold hands on.
+FOLD_PIECE = 1 << 19
+STATE = pa.struct([("equity", pa.float64()), ("peak", pa.float64()), ("last", pa.list_(pa.float64()))])
 
 
 def checked_side(side: Column) -> Column:
@@ -134,34 +143,54 @@ def leverage_ladder(drawdown: Column, losses: Column, rank: Column, table: list[
     return out.otherwise(default)
 
 
-def leveraged_fold(trades: DataFrame, keys: list[str], order: list[str], ret: str, modes: dict[str, list[float]], start: float, floor: float = 0.05) -> DataFrame:
+def leveraged_fold(trades: DataFrame, keys: list[str], order: list[str], ret: str, modes: dict[str, list[float]], start: float, floor: float = 0.05, each: Callable[[DataFrame], DataFrame] | None = None, by: tuple[str, ...] = (), size: int = FOLD_PIECE) -> DataFrame:
     """Path-dependent leverage: each mode's [base, reduced after 2 losses of the last 3, reduced in a 20 % drawdown]; a
-    trade that loses 1 / leverage or more liquidates to the floor of the balance. One sorted stream whose state per run is
-    (equity, peak, last three results), however long the run."""
-    options = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.array(*map(F.lit, map(float, x))).alias("levels")) for m, x in modes.items()]))
-    run = [*keys, "mode"]
-    rows = trades.withColumn("__m", options).select("*", "__m.mode", "__m.levels").drop("__m")
-    rows = rows.repartition(*run).sortWithinPartitions(*run, *order)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, equity, peak, last = None, start, start, []
-        for batch in batches:
-            out = []
-            for *key, r, levels in zip(*(batch.column(c).to_pylist() for c in (*run, ret, "levels")), strict=True):
-                if key != at:
-                    at, equity, peak, last = key, start, start, []
-                base, after_losses, in_drawdown = levels
-                x = in_drawdown if equity < 0.8 * peak else after_losses if sum(v <= 0 for v in last) >= 2 else base
-                gone = r * x <= -(1 - floor)
-                before, equity = equity, equity * (floor if gone else 1 + r * x)
-                peak, last = max(peak, equity), [*last, r][-3:]
-                out.append((x, before, equity, gone))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            more = [*(pa.array(c, pa.float64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-4]), *more], schema.names)
-
-    schema = rows.drop("levels").select("*", F.lit(1.0).alias("leverage"), F.lit(1.0).alias("equity_before"), F.lit(1.0).alias("equity_after"), F.lit(True).alias("liquidated")).schema
-    return rows.mapInArrow(fold, schema)
+    trade that loses 1 / leverage or more liquidates to the floor of the balance. `each` may make several rows of a trade, told apart by
+    the columns `by`, for runs of their own. The first column of order is a time or a number.
+
+    Runs are folded piece by piece: a task gets at most `size` trades of a run, all runs' n-th pieces are folded at once, and their state
+    (equity, peak, last three results) goes on to the next pieces, so that no task holds a run, however long."""
+    spark, each = trades.sparkSession, each or (lambda rows: rows)
+    run = [*keys, *by, "mode"]
+    placed = numbered(trades, keys, order, "__i")
+    top = placed.agg(F.max("__i").alias("i")).first().i
+    pieces, folded = f"{root(spark)}/fold-{uuid.uuid4().hex}", f"{root(spark)}/folded-{uuid.uuid4().hex}"
+    placed.withColumn("__piece", F.floor(F.col("__i") / size)).write.partitionBy("__piece").parquet(pieces)
+    discard(placed)
+    options = F.explode(F.array(*map(F.lit, modes)))
+    shaped = lambda rows: each(rows).withColumn("mode", options)
+    columns = each(placed.drop("__i")).columns
+    kind = shaped(placed).select(*[F.col(f"`{c}`") for c in columns], "mode", *[F.lit(1.0).alias(c) for c in ("leverage", "equity_before", "equity_after")], F.lit(True).alias("liquidated"))
+    state = F.expr("cast(null as struct<equity: double, peak: double, last: array<double>>)")
+    schema, names = kind.withColumn("__state", state).schema, [*columns, "mode"]
+
+    def fold(rows: pa.Table, before: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows.column("__i").to_numpy()))) if len(rows) else rows
+        equity, peak, last = start, start, []
+        if len(before):
+            equity, peak, last = before.column("__state")[0].as_py().values()
+        base, after_losses, in_drawdown = modes[rows.column("mode")[0].as_py()] if len(rows) else (0, 0, 0)
+        out = []
+        for r in rows.column(ret).to_pylist():
+            x = in_drawdown if equity < 0.8 * peak else after_losses if sum(v <= 0 for v in last) >= 2 else base
+            gone = r * x <= -(1 - floor)
+            was, equity = equity, equity * (floor if gone else 1 + r * x)
+            peak, last = max(peak, equity), [*last, r][-3:]
+            out.append((x, was, equity, gone))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        more = [*(pa.array(c, pa.float64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())]
+        states = pa.array([None] * (len(out) - 1) + [{"equity": equity, "peak": peak, "last": last}] * bool(out), STATE)
+        return pa.Table.from_arrays([*(rows.column(c) for c in names), *more, states], schema.names)
+
+    known = spark.createDataFrame([], T.StructType([f for f in schema if f.name in (*run, "__state")])).select(*run, "__state")
+    for piece in range(-1 if top is None else int(top) // size + 1):
+        rows = shaped(spark.read.schema(placed.schema).parquet(f"{pieces}/__piece={piece}"))
+        found = rows.groupBy(*run).cogroup(known.groupBy(*run)).applyInArrow(fold, schema)
+        found.write.parquet(f"{folded}/piece={piece}")
+        known = spark.read.schema(schema).parquet(f"{folded}/piece={piece}").where("__state is not null").select(*run, "__state")
+    if top is None:
+        return spark.createDataFrame([], kind.schema)
+    return spark.read.schema(schema).parquet(f"{folded}/piece=*").drop("__state")
 
 
 #: Stress cases: name, entry drift, extra slippage, fee multiple, liquidation shift.

@@ -120,8 +120,10 @@ def risk_sweep(trades: DataFrame, keys: list[str], order: list[str], ret: str, r
 
 def leverage_stress_grid(trades: DataFrame, keys: list[str], order: list[str], modes: dict[str, list[float]], start: float) -> DataFrame:
     """The leveraged fold under every stress case: final equity and liquidations per run, case and mode."""
-    rows = ledger.stress(trades).drop("ret").withColumnRenamed("stressed_ret", "ret")
-    folded = ledger.leveraged_fold(rows.select(*keys, "scenario", *order, "ret"), [*keys, "scenario"], order, "ret", modes, start)
+    rows = trades.select(*keys, *order, "ret", "fee_rate")
+    # the cases are made of each piece of the trades, which are put in order once
+    cases = lambda rows: ledger.stress(rows).drop("ret", "fee_rate", "drift", "slip", "fee_x", "liq_shift")
+    folded = ledger.leveraged_fold(rows, keys, order, "stressed_ret", modes, start, each=cases, by=("scenario",))
     return folded.groupBy(*keys, "scenario", "mode").agg(F.max_by("equity_after", F.struct(*order)).alias("final"), F.count_if("liquidated").alias("n_liquidated"))
 
 
