@@ -57,6 +57,21 @@ def scratch_scope():
             discard(df)
     if _SCOPES:
         _SCOPES[-1].extend(kept)
+    if written:
+        release(written[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the broadcasts, shuffles, plans and generated classes of queries that are over: the driver drops them only when its JVM
+    collects garbage, which by itself waits until the heap is full."""
+    spark._jvm.System.gc()
+
+
+def rows_of(table: DataFrame) -> int:
+    """The rows of a table made by materialize(), counted once."""
+    if not hasattr(table, "_rows"):
+        table._rows = table.count()
+    return table._rows
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -96,7 +111,7 @@ def without(rows: DataFrame, dropped: DataFrame, key: str | list[str], most: int
     """rows whose key is not in dropped(key). Up to `most` keys are broadcast, so that rows stay where they are;
     beyond it both sides are shuffled. A null key stays."""
     dropped = materialize(dropped, "dropped")
-    if dropped.count() <= most:
+    if rows_of(dropped) <= most:
         dropped = F.broadcast(dropped)
     return rows.join(dropped, key, "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns])
 
@@ -133,6 +148,7 @@ def connected_components(edges: DataFrame, small: int = 200_000) -> DataFrame:
         if after == before:
             break
         before = after
+    release(edges.sparkSession)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -40,6 +40,8 @@ from tidemark.llm.common import (
     materialize,
     mix,
     packed,
+    release,
+    rows_of,
     scratch_scope,
     shingle_hashes,
     skew_join,
@@ -100,9 +102,9 @@ def token_sketch(documents: DataFrame, k: int) -> np.ndarray:
 
     parts = documents.select(F.col("text").cast("string")).mapInArrow(count, "part int, n array<bigint>")
     rows = parts.select("part", F.posexplode("n").alias("i", "n")).where("n > 0").groupBy("part", "i").agg(F.sum("n").alias("n"))
-    found = rows.toPandas()
+    found = rows.toArrow()  # as columns: a Python object for each number would take some 50 MB of the driver
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[found["part"].to_numpy() * SKETCH_ROW + found["i"].to_numpy()] = found["n"].to_numpy()
+    out[found.column("part").to_numpy() * SKETCH_ROW + found.column("i").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -238,16 +240,17 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         pairs = pairs if hasattr(pairs, "_scratch") else materialize(pairs, "candidates")
-        if pairs.isEmpty():
+        if not rows_of(pairs):
             return pairs
         named = _keep(self.sigs.select("node", F.struct("n", "bits", "others").alias("sig")), _nodes(pairs))
         sig = lambda x: named.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_"))
         near = skew_join(skew_join(pairs, sig("a"), "a"), sig("b"), "b").where(_near("a_", "b_", self.percent))
         near = materialize(_meet(near, self.percent), "pairs")
-        if near.isEmpty():
+        if not rows_of(near):
             return near
         links = self.compare(near, False)
         discard(near)
+        release(links.sparkSession)
         close = links.where("not sure").select("a", "b")
         if close.isEmpty():
             return links.select("a", "b")
@@ -268,7 +271,7 @@ class _Verifier:
             pairs.select(F.col("a").alias("node"), "a", "salt", F.lit(0).alias("role")).distinct()
         )
         asked = materialize(asked, "asked")
-        few = asked.count() <= SMALL
+        few = rows_of(asked) <= SMALL
         rows = sets.join(F.broadcast(asked), "node") if few else skew_join(asked, sets, "node")
         rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
@@ -341,8 +344,8 @@ def _resolve(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
     classes = materialize(classes, "classes")
     # one row of each class; only the rows of classes with copies move
     heavy = filled.select("node", "n", "first", "others", "bits")
-    copied = classes.where("copies > 1")
-    once = heavy.dropDuplicates(["node"]) if copied.count() > SMALL else _keep(heavy, copied, "left_anti").unionByName(_keep(heavy, copied).dropDuplicates(["node"]))
+    copied = materialize(classes.where("copies > 1").select("node"), "copied")
+    once = heavy.dropDuplicates(["node"]) if rows_of(copied) > SMALL else _keep(heavy, copied, "left_anti").unionByName(_keep(heavy, copied).dropDuplicates(["node"]))
     verify = _Verifier(documents, classes, once, k, percent)
 
     tokens = once.select("node", F.col("n").cast("int").alias("n"), F.explode("first").alias("token"))
@@ -361,7 +364,7 @@ def _resolve(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
     # lists that still span components: once more with other pivots, then all blocks
     for pairs_of in (lambda rows: _pairs_with_pivot(rows, 1), lambda rows: _blocks(rows, once, percent)):
         still = _open(long, comps)
-        if still.isEmpty():
+        if not rows_of(still):
             break
         comps = _components(comps, verify(pairs_of(still).distinct()))
 
@@ -372,7 +375,7 @@ def _resolve(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
 
 def _attach(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """rows with the columns of found (a written table, one row per key), by broadcast while that is small."""
-    return rows.join(F.broadcast(found), key, how) if found.count() <= SMALL else skew_join(rows, found, key, how)
+    return rows.join(F.broadcast(found), key, how) if rows_of(found) <= SMALL else skew_join(rows, found, key, how)
 
 
 def _counted(tokens: DataFrame) -> DataFrame:
@@ -406,7 +409,7 @@ def _nodes(pairs: DataFrame) -> DataFrame:
 
 def _keep(rows: DataFrame, nodes: DataFrame, how: str = "left_semi") -> DataFrame:
     """rows whose node is (left_anti: is not) in nodes; up to SMALL nodes are broadcast and rows stay where they are."""
-    if nodes.count() <= SMALL:
+    if rows_of(nodes) <= SMALL:
         return rows.join(F.broadcast(nodes.select("node")), "node", how)
     return rows.join(nodes.select("node"), "node", how)
 
@@ -524,7 +527,7 @@ def _deduplicated(documents: DataFrame, k: int, percent: int) -> DataFrame:
     several = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
     gone = rows.where("doc_id is not null and not stays").join(several, "doc_id", "left_anti").select("doc_id")
     kept = without(documents, gone, "doc_id")
-    if several.isEmpty() and docs.where("doc_id is null and n > 0").isEmpty():
+    if not rows_of(several) and docs.where("doc_id is null and n > 0").isEmpty():
         return kept
     single = kept.where("doc_id is not null").join(several, "doc_id", "left_anti").select(*documents.columns)
     other = kept.where("doc_id is null").unionByName(kept.join(several, "doc_id", "left_semi").select(*documents.columns))
